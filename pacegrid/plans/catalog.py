@@ -116,3 +116,116 @@ def _w3(c: Ctx) -> DataFrame:
 @query("w4_first_wins_articles")
 def _w4(c: Ctx) -> DataFrame:
     return W.first_wins(c.articles, [F.lower(F.substring("title", 1, 50))], seq="seq")
+
+
+# --- F: filters -----------------------------------------------------------
+from ..operators import filters as Fl  # noqa: E402
+from ..operators import joins as J  # noqa: E402
+
+
+@query("f1_problem_search")
+def _f1(c: Ctx) -> DataFrame:
+    return Fl.problem_search(c.problems, category="economy", search="ring")
+
+
+@query("f2_topic_view")
+def _f2(c: Ctx) -> DataFrame:
+    return Fl.topic_view(c.users, c.problems, c.algorithms, "widget")
+
+
+@query("f3_catalog_search")
+def _f3(c: Ctx) -> DataFrame:
+    return Fl.catalog_search(c.algorithms, "anvil")
+
+
+@query("f4_distinct_topics")
+def _f4(c: Ctx) -> DataFrame:
+    return Fl.distinct_topics(c.problems)
+
+
+@query("f5_problems_in_range")
+def _f5(c: Ctx) -> DataFrame:
+    return Fl.problems_in_range(c.problems, date_from="1996-01-01", date_to="1996-03-31")
+
+
+@query("f6_owned_milestones")
+def _f6(c: Ctx) -> DataFrame:
+    return Fl.owned_milestones(c.projects, c.milestones)
+
+
+@query("f7_fill_defaults")
+def _f7(c: Ctx) -> DataFrame:
+    return Fl.fill_defaults(c.tasks.select("seq", "user_id", "name", "topic"))
+
+
+# --- J: joins -------------------------------------------------------------
+
+@query("j1_plan_with_problems")
+def _j1(c: Ctx) -> DataFrame:
+    return J.plan_with_problems(c.daily_plan, c.problems)
+
+
+@query("j2_plan_rows_in_category")
+def _j2(c: Ctx) -> DataFrame:
+    keys = c.problems.filter(F.col("category") == "SMALL").select(F.col("id").alias("problem_id"))
+    return J.rows_with_key_in(c.daily_plan, keys, ["problem_id"])
+
+
+@query("j3_unprotected_problems")
+def _j3(c: Ctx) -> DataFrame:
+    return J.unprotected_problems(c.problems, c.imports)
+
+
+@query("j4_new_tasks")
+def _j4(c: Ctx) -> DataFrame:
+    return J.new_tasks(c.tasks, c.problems)
+
+
+@query("j5_catalog_seed")
+def _j5(c: Ctx) -> DataFrame:
+    t = c.t
+    seed = (t("nation").select(F.col("n_name").alias("name"), F.lit("nation").alias("pattern"))
+            .unionByName(t("part").select(F.col("p_type").alias("name"), F.lit("type").alias("pattern")))
+            .unionByName(t("part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("pattern"))))
+    return J.insert_if_absent(c.algorithms.select("name", "pattern"), seed)
+
+
+@query("j6_yesterday_solved")
+def _j6(c: Ctx) -> DataFrame:
+    import datetime as dt
+    y = dt.date.fromisoformat(AS_OF_LOG) - dt.timedelta(days=1)
+    return J.day_value(c.users, c.daily_log, y, name="yesterday_solved")
+
+
+# --- L: order and limits --------------------------------------------------
+
+@query("l2_recent_logs")
+def _l2(c: Ctx) -> DataFrame:
+    return Fl.recent_logs(c.daily_log, 14)
+
+
+@query("l2_recent_imports")
+def _l2i(c: Ctx) -> DataFrame:
+    return Fl.recent_imports(c.imports, 50)
+
+
+@query("l3_milestone_order")
+def _l3(c: Ctx) -> DataFrame:
+    return Fl.milestone_order(c.milestones)
+
+
+@query("l4_top_articles")
+def _l4(c: Ctx) -> DataFrame:
+    return Fl.top_n(c.articles, 9)
+
+
+@query("l5_source_caps")
+def _l5(c: Ctx) -> DataFrame:
+    return Fl.top_per_group(c.articles, ["source"], [F.asc("seq")], 5)
+
+
+@query("l6_heads")
+def _l6(c: Ctx) -> DataFrame:
+    d = c.t("documents")
+    return d.select("doc_id", Fl.head_chars("text", 120).alias("head"),
+                    Fl.head_words("text", 12).alias("topic"))

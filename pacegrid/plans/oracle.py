@@ -183,3 +183,95 @@ SQL["w4_first_wins_articles"] = V(["articles"], """
 select seq, source, url, title, score from (
   select *, row_number() over (partition by lower(substring(title, 1, 50)) order by seq) rn from articles)
 where rn = 1""")
+
+# --- F --------------------------------------------------------------------
+_RANK = "case difficulty when 'Easy' then 1 when 'Medium' then 2 else 3 end"
+SQL["f1_problem_search"] = V(["problems"], f"""
+select *, {_RANK} difficulty_rank from problems
+where lower(category) = lower('economy')
+  and (lower(name) like lower('%ring%') or lower(topic) like lower('%ring%') or lower(category) like lower('%ring%'))""")
+
+SQL["f2_topic_view"] = V(["users", "problems", "algorithms"], """
+select u.id user_id, coalesce(a.total, 0)::bigint total, coalesce(a.solved, 0)::bigint solved,
+  f.id algorithm_id, f.name algorithm_name, f.pattern algorithm_pattern
+from users u
+left join (select user_id, count(*) total, count(*) filter (where status = 'Solved') solved from problems
+           where lower(topic) like '%widget%' or lower(category) like '%widget%' or lower(name) like '%widget%'
+           group by user_id) a on a.user_id = u.id
+left join (select * from algorithms where lower(name) like '%widget%' or lower(pattern) like '%widget%'
+           order by id limit 1) f on true""")
+
+SQL["f3_catalog_search"] = V(["algorithms"], """
+select * from algorithms
+where lower(name) like '%anvil%' or lower(pattern) like '%anvil%' or lower(description) like '%anvil%'""")
+
+SQL["f4_distinct_topics"] = V(["problems"], "select distinct user_id, topic from problems where topic <> ''")
+
+SQL["f5_problems_in_range"] = V(["problems"], """
+select * from problems where scheduled_date between date '1996-01-01' and date '1996-03-31'""")
+
+SQL["f6_owned_milestones"] = V(["projects", "milestones"], """
+select m.*, p.user_id from milestones m join projects p on p.id = m.project_id""")
+
+SQL["f7_fill_defaults"] = V(["tasks"], """
+select seq, user_id, name, coalesce(topic, '') topic, 'DSA' category, 'Medium' difficulty, 'Custom' platform,
+  '' problem_link, '' resource_link, 'Pending' status from tasks""")
+
+# --- J --------------------------------------------------------------------
+SQL["j1_plan_with_problems"] = V(["daily_plan", "problems"], """
+select dp.user_id, dp.plan_date, dp.order_index, dp.status plan_status, dp.problem_id,
+  p.name, p.category, p.topic, p.difficulty, p.platform
+from daily_plan dp join problems p on p.id = dp.problem_id""")
+
+SQL["j2_plan_rows_in_category"] = V(["daily_plan", "problems"], """
+select * from daily_plan where problem_id in (select id from problems where category = 'SMALL')""")
+
+SQL["j3_unprotected_problems"] = V(["problems", "imports"], """
+select p.* from problems p
+where not exists (select 1 from imports i
+                  where i.protected and i.user_id = p.user_id and i.batch_id = p.import_batch)""")
+
+SQL["j4_new_tasks"] = V(["tasks", "problems"], """
+select t.* from tasks t
+where not exists (select 1 from problems p
+                  where p.user_id = t.user_id and p.name = trim(t.name) and p.topic = coalesce(t.topic, ''))""")
+
+SQL["j5_catalog_seed"] = V(["algorithms"], """
+, seed as (
+  select n_name name, 'nation' pattern from nation
+  union all select p_type, 'type' from part
+  union all select p_name, p_brand from part)
+select name, pattern, 'catalog' origin from algorithms
+union all
+select name, min(pattern), 'seed' from seed s
+where not exists (select 1 from algorithms a where a.name = s.name)
+group by name""")
+
+SQL["j6_yesterday_solved"] = V(["users", "daily_log"], f"""
+select u.id user_id, coalesce(l.problems_solved, 0)::bigint yesterday_solved
+from users u left join daily_log l on l.user_id = u.id and l.log_date = {_lit(LOG - dt.timedelta(days=1))}""")
+
+# --- L --------------------------------------------------------------------
+SQL["l2_recent_logs"] = V(["daily_log"], """
+select * from (select *, row_number() over (partition by user_id order by log_date desc) rank from daily_log)
+where rank <= 14""")
+
+SQL["l2_recent_imports"] = V(["imports"], """
+select * from (select *, row_number() over (partition by user_id order by id desc) rank from imports)
+where rank <= 50""")
+
+SQL["l3_milestone_order"] = V(["milestones"], """
+select *, dense_rank() over (partition by project_id order by order_index) position from milestones""")
+
+SQL["l4_top_articles"] = V(["articles"], "select * from articles order by score desc, seq limit 9")
+
+SQL["l5_source_caps"] = V(["articles"], """
+select * from (select *, row_number() over (partition by source order by seq) rank from articles)
+where rank <= 5""")
+
+SQL["l6_heads"] = """
+select doc_id, substring(text, 1, 120) head,
+  case when len(w) > 12 then array_to_string(w[1:12], ' ') else text end topic
+from (select doc_id, text,
+        string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+') w
+      from documents)"""
