@@ -229,3 +229,133 @@ def _l6(c: Ctx) -> DataFrame:
     d = c.t("documents")
     return d.select("doc_id", Fl.head_chars("text", 120).alias("head"),
                     Fl.head_words("text", 12).alias("topic"))
+
+
+# --- I: table changes -----------------------------------------------------
+from ..operators import changes as I  # noqa: E402
+
+BATCH_ID = "tasks.xlsx_20240120000000"
+
+
+@query("i1_import_add")
+def _i1(c: Ctx) -> DataFrame:
+    return I.import_add(c.problems, c.tasks, BATCH_ID)
+
+
+@query("a11_import_totals")
+def _a11(c: Ctx) -> DataFrame:
+    return I.import_totals(I.import_flags(c.problems, c.tasks))
+
+
+@query("i2_import_replace")
+def _i2(c: Ctx) -> DataFrame:
+    return I.import_replace(c.problems, c.imports, c.tasks, BATCH_ID)
+
+
+@query("i3_ledger_rows")
+def _i3(c: Ctx) -> DataFrame:
+    totals = I.import_totals(I.import_flags(c.problems, c.tasks))
+    files = c.tasks.select("user_id", F.concat("category", F.lit(".xlsx")).alias("filename")).distinct()
+    return I.ledger_rows(totals, files, BATCH_ID, AS_OF_LOG)
+
+
+@query("i4_toggle_protection")
+def _i4(c: Ctx) -> DataFrame:
+    imp = c.imports
+    return I.toggle_protection(imp, imp.filter(F.col("filename").contains("blue")))
+
+
+def _count_by_user(users: DataFrame, **tables: DataFrame) -> DataFrame:
+    out = users.select(F.col("id").alias("user_id"))
+    for name, df in tables.items():
+        out = out.join(df.groupBy("user_id").agg(F.count(F.lit(1)).alias(name)), "user_id", "left")
+    return out.fillna(0, subset=list(tables))
+
+
+@query("i5_delete_range")
+def _i5(c: Ctx) -> DataFrame:
+    p, pl, _ = I.delete_problems(c.problems, c.daily_plan, c.imports,
+                                 date_from="1996-01-01", date_to="1996-12-31")
+    return _count_by_user(c.users, problems_left=p, plan_left=pl)
+
+
+def _delete_batch(c: Ctx, batch: str) -> DataFrame:
+    p, pl, refused = I.delete_problems(c.problems, c.daily_plan, c.imports, batch=batch)
+    out = _count_by_user(c.users, problems_left=p, plan_left=pl)
+    return out.join(refused.select("user_id", F.lit(True).alias("refused")), "user_id", "left").fillna(
+        False, subset=["refused"])
+
+
+@query("i5_delete_batch")
+def _i5b(c: Ctx) -> DataFrame:
+    """Batch of an odd-sized part: unprotected, so its rows go."""
+    return _delete_batch(c, "batch_7")
+
+
+@query("i5_refuse_batch")
+def _i5r(c: Ctx) -> DataFrame:
+    """Batch of an even-sized part: protected, so the delete is refused."""
+    return _delete_batch(c, "batch_8")
+
+
+@query("i6_clear_imports")
+def _i6(c: Ctx) -> DataFrame:
+    clearing = c.t("customer").filter(F.col("c_mktsegment") == "AUTOMOBILE").select(
+        F.col("c_custkey").alias("user_id"))
+    p, pl, lg, imp = I.clear_imports(c.problems, c.daily_plan, c.daily_log, c.imports, clearing)
+    return _count_by_user(c.users, problems_left=p, plan_left=pl, log_left=lg, imports_left=imp)
+
+
+@query("i7_delete_one")
+def _i7(c: Ctx) -> DataFrame:
+    ids = c.problems.filter((F.col("status") == "Skipped") & (F.col("difficulty") == "Hard"))
+    _, plan = I.delete_one(c.problems, c.daily_plan, ids)
+    return plan
+
+
+@query("i8_generate_plans")
+def _i8(c: Ctx) -> DataFrame:
+    return I.generate_plans(c.problems)
+
+
+@query("i9_status_log")
+def _i9(c: Ctx) -> DataFrame:
+    _, _, log = I.apply_status_events(c.problems, c.daily_plan, c.daily_log, c.user_settings, c.status_events)
+    return log
+
+
+@query("i9_problem_status")
+def _i9p(c: Ctx) -> DataFrame:
+    p, _, _ = I.apply_status_events(c.problems, c.daily_plan, c.daily_log, c.user_settings, c.status_events)
+    return p.select("id", "user_id", "status")
+
+
+@query("i10_activity_upsert")
+def _i10(c: Ctx) -> DataFrame:
+    return I.upsert_activity(c.daily_log, c.activity, c.user_settings)
+
+
+@query("i11_milestone_completion")
+def _i11(c: Ctx) -> DataFrame:
+    m = c.milestones
+    done = m.filter(F.col("deadline") <= F.lit("1995-06-30").cast("date")).select(
+        "project_id", "order_index", F.lit("Done").alias("status")).distinct()
+    return R.project_completion(c.projects, I.update_milestones(m, done, ["project_id", "order_index"]))
+
+
+@query("i12_settings_upsert")
+def _i12(c: Ctx) -> DataFrame:
+    ch = c.t("customer").filter(F.col("c_acctbal") > 5000).select(
+        F.col("c_custkey").alias("user_id"), F.lit("daily_goal").alias("key"), F.lit("12").alias("value"))
+    return I.upsert_settings(c.settings, ch)
+
+
+@query("i13_mastery_upsert")
+def _i13(c: Ctx) -> DataFrame:
+    p = c.problems.withColumn("algorithm_id", F.col("id") % 200)
+    old = (p.filter(F.col("status") == "Attempted").groupBy("user_id", "algorithm_id")
+           .agg(F.lit("Learning").alias("mastery"), F.lit(0).cast("bigint").alias("solved_problems")))
+    ch = (p.filter(F.col("status") == "Solved").groupBy("user_id", "algorithm_id")
+          .agg(F.lit("Practicing").alias("mastery"), F.count(F.lit(1)).alias("solved_problems"),
+               F.max("scheduled_date").alias("ts")))
+    return I.upsert_mastery(old, ch)

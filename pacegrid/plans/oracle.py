@@ -275,3 +275,172 @@ select doc_id, substring(text, 1, 120) head,
 from (select doc_id, text,
         string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+') w
       from documents)"""
+
+# --- I --------------------------------------------------------------------
+_BATCH = "tasks.xlsx_20240120000000"
+_T = """
+, t as (select seq, user_id, trim(coalesce(name, '')) name, coalesce(topic, '') topic,
+          coalesce(category, 'DSA') category, null::date scheduled_date, 'Medium' difficulty, 'Custom' platform,
+          '' problem_link, '' resource_link, 'Pending' status from tasks),
+firsts as (select * exclude (rn) from (
+             select *, row_number() over (partition by user_id, name, topic order by seq) rn
+             from t where name <> '') where rn = 1),
+ok as (select f.* from firsts f
+       where not exists (select 1 from problems p where p.user_id = f.user_id and p.name = f.name
+                         and p.topic = f.topic)),
+tot as (select user_id,
+          count(*) filter (where name <> '' and seq in (select seq from ok)) imported,
+          count(*) filter (where name <> '' and seq not in (select seq from ok)) skipped
+        from t group by user_id)"""
+
+SQL["i1_import_add"] = V(["tasks", "problems"], f"""
+{_T}
+select *, '{_BATCH}' import_batch from ok""")
+
+SQL["a11_import_totals"] = V(["tasks", "problems"], f"""
+{_T}
+select * from tot""")
+
+_FIELDS = "user_id, name, category, topic, difficulty, platform, problem_link, resource_link, scheduled_date, status"
+SQL["i2_import_replace"] = V(["tasks", "problems", "imports"], f"""
+{_T},
+importers as (select distinct user_id from t where name <> ''),
+removed as (select p.id from problems p
+            where p.user_id in (select user_id from importers)
+              and not exists (select 1 from imports i where i.protected and i.user_id = p.user_id
+                              and i.batch_id = p.import_batch))
+select {_FIELDS}, import_batch, 'kept' origin from problems where id not in (select id from removed)
+union all
+select {_FIELDS}, '{_BATCH}', 'inserted' from t where name <> ''""")
+
+SQL["i3_ledger_rows"] = V(["tasks", "problems"], f"""
+{_T}
+select f.user_id, f.filename, {_lit(LOG)} import_date, tot.imported total_imported, '{_BATCH}' batch_id,
+  false protected
+from (select distinct user_id, concat(category, '.xlsx') filename from tasks) f
+join tot on tot.user_id = f.user_id""")
+
+SQL["i4_toggle_protection"] = V(["imports"], """
+select id, user_id, filename, batch_id,
+  case when filename like '%blue%' then not protected else protected end protected, total_imported, import_date
+from imports""")
+
+SQL["i5_delete_range"] = V(["users", "problems", "daily_plan"], """
+, gone as (select id from problems where scheduled_date between date '1996-01-01' and date '1996-12-31'),
+p as (select user_id, count(*) n from problems where id not in (select id from gone) group by user_id),
+pl as (select user_id, count(*) n from daily_plan where problem_id not in (select id from gone) group by user_id)
+select u.id user_id, coalesce(p.n, 0) problems_left, coalesce(pl.n, 0) plan_left
+from users u left join p on p.user_id = u.id left join pl on pl.user_id = u.id""")
+
+
+def _batch_sql(batch: str) -> str:
+    return V(["users", "problems", "daily_plan", "imports"], f"""
+, refused as (select distinct user_id from imports where protected and batch_id = '{batch}'),
+gone as (select id from problems where import_batch = '{batch}'
+         and user_id not in (select user_id from refused)),
+p as (select user_id, count(*) n from problems where id not in (select id from gone) group by user_id),
+pl as (select user_id, count(*) n from daily_plan where problem_id not in (select id from gone) group by user_id)
+select u.id user_id, coalesce(p.n, 0) problems_left, coalesce(pl.n, 0) plan_left,
+  u.id in (select user_id from refused) refused
+from users u left join p on p.user_id = u.id left join pl on pl.user_id = u.id""")
+
+
+SQL["i5_delete_batch"] = _batch_sql("batch_7")
+SQL["i5_refuse_batch"] = _batch_sql("batch_8")
+
+SQL["i6_clear_imports"] = V(["users", "problems", "daily_plan", "daily_log", "imports"], """
+, cu as (select c_custkey user_id from customer where c_mktsegment = 'AUTOMOBILE'),
+gone as (select p.id from problems p where p.user_id in (select user_id from cu)
+         and not exists (select 1 from imports i where i.protected and i.user_id = p.user_id
+                         and i.batch_id = p.import_batch)),
+p as (select user_id, count(*) n from problems where id not in (select id from gone) group by user_id),
+pl as (select user_id, count(*) n from daily_plan where user_id not in (select user_id from cu) group by user_id),
+lg as (select user_id, count(*) n from daily_log where user_id not in (select user_id from cu) group by user_id),
+im as (select user_id, count(*) n from imports where user_id not in (select user_id from cu) or protected
+       group by user_id)
+select u.id user_id, coalesce(p.n, 0) problems_left, coalesce(pl.n, 0) plan_left, coalesce(lg.n, 0) log_left,
+  coalesce(im.n, 0) imports_left
+from users u left join p on p.user_id = u.id left join pl on pl.user_id = u.id
+left join lg on lg.user_id = u.id left join im on im.user_id = u.id""")
+
+SQL["i7_delete_one"] = V(["problems", "daily_plan"], """
+select * from daily_plan dp
+where not exists (select 1 from problems p where p.status = 'Skipped' and p.difficulty = 'Hard'
+                  and p.id = dp.problem_id and p.user_id = dp.user_id)""")
+
+SQL["i8_generate_plans"] = V(["problems"], f"""
+select user_id, scheduled_date plan_date, id problem_id,
+  (row_number() over (partition by user_id, scheduled_date order by {_RANK}, id) - 1)::integer order_index,
+  'Pending' status
+from problems where status = 'Pending' and scheduled_date is not null""")
+
+_EV = """
+, ev as (select e.* from status_events e
+         where exists (select 1 from problems p where p.id = e.problem_id and p.user_id = e.user_id)),
+perday as (select user_id, problem_id, plan_date, status from (
+             select *, row_number() over (partition by user_id, problem_id, plan_date
+                                          order by ts desc, status desc) rn from ev) where rn = 1),
+perprob as (select problem_id, status from (
+             select *, row_number() over (partition by problem_id order by ts desc, status desc) rn from ev)
+            where rn = 1),
+newplan as (select dp.user_id, dp.plan_date, dp.problem_id, dp.order_index,
+              coalesce(d.status, dp.status) status
+            from daily_plan dp left join perday d on d.user_id = dp.user_id and d.problem_id = dp.problem_id
+              and d.plan_date = dp.plan_date),
+touched as (select distinct user_id, plan_date log_date from ev),
+solved as (select user_id, plan_date log_date, count(*) n from newplan where status = 'Solved'
+           group by user_id, plan_date),
+counts as (select t.user_id, t.log_date, coalesce(s.n, 0)::bigint ps, coalesce(us.daily_goal, 10)::bigint pt
+           from touched t left join solved s on s.user_id = t.user_id and s.log_date = t.log_date
+           left join user_settings us on us.user_id = t.user_id)"""
+
+SQL["i9_status_log"] = V(["problems", "daily_plan", "daily_log", "user_settings", "status_events"], f"""
+{_EV}
+select coalesce(l.user_id, c.user_id) user_id, coalesce(l.log_date, c.log_date) log_date,
+  coalesce(c.ps, l.problems_solved)::bigint problems_solved,
+  coalesce(l.problems_attempted, 0)::bigint problems_attempted,
+  coalesce(l.problems_skipped, 0)::bigint problems_skipped,
+  coalesce(c.pt, l.problems_target)::bigint problems_target
+from daily_log l full outer join counts c on c.user_id = l.user_id and c.log_date = l.log_date""")
+
+SQL["i9_problem_status"] = V(["problems", "daily_plan", "daily_log", "user_settings", "status_events"], f"""
+{_EV}
+select p.id, p.user_id, coalesce(pp.status, p.status) status
+from problems p left join perprob pp on pp.problem_id = p.id""")
+
+SQL["i10_activity_upsert"] = V(["daily_log", "activity", "user_settings"], """
+, a as (select a.user_id, a.log_date, a.problems_solved, 0::bigint problems_attempted, 0::bigint problems_skipped,
+          coalesce(us.daily_goal, 10)::bigint problems_target
+        from activity a left join user_settings us on us.user_id = a.user_id)
+select user_id, log_date, problems_solved, problems_attempted, problems_skipped, problems_target
+from daily_log l
+where not exists (select 1 from a where a.user_id = l.user_id and a.log_date = l.log_date)
+union all select * from a""")
+
+SQL["i11_milestone_completion"] = V(["projects", "milestones"], """
+, m2 as (select project_id, order_index, deadline,
+           case when (project_id, order_index) in (select project_id, order_index from milestones
+                                                  where deadline <= date '1995-06-30') then 'Done'
+                else status end status
+         from milestones)
+select p.id project_id, p.user_id, coalesce(m.total_ms, 0) total_ms, coalesce(m.done_ms, 0) done_ms,
+  case when coalesce(m.total_ms, 0) > 0 then round_even(m.done_ms / m.total_ms * 100, 0)::bigint else 0 end
+    completion_pct
+from projects p left join (
+  select project_id, count(*)::bigint total_ms, count(*) filter (where status = 'Done')::bigint done_ms
+  from m2 group by project_id) m on m.project_id = p.id""")
+
+SQL["i12_settings_upsert"] = V(["settings"], """
+, ch as (select c_custkey user_id, 'daily_goal' key, '12' value from customer where c_acctbal > 5000)
+select * from settings s
+where not exists (select 1 from ch where ch.user_id = s.user_id and ch.key = s.key)
+union all select * from ch""")
+
+SQL["i13_mastery_upsert"] = V(["problems"], """
+, old as (select user_id, id % 200 algorithm_id, 'Learning' mastery, 0::bigint solved_problems
+          from problems where status = 'Attempted' group by user_id, id % 200),
+ch as (select user_id, id % 200 algorithm_id, 'Practicing' mastery, count(*)::bigint solved_problems
+       from problems where status = 'Solved' group by user_id, id % 200)
+select * from old o
+where not exists (select 1 from ch where ch.user_id = o.user_id and ch.algorithm_id = o.algorithm_id)
+union all select * from ch""")

@@ -18,7 +18,7 @@ select o.o_orderkey id, o.o_custkey user_id, concat('item ', cast(o.o_orderkey a
        when o.o_orderkey%2=0 then 'Attempted' else 'Skipped' end status,
   cast(o.o_orderdate as date) scheduled_date,
   concat('batch_', cast(p.p_partkey as varchar)) import_batch,
-  'Custom' platform
+  'Custom' platform, '' problem_link, '' resource_link
 from orders o join part p on o.o_orderkey%200 = p.p_partkey""",
     "daily_log": """
 select user_id, cast(ts as date) log_date,

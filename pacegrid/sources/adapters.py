@@ -45,6 +45,8 @@ def problems(t: Tables) -> DataFrame:
         _date("o_orderdate").alias("scheduled_date"),
         F.concat(F.lit("batch_"), F.col("p_partkey").cast("string")).alias("import_batch"),
         F.lit("Custom").alias("platform"),
+        F.lit("").alias("problem_link"),
+        F.lit("").alias("resource_link"),
     )
 
 
