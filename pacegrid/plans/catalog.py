@@ -359,3 +359,57 @@ def _i13(c: Ctx) -> DataFrame:
           .agg(F.lit("Practicing").alias("mastery"), F.count(F.lit(1)).alias("solved_problems"),
                F.max("scheduled_date").alias("ts")))
     return I.upsert_mastery(old, ch)
+
+
+# --- N: spreadsheet normalisation -----------------------------------------
+from ..operators import sheets as N  # noqa: E402
+
+
+@query("n1_header_map")
+def _n1(c: Ctx) -> DataFrame:
+    return N.header_map(N.sheet_headers(c.sheet_cells))
+
+
+@query("n2_sheet_layouts")
+def _n2(c: Ctx) -> DataFrame:
+    h = N.sheet_headers(c.sheet_cells)
+    return N.sheet_layouts(h, N.header_map(h))
+
+
+@query("n3_normalise_sheets")
+def _n3(c: Ctx) -> DataFrame:
+    return N.normalise(c.sheet_cells)
+
+
+@query("n13_upload_summary")
+def _n13(c: Ctx) -> DataFrame:
+    cells = c.sheet_cells
+    return N.upload_summary(cells, N.normalise(cells))
+
+
+@query("n8_link_platforms")
+def _n8(c: Ctx) -> DataFrame:
+    pg = c.t("pages")
+    raw = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^https?://", ""))
+    link = N.repair_link(N.clean(raw))
+    return pg.select("page_id", link.alias("link"), N.platform_of(link).alias("platform"))
+
+
+@query("n10_parse_dates")
+def _n10(c: Ctx) -> DataFrame:
+    o = c.t("orders")
+    d = F.col("o_orderdate").cast("date")
+    k = F.col("o_orderkey") % 5
+    text = (F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "MM/dd/yyyy"))
+            .when(k == 2, F.date_format(d, "dd/MM/yyyy")).when(k == 3, F.date_format(d, "MMMM d yyyy"))
+            .otherwise(F.concat(F.lit("Day "), F.dayofmonth(d).cast("string"))))
+    return o.select("o_orderkey", text.alias("text")).select("o_orderkey", "text",
+                                                             N.parse_date(F.col("text")).alias("parsed"))
+
+
+@query("n11_difficulty_words")
+def _n11(c: Ctx) -> DataFrame:
+    o = c.t("orders")
+    word = F.lower(F.regexp_replace("o_orderpriority", "^[0-9]+-", ""))
+    return o.select("o_orderkey", word.alias("word"), N.difficulty_named(word).alias("named_layout"),
+                    N.difficulty_topic_list(word).alias("topic_list_layout"))

@@ -444,3 +444,179 @@ ch as (select user_id, id % 200 algorithm_id, 'Practicing' mastery, count(*)::bi
 select * from old o
 where not exists (select 1 from ch where ch.user_id = o.user_id and ch.algorithm_id = o.algorithm_id)
 union all select * from ch""")
+
+# --- N --------------------------------------------------------------------
+from ..functions import rules as _RU  # noqa: E402
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _case(expr: str, rules, default: str) -> str:
+    """``CASE`` of an ordered (keywords, label) rule table on a lower-cased expression."""
+    arms = " ".join(f"when {' or '.join(f'contains({expr}, {_q(k)})' for k in keys)} then {_q(label)}"
+                    for keys, label in rules)
+    return f"(case {arms} else {default} end)"
+
+
+def _sheet_case(expr: str, default: str = "null") -> str:
+    return _case(expr, [([k], v) for k, v in _RU.SHEET_CATEGORY_RULES], default)
+
+
+_BLANK = "({v} is null or lower(trim({v})) in ('', 'nan', 'none'))"
+
+
+def _blank(v: str) -> str:
+    return _BLANK.format(v=v)
+
+
+def _clean(v: str) -> str:
+    return f"(case when {_blank(v)} then '' else trim({v}) end)"
+
+
+def _repair(v: str) -> str:
+    return (f"(case when {v} <> '' and not starts_with({v}, 'http') and contains({v}, '.') "
+            f"then 'https://' || ltrim({v}, '/') else {v} end)")
+
+
+def _platform(v: str) -> str:
+    return _case(f"lower(coalesce({v}, ''))", _RU.PLATFORM_RULES, "'Custom'")
+
+
+def _parse(v: str) -> str:
+    fmts = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y", "%d/%m/%Y", "%B %d %Y", "%b %d %Y", "%d %B %Y"]
+    return "coalesce(" + ", ".join(f"try_strptime(trim({v}), '{f}')" for f in fmts) + ")::date"
+
+
+_ALIASES = ", ".join(f"({_q(f)}, {i}, {_q(a)})" for f, al in _RU.HEADER_ALIASES for i, a in enumerate(al))
+_SHEETS = f"""
+, hd as (select distinct source_file, sheet, col_no, header, trim(coalesce(header, '')) h,
+           lower(trim(coalesce(header, ''))) h_low from sheet_cells),
+al as (select * from (values {_ALIASES}) t(field, alias_rank, alias)),
+hm as (select source_file, sheet, field, col_no, header from (
+         select hd.source_file, hd.sheet, al.field, hd.col_no, hd.h header,
+           row_number() over (partition by hd.source_file, hd.sheet, al.field order by al.alias_rank, hd.col_no desc) rn
+         from hd join al on hd.h_low = al.alias) where rn = 1),
+lay as (
+  select s.source_file, s.sheet,
+    case when nm.source_file is not null then 'A' when tc.c is not null then 'B'
+         when dh.h is not null then 'C' else 'D' end layout,
+    coalesce({_sheet_case("lower(s.sheet)")}, hc.cat, 'DSA') category,
+    tc.c topic_col, lc.c link_col, pc.c priority_col, dh.h day_header
+  from (select distinct source_file, sheet from hd) s
+  left join (select distinct source_file, sheet from hm where field = 'name') nm
+    on nm.source_file = s.source_file and nm.sheet = s.sheet
+  left join (select source_file, sheet, min(col_no) c from hd where h_low in ('topic', 'subject')
+             group by source_file, sheet) tc on tc.source_file = s.source_file and tc.sheet = s.sheet
+  left join (select source_file, sheet, min(col_no) c from hd
+             where h_low in ('resource', 'resource link', 'ref', 'link', 'url')
+             group by source_file, sheet) lc on lc.source_file = s.source_file and lc.sheet = s.sheet
+  left join (select source_file, sheet, min(col_no) c from hd
+             where h_low in ('priority', 'difficulty', 'level', 'status')
+             group by source_file, sheet) pc on pc.source_file = s.source_file and pc.sheet = s.sheet
+  left join (select source_file, sheet, arg_min(h, col_no) h from hd where h_low = 'day' or starts_with(h_low, 'day ')
+             group by source_file, sheet) dh on dh.source_file = s.source_file and dh.sheet = s.sheet
+  left join (select source_file, sheet, arg_min(cat, col_no) cat from (
+               select *, {_case("h_low", _RU.HEADER_CATEGORY_RULES, "null")} cat from hd)
+             where cat is not null group by source_file, sheet) hc
+    on hc.source_file = s.source_file and hc.sheet = s.sheet),
+a0 as (
+  select c.source_file, c.sheet, c.row_no,
+    max(case when m.field = 'name' then c.value end) v_name,
+    max(case when m.field = 'topic' then c.value end) v_topic,
+    max(case when m.field = 'difficulty' then c.value end) v_diff,
+    max(case when m.field = 'problem_link' then c.value end) v_plink,
+    max(case when m.field = 'resource_link' then c.value end) v_rlink,
+    max(case when m.field = 'date' then c.value end) v_date,
+    max(case when m.field = 'platform' then c.value end) v_platform,
+    any_value(l.category) category
+  from sheet_cells c
+  join hm m on m.source_file = c.source_file and m.sheet = c.sheet and m.col_no = c.col_no
+  join lay l on l.source_file = c.source_file and l.sheet = c.sheet and l.layout = 'A'
+  group by c.source_file, c.sheet, c.row_no),
+a1 as (select *, {_repair(_clean("v_plink"))} plink, {_repair(_clean("v_rlink"))} rlink,
+         {_clean("v_platform")} plat, lower({_clean("v_diff")}) dl from a0
+       where not {_blank("trim(coalesce(v_name, ''))")}),
+a_rows as (
+  select source_file, sheet, row_no, null::integer col_no, trim(coalesce(v_name, '')) name, category,
+    {_clean("v_topic")} topic,
+    case when dl in ('easy', 'medium', 'hard') then upper(dl[1]) || dl[2:]
+         when dl in ('must', 'high', 'critical') then 'High' else 'Medium' end difficulty,
+    case when plat <> '' then plat else {_platform("plink")} end platform,
+    plink problem_link, rlink resource_link,
+    case when {_blank("v_date")} then null::date else {_parse("v_date")} end scheduled_date
+  from a1),
+b0 as (
+  select c.source_file, c.sheet, c.row_no,
+    max(case when c.col_no = l.topic_col then c.value end) v_t,
+    max(case when c.col_no = l.link_col then c.value end) v_l,
+    max(case when c.col_no = l.priority_col then c.value end) v_p,
+    any_value(l.category) category
+  from sheet_cells c join lay l on l.source_file = c.source_file and l.sheet = c.sheet and l.layout = 'B'
+  group by c.source_file, c.sheet, c.row_no),
+b_rows as (
+  select source_file, sheet, row_no, null::integer col_no, trim(coalesce(v_t, '')) name, category,
+    trim(coalesce(v_t, '')) topic,
+    case when lower(trim(coalesce(v_p, ''))) in ('must', 'high', 'critical') then 'High'
+         when lower(trim(coalesce(v_p, ''))) in ('optional', 'low') then 'Low' else 'Medium' end difficulty,
+    {_platform(_repair(_clean("v_l")))} platform,
+    {_repair(_clean("v_l"))} problem_link, {_repair(_clean("v_l"))} resource_link, null::date scheduled_date
+  from b0 where not {_blank("trim(coalesce(v_t, ''))")}),
+c_day as (
+  select c.source_file, c.sheet, c.row_no, arg_min(c.value, c.col_no) dv
+  from sheet_cells c join lay l on l.source_file = c.source_file and l.sheet = c.sheet and l.layout = 'C'
+  where trim(coalesce(c.header, '')) = l.day_header group by c.source_file, c.sheet, c.row_no),
+c_rows as (
+  select c.source_file, c.sheet, c.row_no, c.col_no::integer col_no, trim(c.value) name,
+    coalesce({_case("lower(trim(coalesce(c.header, '')))", _RU.DAY_GRID_HEADER_RULES, "null")},
+             {_sheet_case("lower(trim(coalesce(c.header, '')))")}, 'DSA') category,
+    trim(coalesce(c.header, '')) topic, 'Medium' difficulty, 'Custom' platform,
+    '' problem_link, '' resource_link, null::date scheduled_date
+  from sheet_cells c
+  join lay l on l.source_file = c.source_file and l.sheet = c.sheet and l.layout = 'C'
+  join c_day d on d.source_file = c.source_file and d.sheet = c.sheet and d.row_no = c.row_no
+  where trim(coalesce(c.header, '')) <> l.day_header and not {_blank("c.value")} and not {_blank("d.dv")}),
+d0 as (
+  select c.source_file, c.sheet, c.row_no, list(trim(c.value) order by c.col_no) vals, any_value(l.category) category
+  from sheet_cells c join lay l on l.source_file = c.source_file and l.sheet = c.sheet and l.layout = 'D'
+  where not {_blank("c.value")} group by c.source_file, c.sheet, c.row_no),
+d_rows as (
+  select source_file, sheet, row_no, null::integer col_no, vals[1] name, category,
+    coalesce(vals[2], '') topic, 'Medium' difficulty,
+    {_platform("coalesce(list_filter(vals, lambda x: starts_with(x, 'http'))[1], '')")} platform,
+    coalesce(list_filter(vals, lambda x: starts_with(x, 'http'))[1], '') problem_link,
+    coalesce(list_filter(vals, lambda x: starts_with(x, 'http'))[1], '') resource_link, null::date scheduled_date
+  from d0),
+tasks_out as (
+  select *, 'Pending' status from a_rows union all select *, 'Pending' from b_rows
+  union all select *, 'Pending' from c_rows union all select *, 'Pending' from d_rows)"""
+
+SQL["n1_header_map"] = V(["sheet_cells"], _SHEETS + "\nselect * from hm")
+SQL["n2_sheet_layouts"] = V(["sheet_cells"], _SHEETS + "\nselect * from lay")
+SQL["n3_normalise_sheets"] = V(["sheet_cells"], _SHEETS + "\nselect * from tasks_out")
+SQL["n13_upload_summary"] = V(["sheet_cells"], _SHEETS + """
+select s.source_file, s.sheets, coalesce(t.n, 0)::bigint tasks from (
+  select source_file, string_agg(source_file || '::' || sheet, ',' order by source_file || '::' || sheet) sheets
+  from (select distinct source_file, sheet from sheet_cells) group by source_file) s
+left join (select source_file, count(*) n from tasks_out group by source_file) t on t.source_file = s.source_file""")
+
+_RAW = "(case when page_id % 2 = 0 then url else regexp_replace(url, '^https?://', '') end)"
+SQL["n8_link_platforms"] = f"""
+select page_id, {_repair(_clean(_RAW))} link, {_platform(_repair(_clean(_RAW)))} platform from pages"""
+
+SQL["n10_parse_dates"] = f"""
+select o_orderkey, text, {_parse("text")} parsed from (
+  select o_orderkey, case o_orderkey % 5
+      when 0 then strftime(o_orderdate::date, '%Y-%m-%d') when 1 then strftime(o_orderdate::date, '%m/%d/%Y')
+      when 2 then strftime(o_orderdate::date, '%d/%m/%Y') when 3 then strftime(o_orderdate::date, '%B %-d %Y')
+      else 'Day ' || cast(day(o_orderdate) as varchar) end text
+  from orders)"""
+
+SQL["n11_difficulty_words"] = """
+select o_orderkey, word,
+  case when word in ('easy', 'medium', 'hard') then upper(word[1]) || word[2:]
+       when word in ('must', 'high', 'critical') then 'High' else 'Medium' end named_layout,
+  case when word in ('must', 'high', 'critical') then 'High' when word in ('optional', 'low') then 'Low'
+       else 'Medium' end topic_list_layout
+from (select o_orderkey, lower(regexp_replace(o_orderpriority, '^[0-9]+-', '')) word from orders)"""

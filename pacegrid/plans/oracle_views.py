@@ -80,6 +80,40 @@ select u.id user_id, coalesce(max(case when s.key='name' then s.value end), 'Stu
            date '2026-10-01') placement_deadline
 from users u left join settings s on s.user_id = u.id
 group by u.id""",
+    "sheet_cells": """
+select 'bank.xlsx' source_file, 'DSA Sheet' sheet, p_partkey::bigint row_no, 1 col_no, 'Problem' header,
+  case when p_size%10=0 then 'nan' when p_size%10=5 then ' NONE ' else p_name end value from part
+union all select 'bank.xlsx', 'DSA Sheet', p_partkey, 2, 'Topic', p_type from part
+union all select 'bank.xlsx', 'DSA Sheet', p_partkey, 3, ' LEVEL ',
+  case p_size%4 when 0 then 'easy' when 1 then 'HARD' when 2 then ' must ' else 'Optional' end from part
+union all select 'bank.xlsx', 'DSA Sheet', p_partkey, 4, 'Link',
+  case p_partkey%3 when 0 then 'leetcode.com/problems/' || replace(p_name, ' ', '-')
+       when 1 then '//www.geeksforgeeks.org/' || lower(p_brand) else 'nan' end from part
+union all select 'bank.xlsx', 'DSA Sheet', p_partkey, 5, 'Due',
+  case p_partkey%4 when 0 then strftime(date '2026-01-01' + (p_partkey%300)::integer, '%Y-%m-%d')
+       when 1 then strftime(date '2026-01-01' + (p_partkey%300)::integer, '%m/%d/%Y')
+       when 2 then strftime(date '2026-01-01' + (p_partkey%300)::integer, '%d/%m/%Y')
+       else 'Day ' || cast(p_partkey%30 as varchar) end from part
+union all select 'bank.xlsx', 'DSA Sheet', p_partkey, 6, 'topic', p_brand from part
+union all select 'bank.xlsx', 'Topics', n_nationkey, 1, 'Topic', n_name from nation
+union all select 'bank.xlsx', 'Topics', n_nationkey, 2, 'Priority',
+  case n_nationkey%3 when 0 then 'Must' when 1 then 'low' else 'nan' end from nation
+union all select 'bank.xlsx', 'Topics', n_nationkey, 3, 'Ref', 'site.org/' || lower(n_name) from nation
+union all select 'plan.csv', 'Week Plan', o_orderkey, 1, 'Day',
+  case when o_orderstatus='P' then 'nan' else 'Day ' || cast(o_orderkey%30+1 as varchar) end from orders
+union all select 'plan.csv', 'Week Plan', o_orderkey, 2, 'DSA', o_orderpriority from orders
+union all select 'plan.csv', 'Week Plan', o_orderkey, 3, 'Aptitude',
+  case when o_orderstatus='O' then '' else 'apt ' || cast(o_custkey as varchar) end from orders
+union all select 'plan.csv', 'Week Plan', o_orderkey, 4, 'HR round',
+  case when o_orderkey%7=0 then 'none' else 'intro' end from orders
+union all select 'plan.csv', 'Week Plan', o_orderkey, 5, 'System Design', 'sd ' || cast(o_custkey%9 as varchar)
+  from orders
+union all select 'plan.csv', 'Week Plan', o_orderkey, 6, 'Misc', 'm' || cast(o_custkey%5 as varchar) from orders
+union all select 'misc.csv', 'hr round', n_nationkey, 1, 'c1', n_name from nation
+union all select 'misc.csv', 'hr round', n_nationkey, 2, 'c2',
+  case when n_regionkey=0 then 'nan' else 'Region ' || cast(n_regionkey as varchar) end from nation
+union all select 'misc.csv', 'hr round', n_nationkey, 3, 'c3',
+  case when n_nationkey%2=0 then 'http://x.y/' || cast(n_nationkey as varchar) else '' end from nation""",
 }
 
 # Views that other views read, in dependency order.

@@ -170,3 +170,63 @@ def activity(t: Tables) -> DataFrame:
     return (e.groupBy("user_id", _date("ts").alias("log_date"))
             .agg(F.count(F.lit(1)).alias("problems_solved"),
                  F.max("ts").alias("ts")))
+
+
+def _cells(df: DataFrame, source_file: str, sheet: str, row_no: str,
+           columns: list[tuple[str, Column]]) -> DataFrame:
+    """One row per (row, column) of a sheet built from a table."""
+    return df.select(
+        F.lit(source_file).alias("source_file"), F.lit(sheet).alias("sheet"),
+        F.col(row_no).cast("bigint").alias("row_no"),
+        F.explode(F.array(*[F.struct(F.lit(i + 1).alias("col_no"), F.lit(h).alias("header"), v.alias("value"))
+                            for i, (h, v) in enumerate(columns)])).alias("c")
+    ).select("source_file", "sheet", "row_no", "c.col_no", "c.header", "c.value")
+
+
+def sheet_cells(t: Tables) -> DataFrame:
+    """Four sheets, one per layout, built from part, nation and orders, with
+    the traps of FIXTURES.md: blank/'nan'/'NONE' cells, padded and mixed-case
+    headers, two headers equal after folding, links without a scheme, dates
+    in several formats and an unparseable one, a sheet named 'hr round'."""
+    p, n, o = t("part"), t("nation"), t("orders")
+    due = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int"))
+    named = _cells(p, "bank.xlsx", "DSA Sheet", "p_partkey", [
+        ("Problem", F.when(F.col("p_size") % 10 == 0, "nan").when(F.col("p_size") % 10 == 5, " NONE ")
+         .otherwise(F.col("p_name"))),
+        ("Topic", F.col("p_type")),
+        (" LEVEL ", F.when(F.col("p_size") % 4 == 0, "easy").when(F.col("p_size") % 4 == 1, "HARD")
+         .when(F.col("p_size") % 4 == 2, " must ").otherwise("Optional")),
+        ("Link", F.when(F.col("p_partkey") % 3 == 0,
+                        F.concat(F.lit("leetcode.com/problems/"), F.regexp_replace("p_name", " ", "-")))
+         .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("//www.geeksforgeeks.org/"), F.lower("p_brand")))
+         .otherwise("nan")),
+        ("Due", F.when(F.col("p_partkey") % 4 == 0, F.date_format(due, "yyyy-MM-dd"))
+         .when(F.col("p_partkey") % 4 == 1, F.date_format(due, "MM/dd/yyyy"))
+         .when(F.col("p_partkey") % 4 == 2, F.date_format(due, "dd/MM/yyyy"))
+         .otherwise(F.concat(F.lit("Day "), (F.col("p_partkey") % 30).cast("string")))),
+        ("topic", F.col("p_brand")),
+    ])
+    topics = _cells(n, "bank.xlsx", "Topics", "n_nationkey", [
+        ("Topic", F.col("n_name")),
+        ("Priority", F.when(F.col("n_nationkey") % 3 == 0, "Must").when(F.col("n_nationkey") % 3 == 1, "low")
+         .otherwise("nan")),
+        ("Ref", F.concat(F.lit("site.org/"), F.lower("n_name"))),
+    ])
+    grid = _cells(o, "plan.csv", "Week Plan", "o_orderkey", [
+        ("Day", F.when(F.col("o_orderstatus") == "P", "nan")
+         .otherwise(F.concat(F.lit("Day "), (F.col("o_orderkey") % 30 + 1).cast("string")))),
+        ("DSA", F.col("o_orderpriority")),
+        ("Aptitude", F.when(F.col("o_orderstatus") == "O", "")
+         .otherwise(F.concat(F.lit("apt "), F.col("o_custkey").cast("string")))),
+        ("HR round", F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise("intro")),
+        ("System Design", F.concat(F.lit("sd "), (F.col("o_custkey") % 9).cast("string"))),
+        ("Misc", F.concat(F.lit("m"), (F.col("o_custkey") % 5).cast("string"))),
+    ])
+    unknown = _cells(n, "misc.csv", "hr round", "n_nationkey", [
+        ("c1", F.col("n_name")),
+        ("c2", F.when(F.col("n_regionkey") == 0, "nan")
+         .otherwise(F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")))),
+        ("c3", F.when(F.col("n_nationkey") % 2 == 0,
+                      F.concat(F.lit("http://x.y/"), F.col("n_nationkey").cast("string"))).otherwise("")),
+    ])
+    return named.unionByName(topics).unionByName(grid).unionByName(unknown)
