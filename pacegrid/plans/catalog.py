@@ -413,3 +413,63 @@ def _n11(c: Ctx) -> DataFrame:
     word = F.lower(F.regexp_replace("o_orderpriority", "^[0-9]+-", ""))
     return o.select("o_orderkey", word.alias("word"), N.difficulty_named(word).alias("named_layout"),
                     N.difficulty_topic_list(word).alias("topic_list_layout"))
+
+
+# --- T: text tagging, routing, news -----------------------------------------
+from ..operators import text as T  # noqa: E402
+
+
+@query("t1_relevance")
+def _t1(c: Ctx) -> DataFrame:
+    return c.articles.select("seq", T.is_relevant("title").alias("relevant"))
+
+
+@query("t2_topic_tags")
+def _t2(c: Ctx) -> DataFrame:
+    return c.articles.select("seq", T.topic_tag("title").alias("tag"))
+
+
+@query("t2_tag_counts")
+def _t2c(c: Ctx) -> DataFrame:
+    return (c.articles.select(T.topic_tag("title").alias("tag"), T.is_relevant("title").alias("relevant"))
+            .groupBy("tag").agg(F.count(F.lit(1)).alias("items"), F.count_if("relevant").alias("relevant_items")))
+
+
+@query("t3_news_digest")
+def _t3(c: Ctx) -> DataFrame:
+    return T.merge_news(T.feed_items(c.articles), limit=9)
+
+
+@query("t5_personal_intent")
+def _t5(c: Ctx) -> DataFrame:
+    return c.prompts.select("conv_id", "turn", T.needs_personal_context("message").alias("personal"))
+
+
+@query("t6_resource_topic")
+def _t6(c: Ctx) -> DataFrame:
+    return c.prompts.select("conv_id", "turn", T.wants_resources("message").alias("wants_resources"),
+                            T.resource_topic("message").alias("topic"))
+
+
+@query("t7_resource_links")
+def _t7(c: Ctx) -> DataFrame:
+    p = c.prompts.filter(T.wants_resources("message"))
+    return p.select("conv_id", "turn", T.resource_links(T.resource_topic("message")).alias("links"))
+
+
+@query("t8_route")
+def _t8(c: Ctx) -> DataFrame:
+    return c.prompts.select("conv_id", "turn", T.route("message").alias("intent"))
+
+
+@query("t8_route_counts")
+def _t8c(c: Ctx) -> DataFrame:
+    return c.prompts.groupBy(T.route("message").alias("intent")).agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query("s10_latest_feedback")
+def _s10(c: Ctx) -> DataFrame:
+    from ..operators.changes import latest
+    fb = c.feedback
+    return latest(fb.select("user_id", "feedback_date", "feedback_type", "content", "model_used", F.col("id").alias("ts")),
+                  ["user_id", "feedback_date", "feedback_type"]).withColumnRenamed("ts", "id")

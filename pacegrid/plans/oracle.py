@@ -180,7 +180,7 @@ cross join (select ({_lit(LOG)} - i::integer)::date log_date from range(30) t(i)
 left join daily_log l on l.user_id = s.user_id and l.log_date = d.log_date""")
 
 SQL["w4_first_wins_articles"] = V(["articles"], """
-select seq, source, url, title, score from (
+select seq, source, url, title, score, tag_hint from (
   select *, row_number() over (partition by lower(substring(title, 1, 50)) order by seq) rn from articles)
 where rn = 1""")
 
@@ -620,3 +620,85 @@ select o_orderkey, word,
   case when word in ('must', 'high', 'critical') then 'High' when word in ('optional', 'low') then 'Low'
        else 'Medium' end topic_list_layout
 from (select o_orderkey, lower(regexp_replace(o_orderpriority, '^[0-9]+-', '')) word from orders)"""
+
+# --- T --------------------------------------------------------------------
+
+
+def _any(expr: str, keys) -> str:
+    return "(" + " or ".join(f"contains({expr}, {_q(k)})" for k in keys) + ")"
+
+
+_REL = _any("lower(title)", _RU.RELEVANCE_KEYWORDS)
+_TAG = _case("lower(title)", _RU.TAG_RULES, "'Tech'")
+SQL["t1_relevance"] = V(["articles"], f"select seq, {_REL} relevant from articles")
+SQL["t2_topic_tags"] = V(["articles"], f"select seq, {_TAG} tag from articles")
+SQL["t2_tag_counts"] = V(["articles"], f"""
+select tag, count(*) items, count(*) filter (where relevant) relevant_items
+from (select {_TAG} tag, {_REL} relevant from articles) group by tag""")
+
+_FB = ", ".join(f"({i + 1}, {_q(t)}, {_q(u)}, {_q(s)}, {_q(tg)}, {sc})"
+                for i, (t, u, s, tg, sc) in enumerate(_RU.FALLBACK_ARTICLES))
+_KCOLS = "run, source, kind, kind_rank, pos, stitle, url, tag, score, block"
+SQL["t3_news_digest"] = V(["articles"], f"""
+, it as (select *, cast(regexp_extract(source, '(\\d+)$', 1) as integer) k from articles
+         where regexp_matches(source, '\\d+$')),
+it2 as (select *, row_number() over (partition by source order by seq) pos, k // 5 run,
+          case k % 5 when 0 then 'scored' when 1 then 'tagged' when 2 then 'ai_feed' when 3 then 'trending'
+               else 'tutorials' end kind, k % 5 + 1 kind_rank from it),
+g as (select *, {_REL} rel, {_TAG} ctag from it2
+      where pos <= case kind when 'scored' then 30 when 'tagged' then 25 when 'ai_feed' then 5
+                             when 'trending' then 4 else 6 end),
+kept as (select run, source, kind, kind_rank, pos, substring(title, 1, 120) stitle, url,
+           case kind when 'tagged' then (case when coalesce(tag_hint, '') <> '' then upper(tag_hint) else ctag end)
+                when 'ai_feed' then 'AI/ML' when 'trending' then 'Open Source' else ctag end tag,
+           (case when kind in ('scored', 'tagged') then score else 0 end)::bigint score, (pos - 1) // 5 block
+         from g
+         where case kind when 'scored' then coalesce(url, '') <> '' and score > 20 and rel
+                         when 'tagged' then coalesce(title, '') <> '' and coalesce(url, '') <> '' and rel
+                         when 'tutorials' then coalesce(title, '') <> '' and coalesce(url, '') <> '' and rel
+                         else coalesce(title, '') <> '' and coalesce(url, '') <> '' end),
+hn as (select {_KCOLS} from (select *, row_number() over (partition by run order by pos) n
+                                  from kept where kind = 'scored') where n <= 12),
+hn_n as (select run, count(*) c from hn group by run),
+tb as (select run, block, count(*) bn from kept where kind = 'tagged' group by run, block),
+tb2 as (select tb.run, tb.block, coalesce(hn_n.c, 0) + coalesce(sum(bn) over (partition by tb.run order by tb.block
+          rows between unbounded preceding and 1 preceding), 0) before
+        from tb left join hn_n on hn_n.run = tb.run),
+k2 as (select {_KCOLS} from hn
+       union all select {", ".join("k." + c for c in _KCOLS.split(", "))} from kept k
+         join tb2 on tb2.run = k.run and tb2.block = k.block
+         where k.kind = 'tagged' and (k.block = 0 or tb2.before < 14)
+       union all select {_KCOLS} from kept where kind in ('ai_feed', 'trending', 'tutorials')),
+u as (select * from (select *, row_number() over (partition by run, lower(substring(stitle, 1, 50))
+                                                  order by kind_rank, pos) f from k2) where f = 1),
+top as (select * from (select run, row_number() over (partition by run order by score desc, kind_rank, pos) rank,
+                         stitle title, url, source, tag, score from u) where rank <= 9),
+fb as (select * from (values {_FB}) t(rank, title, url, source, tag, score))
+select * from top
+union all
+select r.run, fb.rank::bigint, fb.title, fb.url, fb.source, fb.tag, fb.score::bigint
+from (select distinct run from it2 where run not in (select run from top)) r, fb where fb.rank <= 9""")
+
+_PERS = _any("lower(message)", _RU.PERSONAL_SIGNALS)
+_RES = _any("lower(message)", _RU.RESOURCE_KEYWORDS)
+_WORDS = "string_split_regex(regexp_replace(message, '^\\s+|\\s+$', '', 'g'), '\\s+')"
+_TOPIC = f"(case when len({_WORDS}) > 12 then array_to_string({_WORDS}[1:12], ' ') else message end)"
+SQL["t5_personal_intent"] = V(["prompts"], f"select conv_id, turn, {_PERS} personal from prompts")
+SQL["t6_resource_topic"] = V(["prompts"], f"""
+select conv_id, turn, {_RES} wants_resources, {_TOPIC} topic from prompts""")
+
+_GEN = " || chr(10) || ".join(
+    "'" + tpl.replace("{q}", "' || replace(topic, ' ', '+') || '") + "'" for tpl in _RU.SEARCH_LINK_TEMPLATES)
+_LINKS = ("(case " + " ".join(f"when contains(lower(topic), {_q(k)}) then {_q(chr(10).join(v[:4]))}"
+                               for k, v in _RU.FALLBACK_RESOURCES) + f" else {_GEN} end)")
+SQL["t7_resource_links"] = V(["prompts"], f"""
+select conv_id, turn, {_LINKS} links from (select conv_id, turn, {_TOPIC} topic from prompts where {_RES})""")
+
+_ROUTE = _case("lower(message)", _RU.ROUTER_RULES, "'default'")
+SQL["t8_route"] = V(["prompts"], f"select conv_id, turn, {_ROUTE} intent from prompts")
+SQL["t8_route_counts"] = V(["prompts"], f"select {_ROUTE} intent, count(*) messages from prompts group by 1")
+
+SQL["s10_latest_feedback"] = V(["feedback"], """
+select user_id, feedback_date, feedback_type, content, model_used, id from (
+  select *, row_number() over (partition by user_id, feedback_date, feedback_type order by id desc) rn
+  from feedback) where rn = 1""")

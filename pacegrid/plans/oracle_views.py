@@ -48,7 +48,12 @@ union all select c_custkey, 'placement_deadline',
   where c_mktsegment <> 'MACHINERY'""",
     "articles": """
 select doc_id seq, source, concat('doc://', cast(doc_id as varchar)) url,
-  substring(text, 1, 120) title, n_chars score from documents""",
+  text title, n_chars score, lang tag_hint from documents""",
+    "feedback": """
+select conv_id * 1000 + turn id, conv_id user_id, date '2024-01-01' + (turn // 4)::integer feedback_date,
+  case turn % 3 when 0 then 'daily' when 1 then 'coach' else 'weekly' end feedback_type, text content,
+  'rule-based' model_used
+from conversations where role = 'assistant'""",
     "imports": """
 select min(o.o_orderkey) id, o.o_custkey user_id, concat(p.p_name, '.csv') filename,
   concat('batch_', cast(p.p_partkey as varchar)) batch_id, p.p_size%2=0 protected,

@@ -106,11 +106,23 @@ def settings(t: Tables) -> DataFrame:
 
 
 def articles(t: Tables) -> DataFrame:
-    """Feed items: one per document, title = first 120 characters."""
+    """Feed items: one per document; the whole text is the item's title
+    (relevance and tags read all of it, the news merge stores 120 characters)
+    and the language is the item's own tag."""
     return t("documents").select(
         F.col("doc_id").alias("seq"), "source",
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"),
-        F.substring("text", 1, 120).alias("title"), F.col("n_chars").alias("score"))
+        F.col("text").alias("title"), F.col("n_chars").alias("score"), F.col("lang").alias("tag_hint"))
+
+
+def feedback(t: Tables) -> DataFrame:
+    """Stored coach feedback: one row per assistant turn, several per
+    (user, day, type) so that "latest wins" has work (Q5)."""
+    c = t("conversations").filter(F.col("role") == "assistant")
+    kind = F.when(F.col("turn") % 3 == 0, "daily").when(F.col("turn") % 3 == 1, "coach").otherwise("weekly")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("user_id"),
+                    F.date_add(F.lit("2024-01-01").cast("date"), (F.col("turn") / 4).cast("int")).alias("feedback_date"),
+                    kind.alias("feedback_type"), F.col("text").alias("content"), F.lit("rule-based").alias("model_used"))
 
 
 def imports(t: Tables) -> DataFrame:
