@@ -473,3 +473,47 @@ def _s10(c: Ctx) -> DataFrame:
     fb = c.feedback
     return latest(fb.select("user_id", "feedback_date", "feedback_type", "content", "model_used", F.col("id").alias("ts")),
                   ["user_id", "feedback_date", "feedback_type"]).withColumnRenamed("ts", "id")
+
+
+# --- T9-T13: reports and prompts --------------------------------------------
+from . import reports as RP  # noqa: E402
+
+
+def _context(c: Ctx) -> DataFrame:
+    return RP.status_context(c.users, c.problems, c.daily_log, c.daily_plan, c.user_settings, AS_OF_LOG,
+                             plan_day=AS_OF_PLAN)
+
+
+@query("t9_status_context")
+def _t9(c: Ctx) -> DataFrame:
+    return _context(c).drop("context")
+
+
+@query("t9_status_text")
+def _t9t(c: Ctx) -> DataFrame:
+    return _context(c).select("user_id", "context")
+
+
+@query("t10_daily_report")
+def _t10(c: Ctx) -> DataFrame:
+    return RP.daily_report(c.users, c.problems, c.daily_log, c.daily_plan, c.user_settings, AS_OF_PLAN)
+
+
+@query("t11_suggestion_report")
+def _t11(c: Ctx) -> DataFrame:
+    return RP.suggestion_report(c.users, c.problems, c.user_settings, AS_OF_LOG)
+
+
+@query("t12_weekly_report")
+def _t12(c: Ctx) -> DataFrame:
+    return RP.weekly_report(c.users, c.problems, c.daily_log, c.user_settings, AS_OF_LOG)
+
+
+@query("t12_news_report")
+def _t12n(c: Ctx) -> DataFrame:
+    return RP.news_report(T.merge_news(T.feed_items(c.articles), limit=6), 6)
+
+
+@query("t13_prompts")
+def _t13(c: Ctx) -> DataFrame:
+    return RP.assemble_prompts(c.prompts, _context(c))

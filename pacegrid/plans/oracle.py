@@ -702,3 +702,93 @@ SQL["s10_latest_feedback"] = V(["feedback"], """
 select user_id, feedback_date, feedback_type, content, model_used, id from (
   select *, row_number() over (partition by user_id, feedback_date, feedback_type order by id desc) rn
   from feedback) where rn = 1""")
+
+# --- T9-T12 ---------------------------------------------------------------
+_PROFILE = """
+pc2 as (select user_id, category, count(*) total, count(*) filter (where status = 'Solved') solved,
+          count(*) filter (where status = 'Attempted') attempted, count(*) filter (where status = 'Pending') pending,
+          count(*) filter (where status = 'Skipped') skipped
+        from problems group by user_id, category),
+pu2 as (select user_id, sum(total) total, sum(solved) solved, sum(attempted) attempted, sum(pending) pending,
+          sum(skipped) skipped, count(*) cats_total, count(*) filter (where solved > 0) cats_with_solved,
+          string_agg(category || ': ' || cast(solved as varchar) || '/' || cast(total as varchar), ', '
+                     order by category) cat_breakdown
+        from pc2 group by user_id),
+prof as (select u.id user_id, coalesce(total, 0)::bigint total, coalesce(solved, 0)::bigint solved,
+           coalesce(attempted, 0)::bigint attempted, coalesce(pending, 0)::bigint pending,
+           coalesce(skipped, 0)::bigint skipped, coalesce(cats_total, 0) cats_total,
+           coalesce(cats_with_solved, 0) cats_with_solved, coalesce(cat_breakdown, 'None') cat_breakdown
+         from users u left join pu2 on pu2.user_id = u.id)"""
+
+SQL["t9_status_context"] = _fix(V(["users", "problems", "daily_log", "user_settings"], f"""
+, {_PROFILE.strip()},
+{_STREAK.strip()},
+b as (select prof.*, s.name, s.placement_deadline, s.daily_goal,
+        greatest(0, s.placement_deadline - {_lit(LOG)})::bigint days_left,
+        coalesce(l.problems_solved, 0)::bigint solved_today, coalesce(st.streak, 0)::bigint streak,
+        case when total > 0 then round_even(solved / total * 100, 0)::bigint else 0 end solved_pct,
+        round_even(cats_with_solved / (case when cats_total > 0 then cats_total else 1 end) * 100, 0)::bigint cov,
+        pending + attempted remaining
+      from prof left join user_settings s on s.user_id = prof.user_id
+      left join st on st.user_id = prof.user_id
+      left join daily_log l on l.user_id = prof.user_id and l.log_date = {_lit(LOG)})
+select user_id, name, placement_deadline, days_left, daily_goal, solved_today, streak,
+  least(100, round_even(solved_pct * 0.60::double + cov * 0.20::double + least(streak, 20), 0))::bigint readiness,
+  total, solved, solved_pct, pending, attempted, skipped, cat_breakdown,
+  case when days_left > 0 then round_even(remaining / days_left, 1) else remaining::double end needed_per_day,
+  remaining
+from b"""))
+
+SQL["t10_daily_report"] = V(["users", "problems", "daily_log", "daily_plan", "user_settings"], f"""
+, tl as (select dp.user_id, count(*) tasks,
+           string_agg(case dp.status when 'Solved' then '✅' when 'Skipped' then '⏭️' else '🔲' end
+                      || ' **' || p.name || '** [' || p.category || ' – ' || p.difficulty || ']', chr(10)
+                      order by dp.order_index, dp.problem_id,
+                      case dp.status when 'Solved' then '✅' when 'Skipped' then '⏭️' else '🔲' end
+                      || ' **' || p.name || '** [' || p.category || ' – ' || p.difficulty || ']') task_lines
+         from daily_plan dp join problems p on p.id = dp.problem_id
+         where dp.plan_date = {_lit(PLAN)} group by dp.user_id),
+pr as (select user_id, count(*) filter (where status = 'Solved') solved,
+         count(*) filter (where status = 'Pending') pending from problems group by user_id)
+select u.id user_id, coalesce(pr.solved, 0)::bigint solved, coalesce(pr.pending, 0)::bigint pending,
+  (s.placement_deadline - {_lit(PLAN)})::bigint days_left, coalesce(l.problems_solved, 0)::bigint solved_today,
+  s.daily_goal goal,
+  case when coalesce(l.problems_solved, 0) = 0 then 'zero' when coalesce(l.problems_solved, 0) < s.daily_goal
+       then 'behind' else 'done' end band,
+  coalesce(tl.tasks, 0)::bigint tasks,
+  coalesce(tl.task_lines, '- No tasks scheduled. Import an Excel sheet to get started.') task_lines
+from users u left join pr on pr.user_id = u.id left join user_settings s on s.user_id = u.id
+left join daily_log l on l.user_id = u.id and l.log_date = {_lit(PLAN)}
+left join tl on tl.user_id = u.id""")
+
+SQL["t11_suggestion_report"] = V(["users", "problems", "user_settings"], f"""
+, pr as (select user_id, count(*) total, count(*) filter (where status = 'Solved') solved
+         from problems group by user_id),
+top3 as (select user_id, topic, skipped, rank from (
+           select user_id, topic, count(*) skipped,
+             row_number() over (partition by user_id order by count(*) desc, topic) rank
+           from problems where status = 'Skipped' and topic <> '' group by user_id, topic) where rank <= 3),
+weak as (select user_id, string_agg('**' || topic || '** (' || cast(skipped as varchar) || ' skipped)', ', '
+                                    order by rank) weak_topics from top3 group by user_id)
+select u.id user_id, (s.placement_deadline - {_lit(LOG)})::bigint days_left,
+  coalesce(pr.solved, 0)::bigint solved, coalesce(pr.total, 0)::bigint total,
+  case when coalesce(pr.total, 0) <> 0 then round_even(pr.solved / pr.total * 100, 1) else 0.0::double end solved_pct,
+  weak.weak_topics
+from users u left join pr on pr.user_id = u.id left join user_settings s on s.user_id = u.id
+left join weak on weak.user_id = u.id""")
+
+SQL["t12_weekly_report"] = V(["users", "user_settings", "daily_log", "problems"], f"""
+select w.*, coalesce(pr.total, 0)::bigint total, coalesce(pr.solved, 0)::bigint solved from (
+  select user_id, week_solved, days_studied, week_goal,
+    case when week_solved < week_goal * 0.5 then 'behind' when week_solved >= week_goal then 'smashed'
+         else 'decent' end band,
+    days_studied < 5 low_days
+  from (
+    select s.user_id, coalesce(w.ws, 0)::bigint week_solved, coalesce(w.ds, 0)::bigint days_studied,
+      s.daily_goal * 7 week_goal
+    from user_settings s left join (
+      select user_id, sum(problems_solved) ws, count(*) filter (where problems_solved > 0) ds
+      from daily_log where log_date between {_lit(_lws)} and {_lit(LOG)} group by user_id) w
+    on w.user_id = s.user_id)) w
+left join (select user_id, count(*) total, count(*) filter (where status = 'Solved') solved
+           from problems group by user_id) pr on pr.user_id = w.user_id""")
