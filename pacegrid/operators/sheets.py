@@ -7,10 +7,11 @@ is just rows of that one schema, any number of files and sheets of any
 layout are normalised by one plan.
 
 Plan shape.  Per-sheet decisions (header mapping N1, layout N2, category N7)
-are aggregates over the *distinct headers* of each sheet, which is tiny next
-to the cells; they are joined back to the cells on (source_file, sheet).
-Row assembly groups cells by (source_file, sheet, row_no), whose size is the
-column count of one row, so no group grows with the data.
+are one aggregate over the *distinct headers* of each sheet, which is tiny
+next to the cells; it is joined back to the cells on (source_file, sheet).
+Row assembly is one window over (source_file, sheet, row_no), whose
+partitions hold the cells of one row, so no group grows with the data; all
+four layouts are assembled in that same pass.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from ..functions import rules as RU
 
 SHEET_KEY = ["source_file", "sheet"]
@@ -103,139 +106,126 @@ def sheet_headers(cells: DataFrame) -> DataFrame:
             .withColumn("h_low", F.lower("h")))
 
 
-def alias_table(spark) -> DataFrame:
-    rows = [(field, rank, alias) for field, aliases in RU.HEADER_ALIASES for rank, alias in enumerate(aliases)]
-    return spark.createDataFrame(rows, "field string, alias_rank int, alias string")
+def _alias_rank(field_aliases: list[str], h_low: Column) -> Column:
+    """Position of the folded header in one field's alias list, NULL if absent."""
+    m = F.create_map(*[x for i, a in enumerate(field_aliases) for x in (F.lit(a), F.lit(i))])
+    return F.try_element_at(m, h_low)
+
+
+def sheet_decisions(headers: DataFrame) -> DataFrame:
+    """N1 + N2 + N7 in one aggregate over the distinct headers: per sheet the
+    mapped column of every field (``map_<field>``), the topic-list and
+    day-grid columns, the layout and the sheet category.
+
+    Field mapping: the first alias in list order that a header equals wins;
+    among headers equal after folding the last column wins (``min_by`` on
+    ``(alias rank, -col_no)``).  Topic-list columns: first in sheet order.
+    """
+    aggs = []
+    for field, aliases in RU.HEADER_ALIASES:
+        r = _alias_rank(aliases, F.col("h_low"))
+        aggs.append(F.min_by(F.col("col_no"), F.when(r.isNotNull(), F.struct(r, -F.col("col_no"))))
+                    .alias(f"map_{field}"))
+    first = lambda cond: F.min(F.when(cond, F.col("col_no")))
+    hl = F.col("h_low")
+    hc = header_category(hl)
+    aggs += [first(hl.isin(*RU.TOPIC_LIST_TOPIC_HEADERS)).alias("topic_col"),
+             first(hl.isin(*RU.TOPIC_LIST_LINK_HEADERS)).alias("link_col"),
+             first(hl.isin(*RU.TOPIC_LIST_PRIORITY_HEADERS)).alias("priority_col"),
+             F.min_by(F.col("h"), F.when((hl == "day") | hl.startswith("day "), F.col("col_no"))).alias("day_header"),
+             F.min_by(hc, F.when(hc.isNotNull(), F.col("col_no"))).alias("_hcat")]
+    d = headers.groupBy(*SHEET_KEY).agg(*aggs)
+    layout = (F.when(F.col("map_name").isNotNull(), "A").when(F.col("topic_col").isNotNull(), "B")
+              .when(F.col("day_header").isNotNull(), "C").otherwise("D"))
+    category = F.coalesce(RU.sheet_category(F.col("sheet")), F.col("_hcat"), F.lit(RU.DEFAULT_CATEGORY))
+    return d.withColumn("layout", layout).withColumn("category", category).drop("_hcat")
 
 
 def header_map(headers: DataFrame) -> DataFrame:
-    """Per (sheet, field) the mapped column.  The first alias in list
-    order that some header equals wins; among headers equal after folding,
-    the last column wins.  The alias table (~100 rows) is broadcast."""
-    aliases = F.broadcast(alias_table(headers.sparkSession))
-    j = headers.join(aliases, headers["h_low"] == aliases["alias"], "inner")
-    best = j.groupBy(*SHEET_KEY, "field").agg(
-        F.min_by(F.struct("col_no", "h"), F.struct(F.col("alias_rank"), -F.col("col_no"))).alias("_c"))
-    return best.select(*SHEET_KEY, "field", F.col("_c.col_no").alias("col_no"), F.col("_c.h").alias("header"))
+    """One row per (sheet, mapped field) with its column and header."""
+    d = sheet_decisions(headers)
+    stack = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"map_{f}").alias("col_no"))
+                                for f in FIELDS])).alias("m")
+    m = d.select(*SHEET_KEY, stack).select(*SHEET_KEY, "m.*").filter(F.col("col_no").isNotNull())
+    return m.join(headers.select(*SHEET_KEY, "col_no", F.col("h").alias("header")), [*SHEET_KEY, "col_no"], "inner")
 
 
-def _first_col(headers: DataFrame, cond: Column, name: str) -> DataFrame:
-    return (headers.filter(cond).groupBy(*SHEET_KEY)
-            .agg(F.min_by(F.struct("col_no", "h"), F.col("col_no")).alias("_c"))
-            .select(*SHEET_KEY, F.col("_c.col_no").alias(name)))
-
-
-def sheet_layouts(headers: DataFrame, mapping: DataFrame) -> DataFrame:
+def sheet_layouts(headers: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """N2 + N7: one row per sheet with its layout (A named, B topic list,
-    C day grid, D unknown), the special columns of B and C, and the sheet
-    category."""
-    sheets = headers.select(*SHEET_KEY).distinct()
-    named = mapping.filter(F.col("field") == "name").select(*SHEET_KEY, F.lit(True).alias("_named"))
-    topic = _first_col(headers, F.col("h_low").isin(*RU.TOPIC_LIST_TOPIC_HEADERS), "topic_col")
-    link = _first_col(headers, F.col("h_low").isin(*RU.TOPIC_LIST_LINK_HEADERS), "link_col")
-    prio = _first_col(headers, F.col("h_low").isin(*RU.TOPIC_LIST_PRIORITY_HEADERS), "priority_col")
-    day = (headers.filter((F.col("h_low") == "day") | F.col("h_low").startswith("day "))
-           .groupBy(*SHEET_KEY).agg(F.min_by("h", "col_no").alias("day_header")))
-    by_header = (headers.withColumn("_hc", header_category(F.col("h_low"))).filter(F.col("_hc").isNotNull())
-                 .groupBy(*SHEET_KEY).agg(F.min_by("_hc", "col_no").alias("_hcat")))
-    s = sheets
-    for d in (named, topic, link, prio, day, by_header):
-        s = s.join(d, SHEET_KEY, "left")
-    layout = (F.when(F.col("_named"), "A").when(F.col("topic_col").isNotNull(), "B")
-              .when(F.col("day_header").isNotNull(), "C").otherwise("D"))
-    category = F.coalesce(RU.sheet_category(F.col("sheet")), F.col("_hcat"), F.lit(RU.DEFAULT_CATEGORY))
-    return s.select(*SHEET_KEY, layout.alias("layout"), category.alias("category"),
-                    "topic_col", "link_col", "priority_col", "day_header")
-
-
-# --- row assembly per layout ----------------------------------------------
-
-def _layout_a(cells: DataFrame, layouts: DataFrame, mapping: DataFrame,
-              use_category_column: bool) -> DataFrame:
-    sheets = layouts.filter(F.col("layout") == "A").select(*SHEET_KEY, F.col("category").alias("_sheet_cat"))
-    m = mapping.join(sheets.select(*SHEET_KEY), SHEET_KEY, "left_semi").select(*SHEET_KEY, "col_no", "field")
-    rows = (cells.join(m, [*SHEET_KEY, "col_no"], "inner")
-            .groupBy(*ROW_KEY).pivot("field", FIELDS).agg(F.max("value")))
-    rows = rows.join(sheets, SHEET_KEY, "inner")
-    name = F.trim(F.coalesce("name", F.lit("")))
-    plink = repair_link(clean(F.col("problem_link")))
-    rlink = repair_link(clean(F.col("resource_link")))
-    platform = clean(F.col("platform"))
-    raw_date = F.col("date")
-    category = F.col("_sheet_cat")
-    if use_category_column:  # Q12 option: a mapped category column overrides the sheet's
-        category = F.when(clean(F.col("category")) != "", clean(F.col("category"))).otherwise(category)
-    return (rows.filter(~is_blank(name))
-            .select(*ROW_KEY, F.lit(None).cast("int").alias("col_no"), name.alias("name"),
-                    category.alias("category"), clean(F.col("topic")).alias("topic"),
-                    difficulty_named(clean(F.col("difficulty"))).alias("difficulty"),
-                    F.when(platform != "", platform).otherwise(platform_of(plink)).alias("platform"),
-                    plink.alias("problem_link"), rlink.alias("resource_link"),
-                    F.when(is_blank(raw_date), F.lit(None).cast("date")).otherwise(parse_date(raw_date))
-                    .alias("scheduled_date")))
-
-
-def _layout_b(cells: DataFrame, layouts: DataFrame) -> DataFrame:
-    sheets = layouts.filter(F.col("layout") == "B")
-    c = cells.join(sheets.select(*SHEET_KEY, "topic_col", "link_col", "priority_col"), SHEET_KEY, "inner")
-    rows = c.groupBy(*ROW_KEY).agg(
-        F.max(F.when(F.col("col_no") == F.col("topic_col"), F.col("value"))).alias("_t"),
-        F.max(F.when(F.col("col_no") == F.col("link_col"), F.col("value"))).alias("_l"),
-        F.max(F.when(F.col("col_no") == F.col("priority_col"), F.col("value"))).alias("_p"))
-    rows = rows.join(sheets.select(*SHEET_KEY, "category"), SHEET_KEY, "inner")
-    name = F.trim(F.coalesce("_t", F.lit("")))
-    link = repair_link(clean(F.col("_l")))
-    return (rows.filter(~is_blank(name))
-            .select(*ROW_KEY, F.lit(None).cast("int").alias("col_no"), name.alias("name"), "category",
-                    name.alias("topic"),
-                    difficulty_topic_list(F.trim(F.coalesce("_p", F.lit("")))).alias("difficulty"),
-                    platform_of(link).alias("platform"), link.alias("problem_link"), link.alias("resource_link"),
-                    F.lit(None).cast("date").alias("scheduled_date")))
-
-
-def _layout_c(cells: DataFrame, layouts: DataFrame) -> DataFrame:
-    sheets = layouts.filter(F.col("layout") == "C").select(*SHEET_KEY, "day_header")
-    c = (cells.join(sheets, SHEET_KEY, "inner")
-         .withColumn("h", F.trim(F.coalesce("header", F.lit("")))))
-    day_rows = (c.filter(F.col("h") == F.col("day_header")).groupBy(*ROW_KEY)
-                .agg(F.min_by("value", "col_no").alias("_day"))
-                .filter(~is_blank(F.col("_day"))).select(*ROW_KEY))
-    tasks = c.filter((F.col("h") != F.col("day_header")) & ~is_blank(F.col("value")))
-    tasks = tasks.join(day_rows, ROW_KEY, "left_semi")
-    return tasks.select(*ROW_KEY, F.col("col_no").cast("int").alias("col_no"), F.trim("value").alias("name"),
-                        day_grid_category(F.lower("h")).alias("category"), F.col("h").alias("topic"),
-                        F.lit("Medium").alias("difficulty"), F.lit(RU.DEFAULT_PLATFORM).alias("platform"),
-                        F.lit("").alias("problem_link"), F.lit("").alias("resource_link"),
-                        F.lit(None).cast("date").alias("scheduled_date"))
-
-
-def _layout_d(cells: DataFrame, layouts: DataFrame) -> DataFrame:
-    sheets = layouts.filter(F.col("layout") == "D").select(*SHEET_KEY, "category")
-    c = cells.join(sheets.select(*SHEET_KEY), SHEET_KEY, "left_semi").filter(~is_blank(F.col("value")))
-    rows = c.groupBy(*ROW_KEY).agg(
-        F.array_sort(F.collect_list(F.struct("col_no", F.trim("value").alias("v")))).alias("_vals"))
-    vals = F.transform("_vals", lambda x: x["v"])
-    link = F.coalesce(F.try_element_at(F.filter(vals, lambda v: v.startswith("http")), F.lit(1)), F.lit(""))
-    rows = rows.join(sheets, SHEET_KEY, "inner")
-    return rows.select(*ROW_KEY, F.lit(None).cast("int").alias("col_no"),
-                       F.try_element_at(vals, F.lit(1)).alias("name"), "category",
-                       F.coalesce(F.try_element_at(vals, F.lit(2)), F.lit("")).alias("topic"),
-                       F.lit("Medium").alias("difficulty"), platform_of(link).alias("platform"),
-                       link.alias("problem_link"), link.alias("resource_link"),
-                       F.lit(None).cast("date").alias("scheduled_date"))
+    C day grid, D unknown), the special columns of B and C and the category."""
+    d = sheet_decisions(headers)
+    return d.select(*SHEET_KEY, "layout", "category", "topic_col", "link_col", "priority_col", "day_header")
 
 
+# --- row assembly: all layouts in one pass ----------------------------------
+
 def normalise(cells: DataFrame, use_category_column: bool = False) -> DataFrame:
-    """N3-N6 + N13: the union of all sheets as one task table, status Pending."""
-    headers = sheet_headers(cells)
-    mapping = header_map(headers)
-    layouts = sheet_layouts(headers, mapping)
-    parts = [_layout_a(cells, layouts, mapping, use_category_column), _layout_b(cells, layouts),
-             _layout_c(cells, layouts), _layout_d(cells, layouts)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("status", F.lit("Pending")).select(*TASK_COLUMNS)
+    """N3-N6 + N13: every sheet's rows as one task table, status Pending.
+
+    Plan: distinct headers -> one per-sheet aggregate (small) -> joined to the
+    cells (AQE broadcasts it when small) -> one window over
+    (source_file, sheet, row_no), whose partitions hold one row's cells, that
+    gathers each row's fields for every layout at once.
+    """
+    d = sheet_decisions(sheet_headers(cells))
+    c = (cells.join(d, SHEET_KEY, "inner")
+         .withColumn("h", F.trim(F.coalesce("header", F.lit("")))))
+    w = Window.partitionBy(*ROW_KEY)
+    lay = F.col("layout")
+
+    def field_value(col_name: str) -> Column:
+        return F.max(F.when(F.col("col_no") == F.col(col_name), F.col("value"))).over(w)
+
+    fields = {f: field_value(f"map_{f}") for f in FIELDS}
+    blank_cell = is_blank(F.col("value"))
+    c = c.select(
+        *ROW_KEY, "col_no", "layout", "category", "h", "value", "day_header",
+        *[v.alias(f"f_{f}") for f, v in fields.items()],
+        field_value("topic_col").alias("b_topic"), field_value("link_col").alias("b_link"),
+        field_value("priority_col").alias("b_prio"),
+        F.min_by(F.col("value"), F.when(F.col("h") == F.col("day_header"), F.col("col_no"))).over(w).alias("c_day"),
+        F.array_sort(F.collect_list(F.when((lay == "D") & ~blank_cell,
+                                           F.struct("col_no", F.trim("value").alias("v")))).over(w)).alias("d_vals"),
+        F.min("col_no").over(w).alias("_first_col"))
+
+    # A, B, D: one output row per sheet row (taken at the row's first cell)
+    r = c.filter((lay != "C") & (F.col("col_no") == F.col("_first_col")))
+    a_name = F.trim(F.coalesce("f_name", F.lit("")))
+    a_plink = repair_link(clean(F.col("f_problem_link")))
+    a_rlink = repair_link(clean(F.col("f_resource_link")))
+    a_platform = clean(F.col("f_platform"))
+    a_category = F.col("category")
+    if use_category_column:  # Q12 option: a mapped category column overrides the sheet's
+        a_category = F.when(clean(F.col("f_category")) != "", clean(F.col("f_category"))).otherwise(a_category)
+    b_name = F.trim(F.coalesce("b_topic", F.lit("")))
+    b_link = repair_link(clean(F.col("b_link")))
+    vals = F.transform("d_vals", lambda x: x["v"])
+    d_link = F.coalesce(F.try_element_at(F.filter(vals, lambda v: v.startswith("http")), F.lit(1)), F.lit(""))
+    pick = lambda a, b, dd: F.when(lay == "A", a).when(lay == "B", b).otherwise(dd)
+    none_date = F.lit(None).cast("date")
+    abd = r.filter(F.when(lay == "A", ~is_blank(a_name)).when(lay == "B", ~is_blank(b_name))
+                   .otherwise(F.size("d_vals") > 0)).select(
+        *ROW_KEY, F.lit(None).cast("int").alias("col_no"),
+        pick(a_name, b_name, F.try_element_at(vals, F.lit(1))).alias("name"),
+        pick(a_category, F.col("category"), F.col("category")).alias("category"),
+        pick(clean(F.col("f_topic")), b_name, F.coalesce(F.try_element_at(vals, F.lit(2)), F.lit(""))).alias("topic"),
+        pick(difficulty_named(clean(F.col("f_difficulty"))),
+             difficulty_topic_list(F.trim(F.coalesce("b_prio", F.lit("")))), F.lit("Medium")).alias("difficulty"),
+        pick(F.when(a_platform != "", a_platform).otherwise(platform_of(a_plink)), platform_of(b_link),
+             platform_of(d_link)).alias("platform"),
+        pick(a_plink, b_link, d_link).alias("problem_link"),
+        pick(a_rlink, b_link, d_link).alias("resource_link"),
+        pick(F.when(is_blank(F.col("f_date")), none_date).otherwise(parse_date(F.col("f_date"))),
+             none_date, none_date).alias("scheduled_date"))
+
+    # C: one output row per non-blank, non-day cell of a row whose day is not blank
+    cc = c.filter((lay == "C") & (F.col("h") != F.col("day_header")) & ~blank_cell & ~is_blank(F.col("c_day")))
+    grid = cc.select(*ROW_KEY, F.col("col_no").cast("int").alias("col_no"), F.trim("value").alias("name"),
+                     day_grid_category(F.lower("h")).alias("category"), F.col("h").alias("topic"),
+                     F.lit("Medium").alias("difficulty"), F.lit(RU.DEFAULT_PLATFORM).alias("platform"),
+                     F.lit("").alias("problem_link"), F.lit("").alias("resource_link"),
+                     none_date.alias("scheduled_date"))
+    return abd.unionByName(grid).withColumn("status", F.lit("Pending")).select(*TASK_COLUMNS)
 
 
 def upload_summary(cells: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -372,8 +372,7 @@ def _n1(c: Ctx) -> DataFrame:
 
 @query("n2_sheet_layouts")
 def _n2(c: Ctx) -> DataFrame:
-    h = N.sheet_headers(c.sheet_cells)
-    return N.sheet_layouts(h, N.header_map(h))
+    return N.sheet_layouts(N.sheet_headers(c.sheet_cells))
 
 
 @query("n3_normalise_sheets")
