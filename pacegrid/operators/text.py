@@ -130,21 +130,22 @@ def merge_news(items: DataFrame, limit: int = 9) -> DataFrame:
                     tag.alias("tag"), score.alias("score"),
                     F.array_position(F.array(*[F.lit(x) for x in FEED_KINDS]), kind).alias("kind_rank"),
                     F.floor((F.col("pos") - 1) / TAGGED_BLOCK).cast("int").alias("block")))
+    # From here every step is a window partitioned by ``run`` (at most ~70
+    # rows per run), so one shuffle on ``run`` serves them all.
+    by_run = Window.partitionBy("run")
     # scored source: stop once SCORED_STOP items are kept
-    w_src = Window.partitionBy("run", "kind").orderBy("pos")
-    kept = kept.withColumn("_n", F.row_number().over(w_src))
+    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("run", "kind").orderBy("pos")))
     kept = kept.filter((kind != "scored") | (F.col("_n") <= SCORED_STOP))
-    # tagged source: a block runs when it is the first or the total before it is < TAGGED_STOP
-    scored_n = (kept.filter(kind == "scored").groupBy("run").agg(F.count(F.lit(1)).alias("_hn")))
-    blocks = (kept.filter(kind == "tagged").groupBy("run", "block").agg(F.count(F.lit(1)).alias("_bn"))
-              .join(scored_n, "run", "left").fillna(0, subset=["_hn"]))
-    w_blk = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.col("_hn") + F.coalesce(F.sum("_bn").over(w_blk), F.lit(0)))
-    ok_blocks = blocks.filter((F.col("block") == 0) | (F.col("_before") < TAGGED_STOP)).select(
-        "run", "block", F.lit(True).alias("_ok"))
-    # (totals only grow, so once a block is skipped every later block is too)
-    kept = (kept.join(ok_blocks.select("run", "block", "_ok"), ["run", "block"], "left")
-            .filter((kind != "tagged") | F.col("_ok").isNotNull()).drop("_ok", "_n"))
+    # tagged source: a tag block runs when it is the first one or when the
+    # total kept before it is under TAGGED_STOP (totals only grow, so once a
+    # block is skipped every later block is too)
+    hn = F.sum(F.when(kind == "scored", 1).otherwise(0)).over(by_run)
+    tagged_before = F.sum(F.when(kind == "tagged", 1).otherwise(0)).over(
+        Window.partitionBy("run").orderBy("kind_rank", "block").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    tagged_in_block = F.sum(F.when(kind == "tagged", 1).otherwise(0)).over(Window.partitionBy("run", "kind", "block"))
+    kept = (kept.withColumn("_before", hn + tagged_before - tagged_in_block)
+            .filter((kind != "tagged") | (F.col("block") == 0) | (F.col("_before") < TAGGED_STOP))
+            .drop("_n", "_before"))
     # merge order, first-wins dedup, stable score sort, top n
     merged = kept.withColumn("merge_seq", F.struct("kind_rank", "pos"))
     key = F.lower(F.substring("title", 1, DEDUP_KEY))

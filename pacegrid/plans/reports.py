@@ -61,13 +61,18 @@ def status_context(users, problems, log, plan, user_settings, as_of, plan_day=No
     prof = problem_profile(users, problems)
     st = streak(log, as_of)
     today = day_value(users, log, as_of, name="solved_today")
-    pace = R.pace(users, problems, user_settings, as_of, clamp=True).select("user_id", "days_left", "needed_per_day")
     lines = plan_lines(plan, problems, plan_day)
     j = (prof.join(user_settings, "user_id", "left").join(st, "user_id", "left").join(today, "user_id", "left")
-         .join(pace, "user_id", "left").join(lines, "user_id", "left").fillna(0, subset=["streak"]))
+         .join(lines, "user_id", "left").fillna(0, subset=["streak"]))
     score = F.col("solved_pct") * 0.60 + F.col("coverage_pct") * 0.20 + F.least(F.col("streak"), F.lit(20))
+    # A7 from the same profile (no second pass over problems)
+    days = F.greatest(F.lit(0).cast("bigint"), F.datediff("placement_deadline", as_date(as_of)).cast("bigint"))
     j = (j.withColumn("readiness", F.least(F.lit(100).cast("bigint"), py_round(score)))
          .withColumn("remaining", F.col("pending") + F.col("attempted"))
+         .withColumn("days_left", days)
+         .withColumn("needed_per_day", F.when(F.col("days_left") > 0,
+                                              py_round(F.col("remaining").cast("double") / F.col("days_left"), 1))
+                     .otherwise(F.col("remaining").cast("double")))
          .withColumn("needed_text", F.when(F.col("days_left") > 0, _s("needed_per_day"))
                      .otherwise(_s(F.col("remaining"))))
          .withColumn("plan_text", F.coalesce(
@@ -98,7 +103,8 @@ def daily_report(users, problems, log, plan, user_settings, as_of) -> DataFrame:
     solved against the goal with its band, and today's tasks with icons."""
     prof = R.status_rollup(users, problems).select("user_id", "solved", "pending")
     today = day_value(users, log, as_of, name="solved_today")
-    days = R.pace(users, problems, user_settings, as_of, clamp=False).select("user_id", "days_left")
+    days = user_settings.select("user_id", F.datediff("placement_deadline", as_date(as_of)).cast("bigint")
+                                .alias("days_left"))
     j = plan_with_problems(plan.filter(F.col("plan_date") == as_date(as_of)), problems)
     icon = (F.when(F.col("plan_status") == "Solved", "✅").when(F.col("plan_status") == "Skipped", "⏭️")
             .otherwise("🔲"))
@@ -122,7 +128,8 @@ def suggestion_report(users, problems, user_settings, as_of) -> DataFrame:
     """Days left (not clamped), solved/total with a one-decimal percent,
     and the three most-skipped topics."""
     prof = R.status_rollup(users, problems).select("user_id", "total", "solved")
-    days = R.pace(users, problems, user_settings, as_of, clamp=False).select("user_id", "days_left")
+    days = user_settings.select("user_id", F.datediff("placement_deadline", as_date(as_of)).cast("bigint")
+                                .alias("days_left"))
     top = R.top_skipped_topics(problems, 3)
     piece = F.concat(F.lit("**"), _s("topic"), F.lit("** ("), _s("skipped"), F.lit(" skipped)"))
     weak = top.groupBy("user_id").agg(F.array_join(F.transform(
