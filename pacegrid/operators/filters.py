@@ -156,9 +156,15 @@ def recent_imports(imports: DataFrame, n: int = 50) -> DataFrame:
 
 def milestone_order(milestones: DataFrame) -> DataFrame:
     """L3: position of each milestone in its project by order_index (equal
-    indexes share a position)."""
+    indexes share a position).
+
+    Ranked over the distinct (project, order_index) pairs, so a project with
+    very many milestones is reduced by a partial aggregate before the window
+    and then joined back (AQE splits a skewed join key)."""
+    keys = milestones.select("project_id", "order_index").distinct()
     w = Window.partitionBy("project_id").orderBy("order_index")
-    return milestones.withColumn("position", F.dense_rank().over(w).cast("bigint"))
+    ranked = keys.withColumn("position", F.dense_rank().over(w).cast("bigint"))
+    return milestones.join(ranked, ["project_id", "order_index"], "inner")
 
 
 def top_n(df: DataFrame, n: int, score: str = "score", seq: str = "seq") -> DataFrame:

@@ -516,3 +516,69 @@ def _t12n(c: Ctx) -> DataFrame:
 @query("t13_prompts")
 def _t13(c: Ctx) -> DataFrame:
     return RP.assemble_prompts(c.prompts, _context(c))
+
+
+# --- S5/S6/S8: JSON columns -------------------------------------------------
+from ..sources import files as SF  # noqa: E402
+
+
+@query("s5_news_cache_json")
+def _s5(c: Ctx) -> DataFrame:
+    """Digest per run encoded as the cached JSON text, decoded back."""
+    digest = T.merge_news(T.feed_items(c.articles), limit=9)
+    enc = SF.encode_articles(digest, ["run"], ["rank"])
+    return enc.select("run", F.size(SF.decode_articles("articles_json")).cast("bigint").alias("articles"),
+                      F.length("articles_json").alias("json_chars"))
+
+
+@query("s6_resource_json")
+def _s6(c: Ctx) -> DataFrame:
+    cv = c.t("conversations").filter(F.col("role") == "assistant")
+    r = SF.first_json_block("text")
+    return cv.select("conv_id", "turn", r["youtube"].alias("youtube"), r["article"].alias("article"),
+                     r["practice"].alias("practice"))
+
+
+@query("s8_rows_json")
+def _s8(c: Ctx) -> DataFrame:
+    u = c.users
+    return u.select("id", F.to_json(F.struct("id", "username")).alias("json"))
+
+
+# --- X: streaming operators ---------------------------------------------------
+from ..streaming import jobs as X  # noqa: E402
+
+
+@query("x3_daily_solved")
+def _x3d(c: Ctx) -> DataFrame:
+    return X.solved_windows(c.status_events)[0]
+
+
+@query("x3_weekly_solved")
+def _x3w(c: Ctx) -> DataFrame:
+    return X.solved_windows(c.status_events)[1]
+
+
+@query("x4_stream_routing")
+def _x4(c: Ctx) -> DataFrame:
+    """Routing run as a real stream: the conversations file is read with
+    ``readStream``, routed, written by an availableNow trigger into a fresh
+    folder under ``spark.checkpoint.dir`` and read back."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    spark = c.spark
+    base = f"{checkpoint_dir(spark).rstrip('/')}/x4-{uuid.uuid4().hex}"
+    conv = c.t("conversations")
+    stream = (spark.readStream.schema(conv.schema).option("pathGlobFilter", "conversations.parquet")
+              .parquet(c.t.sf_dir))
+    msgs = (stream.filter(F.col("role") == "user")
+            .select("conv_id", "turn", F.concat("text", F.when(F.col("conv_id") % 5 == 0, " my progress today")
+                                                  .when(F.col("conv_id") % 5 == 1, " weekly news")
+                                                  .when(F.col("conv_id") % 5 == 2, " give me a sliding window tutorial")
+                                                  .when(F.col("conv_id") % 5 == 3, " what should i plan")
+                                                  .otherwise("")).alias("message")))
+    q = (X.route_messages(msgs).writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")

@@ -792,3 +792,26 @@ select w.*, coalesce(pr.total, 0)::bigint total, coalesce(pr.solved, 0)::bigint
     on w.user_id = s.user_id)) w
 left join (select user_id, count(*) total, count(*) filter (where status = 'Solved') solved
            from problems group by user_id) pr on pr.user_id = w.user_id""")
+
+# --- S5/S6/S8, X ------------------------------------------------------------
+SQL["s6_resource_json"] = """
+select conv_id, turn, json_extract_string(b, '$.youtube') youtube, json_extract_string(b, '$.article') article,
+  json_extract_string(b, '$.practice') practice
+from (select conv_id, turn, nullif(regexp_extract(text, '(?s)(\\{.*?\\})', 1), '') b
+      from conversations where role = 'assistant')"""
+
+SQL["s8_rows_json"] = V(["users"], """
+select id, to_json({'id': id, 'username': username})::varchar json from users""")
+
+SQL["x3_daily_solved"] = V(["status_events"], """
+select user_id, cast(date_trunc('day', ts) as date) window_start,
+  cast(date_trunc('day', ts) as date) + 1 window_end, count(*)::bigint solved
+from status_events where status = 'Solved' group by all""")
+
+SQL["x3_weekly_solved"] = V(["status_events"], """
+select user_id, cast(date_trunc('week', ts) as date) window_start,
+  cast(date_trunc('week', ts) as date) + 7 window_end, count(*)::bigint solved
+from status_events where status = 'Solved' group by all""")
+
+SQL["x4_stream_routing"] = V(["prompts"], f"""
+select conv_id, turn, {_PERS} personal, {_RES} resources, {_ROUTE} intent from prompts""")
