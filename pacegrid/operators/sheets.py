@@ -29,6 +29,9 @@ FIELDS = [f for f, _ in RU.HEADER_ALIASES]
 TASK_COLUMNS = ["source_file", "sheet", "row_no", "col_no", "name", "category", "topic", "difficulty",
                 "platform", "problem_link", "resource_link", "scheduled_date", "status"]
 
+# Per-sheet decision rows broadcast to the cells at most (about 300 bytes each).
+MAX_BROADCAST_SHEETS = 200_000
+
 # N10 fixed format list, tried in order (pandas reads 01/02/2026 month first,
 # 13/02/2026 day first; both are covered by trying M/d before d/M).
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "d/M/yyyy", "MMMM d yyyy", "MMM d yyyy",
@@ -162,13 +165,19 @@ def sheet_layouts(headers: DataFrame, mapping: DataFrame | None = None) -> DataF
 def normalise(cells: DataFrame, use_category_column: bool = False) -> DataFrame:
     """N3-N6 + N13: every sheet's rows as one task table, status Pending.
 
-    Plan: distinct headers -> one per-sheet aggregate (small) -> joined to the
-    cells (AQE broadcasts it when small) -> one window over
-    (source_file, sheet, row_no), whose partitions hold one row's cells, that
-    gathers each row's fields for every layout at once.
+    Plan: distinct headers -> one per-sheet aggregate (small, size-checked
+    before it is broadcast) -> joined to the cells -> hash-partitioned by
+    (source_file, sheet, row_no) -> one window whose partitions hold one
+    row's cells and gather each row's fields for every layout at once.
     """
-    d = sheet_decisions(sheet_headers(cells))
-    c = (cells.join(d, SHEET_KEY, "inner")
+    d = sheet_decisions(sheet_headers(cells)).persist()
+    # Broadcast the per-sheet decisions only after checking their size (one
+    # small row per sheet); beyond the bound AQE joins them, splitting a hot
+    # sheet with its skew-join handling.
+    side = F.broadcast(d) if d.count() <= MAX_BROADCAST_SHEETS else d
+    # The window must be partitioned by the whole row key: a partitioning by
+    # sheet alone would satisfy it too and put a whole sheet in one task.
+    c = (cells.join(side, SHEET_KEY, "inner").repartition(*ROW_KEY)
          .withColumn("h", F.trim(F.coalesce("header", F.lit("")))))
     w = Window.partitionBy(*ROW_KEY)
     lay = F.col("layout")
@@ -188,8 +197,9 @@ def normalise(cells: DataFrame, use_category_column: bool = False) -> DataFrame:
                                            F.struct("col_no", F.trim("value").alias("v")))).over(w)).alias("d_vals"),
         F.min("col_no").over(w).alias("_first_col"))
 
-    # A, B, D: one output row per sheet row (taken at the row's first cell)
-    r = c.filter((lay != "C") & (F.col("col_no") == F.col("_first_col")))
+    # One projection and one filter over the single window pass: A, B and D
+    # sheets give one task per row (taken at the row's first cell), day-grid
+    # (C) sheets one task per non-blank, non-day cell of a row with a day.
     a_name = F.trim(F.coalesce("f_name", F.lit("")))
     a_plink = repair_link(clean(F.col("f_problem_link")))
     a_rlink = repair_link(clean(F.col("f_resource_link")))
@@ -201,31 +211,31 @@ def normalise(cells: DataFrame, use_category_column: bool = False) -> DataFrame:
     b_link = repair_link(clean(F.col("b_link")))
     vals = F.transform("d_vals", lambda x: x["v"])
     d_link = F.coalesce(F.try_element_at(F.filter(vals, lambda v: v.startswith("http")), F.lit(1)), F.lit(""))
-    pick = lambda a, b, dd: F.when(lay == "A", a).when(lay == "B", b).otherwise(dd)
     none_date = F.lit(None).cast("date")
-    abd = r.filter(F.when(lay == "A", ~is_blank(a_name)).when(lay == "B", ~is_blank(b_name))
-                   .otherwise(F.size("d_vals") > 0)).select(
-        *ROW_KEY, F.lit(None).cast("int").alias("col_no"),
-        pick(a_name, b_name, F.try_element_at(vals, F.lit(1))).alias("name"),
-        pick(a_category, F.col("category"), F.col("category")).alias("category"),
-        pick(clean(F.col("f_topic")), b_name, F.coalesce(F.try_element_at(vals, F.lit(2)), F.lit(""))).alias("topic"),
+
+    def pick(a, b, dd, cc):
+        return F.when(lay == "A", a).when(lay == "B", b).when(lay == "D", dd).otherwise(cc)
+
+    keep = (F.when(lay == "C", (F.col("h") != F.col("day_header")) & ~blank_cell & ~is_blank(F.col("c_day")))
+            .otherwise((F.col("col_no") == F.col("_first_col"))
+                       & F.when(lay == "A", ~is_blank(a_name)).when(lay == "B", ~is_blank(b_name))
+                       .otherwise(F.size("d_vals") > 0)))
+    out = c.filter(keep).select(
+        *ROW_KEY, F.when(lay == "C", F.col("col_no").cast("int")).alias("col_no"),
+        pick(a_name, b_name, F.try_element_at(vals, F.lit(1)), F.trim("value")).alias("name"),
+        pick(a_category, F.col("category"), F.col("category"), day_grid_category(F.lower("h"))).alias("category"),
+        pick(clean(F.col("f_topic")), b_name, F.coalesce(F.try_element_at(vals, F.lit(2)), F.lit("")),
+             F.col("h")).alias("topic"),
         pick(difficulty_named(clean(F.col("f_difficulty"))),
-             difficulty_topic_list(F.trim(F.coalesce("b_prio", F.lit("")))), F.lit("Medium")).alias("difficulty"),
+             difficulty_topic_list(F.trim(F.coalesce("b_prio", F.lit("")))), F.lit("Medium"),
+             F.lit("Medium")).alias("difficulty"),
         pick(F.when(a_platform != "", a_platform).otherwise(platform_of(a_plink)), platform_of(b_link),
-             platform_of(d_link)).alias("platform"),
-        pick(a_plink, b_link, d_link).alias("problem_link"),
-        pick(a_rlink, b_link, d_link).alias("resource_link"),
+             platform_of(d_link), F.lit(RU.DEFAULT_PLATFORM)).alias("platform"),
+        pick(a_plink, b_link, d_link, F.lit("")).alias("problem_link"),
+        pick(a_rlink, b_link, d_link, F.lit("")).alias("resource_link"),
         pick(F.when(is_blank(F.col("f_date")), none_date).otherwise(parse_date(F.col("f_date"))),
-             none_date, none_date).alias("scheduled_date"))
-
-    # C: one output row per non-blank, non-day cell of a row whose day is not blank
-    cc = c.filter((lay == "C") & (F.col("h") != F.col("day_header")) & ~blank_cell & ~is_blank(F.col("c_day")))
-    grid = cc.select(*ROW_KEY, F.col("col_no").cast("int").alias("col_no"), F.trim("value").alias("name"),
-                     day_grid_category(F.lower("h")).alias("category"), F.col("h").alias("topic"),
-                     F.lit("Medium").alias("difficulty"), F.lit(RU.DEFAULT_PLATFORM).alias("platform"),
-                     F.lit("").alias("problem_link"), F.lit("").alias("resource_link"),
-                     none_date.alias("scheduled_date"))
-    return abd.unionByName(grid).withColumn("status", F.lit("Pending")).select(*TASK_COLUMNS)
+             none_date, none_date, none_date).alias("scheduled_date"))
+    return out.withColumn("status", F.lit("Pending")).select(*TASK_COLUMNS)
 
 
 def upload_summary(cells: DataFrame, tasks: DataFrame) -> DataFrame:
