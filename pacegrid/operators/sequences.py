@@ -38,13 +38,15 @@ def streak(log: DataFrame, as_of, cap: int = STREAK_CAP) -> DataFrame:
     Only users with a streak > 0 are returned.
     """
     d = as_date(as_of)
+    # distinct (user, day) first (a partial aggregate), so a window partition
+    # holds at most ``cap`` rows even if the log repeats a day many times
     good = (log.filter((F.col("problems_solved") >= 1) & (F.col("log_date") < d)
                        & (F.col("log_date") >= F.date_sub(d, cap)))
-            .select("user_id", "log_date"))
+            .select("user_id", "log_date").distinct())
     w = Window.partitionBy("user_id").orderBy(F.desc("log_date"))
-    ranked = good.withColumn("k", F.dense_rank().over(w))
+    ranked = good.withColumn("k", F.row_number().over(w))
     return (ranked.filter(F.datediff(d, F.col("log_date")) == F.col("k"))
-            .groupBy("user_id").agg(F.countDistinct("log_date").cast("bigint").alias("streak")))
+            .groupBy("user_id").agg(F.count(F.lit(1)).cast("bigint").alias("streak")))
 
 
 def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
