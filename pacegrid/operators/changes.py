@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date
 from .filters import TASK_DEFAULTS, fill_defaults
-from .joins import unprotected_problems
 from .sequences import difficulty_rank, first_wins, skew_safe_positions
 
 TASK_FIELDS = ["name", "category", "topic", "difficulty", "platform", "problem_link", "resource_link",
@@ -72,14 +71,25 @@ def import_replace(problems: DataFrame, imports: DataFrame, tasks: DataFrame, ba
     Returns the new problems table with an ``origin`` column."""
     t = _prepare_tasks(tasks).filter(F.col("name") != "")
     importers = t.select("user_id").distinct()
-    removed = unprotected_problems(problems, imports).join(importers, "user_id", "left_semi")
-    kept = problems.join(removed.select("id"), "id", "left_anti")
+    kept = _keep_protected_of(problems, imports, importers)
     cols = ["user_id", *TASK_FIELDS, "status", "import_batch"]
     ins = t.withColumn("import_batch", F.lit(batch_id))
     return (kept.select(*cols).withColumn("origin", F.lit("kept"))
             .unionByName(ins.select(*cols).withColumn("origin", F.lit("inserted"))))
 
 
+def _keep_protected_of(problems: DataFrame, imports: DataFrame, users: DataFrame) -> DataFrame:
+    """Problems after removing, for the given users, every row outside their
+    protected import batches (other users keep everything).  Two flag joins
+    and a filter: no anti join of ``problems`` with itself."""
+    prot = (imports.filter(F.col("protected"))
+            .select("user_id", F.col("batch_id").alias("import_batch")).distinct()
+            .withColumn("_prot", F.lit(True)))
+    flagged = (problems.join(users.select("user_id").distinct().withColumn("_hit", F.lit(True)), "user_id", "left")
+               .join(prot, ["user_id", "import_batch"], "left"))
+    return flagged.filter(F.col("_hit").isNull() | F.col("_prot").isNotNull()).select(*problems.columns)
+
+
 def ledger_rows(totals: DataFrame, files: DataFrame, batch_id: str, as_of) -> DataFrame:
     """One ledger row per (user, file) of the batch, each carrying the
     user's whole-batch total; the batch id is stored (Q2 fixed)."""
@@ -104,17 +114,19 @@ def delete_problems(problems: DataFrame, plan: DataFrame, imports: DataFrame, ba
     for that user.  Returns ``(problems, plan, refused)``."""
     refused = None
     if batch:
-        sel = problems.filter(F.col("import_batch") == batch)
         prot = imports.filter(F.col("protected") & (F.col("batch_id") == batch)).select("user_id").distinct()
         refused = prot.withColumn("batch", F.lit(batch))
-        sel = sel.join(prot, "user_id", "left_anti")
+        flagged = problems.join(prot.withColumn("_refused", F.lit(True)), "user_id", "left")
+        cond = (F.col("import_batch") == batch) & F.col("_refused").isNull()
     elif category:
-        sel = problems.filter(F.lower("category") == F.lower(F.lit(category)))
+        flagged, cond = problems, F.lower("category") == F.lower(F.lit(category))
     else:
-        sel = problems.filter(F.col("scheduled_date").between(as_date(date_from), as_date(date_to)))
-    gone = sel.select("id")
-    new_problems = problems.join(gone, "id", "left_anti")
-    new_plan = plan.join(gone.withColumnRenamed("id", "problem_id"), "problem_id", "left_anti")
+        flagged, cond = problems, F.col("scheduled_date").between(as_date(date_from), as_date(date_to))
+    cond = F.coalesce(cond, F.lit(False))
+    # survivors are a filter (no self-join); the plan cascade needs the ids
+    new_problems = flagged.filter(~cond).select(*problems.columns)
+    gone = flagged.filter(cond).select(F.col("id").alias("problem_id"))
+    new_plan = plan.join(gone, "problem_id", "left_anti")
     return new_problems, new_plan, refused
 
 
@@ -124,8 +136,7 @@ def clear_imports(problems: DataFrame, plan: DataFrame, log: DataFrame, imports:
     outside their protected batches and their unprotected ledger rows.
     Returns ``(problems, plan, log, imports)``."""
     u = clearing_users.select("user_id").distinct()
-    gone = unprotected_problems(problems, imports).join(u, "user_id", "left_semi").select("id")
-    return (problems.join(gone, "id", "left_anti"),
+    return (_keep_protected_of(problems, imports, u),
             plan.join(u, "user_id", "left_anti"),
             log.join(u, "user_id", "left_anti"),
             imports.join(u, "user_id", "left_anti").unionByName(
