@@ -582,3 +582,8 @@ def _x4(c: Ctx) -> DataFrame:
          .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@query("t13_briefing_prompts")
+def _t13b(c: Ctx) -> DataFrame:
+    return RP.briefing_prompts(c.users, c.problems, c.daily_log, c.user_settings, AS_OF_LOG)

@@ -815,3 +815,28 @@ from status_events where status = 'Solved' group by all""")
 
 SQL["x4_stream_routing"] = V(["prompts"], f"""
 select conv_id, turn, {_PERS} personal, {_RES} resources, {_ROUTE} intent from prompts""")
+
+_BRIEF_TAIL = ("Generate a short (4-5 sentences), direct, honest daily briefing.\n"
+               "Include: progress status, what to focus on today, one free resource.\n"
+               "Be a direct mentor, not a cheerleader. Use the numbers.\n")
+SQL["t13_briefing_prompts"] = V(["users", "problems", "daily_log", "user_settings"], f"""
+, pr as (select user_id, count(*) total, count(*) filter (where status = 'Solved') solved,
+           count(*) filter (where status = 'Pending') pending, count(*) filter (where status = 'Skipped') skipped
+         from problems group by user_id),
+top3 as (select user_id, topic, rank from (
+           select user_id, topic, row_number() over (partition by user_id order by count(*) desc, topic) rank
+           from problems where status = 'Skipped' and topic <> '' group by user_id, topic) where rank <= 3),
+weak as (select user_id, string_agg(topic, ', ' order by rank) weak from top3 group by user_id)
+select u.id user_id,
+  chr(10) || 'Student: ' || s.name || chr(10) || 'Days left to placement: ' ||
+  cast(s.placement_deadline - {_lit(LOG)} as varchar) || chr(10) || 'Daily goal: ' ||
+  cast(s.daily_goal as varchar) || ' problems' || chr(10) || 'Total problems in bank: ' ||
+  cast(coalesce(pr.total, 0) as varchar) || chr(10) || 'Solved: ' || cast(coalesce(pr.solved, 0) as varchar) ||
+  ' | Pending: ' || cast(coalesce(pr.pending, 0) as varchar) || ' | Skipped: ' ||
+  cast(coalesce(pr.skipped, 0) as varchar) || chr(10) || 'Yesterday solved: ' ||
+  cast(coalesce(l.problems_solved, 0) as varchar) || '/' || cast(s.daily_goal as varchar) || chr(10) ||
+  'Weak topics (most skipped): ' || coalesce(weak.weak, 'None identified yet') || chr(10) || chr(10) ||
+  {_q(_BRIEF_TAIL)} prompt
+from users u left join pr on pr.user_id = u.id left join user_settings s on s.user_id = u.id
+left join daily_log l on l.user_id = u.id and l.log_date = {_lit(LOG - dt.timedelta(days=1))}
+left join weak on weak.user_id = u.id""")

@@ -172,3 +172,31 @@ def assemble_prompts(prompts: DataFrame, contexts: DataFrame) -> DataFrame:
     prompt = F.when(T.wants_resources("message"), F.concat(body, F.lit(RESOURCE_HEADER), links)).otherwise(body)
     return j.select("conv_id", "turn", personal.alias("personal"), T.wants_resources("message").alias("resources"),
                     T.route("message").alias("intent"), prompt.alias("prompt"))
+
+
+BRIEFING_TAIL = ("Generate a short (4-5 sentences), direct, honest daily briefing." + NL
+                 + "Include: progress status, what to focus on today, one free resource." + NL
+                 + "Be a direct mentor, not a cheerleader. Use the numbers." + NL)
+
+
+def briefing_prompts(users, problems, log, user_settings, as_of) -> DataFrame:
+    """T13 briefing: per user, the prompt built from the status counts (A1),
+    yesterday's solved count (J6) and the three most-skipped topics (A3);
+    days left are not clamped (Q7)."""
+    import datetime as _dt
+    d = _dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+    prof = R.status_rollup(users, problems)
+    yday = day_value(users, log, d - _dt.timedelta(days=1), name="yesterday_solved")
+    weak = (R.top_skipped_topics(problems, 3).groupBy("user_id")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))),
+                                          lambda x: x["topic"]), ", ").alias("weak")))
+    j = (prof.join(user_settings, "user_id", "left").join(yday, "user_id", "left").join(weak, "user_id", "left")
+         .withColumn("days_left", F.datediff("placement_deadline", as_date(d)).cast("bigint")))
+    text = F.concat(
+        F.lit(NL + "Student: "), _s("name"), F.lit(NL + "Days left to placement: "), _s("days_left"),
+        F.lit(NL + "Daily goal: "), _s("daily_goal"), F.lit(" problems" + NL + "Total problems in bank: "),
+        _s("total"), F.lit(NL + "Solved: "), _s("solved"), F.lit(" | Pending: "), _s("pending"),
+        F.lit(" | Skipped: "), _s("skipped"), F.lit(NL + "Yesterday solved: "), _s("yesterday_solved"), F.lit("/"),
+        _s("daily_goal"), F.lit(NL + "Weak topics (most skipped): "),
+        F.coalesce(F.col("weak"), F.lit("None identified yet")), F.lit(NL + NL + BRIEFING_TAIL))
+    return j.select("user_id", text.alias("prompt"))
