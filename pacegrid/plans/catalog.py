@@ -527,8 +527,9 @@ def _s5(c: Ctx) -> DataFrame:
     """Digest per run encoded as the cached JSON text, decoded back."""
     digest = T.merge_news(T.feed_items(c.articles), limit=9)
     enc = SF.encode_articles(digest, ["run"], ["rank"])
-    return enc.select("run", F.size(SF.decode_articles("articles_json")).cast("bigint").alias("articles"),
-                      F.length("articles_json").alias("json_chars"))
+    dec = enc.select("run", SF.decode_articles("articles_json").alias("a"))
+    return dec.select("run", F.size("a").cast("bigint").alias("articles"),
+                      F.col("a")[0]["title"].alias("first_title"), F.element_at("a", -1)["score"].alias("last_score"))
 
 
 @query("s6_resource_json")

@@ -639,7 +639,8 @@ from (select {_TAG} tag, {_REL} relevant from articles) group by tag""")
 _FB = ", ".join(f"({i + 1}, {_q(t)}, {_q(u)}, {_q(s)}, {_q(tg)}, {sc})"
                 for i, (t, u, s, tg, sc) in enumerate(_RU.FALLBACK_ARTICLES))
 _KCOLS = "run, source, kind, kind_rank, pos, stitle, url, tag, score, block"
-SQL["t3_news_digest"] = V(["articles"], f"""
+def _news_sql(limit: int) -> str:
+    return V(["articles"], f"""
 , it as (select *, cast(regexp_extract(source, '(\\d+)$', 1) as integer) k from articles
          where regexp_matches(source, '\\d+$')),
 it2 as (select *, row_number() over (partition by source order by seq) pos, k // 5 run,
@@ -672,12 +673,15 @@ k2 as (select {_KCOLS} from hn
 u as (select * from (select *, row_number() over (partition by run, lower(substring(stitle, 1, 50))
                                                   order by kind_rank, pos) f from k2) where f = 1),
 top as (select * from (select run, row_number() over (partition by run order by score desc, kind_rank, pos) rank,
-                         stitle title, url, source, tag, score from u) where rank <= 9),
+                         stitle title, url, source, tag, score from u) where rank <= {limit}),
 fb as (select * from (values {_FB}) t(rank, title, url, source, tag, score))
 select * from top
 union all
 select r.run, fb.rank::bigint, fb.title, fb.url, fb.source, fb.tag, fb.score::bigint
-from (select distinct run from it2 where run not in (select run from top)) r, fb where fb.rank <= 9""")
+from (select distinct run from it2 where run not in (select run from top)) r, fb where fb.rank <= {limit}""")
+
+
+SQL["t3_news_digest"] = _news_sql(9)
 
 _PERS = _any("lower(message)", _RU.PERSONAL_SIGNALS)
 _RES = _any("lower(message)", _RU.RESOURCE_KEYWORDS)
@@ -840,3 +844,52 @@ select u.id user_id,
 from users u left join pr on pr.user_id = u.id left join user_settings s on s.user_id = u.id
 left join daily_log l on l.user_id = u.id and l.log_date = {_lit(LOG - dt.timedelta(days=1))}
 left join weak on weak.user_id = u.id""")
+
+SQL["t12_news_report"] = f"""
+select run, '### Live Tech & Placement News' || chr(10) || chr(10) ||
+  string_agg('- **[' || title || '](' || url || ')** — *' || source || '* `' || tag || '`', chr(10) order by rank)
+  || chr(10) report
+from ({_news_sql(6)}) d where rank <= 6 group by run"""
+
+SQL["t9_status_text"] = V(["daily_plan", "problems"], f"""
+, ctx as ({SQL["t9_status_context"]}),
+pl as (select dp.user_id, dp.order_index, dp.problem_id,
+         p.name || ' [' || p.category || ' - ' || p.difficulty || '] on ' || p.platform || ' — ' || dp.status line
+       from daily_plan dp join problems p on p.id = dp.problem_id where dp.plan_date = {_lit(PLAN)}),
+pn as (select user_id, string_agg('  ' || cast(rn as varchar) || '. ' || line, chr(10) order by rn) plan_str
+       from (select *, row_number() over (partition by user_id order by order_index, problem_id, line) rn from pl)
+       group by user_id)
+select ctx.user_id, chr(10) || '[USER CURRENT STATUS — RAG DATA]' || chr(10) ||
+  'Student: ' || name || chr(10) ||
+  'Placement Deadline: ' || cast(placement_deadline as varchar) || ' (' || cast(days_left as varchar) ||
+  ' days left)' || chr(10) ||
+  'Daily Goal: ' || cast(daily_goal as varchar) || ' problems/day' || chr(10) ||
+  'Today''s Progress: ' || cast(solved_today as varchar) || '/' || cast(daily_goal as varchar) || ' solved' || chr(10) ||
+  'Streak: ' || cast(streak as varchar) || ' days' || chr(10) ||
+  'Readiness Score: ' || cast(readiness as varchar) || '/100' || chr(10) || chr(10) ||
+  'Problem Bank:' || chr(10) || '- Total: ' || cast(total as varchar) || ' | Solved: ' || cast(solved as varchar) ||
+  ' (' || cast(solved_pct as varchar) || '%) | Pending: ' || cast(pending as varchar) || ' | Attempted: ' ||
+  cast(attempted as varchar) || ' | Skipped: ' || cast(skipped as varchar) || chr(10) || chr(10) ||
+  'Category Breakdown: ' || cat_breakdown || chr(10) ||
+  'Target Pace: Need ' || (case when days_left > 0 then cast(needed_per_day as varchar)
+                               else cast(remaining as varchar) end) ||
+  ' problems/day to finish remaining ' || cast(remaining as varchar) || ' problems.' || chr(10) || chr(10) ||
+  'Today''s Plan:' || chr(10) || coalesce(pn.plan_str, '  No tasks scheduled for today yet.') || chr(10) context
+from ctx left join pn on pn.user_id = ctx.user_id""")
+
+_SEP = "\n\n---\n**USER QUERY:**\n"
+_RES_HEAD = "\n\n[ONLINE RESOURCES — include these links in your answer]:\n"
+SQL["t13_prompts"] = V(["prompts"], f"""
+, ctx as ({SQL["t9_status_text"]}),
+m as (select p.conv_id, p.turn, p.message, c.context, {_PERS} and c.context is not null personal,
+        {_RES} resources, {_ROUTE} intent, {_TOPIC} topic
+      from prompts p left join ctx c on c.user_id = p.conv_id)
+select conv_id, turn, personal, resources, intent,
+  (case when personal then context || {_q(_SEP)} || message else message end) ||
+  (case when resources then {_q(_RES_HEAD)} || '- ' || replace({_LINKS}, chr(10), chr(10) || '- ') else '' end)
+    prompt
+from m""")
+
+SQL["s5_news_cache_json"] = f"""
+select run, count(*)::bigint articles, arg_min(title, rank) first_title, arg_max(score, rank)::bigint last_score
+from ({_news_sql(9)}) d group by run"""
