@@ -22,10 +22,22 @@ def users(t: Tables) -> DataFrame:
     return t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
 
 
+PART_SLOTS = 200  # orders map onto part keys 0..199 (FIXTURES.md)
+
+
+def _order_parts(t: Tables) -> DataFrame:
+    """Orders with the part their key maps to.  The join key ``o_orderkey % 200``
+    has only 200 values, so a shuffle join would put all orders into 200
+    tasks; only parts 0..199 can match, so that side is at most 200 rows and
+    is broadcast (a bound that holds at any scale)."""
+    o, p = t("orders"), t("part")
+    slots = p.filter(F.col("p_partkey").between(0, PART_SLOTS - 1))
+    return o.join(F.broadcast(slots), (o.o_orderkey % PART_SLOTS) == slots.p_partkey, "inner")
+
+
 def problems(t: Tables) -> DataFrame:
     """One problem per order; category/topic from the part its key maps to."""
-    o, p = t("orders"), t("part")
-    j = o.join(p, (o.o_orderkey % 200) == p.p_partkey, "inner")
+    j = _order_parts(t)
     difficulty = (F.when(F.col("o_orderpriority") == "5-LOW", "Easy")
                   .when(F.col("o_orderpriority") == "3-MEDIUM", "Medium")
                   .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "High")
@@ -128,8 +140,7 @@ def feedback(t: Tables) -> DataFrame:
 def imports(t: Tables) -> DataFrame:
     """Import ledger: one row per (user, batch) present in ``problems``;
     even-sized parts mark a protected batch."""
-    o, p = t("orders"), t("part")
-    j = o.join(p, (o.o_orderkey % 200) == p.p_partkey, "inner")
+    j = _order_parts(t)
     return (j.groupBy(F.col("o_custkey").alias("user_id"), "p_partkey", "p_name", "p_size")
             .agg(F.min("o_orderkey").alias("id"), F.count(F.lit(1)).alias("total_imported"),
                  F.min(_date("o_orderdate")).alias("import_date"))
