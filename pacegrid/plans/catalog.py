@@ -588,3 +588,42 @@ def _x4(c: Ctx) -> DataFrame:
 @query("t13_briefing_prompts")
 def _t13b(c: Ctx) -> DataFrame:
     return RP.briefing_prompts(c.users, c.problems, c.daily_log, c.user_settings, AS_OF_LOG)
+
+
+# --- S3/S9: file round trips on data derived from the tables -----------------
+from ..sources import sinks as SK  # noqa: E402
+
+
+def _scratch(c: Ctx, name: str) -> str:
+    import uuid
+
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(c.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s3_task_list_files")
+def _s3(c: Ctx) -> DataFrame:
+    """Import requests written as JSON lines (one request per user, tasks in
+    ``seq`` order), read back by the S3 reader."""
+    t = c.tasks
+    req = (t.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "topic", "category")))
+                                    .alias("_t"))
+           .select("user_id", F.lit("add").alias("mode"), F.lit("tasks.xlsx").alias("filename"),
+                   F.transform("_t", lambda x: F.struct(x["name"].alias("name"), x["topic"].alias("topic"),
+                                                        x["category"].alias("category"))).alias("tasks")))
+    path = _scratch(c, "s3")
+    req.write.json(path)
+    back = SF.read_task_lists(c.spark, path)
+    return back.select("user_id", "mode", "filename", F.col("pos").cast("bigint").alias("pos"), "name", "topic",
+                       "category", "scheduled_date")
+
+
+@query("s9_daily_cache")
+def _s9(c: Ctx) -> DataFrame:
+    """The news digest cached for two days in a row: only the second day's
+    partition is left, and the read lists just that partition."""
+    digest = T.merge_news(T.feed_items(c.articles), limit=9)
+    path = _scratch(c, "s9")
+    SK.write_daily_cache(digest.filter(F.col("run") == 0), path, "2024-01-19")
+    SK.write_daily_cache(digest, path, "2024-01-20")
+    return SK.read_daily_cache(c.spark, path, "2024-01-20")

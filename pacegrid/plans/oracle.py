@@ -893,3 +893,12 @@ from m""")
 SQL["s5_news_cache_json"] = f"""
 select run, count(*)::bigint articles, arg_min(title, rank) first_title, arg_max(score, rank)::bigint last_score
 from ({_news_sql(9)}) d group by run"""
+
+SQL["s3_task_list_files"] = V(["tasks", "problems"], """
+select user_id, 'add' mode, 'tasks.xlsx' filename,
+  (row_number() over (partition by user_id order by seq) - 1)::bigint pos, name, topic, category,
+  null::date scheduled_date
+from tasks""")
+
+SQL["s9_daily_cache"] = f"""
+select *, date '2024-01-20' cache_date from ({_news_sql(9)}) d"""
