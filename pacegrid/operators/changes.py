@@ -203,7 +203,9 @@ def apply_status_events(problems: DataFrame, plan: DataFrame, log: DataFrame, us
     new_plan = (plan.join(per_day, ["user_id", "problem_id", "plan_date"], "left")
                 .withColumn("status", F.coalesce("_new", "status")).drop("_new"))
     touched = owned.select("user_id", F.col("plan_date").alias("log_date")).distinct()
+    # recount only the touched days (AQE broadcasts the touched set when small)
     solved = (new_plan.filter(F.col("status") == "Solved")
+              .join(touched.withColumnRenamed("log_date", "plan_date"), ["user_id", "plan_date"], "left_semi")
               .groupBy("user_id", F.col("plan_date").alias("log_date"))
               .agg(F.count(F.lit(1)).alias("problems_solved")))
     counts = (touched.join(solved, ["user_id", "log_date"], "left")

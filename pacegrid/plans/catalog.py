@@ -627,3 +627,21 @@ def _s9(c: Ctx) -> DataFrame:
     SK.write_daily_cache(digest.filter(F.col("run") == 0), path, "2024-01-19")
     SK.write_daily_cache(digest, path, "2024-01-20")
     return SK.read_daily_cache(c.spark, path, "2024-01-20")
+
+
+@query("x2_import_stream")
+def _x2(c: Ctx) -> DataFrame:
+    """Import requests as a stream: tasks land as parquet files, a
+    ``foreachBatch`` sink imports each micro-batch in ``add`` mode against the
+    stored problems (written under ``spark.checkpoint.dir``); returns the rows
+    the stream inserted."""
+    spark = c.spark
+    base = _scratch(c, "x2")
+    c.problems.write.parquet(f"{base}/problems")
+    c.tasks.write.parquet(f"{base}/tasks")
+    schema = spark.read.parquet(f"{base}/tasks").schema
+    q = (spark.readStream.schema(schema).parquet(f"{base}/tasks").writeStream
+         .foreachBatch(X.ImportSink(spark, f"{base}/problems"))
+         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/problems").filter(F.col("import_batch").startswith("stream_"))

@@ -902,3 +902,8 @@ from tasks""")
 
 SQL["s9_daily_cache"] = f"""
 select *, date '2024-01-20' cache_date from ({_news_sql(9)}) d"""
+
+SQL["x2_import_stream"] = V(["tasks", "problems"], f"""
+{_T}
+select null::bigint id, user_id, name, category, topic, difficulty, status, scheduled_date,
+  'stream_0' import_batch, platform, problem_link, resource_link from ok""")
