@@ -25,6 +25,9 @@ from ..functions import rules as RU
 
 SHEET_KEY = ["source_file", "sheet"]
 ROW_KEY = ["source_file", "sheet", "row_no"]
+# The same key with the number first: the row window sorts on it, and a long
+# first gives the sorter a cheap prefix comparison.
+ROW_GROUP = ["row_no", "source_file", "sheet"]
 FIELDS = [f for f, _ in RU.HEADER_ALIASES]
 TASK_COLUMNS = ["source_file", "sheet", "row_no", "col_no", "name", "category", "topic", "difficulty",
                 "platform", "problem_link", "resource_link", "scheduled_date", "status"]
@@ -177,9 +180,9 @@ def normalise(cells: DataFrame, use_category_column: bool = False) -> DataFrame:
     side = F.broadcast(d) if d.count() <= MAX_BROADCAST_SHEETS else d
     # The window must be partitioned by the whole row key: a partitioning by
     # sheet alone would satisfy it too and put a whole sheet in one task.
-    c = (cells.join(side, SHEET_KEY, "inner").repartition(*ROW_KEY)
+    c = (cells.join(side, SHEET_KEY, "inner").repartition(*ROW_GROUP)
          .withColumn("h", F.trim(F.coalesce("header", F.lit("")))))
-    w = Window.partitionBy(*ROW_KEY)
+    w = Window.partitionBy(*ROW_GROUP)
     lay = F.col("layout")
 
     def field_value(col_name: str) -> Column:
