@@ -83,3 +83,20 @@ def test_head_words_whole_text(spark):
     assert got[0] == " ".join(f"w{i}" for i in range(12))
     assert got[1] == "  short  text "      # 12 words or fewer: unchanged
     assert got[2] == "a\nb\tc"
+
+
+def test_delete_project_cascades_to_milestones(spark):
+    pr = spark.createDataFrame([(1, 10), (2, 10)], "id long, user_id long")
+    ms = spark.createDataFrame([(1, 0, "Done"), (1, 1, "Pending"), (2, 0, "Pending")],
+                               "project_id long, order_index int, status string")
+    p2, m2 = I.delete_projects(pr, ms, spark.createDataFrame([(1,)], "id long"))
+    assert [r.id for r in p2.collect()] == [2]
+    assert [r.project_id for r in m2.collect()] == [2]
+
+
+def test_news_fallback_when_nothing_passes(spark):
+    arts = spark.createDataFrame([(i, f"src{i % 5}", "", f"dull text {i}", 0, "en") for i in range(20)],
+                                 "seq long, source string, url string, title string, score long, tag_hint string")
+    out = T.merge_news(T.feed_items(arts), limit=9).orderBy("rank").collect()
+    assert len(out) == 9 and out[0].score == 100 and out[0].tag == "Career"
+    assert [r.rank for r in out] == list(range(1, 10))

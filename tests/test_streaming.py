@@ -104,3 +104,27 @@ def test_x2_import_stream_twice_equals_once(spark, tmp_dir):
     once = spark.read.parquet(store).count()
     sink(tasks, 1)
     assert spark.read.parquet(store).count() == once == 4
+
+
+def test_x3_late_events_beyond_watermark_are_dropped(spark, tmp_dir):
+    schema = "user_id long, status string, ts timestamp"
+    src, ckpt = f"{tmp_dir}/late", f"{tmp_dir}/ckpt_late"
+    spark.createDataFrame([(1, "Solved", TS(2024, 1, 1, 9)), (1, "Solved", TS(2024, 1, 10, 9))], schema) \
+        .write.mode("append").parquet(src)
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(src)
+        daily, _ = X.solved_windows(stream, watermark="1 day")
+        q = (daily.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_dir}/out")
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    # a second file: a late solve for Jan 1 (behind the watermark) and a new one
+    spark.createDataFrame([(1, "Solved", TS(2024, 1, 1, 10)), (1, "Solved", TS(2024, 1, 20, 9))], schema) \
+        .write.mode("append").parquet(src)
+    run()
+    got = {(r.window_start, r.solved) for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
+    assert (D(2024, 1, 1), 1) in got           # the late event did not change the closed day
+    assert (D(2024, 1, 1), 2) not in got
+    assert (D(2024, 1, 10), 1) in got
