@@ -106,11 +106,12 @@ def feed_items(articles: DataFrame, kinds: int = 5) -> DataFrame:
             .drop("_k"))
 
 
-def merge_news(items: DataFrame, limit: int = 9) -> DataFrame:
+def merge_news(items: DataFrame, limit: int | None = 9) -> DataFrame:
     """Per run, the gated items of the five sources in merge order,
     first-wins dedup on the lower-cased first 50 characters of the stored
-    title, stable sort by score, top ``limit``.  A run with no item left gets
-    the fallback list.  Output: ``run, rank, title, url, source, tag, score``."""
+    title, stable sort by score, top ``limit`` (``None``: the full ranked
+    list, as the daily cache stores it).  A run with no item left gets the
+    fallback list.  Output: ``run, rank, title, url, source, tag, score``."""
     rel = is_relevant("title")
     title_ok = F.coalesce(F.col("title"), F.lit("")) != ""
     url_ok = F.coalesce(F.col("url"), F.lit("")) != ""
@@ -152,7 +153,8 @@ def merge_news(items: DataFrame, limit: int = 9) -> DataFrame:
     w_key = Window.partitionBy("run", key).orderBy("merge_seq")
     unique = merged.withColumn("_first", F.row_number().over(w_key)).filter(F.col("_first") == 1)
     w_rank = Window.partitionBy("run").orderBy(F.desc("score"), F.asc("merge_seq"))
-    top = (unique.withColumn("rank", F.row_number().over(w_rank)).filter(F.col("rank") <= limit)
+    ranked = unique.withColumn("rank", F.row_number().over(w_rank))
+    top = ((ranked if limit is None else ranked.filter(F.col("rank") <= limit))
            .select("run", F.col("rank").cast("bigint").alias("rank"), "title", "url",
                    F.col("source").alias("source"), "tag", "score"))
     return with_fallback(top, items.select("run").distinct(), limit)
@@ -163,8 +165,9 @@ def fallback_articles(spark) -> DataFrame:
     return spark.createDataFrame(rows, "rank bigint, title string, url string, source string, tag string, score bigint")
 
 
-def with_fallback(top: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
+def with_fallback(top: DataFrame, runs: DataFrame, limit: int | None) -> DataFrame:
     """Runs without any article get the fixed fallback list (first ``limit``)."""
     empty = runs.join(top.select("run").distinct(), "run", "left_anti").withColumn("_one", F.lit(1))
-    fb = fallback_articles(top.sparkSession).filter(F.col("rank") <= limit).withColumn("_one", F.lit(1))
+    fb = fallback_articles(top.sparkSession)
+    fb = (fb if limit is None else fb.filter(F.col("rank") <= limit)).withColumn("_one", F.lit(1))
     return top.unionByName(empty.join(F.broadcast(fb), "_one", "inner").select(*top.columns))
