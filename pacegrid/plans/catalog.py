@@ -646,3 +646,24 @@ def _x2(c: Ctx) -> DataFrame:
          .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/problems").filter(F.col("import_batch").startswith("stream_"))
+
+
+@query("x1_status_stream")
+def _x1(c: Ctx) -> DataFrame:
+    """Status events as a stream: problems, plan and log are stored
+    partitioned by month under ``spark.checkpoint.dir``; the ``foreachBatch``
+    sink rewrites only the touched partitions; returns the log after the
+    stream (equal to the batch I9 result)."""
+    spark = c.spark
+    base = _scratch(c, "x1")
+    root = f"{base}/tables"
+    for df, name in ((c.problems, "problems"), (c.daily_plan, "daily_plan"), (c.daily_log, "daily_log")):
+        part = X.partition_column(name, "month")
+        (X.with_partition_column(df, name, "month").repartition(part).write.partitionBy(part)
+         .parquet(f"{root}/{name}"))
+    c.status_events.write.parquet(f"{base}/events")
+    schema = spark.read.parquet(f"{base}/events").schema
+    q = X.start_status_stream(spark, f"{base}/events", schema, root, c.user_settings, f"{base}/state",
+                              granularity="month")
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/daily_log").drop("log_month")

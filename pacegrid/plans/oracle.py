@@ -907,3 +907,5 @@ SQL["x2_import_stream"] = V(["tasks", "problems"], f"""
 {_T}
 select null::bigint id, user_id, name, category, topic, difficulty, status, scheduled_date,
   'stream_0' import_batch, platform, problem_link, resource_link from ok""")
+
+SQL["x1_status_stream"] = SQL["i9_status_log"]

@@ -53,47 +53,75 @@ def route_messages(messages: DataFrame) -> DataFrame:
                            TX.wants_resources("message").alias("resources"), TX.route("message").alias("intent"))
 
 
+# Table -> (date column, partition column for day and month granularity).
+STATUS_TABLES = {
+    "problems": ("scheduled_date", {"day": "scheduled_date", "month": "scheduled_month"}),
+    "daily_plan": ("plan_date", {"day": "plan_date", "month": "plan_month"}),
+    "daily_log": ("log_date", {"day": "log_date", "month": "log_month"}),
+}
+
+
+def partition_column(table: str, granularity: str) -> str:
+    return STATUS_TABLES[table][1][granularity]
+
+
+def with_partition_column(df: DataFrame, table: str, granularity: str) -> DataFrame:
+    """Add the month partition column (day partitions use the date itself)."""
+    date_col, parts = STATUS_TABLES[table]
+    if granularity == "day":
+        return df
+    return df.withColumn(parts["month"], F.trunc(F.col(date_col), "month"))
+
+
 class StatusEventSink:
     """X1 ``foreachBatch`` handler over tables stored as parquet folders:
-    ``problems`` (partitioned by scheduled_date), ``daily_plan`` (plan_date),
-    ``daily_log`` (log_date); settings are read as given."""
+    ``problems``, ``daily_plan`` and ``daily_log``, partitioned by their date
+    (``granularity='day'``) or its month (``'month'``); settings are read as
+    given.  Only partitions holding touched rows are recomputed and rewritten."""
 
-    def __init__(self, spark: SparkSession, root: str, user_settings: DataFrame):
+    def __init__(self, spark: SparkSession, root: str, user_settings: DataFrame, granularity: str = "day"):
         self.spark = spark
         self.root = root.rstrip("/")
         self.user_settings = user_settings
+        self.granularity = granularity
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _touched(self, df: DataFrame, table: str) -> DataFrame:
+        return with_partition_column(df, table, self.granularity).select(
+            partition_column(table, self.granularity)).distinct()
+
     def __call__(self, events: DataFrame, batch_id: int) -> None:
         if events.isEmpty():
             return
-        s = self.spark
+        s, g = self.spark, self.granularity
         problems = s.read.parquet(self.path("problems"))
         plan = s.read.parquet(self.path("daily_plan"))
         log = s.read.parquet(self.path("daily_log"))
-        days = events.select("user_id", F.col("plan_date")).distinct()
         touched_ids = events.select(F.col("problem_id").alias("id")).distinct()
         new_p, new_plan, new_log = I.apply_status_events(problems, plan, log, self.user_settings, events)
-        # only the partitions that hold touched rows are rebuilt; all three are
+        # the partitions holding touched rows; all three outputs are
         # checkpointed before any is written, since they read the same folders
-        p_days = problems.join(touched_ids, "id", "left_semi").select("scheduled_date").distinct()
-        plan_days = days.select("plan_date").distinct()
-        out_p = materialise(new_p.join(p_days, "scheduled_date", "left_semi"))
-        out_plan = materialise(new_plan.join(plan_days, "plan_date", "left_semi"))
-        out_log = materialise(new_log.join(plan_days.withColumnRenamed("plan_date", "log_date"), "log_date",
-                                           "left_semi"))
-        write_partitions(out_p, self.path("problems"), ["scheduled_date"])
-        write_partitions(out_plan, self.path("daily_plan"), ["plan_date"])
-        write_partitions(out_log, self.path("daily_log"), ["log_date"])
+        p_parts = self._touched(problems.join(touched_ids, "id", "left_semi"), "problems")
+        plan_parts = self._touched(events.select("plan_date"), "daily_plan")
+        log_parts = self._touched(events.select(F.col("plan_date").alias("log_date")), "daily_log")
+        outs = []
+        for name, df, parts in (("problems", new_p, p_parts), ("daily_plan", new_plan, plan_parts),
+                                ("daily_log", new_log, log_parts)):
+            col = partition_column(name, g)
+            if g == "month":  # recompute the month column from the (possibly new) rows
+                df = with_partition_column(df.drop(col), name, g)
+            outs.append((name, col, materialise(df.join(parts, col, "left_semi"))))
+        for name, col, df in outs:
+            write_partitions(df, self.path(name), [col])
 
 
 def start_status_stream(spark: SparkSession, events_path: str, schema, root: str, user_settings: DataFrame,
-                        checkpoint: str, available_now: bool = True) -> StreamingQuery:
+                        checkpoint: str, available_now: bool = True, granularity: str = "day") -> StreamingQuery:
     """Read status events as they land and keep the tables current."""
     stream = spark.readStream.schema(schema).parquet(events_path)
-    w = stream.writeStream.foreachBatch(StatusEventSink(spark, root, user_settings)).option(
+    w = stream.writeStream.foreachBatch(StatusEventSink(spark, root, user_settings, granularity)).option(
         "checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
