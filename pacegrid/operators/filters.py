@@ -62,14 +62,16 @@ def first_catalog_match(algorithms: DataFrame, term: str, cols: Sequence[str] =
 def topic_view(users: DataFrame, problems: DataFrame, algorithms: DataFrame, term: str) -> DataFrame:
     """per user, problems whose topic/category/name contains the term
     (total, solved) and the first matching catalog entry.  The catalog match
-    is one row (``limit(1)``), attached by a broadcast join on a constant key."""
+    is one row (``limit(1)``), attached as a scalar subquery."""
     hit = problems.filter(text_match(["topic", "category", "name"], term))
     agg = hit.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"),
                                      F.count_if(F.col("status") == "Solved").alias("solved"))
     u = (users.select(F.col("id").alias("user_id")).join(agg, "user_id", "left")
          .fillna(0, subset=["total", "solved"]))
-    first = first_catalog_match(algorithms, term).withColumn("_one", F.lit(1))
-    return (u.withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one", "left").drop("_one"))
+    # the one-row catalog match is a scalar subquery: computed once, no join
+    first = first_catalog_match(algorithms, term)
+    m = first.select(F.struct(*first.columns)).scalar()
+    return u.select("user_id", "total", "solved", *[m[c].alias(c) for c in first.columns])
 
 
 def catalog_search(algorithms: DataFrame, term: str = "") -> DataFrame:
