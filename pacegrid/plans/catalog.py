@@ -667,3 +667,26 @@ def _x1(c: Ctx) -> DataFrame:
                               granularity="month")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/daily_log").drop("log_month")
+
+
+@query("s2_sheet_files")
+def _s2(c: Ctx) -> DataFrame:
+    """Two sheets written as CSV files (several part files each, every one
+    with its header row) and read back by the S2 reader, then normalised;
+    file and row identities are dropped since they depend on the writer."""
+    from ..sources.adapters import wide_sheets
+    base = _scratch(c, "s2")
+    for name, df in wide_sheets(c.t).items():
+        df.write.option("header", "true").csv(f"{base}/{name.replace(' ', '_')}")
+    tasks = N.normalise(SF.read_sheets(c.spark, f"{base}/*/*.csv"))
+    return tasks.select("name", "category", "topic", "difficulty", "platform", "problem_link", "resource_link",
+                        "scheduled_date", "status")
+
+
+@query("s4_json_feed_files")
+def _s4(c: Ctx) -> DataFrame:
+    """Feed items landed as JSON lines and read back by the S4 reader."""
+    base = _scratch(c, "s4")
+    (c.articles.select(F.col("seq").alias("id"), "title", "url", "score",
+                       F.array("tag_hint").alias("tag_list")).write.json(base))
+    return SF.read_json_feed(c.spark, base, "feed", multi_line=False).drop("seq")

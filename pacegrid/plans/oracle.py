@@ -909,3 +909,10 @@ select null::bigint id, user_id, name, category, topic, difficulty, status, sche
   'stream_0' import_batch, platform, problem_link, resource_link from ok""")
 
 SQL["x1_status_stream"] = SQL["i9_status_log"]
+
+SQL["s2_sheet_files"] = V(["sheet_cells"], _SHEETS + """
+select name, category, topic, difficulty, platform, problem_link, resource_link, scheduled_date, status
+from tasks_out where sheet in ('Topics', 'Week Plan')""")
+
+SQL["s4_json_feed_files"] = V(["articles"], """
+select 'feed' source, url, title, score, tag_hint from articles""")

@@ -206,6 +206,37 @@ def _cells(df: DataFrame, source_file: str, sheet: str, row_no: str,
     ).select("source_file", "sheet", "row_no", "c.col_no", "c.header", "c.value")
 
 
+def _topics_columns() -> list[tuple[str, Column]]:
+    """Topic-list sheet (layout B) over nation."""
+    return [
+        ("Topic", F.col("n_name")),
+        ("Priority", F.when(F.col("n_nationkey") % 3 == 0, "Must").when(F.col("n_nationkey") % 3 == 1, "low")
+         .otherwise("nan")),
+        ("Ref", F.concat(F.lit("site.org/"), F.lower("n_name"))),
+    ]
+
+
+def _grid_columns() -> list[tuple[str, Column]]:
+    """Day-grid sheet (layout C) over orders."""
+    return [
+        ("Day", F.when(F.col("o_orderstatus") == "P", "nan")
+         .otherwise(F.concat(F.lit("Day "), (F.col("o_orderkey") % 30 + 1).cast("string")))),
+        ("DSA", F.col("o_orderpriority")),
+        ("Aptitude", F.when(F.col("o_orderstatus") == "O", "")
+         .otherwise(F.concat(F.lit("apt "), F.col("o_custkey").cast("string")))),
+        ("HR round", F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise("intro")),
+        ("System Design", F.concat(F.lit("sd "), (F.col("o_custkey") % 9).cast("string"))),
+        ("Misc", F.concat(F.lit("m"), (F.col("o_custkey") % 5).cast("string"))),
+    ]
+
+
+def wide_sheets(t: Tables) -> dict[str, DataFrame]:
+    """The topic-list and day-grid sheets in their wide form (one column per
+    header), as a workbook would hold them."""
+    return {"Topics": t("nation").select(*[v.alias(h) for h, v in _topics_columns()]),
+            "Week Plan": t("orders").select(*[v.alias(h) for h, v in _grid_columns()])}
+
+
 def sheet_cells(t: Tables) -> DataFrame:
     """Four sheets, one per layout, built from part, nation and orders, with
     the traps of FIXTURES.md: blank/'nan'/'NONE' cells, padded and mixed-case
@@ -229,22 +260,8 @@ def sheet_cells(t: Tables) -> DataFrame:
          .otherwise(F.concat(F.lit("Day "), (F.col("p_partkey") % 30).cast("string")))),
         ("topic", F.col("p_brand")),
     ])
-    topics = _cells(n, "bank.xlsx", "Topics", "n_nationkey", [
-        ("Topic", F.col("n_name")),
-        ("Priority", F.when(F.col("n_nationkey") % 3 == 0, "Must").when(F.col("n_nationkey") % 3 == 1, "low")
-         .otherwise("nan")),
-        ("Ref", F.concat(F.lit("site.org/"), F.lower("n_name"))),
-    ])
-    grid = _cells(o, "plan.csv", "Week Plan", "o_orderkey", [
-        ("Day", F.when(F.col("o_orderstatus") == "P", "nan")
-         .otherwise(F.concat(F.lit("Day "), (F.col("o_orderkey") % 30 + 1).cast("string")))),
-        ("DSA", F.col("o_orderpriority")),
-        ("Aptitude", F.when(F.col("o_orderstatus") == "O", "")
-         .otherwise(F.concat(F.lit("apt "), F.col("o_custkey").cast("string")))),
-        ("HR round", F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise("intro")),
-        ("System Design", F.concat(F.lit("sd "), (F.col("o_custkey") % 9).cast("string"))),
-        ("Misc", F.concat(F.lit("m"), (F.col("o_custkey") % 5).cast("string"))),
-    ])
+    topics = _cells(n, "bank.xlsx", "Topics", "n_nationkey", _topics_columns())
+    grid = _cells(o, "plan.csv", "Week Plan", "o_orderkey", _grid_columns())
     unknown = _cells(n, "misc.csv", "hr round", "n_nationkey", [
         ("c1", F.col("n_name")),
         ("c2", F.when(F.col("n_regionkey") == 0, "nan")

@@ -111,9 +111,11 @@ ITEM_SCHEMA = T.StructType([
 RSS_SCHEMA = T.StructType([T.StructField("title", T.StringType()), T.StructField("link", T.StringType())])
 
 
-def read_json_feed(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Landed JSON feed items -> ``articles`` rows in file order."""
-    df = spark.read.schema(ITEM_SCHEMA).option("multiLine", "true").json(path)
+def read_json_feed(spark: SparkSession, path: str, source: str, multi_line: bool = True) -> DataFrame:
+    """Landed JSON feed items -> ``articles`` rows in file order.
+    ``multi_line``: each file is one JSON array (an API response); otherwise
+    one item per line."""
+    df = spark.read.schema(ITEM_SCHEMA).option("multiLine", str(multi_line).lower()).json(path)
     return df.select(F.monotonically_increasing_id().alias("seq"), F.lit(source).alias("source"), "url", "title",
                      F.coalesce("score", "public_reactions_count", F.lit(0)).alias("score"),
                      F.try_element_at("tag_list", F.lit(1)).alias("tag_hint"))
