@@ -1,5 +1,9 @@
 """Per-user rollups, all users in one job.
 
+Operators that take ``user_settings`` (S7: one row per user, defaults filled)
+drive their left joins from it; ``users`` is kept in their signature so all
+rollups are called alike.
+
 Scale notes.  Every rollup is a hash aggregate with a map-side partial step,
 so a user holding a third of all rows is pre-aggregated on each mapper before
 the shuffle and costs one row per mapper afterwards.  Users without rows come
@@ -104,8 +108,8 @@ def plan_progress(users: DataFrame, plan: DataFrame, user_settings: DataFrame, a
         F.count_if(F.col("plan_date") == d).alias("today_solved"),
         F.count_if(F.col("plan_date").between(ws, we)).alias("week_solved"),
         F.count_if(F.col("plan_date").between(ms, me)).alias("month_solved"))
-    s = user_settings.select("user_id", "daily_goal")
-    out = _zero(_users(users).join(s, "user_id", "left").join(agg, "user_id", "left"),
+    # user_settings already holds one row per user (S7), so it drives the join
+    out = _zero(user_settings.select("user_id", "daily_goal").join(agg, "user_id", "left"),
                 ["today_solved", "week_solved", "month_solved"])
     goal = F.col("daily_goal")
     return out.select(
@@ -123,7 +127,7 @@ def pace(users: DataFrame, problems: DataFrame, user_settings: DataFrame, as_of,
     d = as_date(as_of)
     rem = problems.groupBy("user_id").agg(
         F.count_if(F.col("status").isin("Pending", "Attempted")).alias("remaining"))
-    j = (_users(users).join(user_settings.select("user_id", "placement_deadline"), "user_id", "left")
+    j = (user_settings.select("user_id", "placement_deadline")
          .join(rem, "user_id", "left").fillna(0, subset=["remaining"]))
     days = F.datediff("placement_deadline", d).cast("bigint")
     days = F.greatest(F.lit(0).cast("bigint"), days) if clamp else days
@@ -159,8 +163,8 @@ def weekly_summary(users: DataFrame, log: DataFrame, user_settings: DataFrame, a
     wk = log.filter(F.col("log_date").between(week_start(d), d)).groupBy("user_id").agg(
         F.sum("problems_solved").cast("bigint").alias("week_solved"),
         F.count_if(F.col("problems_solved") > 0).alias("days_studied"))
-    j = _zero(_users(users).join(user_settings.select("user_id", "daily_goal"), "user_id", "left")
-              .join(wk, "user_id", "left"), ["week_solved", "days_studied"])
+    j = _zero(user_settings.select("user_id", "daily_goal").join(wk, "user_id", "left"),
+              ["week_solved", "days_studied"])
     goal7 = F.col("daily_goal") * 7
     band = (F.when(F.col("week_solved") < goal7 * 0.5, "behind")
             .when(F.col("week_solved") >= goal7, "smashed").otherwise("decent"))

@@ -86,8 +86,7 @@ def daily_series(users: DataFrame, log: DataFrame, user_settings: DataFrame, as_
     """The ``days`` days ending at ``as_of`` for every user, oldest first:
     solved (0 if no log row), target (log target, else the daily goal), label."""
     d = as_date(as_of)
-    spine = (user_settings.select("user_id", "daily_goal")
-             .join(users.select(F.col("id").alias("user_id")), "user_id", "inner")
+    spine = (user_settings.select("user_id", "daily_goal")   # one row per user (S7)
              .withColumn("log_date", F.explode(F.sequence(F.date_sub(d, days - 1), d))))
     recent = (log.filter(F.col("log_date").between(F.date_sub(d, days - 1), d))
               .select("user_id", "log_date", "problems_solved", "problems_target"))

@@ -31,3 +31,13 @@ class Ctx:
     @cached_property
     def user_settings(self) -> DataFrame:
         return user_settings(self.users, self.settings)
+
+    def register_views(self) -> None:
+        """Temp views of the base tables and of every tracker view, so SQL
+        users can write ``spark.sql("select ... from problems")``."""
+        self.t.register_views()
+        for name in ("users", "problems", "daily_log", "daily_plan", "projects", "milestones", "algorithms",
+                     "settings", "articles", "imports", "prompts", "tasks", "status_events", "activity",
+                     "feedback", "sheet_cells"):
+            getattr(self, name).createOrReplaceTempView(name)
+        self.user_settings.createOrReplaceTempView("user_settings")

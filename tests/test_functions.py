@@ -100,3 +100,14 @@ def test_news_fallback_when_nothing_passes(spark):
     out = T.merge_news(T.feed_items(arts), limit=9).orderBy("rank").collect()
     assert len(out) == 9 and out[0].score == 100 and out[0].tag == "Career"
     assert [r.rank for r in out] == list(range(1, 10))
+
+
+def test_sql_users_see_the_same_tables(spark):
+    from conftest import SF_SMALL
+    from pacegrid.operators import rollups as R
+    from pacegrid.plans.context import Ctx
+    c = Ctx(spark, SF_SMALL)
+    c.register_views()
+    via_sql = spark.sql("select user_id, count(*) total from problems group by user_id")
+    via_df = R.status_rollup(c.users, c.problems).filter("total > 0").select("user_id", "total")
+    assert sorted(map(tuple, via_sql.collect())) == sorted(map(tuple, via_df.collect()))
