@@ -150,7 +150,7 @@ def delete_one(problems: DataFrame, plan: DataFrame, ids: DataFrame):
             plan.join(k.withColumnRenamed("id", "problem_id"), ["problem_id", "user_id"], "left_anti"))
 
 
-def generate_plans(problems: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+def generate_plans(problems: DataFrame, dates: DataFrame | None = None, bucket_width: int = 1 << 16) -> DataFrame:
     """I8: plan rows of every (user, day): the Pending problems scheduled that
     day, Easy first then Medium then the rest, by id; index from 0.
 
@@ -163,7 +163,8 @@ def generate_plans(problems: DataFrame, dates: DataFrame | None = None) -> DataF
                  difficulty_rank().alias("_rank")))
     if dates is not None:
         p = p.join(dates.select("user_id", "plan_date").distinct(), ["user_id", "plan_date"], "left_semi")
-    pos = skew_safe_positions(p, ["user_id", "plan_date"], ["_rank"], "problem_id", name="order_index")
+    pos = skew_safe_positions(p, ["user_id", "plan_date"], ["_rank"], "problem_id", name="order_index",
+                              bucket_width=bucket_width)
     return pos.select("user_id", "plan_date", "problem_id", "order_index", F.lit("Pending").alias("status"))
 
 
