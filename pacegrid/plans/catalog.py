@@ -601,14 +601,19 @@ def _scratch(c: Ctx, name: str) -> str:
     return f"{checkpoint_dir(c.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+TASKS_PER_REQUEST = 1000
+
+
 @query("s3_task_list_files")
 def _s3(c: Ctx) -> DataFrame:
-    """Import requests written as JSON lines (one request per user, tasks in
-    ``seq`` order), read back by the S3 reader."""
-    t = c.tasks
-    req = (t.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "topic", "category")))
-                                    .alias("_t"))
-           .select("user_id", F.lit("add").alias("mode"), F.lit("tasks.xlsx").alias("filename"),
+    """Import requests written as JSON lines and read back by the S3 reader.
+    A request holds one user's tasks of one block of ``TASKS_PER_REQUEST``
+    sequence numbers (in ``seq`` order), so no request grows with the data."""
+    t = c.tasks.withColumn("block", F.floor(F.col("seq") / TASKS_PER_REQUEST))
+    req = (t.groupBy("user_id", "block")
+           .agg(F.array_sort(F.collect_list(F.struct("seq", "name", "topic", "category"))).alias("_t"))
+           .select("user_id", F.lit("add").alias("mode"), F.concat(F.lit("tasks_"), F.col("block").cast("string"),
+                                                                   F.lit(".xlsx")).alias("filename"),
                    F.transform("_t", lambda x: F.struct(x["name"].alias("name"), x["topic"].alias("topic"),
                                                         x["category"].alias("category"))).alias("tasks")))
     path = _scratch(c, "s3")

@@ -895,8 +895,8 @@ select run, count(*)::bigint articles, arg_min(title, rank) first_title, arg_max
 from ({_news_sql(9)}) d group by run"""
 
 SQL["s3_task_list_files"] = V(["tasks", "problems"], """
-select user_id, 'add' mode, 'tasks.xlsx' filename,
-  (row_number() over (partition by user_id order by seq) - 1)::bigint pos, name, topic, category,
+select user_id, 'add' mode, 'tasks_' || cast(seq // 1000 as varchar) || '.xlsx' filename,
+  (row_number() over (partition by user_id, seq // 1000 order by seq) - 1)::bigint pos, name, topic, category,
   null::date scheduled_date
 from tasks""")
 
