@@ -237,10 +237,21 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def contains_any(text, keywords: Iterable[str], lowered: bool = False) -> Column:
+def _word_regex(keywords: Iterable[str]) -> str:
+    """Keywords as whole words: not preceded or followed by a letter or digit."""
+    alts = "|".join(r"\Q" + k + r"\E" for k in keywords)
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{alts})(?![\p{{L}}\p{{N}}])"
+
+
+def contains_any(text, keywords: Iterable[str], lowered: bool = False, whole_word: bool = False) -> Column:
     """True when the lower-cased text contains any keyword (OR of ``contains``;
-    each is a JVM ``indexOf`` inside codegen and the chain short-circuits)."""
+    each is a JVM ``indexOf`` inside codegen and the chain short-circuits).
+    ``whole_word=True`` (Q16 option) matches whole words only, so "ai" no
+    longer hits "train"; it compiles to one regex per rule."""
     t = _c(text) if lowered else F.lower(_c(text))
+    keywords = list(keywords)
+    if whole_word:
+        return t.rlike(_word_regex(keywords)) if keywords else F.lit(False)
     cond = None
     for k in keywords:
         e = t.contains(F.lit(k))
@@ -248,12 +259,13 @@ def contains_any(text, keywords: Iterable[str], lowered: bool = False) -> Column
     return cond if cond is not None else F.lit(False)
 
 
-def first_label(text, rules: Sequence[tuple[Sequence[str], str]], default, lowered: bool = False) -> Column:
+def first_label(text, rules: Sequence[tuple[Sequence[str], str]], default, lowered: bool = False,
+                whole_word: bool = False) -> Column:
     """Label of the first rule whose keywords occur in the text, else ``default``."""
     t = _c(text) if lowered else F.lower(_c(text))
     out = None
     for keys, label in rules:
-        cond = contains_any(t, keys, lowered=True)
+        cond = contains_any(t, keys, lowered=True, whole_word=whole_word)
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
     d = default if isinstance(default, Column) else F.lit(default)
     return d if out is None else out.otherwise(d)

@@ -21,14 +21,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def is_relevant(title) -> Column:
-    """The lower-cased text contains any relevance keyword."""
-    return RU.contains_any(_c(title), RU.RELEVANCE_KEYWORDS)
+def is_relevant(title, whole_word: bool = False) -> Column:
+    """The lower-cased text contains any relevance keyword
+    (``whole_word``: the Q16 option, whole words only)."""
+    return RU.contains_any(_c(title), RU.RELEVANCE_KEYWORDS, whole_word=whole_word)
 
 
-def topic_tag(title) -> Column:
+def topic_tag(title, whole_word: bool = False) -> Column:
     """Label of the first tag rule whose keywords occur, else Tech."""
-    return RU.first_label(_c(title), RU.TAG_RULES, RU.DEFAULT_TAG)
+    return RU.first_label(_c(title), RU.TAG_RULES, RU.DEFAULT_TAG, whole_word=whole_word)
 
 
 def needs_personal_context(message) -> Column:

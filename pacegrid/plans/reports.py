@@ -160,18 +160,23 @@ SEPARATOR = NL + NL + "---" + NL + "**USER QUERY:**" + NL
 RESOURCE_HEADER = NL + NL + "[ONLINE RESOURCES — include these links in your answer]:" + NL
 
 
-def assemble_prompts(prompts: DataFrame, contexts: DataFrame) -> DataFrame:
+def assemble_prompts(prompts: DataFrame, contexts: DataFrame, route_on: str = "message") -> DataFrame:
     """For each message, the status context in front when it asks about
     the user's own status, and a link block behind when it asks for
-    resources.  The user of a conversation is its ``conv_id``."""
+    resources.  The user of a conversation is its ``conv_id``.
+
+    ``route_on='prompt'`` routes on the assembled prompt, as the tracker's
+    fallback did (Q19: a personal question then carries "Today's" and goes to
+    the daily report); the default routes on the message itself."""
     p = prompts.withColumn("user_id", F.col("conv_id"))
     j = p.join(contexts.select("user_id", "context"), "user_id", "left")
     personal = T.needs_personal_context("message") & F.col("context").isNotNull()
     body = F.when(personal, F.concat("context", F.lit(SEPARATOR), "message")).otherwise(F.col("message"))
     links = F.concat(F.lit("- "), F.regexp_replace(T.resource_links(T.resource_topic("message")), NL, NL + "- "))
     prompt = F.when(T.wants_resources("message"), F.concat(body, F.lit(RESOURCE_HEADER), links)).otherwise(body)
+    routed = T.route(prompt) if route_on == "prompt" else T.route("message")
     return j.select("conv_id", "turn", personal.alias("personal"), T.wants_resources("message").alias("resources"),
-                    T.route("message").alias("intent"), prompt.alias("prompt"))
+                    routed.alias("intent"), prompt.alias("prompt"))
 
 
 BRIEFING_TAIL = ("Generate a short (4-5 sentences), direct, honest daily briefing." + NL

@@ -111,3 +111,35 @@ def test_sql_users_see_the_same_tables(spark):
     via_sql = spark.sql("select user_id, count(*) total from problems group by user_id")
     via_df = R.status_rollup(c.users, c.problems).filter("total > 0").select("user_id", "total")
     assert sorted(map(tuple, via_sql.collect())) == sorted(map(tuple, via_df.collect()))
+
+
+def test_whole_word_option(spark):
+    df = spark.createDataFrame([("Training plans for the week",), ("An AI model",), ("go-lang tips",)], "t string")
+    sub = [r[0] for r in df.select(T.topic_tag("t")).collect()]
+    word = [r[0] for r in df.select(T.topic_tag("t", whole_word=True)).collect()]
+    assert sub == ["AI/ML", "AI/ML", "Languages"]       # substring: "ai" in "training"
+    assert word == ["Tech", "AI/ML", "Languages"]      # whole words: "go" before "-" still counts
+    rel = [r[0] for r in df.select(T.is_relevant("t", whole_word=True)).collect()]
+    assert rel == [False, True, False]
+
+
+def test_route_on_assembled_prompt(spark):
+    from pacegrid.plans.reports import assemble_prompts
+    msgs = spark.createDataFrame([(1, 0, "how am i doing")], "conv_id long, turn long, message string")
+    ctx = spark.createDataFrame([(1, "[USER CURRENT STATUS]\\nToday's Plan:\\n")], "user_id long, context string")
+    by_msg = assemble_prompts(msgs, ctx).first()
+    by_prompt = assemble_prompts(msgs, ctx, route_on="prompt").first()
+    assert by_msg.personal and by_msg.intent == "default"
+    assert by_prompt.intent == "daily"
+
+
+def test_category_column_option(spark):
+    from pacegrid.operators import sheets as N
+    cells = spark.createDataFrame(
+        [("f.csv", "Sheet", 1, 1, "Problem", "A"), ("f.csv", "Sheet", 1, 2, "Category", "SQL"),
+         ("f.csv", "Sheet", 2, 1, "Problem", "B"), ("f.csv", "Sheet", 2, 2, "Category", "nan")],
+        "source_file string, sheet string, row_no long, col_no int, header string, value string")
+    default = {r.name: r.category for r in N.normalise(cells).collect()}
+    opted = {r.name: r.category for r in N.normalise(cells, use_category_column=True).collect()}
+    assert default == {"A": "DSA", "B": "DSA"}          # Q12 kept: the sheet decides
+    assert opted == {"A": "SQL", "B": "DSA"}
