@@ -695,3 +695,100 @@ def _s4(c: Ctx) -> DataFrame:
     (c.articles.select(F.col("seq").alias("id"), "title", "url", "score",
                        F.array("tag_hint").alias("tag_list")).write.json(base))
     return SF.read_json_feed(c.spark, base, "feed", multi_line=False).drop("seq")
+
+
+# One line per key for ``python -m pacegrid list`` (where the function has no docstring).
+DESCRIPTIONS = {
+    "a1_status_rollup": "A1 total/solved/attempted/pending/skipped per user",
+    "a2_category_breakdown": "A2 total and solved per (user, category)",
+    "a3_top_skipped_topics": "A3 three most-skipped topics per user",
+    "a4_plan_progress": "A4 solved plan rows today/week/month against the goal",
+    "a5_category_coverage": "A5 share of categories with a solved problem",
+    "a6_readiness": "A6 readiness score per user (flagship)",
+    "a7_pace": "A7 days left and problems needed per day",
+    "a8_project_completion": "A8 milestone completion per project",
+    "a9_plan_day_log": "A9 solved plan rows per (user, day) as log rows",
+    "a10_weekly_summary": "A10 week's solved count, studied days and band",
+    "a11_import_totals": "A11 imported and skipped-duplicate counts per user",
+    "a12_plan_existence": "A12 plan rows present per wanted (user, day)",
+    "f1_problem_search": "F1 problem search by category/status/difficulty/text",
+    "f2_topic_view": "F2 per-user topic totals and the first catalog match",
+    "f3_catalog_search": "F3 catalog search by name/pattern/description",
+    "f4_distinct_topics": "F4 distinct non-empty topics per user",
+    "f5_problems_in_range": "F5 problems scheduled in a date range",
+    "f6_owned_milestones": "F6 milestones with the owner of their project",
+    "f7_fill_defaults": "F7 new-row defaults for incoming tasks",
+    "j1_plan_with_problems": "J1 plan rows joined to their problems",
+    "j2_plan_rows_in_category": "J2 plan rows whose problem is in a category (semi join)",
+    "j3_unprotected_problems": "J3 problems outside the user's protected batches (anti join)",
+    "j4_new_tasks": "J4 incoming tasks not already stored (anti join)",
+    "j5_catalog_seed": "J5 catalog plus absent seed entries",
+    "j6_yesterday_solved": "J6 yesterday's solved count per user, 0 if no log row",
+    "l2_recent_logs": "L2 14 most recent log days per user",
+    "l2_recent_imports": "L2 50 newest import-ledger rows per user",
+    "l3_milestone_order": "L3 milestone positions within their project",
+    "l4_top_articles": "L4 top 9 articles by score",
+    "l5_source_caps": "L5 first 5 items per feed source",
+    "l6_heads": "L6 first 120 characters and first 12 words of each document",
+    "n1_header_map": "N1 header-to-field mapping per sheet",
+    "n2_sheet_layouts": "N2/N7 layout and category per sheet",
+    "n3_normalise_sheets": "N3-N6, N9-N12 all sheets as one task table",
+    "n8_link_platforms": "N8/N9 repaired links and their platform",
+    "n10_parse_dates": "N10 dates parsed from several text formats",
+    "n11_difficulty_words": "N11 difficulty words mapped for both layouts",
+    "n13_upload_summary": "N13 sheets and task count per file",
+    "i1_import_add": "I1 rows inserted by an add-mode import",
+    "i2_import_replace": "I2 problems table after a replace-mode import",
+    "i3_ledger_rows": "I3 import-ledger rows of a batch",
+    "i4_toggle_protection": "I4 ledger after toggling protection",
+    "i5_delete_range": "I5 rows left after deleting a date range (with plan cascade)",
+    "i5_delete_batch": "I5 rows left after deleting an unprotected batch",
+    "i5_refuse_batch": "I5 a protected batch: the delete is refused",
+    "i6_clear_imports": "I6 rows left after clearing imports",
+    "i7_delete_one": "I7 plan rows left after deleting problems",
+    "i8_generate_plans": "I8 generated plans for every (user, day)",
+    "i9_status_log": "I9 activity log after status events",
+    "i9_problem_status": "I9 problem statuses after status events",
+    "i10_activity_upsert": "I10 activity log after activity entries",
+    "i11_milestone_completion": "I11 project completion after milestone updates",
+    "i12_settings_upsert": "I12 settings after an upsert",
+    "i13_mastery_upsert": "I13 per-user mastery after an upsert",
+    "s2_sheet_files": "S2 CSV sheet files read back and normalised",
+    "s3_task_list_files": "S3 JSON import requests read back",
+    "s4_json_feed_files": "S4 JSON feed items read back",
+    "s5_news_cache_json": "S5 news digest encoded to and decoded from JSON",
+    "s6_resource_json": "S6 first JSON block in a text",
+    "s7_user_settings": "S7 per-user settings with defaults",
+    "s8_rows_json": "S8 rows as JSON objects",
+    "s9_daily_cache": "S9 daily news cache with expiry",
+    "s10_latest_feedback": "S10 latest stored feedback per (user, day, type)",
+    "t1_relevance": "T1 relevance flag of each item",
+    "t2_topic_tags": "T2 topic tag of each item",
+    "t2_tag_counts": "T2 items and relevant items per tag",
+    "t3_news_digest": "T3/T4 news merge: gates, caps, dedup, ranking",
+    "t5_personal_intent": "T5 personal-status intent of each message",
+    "t6_resource_topic": "T6 resource intent and topic of each message",
+    "t7_resource_links": "T7 resource links for resource questions",
+    "t8_route": "T8 report route of each message",
+    "t8_route_counts": "T8 messages per route",
+    "t9_status_context": "T9 structured status context per user",
+    "t9_status_text": "T9 status context text per user",
+    "t10_daily_report": "T10 daily report per user",
+    "t11_suggestion_report": "T11 suggestion report per user",
+    "t12_weekly_report": "T12 weekly report per user",
+    "t12_news_report": "T12 news report per feed run",
+    "t13_prompts": "T13 assembled coach prompts",
+    "t13_briefing_prompts": "T13 daily briefing prompt per user",
+    "w1_streak": "W1 solve streak per user",
+    "w2_plan_order": "W2 position of each problem in its (user, day)",
+    "w3_daily_series": "W3 30-day solved/target series per user",
+    "w4_first_wins_articles": "W4/T4 first-wins dedup on the title key",
+    "x1_status_stream": "X1 status-event stream keeping plan/log/problems current",
+    "x2_import_stream": "X2 import stream deduplicated across batches",
+    "x3_daily_solved": "X3 solved events per user per day",
+    "x3_weekly_solved": "X3 solved events per user per Monday week",
+    "x4_stream_routing": "X4 message routing on a stream",
+}
+for _k, _d in DESCRIPTIONS.items():
+    if _k in QUERIES and not QUERIES[_k].__doc__:
+        QUERIES[_k].__doc__ = _d
