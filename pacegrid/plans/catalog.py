@@ -266,10 +266,15 @@ def _i4(c: Ctx) -> DataFrame:
 
 
 def _count_by_user(users: DataFrame, **tables: DataFrame) -> DataFrame:
-    out = users.select(F.col("id").alias("user_id"))
+    """Rows per user in each table: the tables' user ids are tagged and
+    unioned, so one partially aggregated shuffle counts them all."""
+    tagged = None
     for name, df in tables.items():
-        out = out.join(df.groupBy("user_id").agg(F.count(F.lit(1)).alias(name)), "user_id", "left")
-    return out.fillna(0, subset=list(tables))
+        t = df.select("user_id", F.lit(name).alias("_t"))
+        tagged = t if tagged is None else tagged.unionByName(t)
+    counts = tagged.groupBy("user_id").agg(*[F.count_if(F.col("_t") == n).alias(n) for n in tables])
+    return (users.select(F.col("id").alias("user_id")).join(counts, "user_id", "left")
+            .fillna(0, subset=list(tables)))
 
 
 @query("i5_delete_range")
