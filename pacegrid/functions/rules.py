@@ -271,12 +271,12 @@ def first_label(text, rules: Sequence[tuple[Sequence[str], str]], default, lower
     return d if out is None else out.otherwise(d)
 
 
-def sheet_category(sheet_name) -> Column:
+def sheet_category(sheet_name, whole_word: bool = False) -> Column:
     """N7 sheet-name part: label of the first key the name contains, NULL if none."""
     t = F.lower(_c(sheet_name))
     out = None
     for key, label in SHEET_CATEGORY_RULES:
-        cond = t.contains(F.lit(key))
+        cond = t.rlike(_word_regex([key])) if whole_word else t.contains(F.lit(key))
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
     return out
 

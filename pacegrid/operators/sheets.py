@@ -87,20 +87,21 @@ def difficulty_topic_list(v: Column) -> Column:
             .when(lv.isin(*RU.LOW_PRIORITY_WORDS), "Low").otherwise("Medium"))
 
 
-def header_category(h_low: Column) -> Column:
+def header_category(h_low: Column, whole_word: bool = False) -> Column:
     """N7 header part for one header: Aptitude, Verbal or NULL."""
     out = None
     for keys, label in RU.HEADER_CATEGORY_RULES:
-        cond = RU.contains_any(h_low, keys, lowered=True)
+        cond = RU.contains_any(h_low, keys, lowered=True, whole_word=whole_word)
         out = F.when(cond, label) if out is None else out.when(cond, label)
     return out
 
 
-def day_grid_category(h_low: Column) -> Column:
+def day_grid_category(h_low: Column, whole_word: bool = False) -> Column:
     """Category of a day-grid column from its header, else N7 on the
     header text alone, else DSA."""
-    by_header = RU.first_label(h_low, RU.DAY_GRID_HEADER_RULES, F.lit(None).cast("string"), lowered=True)
-    return F.coalesce(by_header, RU.sheet_category(h_low), F.lit(RU.DEFAULT_CATEGORY))
+    by_header = RU.first_label(h_low, RU.DAY_GRID_HEADER_RULES, F.lit(None).cast("string"), lowered=True,
+                               whole_word=whole_word)
+    return F.coalesce(by_header, RU.sheet_category(h_low, whole_word), F.lit(RU.DEFAULT_CATEGORY))
 
 
 # --- per-sheet decisions ---------------------------------------------------
@@ -118,7 +119,7 @@ def _alias_rank(field_aliases: list[str], h_low: Column) -> Column:
     return F.try_element_at(m, h_low)
 
 
-def sheet_decisions(headers: DataFrame) -> DataFrame:
+def sheet_decisions(headers: DataFrame, whole_word: bool = False) -> DataFrame:
     """N1 + N2 + N7 in one aggregate over the distinct headers: per sheet the
     mapped column of every field (``map_<field>``), the topic-list and
     day-grid columns, the layout and the sheet category.
@@ -134,7 +135,7 @@ def sheet_decisions(headers: DataFrame) -> DataFrame:
                     .alias(f"map_{field}"))
     first = lambda cond: F.min(F.when(cond, F.col("col_no")))
     hl = F.col("h_low")
-    hc = header_category(hl)
+    hc = header_category(hl, whole_word)
     aggs += [first(hl.isin(*RU.TOPIC_LIST_TOPIC_HEADERS)).alias("topic_col"),
              first(hl.isin(*RU.TOPIC_LIST_LINK_HEADERS)).alias("link_col"),
              first(hl.isin(*RU.TOPIC_LIST_PRIORITY_HEADERS)).alias("priority_col"),
@@ -143,7 +144,8 @@ def sheet_decisions(headers: DataFrame) -> DataFrame:
     d = headers.groupBy(*SHEET_KEY).agg(*aggs)
     layout = (F.when(F.col("map_name").isNotNull(), "A").when(F.col("topic_col").isNotNull(), "B")
               .when(F.col("day_header").isNotNull(), "C").otherwise("D"))
-    category = F.coalesce(RU.sheet_category(F.col("sheet")), F.col("_hcat"), F.lit(RU.DEFAULT_CATEGORY))
+    category = F.coalesce(RU.sheet_category(F.col("sheet"), whole_word), F.col("_hcat"),
+                          F.lit(RU.DEFAULT_CATEGORY))
     return d.withColumn("layout", layout).withColumn("category", category).drop("_hcat")
 
 
@@ -165,15 +167,17 @@ def sheet_layouts(headers: DataFrame, mapping: DataFrame | None = None) -> DataF
 
 # --- row assembly: all layouts in one pass ----------------------------------
 
-def normalise(cells: DataFrame, use_category_column: bool = False) -> DataFrame:
+def normalise(cells: DataFrame, use_category_column: bool = False, whole_word: bool = False) -> DataFrame:
     """N3-N6 + N13: every sheet's rows as one task table, status Pending.
+    ``use_category_column`` (Q12) and ``whole_word`` (Q16) switch the kept
+    quirks off.
 
     Plan: distinct headers -> one per-sheet aggregate (small, size-checked
     before it is broadcast) -> joined to the cells -> hash-partitioned by
     (source_file, sheet, row_no) -> one window whose partitions hold one
     row's cells and gather each row's fields for every layout at once.
     """
-    d = sheet_decisions(sheet_headers(cells)).persist()
+    d = sheet_decisions(sheet_headers(cells), whole_word).persist()
     # Broadcast the per-sheet decisions only after checking their size (one
     # small row per sheet); beyond the bound AQE joins them, splitting a hot
     # sheet with its skew-join handling.
@@ -226,7 +230,8 @@ def normalise(cells: DataFrame, use_category_column: bool = False) -> DataFrame:
     out = c.filter(keep).select(
         *ROW_KEY, F.when(lay == "C", F.col("col_no").cast("int")).alias("col_no"),
         pick(a_name, b_name, F.try_element_at(vals, F.lit(1)), F.trim("value")).alias("name"),
-        pick(a_category, F.col("category"), F.col("category"), day_grid_category(F.lower("h"))).alias("category"),
+        pick(a_category, F.col("category"), F.col("category"),
+             day_grid_category(F.lower("h"), whole_word)).alias("category"),
         pick(clean(F.col("f_topic")), b_name, F.coalesce(F.try_element_at(vals, F.lit(2)), F.lit("")),
              F.col("h")).alias("topic"),
         pick(difficulty_named(clean(F.col("f_difficulty"))),

@@ -143,3 +143,14 @@ def test_category_column_option(spark):
     opted = {r.name: r.category for r in N.normalise(cells, use_category_column=True).collect()}
     assert default == {"A": "DSA", "B": "DSA"}          # Q12 kept: the sheet decides
     assert opted == {"A": "SQL", "B": "DSA"}
+
+
+def test_whole_word_sheet_categories(spark):
+    from pacegrid.operators import sheets as N
+    cells = spark.createDataFrame(
+        [("f.csv", "Photos", 1, 1, "c1", "x"), ("f.csv", "HR round", 1, 1, "c1", "y")],
+        "source_file string, sheet string, row_no long, col_no int, header string, value string")
+    sub = {r.sheet: r.category for r in N.normalise(cells).collect()}
+    word = {r.sheet: r.category for r in N.normalise(cells, whole_word=True).collect()}
+    assert sub == {"Photos": "Interview", "HR round": "HR"}      # "os" inside "photos"
+    assert word == {"Photos": "DSA", "HR round": "HR"}
