@@ -42,3 +42,12 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["user_id", "total", "solved", "solved_pct", "coverage_pct", "streak", "readiness"]
     assert df.count() > 0
+
+
+def test_no_row_caps_outside_features():
+    """Queries run over whole tables: a LIMIT appears only where it is the
+    feature (the top-9 list and the first catalog match), never sampling."""
+    import re
+    capped = sorted(k for k, v in SQL.items() if re.search(r"\blimit\b", v, re.I))
+    assert capped == ["f2_topic_view", "l4_top_articles"]
+    assert not [k for k, v in SQL.items() if re.search(r"tablesample|using sample", v, re.I)]
