@@ -10,8 +10,10 @@ segments that is not empty, in its own band and, if a linked set may be one band
 K differences spoil at most K segments, so ANY K + 1 signatures of a set find every linked set: expensive
 buckets can be left out as long as K + 1 others remain.  That is the cost-based allocation:
 
-1. Every bucket links its members to its smallest member (a star, linear in the bucket); the pairs
-   are verified exactly and give first components.
+1. Every bucket links its members to its smallest member (a star, linear in the bucket).  A parity sketch of
+   2 to 4 bits a shingle rules out pairs that must differ too much (the sketches' difference never exceeds that of the
+   sets).  Each set is verified exactly with the member it shares most buckets with, and with others only
+   where the components so far differ.
 2. A bucket whose members are all in one component is free: nothing can be found there any more.  A set with
    K + 1 free buckets is finished.
 3. The sets that are left (made mostly of shared text) share a bucket only with each other.  Each buys its
@@ -34,7 +36,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, hash_strings, mix64, slices, split_words, stored, texts
@@ -134,11 +136,35 @@ def segment_table(h: np.ndarray, offsets: np.ndarray, per_segment: float = PER_S
 
 # ---- passes over the documents ----
 
-INFO = "doc_id long, n_shingles long, own_segments long, up_segments long"
+INFO = "doc_id long, n_shingles long, own_segments long, up_segments long, sketch binary"
 RUNS = "part int, sigs binary, rows binary, docs binary"
 SHARED = "sig long, doc_id long, family int, pivot long"
 
 
+def sketches(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Parity sketch of each set: bit ``shingle mod B`` flips with every shingle; B is a power of two from 2 to 4 times the size."""
+    size = np.diff(offsets)
+    bits = (2 ** np.ceil(np.log2(np.maximum(2 * size, 64)))).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(size)), size)
+    at = base[owner] + (h % bits[owner].astype(U64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8)).tobytes() if len(size) else b""
+    cut = (base // 8).tolist()
+    return [packed[a:b] for a, b in zip(cut, cut[1:])]
+
+
+def may_link(n: int, x: bytes, m: int, y: bytes) -> bool:
+    """False only if the sets cannot link: sizes too far apart, or more differences than links allow."""
+    if not n or not m or 5 * min(n, m) < 4 * max(n, m):
+        return False
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum()) * 9 <= n + m
+
+
 def set_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -148,8 +174,9 @@ def set_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> DataFrame:
                 for owner, family, *_ in segment_table(h, offsets, per_segment):
                     if len(owner):
                         n[family[0]] += np.bincount(owner, minlength=len(offsets) - 1)
-                yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n[0]), pa.array(n[1])],
-                                      names=["doc_id", "n_shingles", "own_segments", "up_segments"])
+                yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n[0]), pa.array(n[1]),
+                                       pa.array(sketches(h, offsets), pa.binary())],
+                                      names=["doc_id", "n_shingles", "own_segments", "up_segments", "sketch"])
 
     return texts(docs).mapInArrow(run, INFO)
 
@@ -240,6 +267,28 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 80 * (len(a) + len(b) - common)
 
 
+def plausible(info: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) that sizes and sketches do not rule out."""
+    one = info.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("_na"), F.col("sketch").alias("_sa"))
+    two = info.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("_nb"), F.col("sketch").alias("_sb"))
+    names = pairs.columns
+
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("_na", "_sa", "_nb", "_sb")))
+            yield b.select(names).filter(pa.array([may_link(*r) for r in rows], pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select(*names, "_na", "_sa", "_nb", "_sb").mapInArrow(run, pairs.schema)
+
+
+def _different(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs whose ends are not in one component yet."""
+    c = comps.select(F.col("id").alias("a"), F.col("component_id").alias("_ca"))
+    e = comps.select(F.col("id").alias("b"), F.col("component_id").alias("_cb"))
+    return (pairs.join(c, "a", "left").join(e, "b", "left")
+            .filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).drop("_ca", "_cb"))
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
@@ -367,8 +416,15 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
     size = all_docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(32, -(-size // PART_BYTES))
     shared = stored(packed_signatures(base, parts, per_segment).groupBy("part").applyInPandas(_shared, SHARED), "shared")
-    pairs = shared.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).filter("a < b").distinct()
-    links = stored(verified(base, stored(pairs, "pairs")).unionByName(copies), "links1")
+    pairs = (shared.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).filter("a < b")
+             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    ids = info.filter("doc_id is not null")
+    pairs = stored(plausible(ids, pairs), "pairs")
+    order = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    pairs = pairs.withColumn("nth", F.row_number().over(order)).select("a", "b", "nth")
+    first = stored(verified(base, pairs.filter("nth = 1").select("a", "b")).unionByName(copies), "links0")
+    rest = stored(_different(pairs.filter("nth > 1").select("a", "b"), connected_components(first)), "rest")
+    links = stored(first.unionByName(verified(base, rest)), "links1")
     comps = stored(connected_components(links), "components1")
 
     # step 2: buckets with several components, and the sets they leave without K + 1 free ones
@@ -396,7 +452,7 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
     probe = asked.filter("probe and key is not null").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("cx"))
     index = asked.filter("key is not null").select("key", F.col("doc_id").alias("y"), F.col("comp").alias("cy"))
     more = probe.join(index, "key").filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.unionByName(verified(base, stored(more, "more_pairs")))
+    links = links.unionByName(verified(base, stored(plausible(ids, more), "more_pairs")))
     # step 4
     lacking = asked.filter("key is null").select("doc_id").distinct()
     links = stored(links.unionByName(_block_pairs(base, lacking)), "links2")

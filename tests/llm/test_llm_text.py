@@ -147,6 +147,17 @@ def test_components_against_brute_force(spark, seed, per_segment):
     assert {i: (size[i], comp.get(i, i)) for i in size} == brute_components(rows)
 
 
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(9)
+    for n in (1, 4, 5, 40, 64, 65, 700):
+        for change in (0, 1, n // 10, n // 9, n // 5, n):
+            a = np.unique(rng.integers(0, 2 ** 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[change:], rng.integers(0, 2 ** 63, rng.integers(0, change + 1), dtype=np.uint64)]))
+            x, y = (ngram_join.sketches(s, np.array([0, len(s)]))[0] for s in (a, b))
+            if ngram_join.linked(a, b):
+                assert ngram_join.may_link(len(a), x, len(b), y)
+
+
 def test_components_query(spark):
     want = brute_components([(i, r["text"]) for i, r in table(spark).items()])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op6_ngram_join"](spark, SF).collect()}
