@@ -19,7 +19,8 @@ buckets can be left out as long as K + 1 others remain.  That is the cost-based
 3. The sets that are left (made mostly of shared text) share a bucket only with each other.  Each buys its
    missing units where they are cheapest: a free segment of two shingles or more is raised to its one-deletion
    neighbourhood (linked sets then differ by at most one shingle there), and after those the smallest
-   mixed buckets are taken.  Pairs of different components are verified exactly.
+   mixed buckets are taken.  Sets that meet in a busy bucket this way are compared sketch by sketch in
+   blocks, so only pairs that may link become rows.  Pairs of different components are verified exactly.
 4. A set whose segments cannot supply K + 1 units (possible when hashing crowds its shingles into few
    segments) is compared with all sets in blocks of bounded size.
 
@@ -47,7 +48,8 @@ WORDS = 5
 SMALL = 16                 # below this size every shingle is a segment
 PER_SEGMENT = 2            # shingles per segment at the top of a band
 PART_BYTES = 4_000_000     # text behind one part of the hash range
-BLOCK = 256                # sets in one block of step 4
+BLOCK = 256                # sets in one block of steps 3 and 4
+FEW = 16                   # members up to which the pairs of a bucket of step 3 are formed one by one
 _P = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -402,6 +404,63 @@ def _block_pairs(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return out
 
 
+def _in_waves(docs: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """links plus the verified ones of pairs (a, b, n) that join components: of each b first the pair with the largest n."""
+    order = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    pairs = stored(pairs.withColumn("nth", F.row_number().over(order)).select("a", "b", "nth"), "pairs")
+    first = stored(links.unionByName(verified(docs, pairs.filter("nth = 1").select("a", "b"))), "links_first")
+    rest = stored(_different(pairs.filter("nth > 1").select("a", "b"), connected_components(first)), "pairs_rest")
+    return stored(first.unionByName(verified(docs, rest)), "links_rest")
+
+
+def _close(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
+    """Pairs of two blocks, of different components, that sizes and sketches do not rule out."""
+    out = []
+    by = []
+    for block in (a, b):
+        widths = {}
+        for x in block:
+            widths.setdefault(len(x["sketch"]), []).append(x)
+        by.append({w: ([x["doc_id"] for x in own], np.array([x["comp"] for x in own]), np.array([x["n_shingles"] for x in own]),
+                       np.frombuffer(b"".join(x["sketch"] for x in own), np.uint8).reshape(len(own), w)) for w, own in widths.items()})
+    for w, (i, ci, n, s) in by[0].items():
+        for v, (j, cj, m, t) in by[1].items():
+            s2, t2 = s, t
+            while s2.shape[1] > t2.shape[1]:
+                s2 = s2[:, :s2.shape[1] // 2] ^ s2[:, s2.shape[1] // 2:]
+            while t2.shape[1] > s2.shape[1]:
+                t2 = t2[:, :t2.shape[1] // 2] ^ t2[:, t2.shape[1] // 2:]
+            size = n[:, None] + m
+            apart = np.stack([np.bitwise_count(row ^ t2).sum(1, dtype=np.int64) for row in s2])
+            ok = (apart * 9 <= size) & (5 * np.minimum(n[:, None], m) >= 4 * np.maximum(n[:, None], m)) & (ci[:, None] != cj)
+            out += [(min(i[x], j[y]), max(i[x], j[y])) for x, y in zip(*np.nonzero(ok))]
+    return out
+
+
+def _in_blocks(info: DataFrame, crowd: DataFrame, comps: DataFrame) -> DataFrame:
+    """Plausible pairs among sets that share a busy bucket: groups are cut into blocks of about BLOCK sets, and the sketches
+    of two blocks are compared at once, so a pair becomes a row only if it may link."""
+    groups = connected_components(crowd.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))).select(
+        F.col("id").alias("doc_id"), F.col("component_id").alias("g"))
+    sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    placed = _component(groups.join(sizes, "g").join(info.select("doc_id", "n_shingles", "sketch"), "doc_id"), comps)
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    block = stored(placed.groupBy("g", "block").agg(F.collect_list(F.struct("doc_id", "comp", "n_shingles", "sketch")).alias("sets"),
+                                                    F.first("blocks").alias("blocks")), "blocks")
+    cells = block.select("g", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    rows = (cells.join(block.select("g", F.col("block").alias("i"), F.col("sets").alias("one")), ["g", "i"])
+            .join(block.select("g", F.col("block").alias("j"), F.col("sets").alias("two")), ["g", "j"]))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1)
+                got = _close(r.column("one")[0].as_py(), r.column("two")[0].as_py())
+                yield pa.record_batch([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
+
+    return rows.select("one", "two").mapInArrow(run, "a long, b long")
+
+
 def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[DataFrame, DataFrame]:
     """(components (id, component_id) of linked documents, info rows of all documents)."""
     all_docs = texts(docs)
@@ -419,12 +478,7 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
     pairs = (shared.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).filter("a < b")
              .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
     ids = info.filter("doc_id is not null")
-    pairs = stored(plausible(ids, pairs), "pairs")
-    order = Window.partitionBy("b").orderBy(F.desc("n"), "a")
-    pairs = pairs.withColumn("nth", F.row_number().over(order)).select("a", "b", "nth")
-    first = stored(verified(base, pairs.filter("nth = 1").select("a", "b")).unionByName(copies), "links0")
-    rest = stored(_different(pairs.filter("nth > 1").select("a", "b"), connected_components(first)), "rest")
-    links = stored(first.unionByName(verified(base, rest)), "links1")
+    links = _in_waves(base, copies, plausible(ids, pairs))
     comps = stored(connected_components(links), "components1")
 
     # step 2: buckets with several components, and the sets they leave without K + 1 free ones
@@ -449,10 +503,18 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
     left = (base.join(unfinished, "doc_id", "left_semi").join(own, "doc_id", "left")
             .select("doc_id", "text", F.coalesce("mixed", F.expr("array()").cast(own.schema["mixed"].dataType)).alias("mixed")))
     asked = stored(_component(_neighbour_rows(left, per_segment), comps), "asked")
-    probe = asked.filter("probe and key is not null").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("cx"))
-    index = asked.filter("key is not null").select("key", F.col("doc_id").alias("y"), F.col("comp").alias("cy"))
+    own = asked.filter("key is not null")
+    keys = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head"), F.min("comp").alias("lo"),
+                                  F.max("comp").alias("hi"), F.max("probe").alias("asks"))
+    keys = stored(keys.filter("lo < hi and asks").select("key", "n", "head"), "keys")
+    few = own.join(keys.filter(F.col("n") <= FEW).select("key"), "key")
+    probe = few.filter("probe").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("cx"))
+    index = few.select("key", F.col("doc_id").alias("y"), F.col("comp").alias("cy"))
     more = probe.join(index, "key").filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.unionByName(verified(base, stored(plausible(ids, more), "more_pairs")))
+    more = plausible(ids, more)
+    crowd = own.join(keys.filter(F.col("n") > FEW).select("key", "head"), "key").select("head", "doc_id").distinct()
+    more = more.unionByName(_in_blocks(ids, stored(crowd, "crowd"), comps)).distinct()
+    links = _in_waves(base, links, more.withColumn("n", F.lit(1)))
     # step 4
     lacking = asked.filter("key is null").select("doc_id").distinct()
     links = stored(links.unionByName(_block_pairs(base, lacking)), "links2")

@@ -138,8 +138,9 @@ def hard_rows(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,per_segment", [(1, 2), (2, 2), (3, 5)])
-def test_components_against_brute_force(spark, seed, per_segment):
+@pytest.mark.parametrize("seed,per_segment,few", [(1, 2, 16), (2, 2, 1), (3, 5, 1)])
+def test_components_against_brute_force(spark, monkeypatch, seed, per_segment, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)  # 1: every bucket of step 3 is compared in blocks
     rows = hard_rows(seed, 260)
     comps, info = ngram_join.links_and_sizes(docs(spark, rows), per_segment)
     size = {r["doc_id"]: r["n_shingles"] for r in info.collect()}
