@@ -70,6 +70,7 @@ def split_words(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
 
     (code of each word, offsets of the texts in it, distinct words by code).
     """
+    text = text.take(pa.array(np.arange(len(text))))  # own buffers: case kernels misread the offsets of a slice
     text = pc.fill_null(text.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
     words = lists.flatten().dictionary_encode()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, hash_strings, mix64, slices, split_words, stored, texts
 from .components import connected_components
-from .ngram_join import linked
+from .ngram_join import FEW, _in_blocks, linked, plausible, sketches
 
 WORDS = 5
 MIN_WORDS = 20
@@ -36,8 +36,6 @@ CUT = 20
 MIN_PIECE = 8
 SIMILARITY = 0.8
 RECALL = 0.999
-EDIT = 0.9
-SMALL_SET = 40
 _P = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -117,7 +115,8 @@ class Units:
         return line[:-1][same], cut[:-1][same], cut[1:][same]
 
 
-UNITS = "doc_id long, paragraph long, start long, n_words long, digest long, digest2 long, bands array<long>"
+UNITS = ("doc_id long, paragraph long, start long, n_words long, digest long, digest2 long, bands array<long>, "
+         "n_shingles long, sketch binary")
 
 
 def _minhash(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
@@ -145,10 +144,14 @@ def paragraph_units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 if not len(lines):
                     continue
                 one, two = u.digests(u.offsets[lines], u.offsets[lines + 1])
-                sig = _minhash(u.shingles(lines), bands, rows)
+                sets = u.shingles(lines)
+                sig = _minhash(sets, bands, rows)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * bands, pa.int32()), pa.array(sig.view(np.int64).ravel()))
                 yield pa.record_batch([pa.array(ids[u.doc[lines]]), pa.array(u.line_no[lines]), pa.array(u.start[lines]), pa.array(size[lines]),
-                                       pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat], names=[x.split()[0] for x in UNITS.split(", ")])
+                                       pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat,
+                                       pa.array(np.diff(ends)), pa.array(sketches(np.concatenate(sets), ends), pa.binary())],
+                                      names=[x.split()[0] for x in UNITS.split(", ")])
 
     return texts(docs).filter("doc_id is not null").mapInArrow(run, UNITS)
 
@@ -174,31 +177,6 @@ def piece_units(docs: DataFrame) -> DataFrame:
     return texts(docs).filter("doc_id is not null").mapInArrow(run, PIECES)
 
 
-def edit_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """1 - edit distance / length of the longer, on word hashes."""
-    n = max(len(a), len(b))
-    if n == 0:
-        return 1.0
-    row = np.arange(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        change = np.minimum(row[:-1] + (b != x), row[1:] + 1)
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = change
-        # insertions: running minimum of new[j] - j
-        new = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
-        row = new
-    return 1 - row[-1] / n
-
-
-def near(sa: np.ndarray, wa: np.ndarray, sb: np.ndarray, wb: np.ndarray) -> bool:
-    if linked(sa, sb):
-        return True
-    if max(len(sa), len(sb)) > SMALL_SET or abs(len(wa) - len(wb)) > (1 - EDIT) * max(len(wa), len(wb)):
-        return False
-    return edit_similarity(wa, wb) >= EDIT
-
-
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) of unit numbers that are near duplicates."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
@@ -208,28 +186,26 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             for b in slices(batch):
                 u = Units(b.column("text"))
-                units, sets, words = [], [], []
+                units, sets = [], []
                 first = np.searchsorted(u.doc, np.arange(b.num_rows))
                 for d, p in enumerate(b.column("p").to_pylist()):
                     own = np.array([first[d] + x["paragraph"] for x in p])
                     ok = own < len(u.doc)
                     units += [x["unit"] for x, k in zip(p, ok) if k]
                     sets += [s.tobytes() for s in u.shingles(own[ok])]
-                    words += [u.words[u.offsets[i]:u.offsets[i + 1]].tobytes() for i in own[ok]]
-                yield pa.record_batch([pa.array(units, pa.int64()), pa.array(sets, pa.binary()), pa.array(words, pa.binary())],
-                                      names=["unit", "s", "w"])
+                yield pa.record_batch([pa.array(units, pa.int64()), pa.array(sets, pa.binary())], names=["unit", "s"])
 
-    cutouts = stored(texts(docs).join(asked, "doc_id").select("text", "p").mapInArrow(cut, "unit long, s binary, w binary")
+    cutouts = stored(texts(docs).join(asked, "doc_id").select("text", "p").mapInArrow(cut, "unit long, s binary")
                      .dropDuplicates(["unit"]), "cutouts")
-    one = cutouts.select(F.col("unit").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
-    two = cutouts.select(F.col("unit").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
+    one = cutouts.select(F.col("unit").alias("a"), F.col("s").alias("sa"))
+    two = cutouts.select(F.col("unit").alias("b"), F.col("s").alias("sb"))
 
     def run(batches):
         for b in batches:
-            raw = [[np.frombuffer(x, U64) for x in b.column(c).to_pylist()] for c in ("sa", "wa", "sb", "wb")]
-            yield b.select(["a", "b"]).filter(pa.array([near(*x) for x in zip(*raw)], pa.bool_()))
+            ok = [linked(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return (pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a long, b long"))
+    return (pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
 
 
 def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -244,23 +220,29 @@ def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     w = Window.partitionBy("sig")
     buckets = stored(buckets.withColumn("pivot", F.min("unit").over(w)).withColumn("top", F.max("unit").over(w))
                      .filter("pivot < top").select("sig", "unit", "pivot"), "buckets")
-    pairs = stored(buckets.select(F.col("pivot").alias("a"), F.col("unit").alias("b")).filter("a < b").distinct(), "pairs")
+    info = rep_units.select(F.col("unit").alias("doc_id"), "n_shingles", "sketch")
+    pairs = buckets.select(F.col("pivot").alias("a"), F.col("unit").alias("b")).filter("a < b").distinct()
+    pairs = stored(plausible(info, pairs), "pairs")
     links = stored(_verified(docs, rep_units.select("unit", "doc_id", "paragraph"), pairs), "links1")
     comps = stored(connected_components(links), "components1")
     # buckets that still hold several components
     named = buckets.join(comps.select(F.col("id").alias("unit"), F.col("component_id").alias("c")), "unit", "left")
     named = named.withColumn("c", F.coalesce("c", "unit")).select("sig", "unit", "c")
-    mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig")
-    left = named.join(mixed, "sig", "left_semi")
-    other = left.select("sig", F.col("unit").alias("unit2"), F.col("c").alias("c2"))
-    more = left.join(other, "sig").filter("c != c2 and unit < unit2").select(F.col("unit").alias("a"), F.col("unit2").alias("b")).distinct()
+    mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"),
+                                     F.min("unit").alias("head"))
+    left = stored(named.join(mixed.filter("lo < hi").select("sig", "n", "head"), "sig"), "mixed")
+    few = left.filter(F.col("n") <= FEW)
+    other = few.select("sig", F.col("unit").alias("unit2"), F.col("c").alias("c2"))
+    more = few.join(other, "sig").filter("c != c2 and unit < unit2").select(F.col("unit").alias("a"), F.col("unit2").alias("b")).distinct()
+    crowd = stored(left.filter(F.col("n") > FEW).select("head", F.col("unit").alias("doc_id")).distinct(), "crowd")
+    more = plausible(info, more).unionByName(_in_blocks(info, crowd, comps)).distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
     links = links.unionByName(_verified(docs, rep_units.select("unit", "doc_id", "paragraph"), more))
     comps = connected_components(stored(links, "links2"))
     # classes of all paragraphs
     group = (reps.join(comps.select(F.col("id").alias("unit"), F.col("component_id").alias("c")), "unit", "left")
              .filter("n > 1 or c is not null").select("digest", "digest2", F.coalesce("c", "unit").alias("class")))
-    members = stored(units.drop("bands").join(group, ["digest", "digest2"]), "members")
+    members = stored(units.drop("bands", "sketch").join(group, ["digest", "digest2"]), "members")
     keep = members.groupBy("class").agg(F.min(F.struct("doc_id", "start", "unit")).alias("k"))
     return members.join(keep, "class").select(
         "doc_id", "start", "n_words", F.col("k.doc_id").alias("keep_doc_id"), F.col("k.start").alias("keep_start"),

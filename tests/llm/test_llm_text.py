@@ -7,10 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pacegrid.llm import components, decontam, deleted_interp, lang_crf, ngram_join, packing, paragraph_minhash, pfp
+from pacegrid.llm.common import split_words
 from pacegrid.llm.queries import QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -260,11 +262,12 @@ def test_tuned_bands():
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.999
 
 
-def test_edit_similarity():
-    a = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], np.uint64)
-    assert paragraph_minhash.edit_similarity(a, a) == 1.0
-    assert paragraph_minhash.edit_similarity(a, np.delete(a, 3)) == pytest.approx(0.9)
-    assert paragraph_minhash.edit_similarity(a, np.array([], np.uint64)) == 0.0
+def test_words_of_slices():
+    base = pa.array([f"É{i} À  b{i}\tX" for i in range(50)] + [None, ""])
+    for lo, n in ((0, 52), (20, 5), (49, 3)):
+        codes, offsets, distinct = split_words(base.slice(lo, n))
+        got = [[distinct[c].as_py() for c in codes[a:b]] for a, b in zip(offsets, offsets[1:])]
+        assert got == [words(t or "") for t in base.slice(lo, n).to_pylist()]
 
 
 # ---- packing ----
