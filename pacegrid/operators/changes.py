@@ -168,9 +168,13 @@ def generate_plans(problems: DataFrame, dates: DataFrame | None = None, bucket_w
     return pos.select("user_id", "plan_date", "problem_id", "order_index", F.lit("Pending").alias("status"))
 
 
-def refresh_plans(plan: DataFrame, generated: DataFrame) -> DataFrame:
-    """I8 refresh: the generated (user, day) plans replace the stored ones."""
-    keys = generated.select("user_id", "plan_date").distinct()
+def refresh_plans(plan: DataFrame, generated: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """I8 refresh: the generated (user, day) plans replace the stored ones.
+
+    ``dates`` names the refreshed (user_id, plan_date) pairs; the stored plan of a wanted day goes even if
+    the day generates no row.  Without it the generated days are the wanted ones.
+    """
+    keys = (generated if dates is None else dates).select("user_id", "plan_date").distinct()
     return plan.join(keys, ["user_id", "plan_date"], "left_anti").unionByName(generated)
 
 

@@ -52,11 +52,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cutting lineage.
 
     On a cluster ``spark.checkpoint.dir`` names a folder every executor can
-    reach and is used as is.  Only when it is unset (local tests) do we make a
-    fresh scratch folder of our own.
+    reach and is used as is; without one a cluster job fails here.  Only a local
+    session (tests) gets a fresh scratch folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pacegrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

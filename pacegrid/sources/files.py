@@ -55,8 +55,10 @@ def _parse_files(on_error: str):
             for path, content in zip(pdf["path"], pdf["content"]):
                 name = os.path.basename(path)
                 stem, ext = os.path.splitext(name)
+                if ext.lower() in (".xlsx", ".xlsm") and not HAVE_OPENPYXL:
+                    raise ImportError(f"{name}: reading workbooks needs openpyxl on the executors")
                 try:
-                    if ext.lower() in (".xlsx", ".xlsm") and HAVE_OPENPYXL:
+                    if ext.lower() in (".xlsx", ".xlsm"):
                         import openpyxl as ox
                         wb = ox.load_workbook(io.BytesIO(content), read_only=True, data_only=True)
                         for ws in wb.worksheets:

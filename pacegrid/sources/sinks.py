@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.errors import AnalysisException
+
 from ..session import checkpoint_dir
 
 
@@ -44,7 +46,9 @@ def read_daily_cache(spark: SparkSession, path: str, day, date_col: str = "cache
     partition filter: only that day's files are listed and read)."""
     try:
         df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no cache written yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # an unreadable cache is not a missing one
         return None
     today = df.filter(F.col(date_col) == F.lit(day).cast("date"))
     return today if today.limit(1).count() > 0 else None

@@ -112,7 +112,9 @@ class StatusEventSink:
             col = partition_column(name, g)
             if g == "month":  # recompute the month column from the (possibly new) rows
                 df = with_partition_column(df.drop(col), name, g)
-            outs.append((name, col, materialise(df.join(parts, col, "left_semi"))))
+            # null-safe: problems without a date live in the null partition
+            parts = parts.select(F.col(col).alias("_touched_part"))
+            outs.append((name, col, materialise(df.join(parts, df[col].eqNullSafe(parts["_touched_part"]), "left_semi"))))
         for name, col, df in outs:
             write_partitions(df, self.path(name), [col])
 

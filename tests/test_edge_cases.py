@@ -115,3 +115,30 @@ def test_skew_safe_positions_equal_window_positions_on_a_hot_group(spark):
     b = W.positions(df, ["user_id", "d"], [F.col("r"), F.col("id")], name="pos")
     key = lambda d: sorted((r.user_id, r.id, r.pos) for r in d.collect())  # noqa
     assert key(a) == key(b)
+
+
+def test_refresh_drops_the_plan_of_a_wanted_day_that_generates_nothing(spark):
+    from pacegrid.operators.changes import generate_plans, refresh_plans
+
+    plan = spark.createDataFrame([(1, "2024-01-01", 5, 0, "Pending"), (1, "2024-01-02", 6, 0, "Pending")],
+                                 "user_id long, plan_date string, problem_id long, order_index long, status string")
+    plan = plan.withColumn("plan_date", plan["plan_date"].cast("date"))
+    problems = spark.createDataFrame([(5, 1, "2024-01-01", "Solved", "Easy")],
+                                     "id long, user_id long, scheduled_date string, status string, difficulty string")
+    problems = problems.withColumn("scheduled_date", problems["scheduled_date"].cast("date"))
+    dates = plan.filter("problem_id = 5").select("user_id", "plan_date")
+    out = refresh_plans(plan, generate_plans(problems, dates), dates)
+    assert [r["problem_id"] for r in out.collect()] == [6]
+
+
+def test_missing_workbook_reader_is_an_error(spark, tmp_dir):
+    import pytest
+
+    from pacegrid.sources import files
+
+    if files.HAVE_OPENPYXL:
+        pytest.skip("openpyxl is installed")
+    with open(f"{tmp_dir}/a.xlsx", "wb") as f:
+        f.write(b"PK")
+    with pytest.raises(Exception, match="openpyxl"):
+        files.read_sheets(spark, f"{tmp_dir}/*.xlsx", on_error="skip").collect()
