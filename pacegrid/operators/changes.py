@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date
 from .filters import TASK_DEFAULTS, fill_defaults
-from .sequences import difficulty_rank, first_wins, skew_safe_positions
+from .sequences import difficulty_rank, skew_safe_positions
 
 TASK_FIELDS = ["name", "category", "topic", "difficulty", "platform", "problem_link", "resource_link",
                "scheduled_date"]
@@ -36,7 +36,8 @@ def import_add(problems: DataFrame, tasks: DataFrame, batch_id: str) -> DataFram
     """The rows an ``add`` import inserts.
 
     A task is skipped when its (user, trimmed name, topic) is already stored
-    or occurs earlier (smaller ``seq``) in the same batch.
+    or occurs earlier (smaller ``seq``) in the same batch; ``seq`` orders the
+    tasks of one user and need not be unique across users.
     Returns the inserted rows with a ``dup`` flag dropped; see ``import_flags``.
     """
     flags = import_flags(problems, tasks)
@@ -46,15 +47,14 @@ def import_add(problems: DataFrame, tasks: DataFrame, batch_id: str) -> DataFram
 
 def import_flags(problems: DataFrame, tasks: DataFrame) -> DataFrame:
     """Every task with its outcome: ``blank``, ``duplicate`` or ``imported``."""
+    key = ["user_id", "name", "topic"]
     t = _prepare_tasks(tasks)
-    first = first_wins(t.filter(F.col("name") != ""), ["user_id", "name", "topic"], seq="seq")
-    stored = problems.select("user_id", "name", "topic").distinct().withColumn("_stored", F.lit(True))
-    first = (first.join(stored, ["user_id", "name", "topic"], "left")
-             .filter(F.col("_stored").isNull()).drop("_stored").select("seq").withColumn("_ok", F.lit(True)))
-    out = t.join(first, "seq", "left")
+    # the smallest seq of each new key, from a map-side partial aggregate of the key columns alone
+    first = (t.filter(F.col("name") != "").groupBy(*key).agg(F.min("seq").alias("_first"))
+             .join(problems.select(*key), key, "left_anti"))
     outcome = (F.when(F.col("name") == "", "blank")
-               .when(F.col("_ok").isNull(), "duplicate").otherwise("imported"))
-    return out.withColumn("outcome", outcome).drop("_ok")
+               .when(F.col("seq") == F.col("_first"), "imported").otherwise("duplicate"))
+    return t.join(first, key, "left").withColumn("outcome", outcome).drop("_first")
 
 
 def import_totals(flags: DataFrame) -> DataFrame:
@@ -82,12 +82,26 @@ def _keep_protected_of(problems: DataFrame, imports: DataFrame, users: DataFrame
     """Problems after removing, for the given users, every row outside their
     protected import batches (other users keep everything).  Two flag joins
     and a filter: no anti join of ``problems`` with itself."""
+    return _flag_removed(problems, imports, users).filter(~F.col("_gone")).select(*problems.columns)
+
+
+def replaced_plan(problems: DataFrame, plan: DataFrame, imports: DataFrame, tasks: DataFrame) -> DataFrame:
+    """I2 cascade: the plan without the rows of the problems that a ``replace``
+    import of ``tasks`` removes."""
+    importers = _prepare_tasks(tasks).filter(F.col("name") != "").select("user_id").distinct()
+    gone = _flag_removed(problems, imports, importers).filter("_gone").select(
+        "user_id", F.col("id").alias("problem_id"))
+    return plan.join(gone, ["user_id", "problem_id"], "left_anti")
+
+
+def _flag_removed(problems: DataFrame, imports: DataFrame, users: DataFrame) -> DataFrame:
+    """``problems`` with ``_gone``: owned by one of ``users`` and in no protected batch of theirs."""
     prot = (imports.filter(F.col("protected"))
             .select("user_id", F.col("batch_id").alias("import_batch")).distinct()
             .withColumn("_prot", F.lit(True)))
     flagged = (problems.join(users.select("user_id").distinct().withColumn("_hit", F.lit(True)), "user_id", "left")
                .join(prot, ["user_id", "import_batch"], "left"))
-    return flagged.filter(F.col("_hit").isNull() | F.col("_prot").isNotNull()).select(*problems.columns)
+    return flagged.withColumn("_gone", F.col("_hit").isNotNull() & F.col("_prot").isNull())
 
 
 def ledger_rows(totals: DataFrame, files: DataFrame, batch_id: str, as_of) -> DataFrame:
@@ -223,6 +237,10 @@ def apply_status_events(problems: DataFrame, plan: DataFrame, log: DataFrame, us
     return new_problems, new_plan, new_log
 
 
+# Optional columns of the log with the value of an entry that does not give them.
+ACTIVITY_NOTES = {"study_hours": 0.0, "mood": "", "notes": ""}
+
+
 def upsert_log_counts(log: DataFrame, counts: DataFrame) -> DataFrame:
     """Set ``problems_solved``/``problems_target`` of the given (user, day)
     rows, keeping the other fields; absent rows are added with zeros."""
@@ -234,30 +252,101 @@ def upsert_log_counts(log: DataFrame, counts: DataFrame) -> DataFrame:
         F.coalesce("_s", "problems_solved").cast("bigint").alias("problems_solved"),
         F.coalesce("problems_attempted", F.lit(0)).cast("bigint").alias("problems_attempted"),
         F.coalesce("problems_skipped", F.lit(0)).cast("bigint").alias("problems_skipped"),
-        F.coalesce("_t", "problems_target").cast("bigint").alias("problems_target"))
+        F.coalesce("_t", "problems_target").cast("bigint").alias("problems_target"),
+        *[F.coalesce(F.col(c), F.lit(d)).cast(log.schema[c].dataType).alias(c)
+          for c, d in ACTIVITY_NOTES.items() if c in log.columns])
     return out
 
 
 def upsert_activity(log: DataFrame, activity: DataFrame, user_settings: DataFrame) -> DataFrame:
     """An activity entry replaces the whole (user, day) row: its solved
-    count, zero attempted/skipped unless given, target = the user's goal."""
+    count, zero attempted/skipped unless given, target = the user's goal.
+    ``study_hours``, ``mood`` and ``notes`` are kept where the log or the
+    entries have them (0 and empty texts where not given)."""
+    notes = [c for c in ACTIVITY_NOTES if c in log.columns or c in activity.columns]
     a = activity.join(user_settings.select("user_id", F.col("daily_goal").alias("problems_target")),
                       "user_id", "left")
     a = latest(a.select("user_id", "log_date", "problems_solved",
                         *[F.coalesce(F.col(c) if c in activity.columns else F.lit(None), F.lit(0))
                           .cast("bigint").alias(c) for c in ("problems_attempted", "problems_skipped")],
-                        F.coalesce("problems_target", F.lit(10)).cast("bigint").alias("problems_target"), "ts"),
+                        F.coalesce("problems_target", F.lit(10)).cast("bigint").alias("problems_target"), "ts",
+                        *_notes(a, notes)),
                ["user_id", "log_date"]).drop("ts")
     cols = ["user_id", "log_date", "problems_solved", "problems_attempted", "problems_skipped", "problems_target"]
-    return (log.select(*cols).join(a.select("user_id", "log_date"), ["user_id", "log_date"], "left_anti")
+    log, cols = log.select(*cols, *_notes(log, notes)), [*cols, *notes]
+    return (log.join(a.select("user_id", "log_date"), ["user_id", "log_date"], "left_anti")
             .unionByName(a.select(*cols)))
 
 
+def _notes(df: DataFrame, names: list[str]) -> list:
+    """The optional log columns, with their defaults where absent or NULL."""
+    return [F.coalesce(F.col(c) if c in df.columns else F.lit(None), F.lit(ACTIVITY_NOTES[c])).alias(c)
+            for c in names]
+
+
+PROJECT_DEFAULTS = {"name": "", "description": "", "tech_stack": "", "target_date": None, "status": "In Progress",
+                    "github_link": "", "completion_pct": 0}
+MILESTONE_DEFAULTS = {"name": "", "description": "", "deadline": None, "status": "Pending", "order_index": 0}
+
+
+def _given(changes: DataFrame, table: DataFrame, name: str, defaults: dict):
+    """Column ``name`` of a change in the type of ``table``, its default where not given."""
+    c = F.col(name) if name in changes.columns else F.lit(None)
+    c = c if defaults.get(name) is None else F.coalesce(c, F.lit(defaults[name]))
+    return c.cast(table.schema[name].dataType).alias(name)
+
+
+def _latest_change(changes: DataFrame, key: list[str]) -> DataFrame:
+    """The last change per key by ``ts``; without ``ts`` one row per key, the largest."""
+    if "ts" in changes.columns:
+        return latest(changes, key).drop("ts")
+    rest = [c for c in changes.columns if c not in key]
+    return changes.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_r")).select(*key, "_r.*")
+
+
+def add_projects(projects: DataFrame, new: DataFrame) -> DataFrame:
+    """I11 insert: ``new`` has (id, user_id) and any of the project fields."""
+    return projects.unionByName(new.select(*[_given(new, projects, c, PROJECT_DEFAULTS) for c in projects.columns]))
+
+
+def update_projects(projects: DataFrame, changes: DataFrame) -> DataFrame:
+    """I11 update: the latest change of an (id, user_id) replaces all fields of
+    that project, a field it does not give by its default; another user's
+    project is left alone."""
+    key = ["id", "user_id"]
+    fields = [c for c in projects.columns if c in PROJECT_DEFAULTS]
+    ch = _latest_change(changes, key)
+    ch = ch.select(*key, F.struct(*[_given(ch, projects, c, PROJECT_DEFAULTS) for c in fields]).alias("_new"))
+    j = projects.join(ch, key, "left")
+    return j.select(*[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c)
+                      if c in fields else F.col(c) for c in projects.columns])
+
+
+def _owned_projects(projects: DataFrame) -> DataFrame:
+    return projects.select(F.col("id").alias("project_id"), "user_id")
+
+
+def add_milestones(milestones: DataFrame, projects: DataFrame, new: DataFrame) -> DataFrame:
+    """I11 insert of milestones (project_id, user_id, fields) into the user's own projects."""
+    own = new.join(_owned_projects(projects), ["project_id", "user_id"], "left_semi")
+    return milestones.unionByName(
+        own.select(*[_given(own, milestones, c, MILESTONE_DEFAULTS) for c in milestones.columns]))
+
+
+def delete_milestones(milestones: DataFrame, projects: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """I11 delete of the milestones that ``keys`` (``key``, project_id, user_id) names in the user's own projects."""
+    own = keys.join(_owned_projects(projects), ["project_id", "user_id"], "left_semi")
+    return milestones.join(own.select(*key), key, "left_anti")
+
+
 def update_milestones(milestones: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """Set the status of matching milestones (completion is always
-    derived by ``project_completion``, so add/update/delete all refresh it)."""
-    ch = changes.select(*key, F.col("status").alias("_new"))
-    return (milestones.join(ch, key, "left").withColumn("status", F.coalesce("_new", "status")).drop("_new"))
+    """The latest change per key sets the status, name and deadline it
+    gives (completion is always derived by ``project_completion``, so
+    add/update/delete all refresh it)."""
+    fields = [c for c in ("status", "name", "deadline") if c in changes.columns and c in milestones.columns]
+    ch = _latest_change(changes, key).select(*key, *[F.col(c).alias(f"_new_{c}") for c in fields])
+    j = milestones.join(ch, key, "left")
+    return j.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in milestones.columns])
 
 
 def delete_projects(projects: DataFrame, milestones: DataFrame, ids: DataFrame):

@@ -32,13 +32,11 @@ FIELDS = [f for f, _ in RU.HEADER_ALIASES]
 TASK_COLUMNS = ["source_file", "sheet", "row_no", "col_no", "name", "category", "topic", "difficulty",
                 "platform", "problem_link", "resource_link", "scheduled_date", "status"]
 
-# Per-sheet decision rows broadcast to the cells at most (about 300 bytes each).
-MAX_BROADCAST_SHEETS = 200_000
-
 # N10 fixed format list, tried in order (pandas reads 01/02/2026 month first,
 # 13/02/2026 day first; both are covered by trying M/d before d/M).
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "d/M/yyyy", "MMMM d yyyy", "MMM d yyyy",
-                "d MMMM yyyy"]
+                "d MMMM yyyy", "yyyy-M-d", "yyyy/M/d", "M-d-yyyy", "d-M-yyyy", "MMMM d, yyyy", "MMM d, yyyy",
+                "d MMM yyyy", "M/d/yy", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS"]
 
 
 # --- cell-level helpers ----------------------------------------------------
@@ -172,19 +170,15 @@ def normalise(cells: DataFrame, use_category_column: bool = False, whole_word: b
     ``use_category_column`` (Q12) and ``whole_word`` (Q16) switch the kept
     quirks off.
 
-    Plan: distinct headers -> one per-sheet aggregate (small, size-checked
-    before it is broadcast) -> joined to the cells -> hash-partitioned by
+    Plan: distinct headers -> one per-sheet aggregate -> joined to the cells
+    (AQE measures it and picks the join) -> hash-partitioned by
     (source_file, sheet, row_no) -> one window whose partitions hold one
     row's cells and gather each row's fields for every layout at once.
     """
-    d = sheet_decisions(sheet_headers(cells), whole_word).persist()
-    # Broadcast the per-sheet decisions only after checking their size (one
-    # small row per sheet); beyond the bound AQE joins them, splitting a hot
-    # sheet with its skew-join handling.
-    side = F.broadcast(d) if d.count() <= MAX_BROADCAST_SHEETS else d
+    d = sheet_decisions(sheet_headers(cells), whole_word)
     # The window must be partitioned by the whole row key: a partitioning by
     # sheet alone would satisfy it too and put a whole sheet in one task.
-    c = (cells.join(side, SHEET_KEY, "inner").repartition(*ROW_GROUP)
+    c = (cells.join(d, SHEET_KEY, "inner").repartition(*ROW_GROUP)
          .withColumn("h", F.trim(F.coalesce("header", F.lit("")))))
     w = Window.partitionBy(*ROW_GROUP)
     lay = F.col("layout")
@@ -247,9 +241,10 @@ def normalise(cells: DataFrame, use_category_column: bool = False, whole_word: b
 
 
 def upload_summary(cells: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Per file, the sheet list ``file::sheet`` (sorted) and the task count."""
+    """Per file, the sheet list ``file::sheet`` (sorted, file without its folder) and the task count."""
+    name = F.regexp_replace("source_file", "^.*/", "")
     sheets = (cells.select(*SHEET_KEY).distinct().groupBy("source_file")
-              .agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("::", "source_file", "sheet"))), ",")
+              .agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("::", name, "sheet"))), ",")
                    .alias("sheets")))
     counts = tasks.groupBy("source_file").agg(F.count(F.lit(1)).alias("tasks"))
     return sheets.join(counts, "source_file", "left").fillna(0, subset=["tasks"])

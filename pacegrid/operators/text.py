@@ -96,8 +96,13 @@ DEDUP_KEY = 50         # characters of the stored title used as the duplicate ke
 def feed_items(articles: DataFrame, kinds: int = 5) -> DataFrame:
     """Assign each source to a feed run and kind: ``srcK`` is kind ``K % 5``
     of run ``K // 5``.  Adds ``run``, ``kind``, ``pos`` (1-based item order
-    within the source) and keeps only the first 30 items of each source."""
-    k = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    within the source) and keeps only the first 30 items of each source.
+    Items that carry ``run`` and ``kind`` themselves keep them, whatever the
+    name of their source; other names without a number are in no run."""
+    if {"run", "kind"} <= set(articles.columns):
+        own = Window.partitionBy("run", "kind", "source").orderBy("seq")
+        return articles.withColumn("pos", F.row_number().over(own)).filter(F.col("pos") <= max(SCAN_CAP.values()))
+    k = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
     kinds_arr = F.array(*[F.lit(x) for x in FEED_KINDS])
     w = Window.partitionBy("source").orderBy("seq")
     return (articles.withColumn("_k", k).filter(F.col("_k").isNotNull())

@@ -252,6 +252,11 @@ def _i2(c: Ctx) -> DataFrame:
     return I.import_replace(c.problems, c.imports, c.tasks, BATCH_ID)
 
 
+@query("i2_plan_left")
+def _i2p(c: Ctx) -> DataFrame:
+    return I.replaced_plan(c.problems, c.daily_plan, c.imports, c.tasks)
+
+
 @query("i3_ledger_rows")
 def _i3(c: Ctx) -> DataFrame:
     totals = I.import_totals(I.import_flags(c.problems, c.tasks))
@@ -337,7 +342,11 @@ def _i9p(c: Ctx) -> DataFrame:
 
 @query("i10_activity_upsert")
 def _i10(c: Ctx) -> DataFrame:
-    return I.upsert_activity(c.daily_log, c.activity, c.user_settings)
+    n = F.col("problems_solved")
+    entries = c.activity.select("*", (n * 0.5).cast("double").alias("study_hours"),
+                                F.when(n > 1, "good").otherwise("tired").alias("mood"),
+                                F.concat(F.lit("views "), n.cast("string")).alias("notes"))
+    return I.upsert_activity(c.daily_log, entries, c.user_settings)
 
 
 @query("i11_milestone_completion")
@@ -348,6 +357,36 @@ def _i11(c: Ctx) -> DataFrame:
     return R.project_completion(c.projects, I.update_milestones(m, done, ["project_id", "order_index"]))
 
 
+@query("i11_projects")
+def _i11p(c: Ctx) -> DataFrame:
+    """Two changes of every project of 1995 (the later one wins) and a new project beside each of 1997."""
+    p = c.projects
+    ch = p.filter(F.year("target_date") == 1995)
+    ch = (ch.select("id", "user_id", F.lit("draft").alias("name"), "target_date", F.lit(1).alias("ts"))
+          .unionByName(ch.select("id", "user_id", F.concat(F.lit("renamed "), F.col("id").cast("string")).alias("name"),
+                                 F.date_add("target_date", 30).alias("target_date"), F.lit(2).alias("ts"))))
+    new = p.filter(F.year("target_date") == 1997).select(
+        (F.col("id") + F.lit(10_000_000_000)).alias("id"), "user_id",
+        F.concat(F.lit("new "), F.col("id").cast("string")).alias("name"), "target_date")
+    return I.add_projects(I.update_projects(p, ch), new)
+
+
+@query("i11_milestones")
+def _i11m(c: Ctx) -> DataFrame:
+    """Milestones added (another user's are refused), updated (the later change wins) and deleted."""
+    p, m, key = c.projects, c.milestones, ["project_id", "order_index"]
+    new = p.filter(F.year("target_date") == 1997).select(
+        F.col("id").alias("project_id"), "user_id", F.lit(100).alias("order_index"),
+        F.date_add("target_date", 60).alias("deadline"))
+    new = new.unionByName(new.withColumn("user_id", F.col("user_id") + 1))
+    ch = m.filter(F.year("deadline") == 1995).select(*key).distinct()
+    ch = (ch.select(*key, F.lit("Pending").alias("status"), F.lit(1).alias("ts"))
+          .unionByName(ch.select(*key, F.lit("Done").alias("status"), F.lit(2).alias("ts"))))
+    gone = (m.filter(F.col("deadline") < F.lit("1993-01-01").cast("date")).select(*key).distinct()
+            .join(p.select(F.col("id").alias("project_id"), "user_id"), "project_id"))
+    return I.delete_milestones(I.update_milestones(I.add_milestones(m, p, new), ch, key), p, gone, key)
+
+
 @query("i12_settings_upsert")
 def _i12(c: Ctx) -> DataFrame:
     ch = c.t("customer").filter(F.col("c_acctbal") > 5000).select(
@@ -513,6 +552,21 @@ def _t12(c: Ctx) -> DataFrame:
     return RP.weekly_report(c.users, c.problems, c.daily_log, c.user_settings, AS_OF_LOG)
 
 
+@query("t10_daily_text")
+def _t10t(c: Ctx) -> DataFrame:
+    return RP.daily_text(_t10(c))
+
+
+@query("t11_text")
+def _t11t(c: Ctx) -> DataFrame:
+    return RP.suggestion_text(_t11(c))
+
+
+@query("t12_weekly_text")
+def _t12t(c: Ctx) -> DataFrame:
+    return RP.weekly_text(_t12(c))
+
+
 @query("t12_news_report")
 def _t12n(c: Ctx) -> DataFrame:
     return RP.news_report(T.merge_news(T.feed_items(c.articles), limit=6), 6)
@@ -744,6 +798,7 @@ DESCRIPTIONS = {
     "n13_upload_summary": "N13 sheets and task count per file",
     "i1_import_add": "I1 rows inserted by an add-mode import",
     "i2_import_replace": "I2 problems table after a replace-mode import",
+    "i2_plan_left": "I2 plan rows left after a replace-mode import",
     "i3_ledger_rows": "I3 import-ledger rows of a batch",
     "i4_toggle_protection": "I4 ledger after toggling protection",
     "i5_delete_range": "I5 rows left after deleting a date range (with plan cascade)",
@@ -781,6 +836,9 @@ DESCRIPTIONS = {
     "t10_daily_report": "T10 daily report per user",
     "t11_suggestion_report": "T11 suggestion report per user",
     "t12_weekly_report": "T12 weekly report per user",
+    "t10_daily_text": "T10 daily report text per user",
+    "t11_text": "T11 suggestion text per user",
+    "t12_weekly_text": "T12 weekly report text per user",
     "t12_news_report": "T12 news report per feed run",
     "t13_prompts": "T13 assembled coach prompts",
     "t13_briefing_prompts": "T13 daily briefing prompt per user",

@@ -313,6 +313,15 @@ select {_FIELDS}, import_batch, 'kept' origin from problems where id not in (sel
 union all
 select {_FIELDS}, '{_BATCH}', 'inserted' from t where name <> ''""")
 
+SQL["i2_plan_left"] = V(["tasks", "problems", "imports", "daily_plan"], f"""
+{_T},
+importers as (select distinct user_id from t where name <> ''),
+removed as (select p.id from problems p
+            where p.user_id in (select user_id from importers)
+              and not exists (select 1 from imports i where i.protected and i.user_id = p.user_id
+                              and i.batch_id = p.import_batch))
+select * from daily_plan where problem_id not in (select id from removed)""")
+
 SQL["i3_ledger_rows"] = V(["tasks", "problems"], f"""
 {_T}
 select f.user_id, f.filename, {_lit(LOG)} import_date, tot.imported total_imported, '{_BATCH}' batch_id,
@@ -410,9 +419,12 @@ from problems p left join perprob pp on pp.problem_id = p.id""")
 
 SQL["i10_activity_upsert"] = V(["daily_log", "activity", "user_settings"], """
 , a as (select a.user_id, a.log_date, a.problems_solved, 0::bigint problems_attempted, 0::bigint problems_skipped,
-          coalesce(us.daily_goal, 10)::bigint problems_target
+          coalesce(us.daily_goal, 10)::bigint problems_target, (a.problems_solved * 0.5)::double study_hours,
+          case when a.problems_solved > 1 then 'good' else 'tired' end mood,
+          concat('views ', cast(a.problems_solved as varchar)) notes
         from activity a left join user_settings us on us.user_id = a.user_id)
-select user_id, log_date, problems_solved, problems_attempted, problems_skipped, problems_target
+select user_id, log_date, problems_solved, problems_attempted, problems_skipped, problems_target,
+  0.0::double study_hours, '' mood, '' notes
 from daily_log l
 where not exists (select 1 from a where a.user_id = l.user_id and a.log_date = l.log_date)
 union all select * from a""")
@@ -430,6 +442,24 @@ from projects p left join (
   select project_id, count(*)::bigint total_ms, count(*) filter (where status = 'Done')::bigint done_ms
   from m2 group by project_id) m on m.project_id = p.id""")
 
+SQL["i11_projects"] = V(["projects"], """
+select id, user_id, case when year(target_date) = 1995 then concat('renamed ', cast(id as varchar)) else name end name,
+  case when year(target_date) = 1995 then target_date + 30 else target_date end target_date
+from projects
+union all
+select id + 10000000000, user_id, concat('new ', cast(id as varchar)), target_date
+from projects where year(target_date) = 1997""")
+
+SQL["i11_milestones"] = V(["projects", "milestones"], """
+select project_id, order_index, deadline,
+  case when (project_id, order_index) in (select project_id, order_index from milestones
+                                          where year(deadline) = 1995) then 'Done' else status end status
+from milestones
+where (project_id, order_index) not in (select project_id, order_index from milestones
+                                        where deadline < date '1993-01-01')
+union all
+select id, 100, target_date + 60, 'Pending' from projects where year(target_date) = 1997""")
+
 SQL["i12_settings_upsert"] = V(["settings"], """
 , ch as (select c_custkey user_id, 'daily_goal' key, '12' value from customer where c_acctbal > 5000)
 select * from settings s
@@ -485,7 +515,9 @@ def _platform(v: str) -> str:
 
 
 def _parse(v: str) -> str:
-    fmts = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y", "%d/%m/%Y", "%B %d %Y", "%b %d %Y", "%d %B %Y"]
+    fmts = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y", "%d/%m/%Y", "%B %d %Y", "%b %d %Y", "%d %B %Y",
+            "%Y/%m/%d", "%m-%d-%Y", "%d-%m-%Y", "%B %d, %Y", "%b %d, %Y", "%d %b %Y", "%m/%d/%y", "%Y%m%d",
+            "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%g"]
     return "coalesce(" + ", ".join(f"try_strptime(trim({v}), '{f}')" for f in fmts) + ")::date"
 
 
@@ -797,6 +829,51 @@ select w.*, coalesce(pr.total, 0)::bigint total, coalesce(pr.solved, 0)::bigint
 left join (select user_id, count(*) total, count(*) filter (where status = 'Solved') solved
            from problems group by user_id) pr on pr.user_id = w.user_id""")
 
+_LINKS_LINE = ("[NeetCode](https://neetcode.io) | [takeUforward](https://takeuforward.org) | "
+               "[IndiaBix](https://www.indiabix.com)")
+
+
+def _over(key: str, body: str) -> str:
+    """``body`` reading the statement of another key as ``r``."""
+    return f"select user_id, {body} report from ({SQL[key]}) r"
+
+
+SQL["t10_daily_text"] = _over("t10_daily_report", f"""concat(
+  '### Your Numbers for Today', chr(10), '- **Solved overall:** ', solved, ' | **Pending:** ', pending,
+  ' | **Days left:** ', days_left, chr(10), '- **Today:** ', solved_today, '/', goal, ' done', chr(10), chr(10),
+  '### Reality Check', chr(10),
+  case band when 'zero'
+    then concat(' You have solved **0/', goal, '** problems today. Every hour you delay costs you. Start now.')
+    when 'behind' then concat(' **', solved_today, '/', goal, '** done. You need **', goal - solved_today,
+                              '** more to hit your daily goal.')
+    else concat(' Daily goal of ', goal, ' achieved! Strong consistency builds placements.') end,
+  chr(10), chr(10), '### Today''s Tasks', chr(10), task_lines, chr(10), chr(10), '### Resources', chr(10),
+  '{_LINKS_LINE}', chr(10))""")
+
+SQL["t11_text"] = _over("t11_suggestion_report", """concat(
+  '### Priority Study Directives', chr(10), '- **Time left:** ', days_left, ' days | **Solved:** ', solved, '/', total,
+  ' (', case when total <> 0 then cast(solved_pct as varchar) else '0' end, '%)', chr(10), chr(10), '### Weak Areas',
+  chr(10), case when weak_topics is not null then concat('🚨 Topics you keep skipping: ', weak_topics, chr(10),
+                                                         'Spend 2 focused days on these.', chr(10))
+                else concat('✅ No heavy skipping pattern. Keep tackling harder problems.', chr(10)) end,
+  chr(10), '### Recommended Resources', chr(10),
+  '- **DSA:** [NeetCode](https://neetcode.io) | [takeUforward](https://takeuforward.org)', chr(10),
+  '- **Aptitude & Verbal:** [IndiaBix](https://www.indiabix.com)', chr(10),
+  '- **SQL:** [SQLZoo](https://sqlzoo.net) | [LeetCode SQL 50](https://leetcode.com/studyplan/sql-50/)', chr(10),
+  '- **System Design:** [ByteByteGo](https://www.youtube.com/@ByteByteGo)', chr(10))""")
+
+SQL["t12_weekly_text"] = _over("t12_weekly_report", """concat(
+  '### Weekly Performance', chr(10), '- **Solved this week:** ', week_solved, '/', week_goal, ' | **Days studied:** ',
+  days_studied, '/7 | **Overall:** ', solved, '/', total, chr(10), chr(10), '### Reality Check', chr(10),
+  case when low_days then concat(' Only ', days_studied, '/7 days studied. Aim for 6 minimum.')
+       else concat(' Good consistency — ', days_studied, '/7 days studied.') end, chr(10),
+  case band when 'behind' then concat(' Behind target: ', week_solved, '/', week_goal, '. Increase volume.')
+            when 'smashed' then concat(' Target smashed! ', week_solved, '/', week_goal, '.')
+            else concat(' Decent: ', week_solved, '/', week_goal, '. Push harder next week.') end, chr(10), chr(10),
+  '### Next Week Directives', chr(10), '1. Tackle skipped problems first.', chr(10),
+  '2. [NeetCode Roadmap](https://neetcode.io) for DSA structure.', chr(10),
+  '3. [IndiaBix](https://www.indiabix.com) for Aptitude + Verbal.', chr(10))""")
+
 # --- S5/S6/S8, X ------------------------------------------------------------
 SQL["s6_resource_json"] = """
 select conv_id, turn, json_extract_string(b, '$.youtube') youtube, json_extract_string(b, '$.article') article,

@@ -146,6 +146,68 @@ def weekly_report(users, problems, log, user_settings, as_of) -> DataFrame:
     return wk.join(prof, "user_id", "left")
 
 
+# The wording of the reports.
+RESOURCE_LINE = ("[NeetCode](https://neetcode.io) | [takeUforward](https://takeuforward.org) | "
+                 "[IndiaBix](https://www.indiabix.com)")
+NEXT_WEEK = (NL + "### Next Week Directives" + NL + "1. Tackle skipped problems first." + NL
+             + "2. [NeetCode Roadmap](https://neetcode.io) for DSA structure." + NL
+             + "3. [IndiaBix](https://www.indiabix.com) for Aptitude + Verbal." + NL)
+RECOMMENDED = (NL + "### Recommended Resources" + NL
+               + "- **DSA:** [NeetCode](https://neetcode.io) | [takeUforward](https://takeuforward.org)" + NL
+               + "- **Aptitude & Verbal:** [IndiaBix](https://www.indiabix.com)" + NL
+               + "- **SQL:** [SQLZoo](https://sqlzoo.net) | [LeetCode SQL 50](https://leetcode.com/studyplan/sql-50/)"
+               + NL + "- **System Design:** [ByteByteGo](https://www.youtube.com/@ByteByteGo)" + NL)
+
+
+def _join(*parts) -> Column:
+    """Texts and columns (``Column``) in one string."""
+    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def daily_text(report: DataFrame) -> DataFrame:
+    """T10 text of ``daily_report``.  The goal is filled in on a day without a
+    solved problem (Q6 fixed)."""
+    c = F.col
+    band = (F.when(c("band") == "zero", _join(" You have solved **0/", c("goal"), "** problems today. "
+                                            "Every hour you delay costs you. Start now."))
+            .when(c("band") == "behind", _join(" **", c("solved_today"), "/", c("goal"), "** done. You need **",
+                                               c("goal") - c("solved_today"), "** more to hit your daily goal."))
+            .otherwise(_join(" Daily goal of ", c("goal"), " achieved! Strong consistency builds placements.")))
+    return report.select("user_id", _join(
+        "### Your Numbers for Today" + NL + "- **Solved overall:** ", c("solved"), " | **Pending:** ", c("pending"),
+        " | **Days left:** ", c("days_left"), NL + "- **Today:** ", c("solved_today"), "/", c("goal"),
+        " done" + NL + NL + "### Reality Check" + NL, band, NL + NL + "### Today's Tasks" + NL, c("task_lines"),
+        NL + NL + "### Resources" + NL + RESOURCE_LINE + NL).alias("report"))
+
+
+def suggestion_text(report: DataFrame) -> DataFrame:
+    """T11 text of ``suggestion_report``."""
+    c = F.col
+    pct = F.when(c("total") != 0, c("solved_pct").cast("string")).otherwise("0")
+    weak = (F.when(c("weak_topics").isNotNull(), _join("🚨 Topics you keep skipping: ", c("weak_topics"),
+                                                       NL + "Spend 2 focused days on these." + NL))
+            .otherwise("✅ No heavy skipping pattern. Keep tackling harder problems." + NL))
+    return report.select("user_id", _join(
+        "### Priority Study Directives" + NL + "- **Time left:** ", c("days_left"), " days | **Solved:** ",
+        c("solved"), "/", c("total"), " (", pct, "%)" + NL + NL + "### Weak Areas" + NL, weak,
+        RECOMMENDED).alias("report"))
+
+
+def weekly_text(report: DataFrame) -> DataFrame:
+    """T12 text of ``weekly_report``."""
+    c = F.col
+    days = (F.when(c("low_days"), _join(" Only ", c("days_studied"), "/7 days studied. Aim for 6 minimum." + NL))
+            .otherwise(_join(" Good consistency — ", c("days_studied"), "/7 days studied." + NL)))
+    of = _join(c("week_solved"), "/", c("week_goal"))
+    band = (F.when(c("band") == "behind", _join(" Behind target: ", of, ". Increase volume." + NL))
+            .when(c("band") == "smashed", _join(" Target smashed! ", of, "." + NL))
+            .otherwise(_join(" Decent: ", of, ". Push harder next week." + NL)))
+    return report.select("user_id", _join(
+        "### Weekly Performance" + NL + "- **Solved this week:** ", of, " | **Days studied:** ", c("days_studied"),
+        "/7 | **Overall:** ", c("solved"), "/", c("total"), NL + NL + "### Reality Check" + NL, days, band,
+        NEXT_WEEK).alias("report"))
+
+
 def news_report(digest: DataFrame, n: int = 6) -> DataFrame:
     """T12 news: per run, the top n digest entries as one markdown list."""
     line = F.concat(F.lit("- **["), _s("title"), F.lit("]("), _s("url"), F.lit(")** — *"), _s("source"),

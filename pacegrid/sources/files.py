@@ -51,8 +51,8 @@ def _table_cells(source_file: str, sheet: str, rows: list[list]) -> list[tuple]:
 def _parse_files(on_error: str):
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows: list[tuple] = []
             for path, content in zip(pdf["path"], pdf["content"]):
+                rows: list[tuple] = []
                 name = os.path.basename(path)
                 stem, ext = os.path.splitext(name)
                 if ext.lower() in (".xlsx", ".xlsm") and not HAVE_OPENPYXL:
@@ -62,14 +62,14 @@ def _parse_files(on_error: str):
                         import openpyxl as ox
                         wb = ox.load_workbook(io.BytesIO(content), read_only=True, data_only=True)
                         for ws in wb.worksheets:
-                            rows.extend(_table_cells(name, ws.title, [list(r) for r in ws.iter_rows(values_only=True)]))
+                            rows.extend(_table_cells(path, ws.title, [list(r) for r in ws.iter_rows(values_only=True)]))
                     else:
                         text = bytes(content).decode("utf-8-sig")
-                        rows.extend(_table_cells(name, stem, list(csv.reader(io.StringIO(text)))))
+                        rows.extend(_table_cells(path, stem, list(csv.reader(io.StringIO(text)))))
                 except Exception as e:  # noqa: BLE001
                     if on_error == "fail":
                         raise ValueError(f"Failed to read {name}: {e}") from e
-            yield pd.DataFrame(rows, columns=[f.name for f in CELLS_SCHEMA.fields])
+                yield pd.DataFrame(rows, columns=[f.name for f in CELLS_SCHEMA.fields])
     return parse
 
 
@@ -78,7 +78,8 @@ def read_sheets(spark: SparkSession, path: str, on_error: str = "fail") -> DataF
 
     ``on_error='fail'`` fails the job on an unreadable file, as an upload of a
     corrupt file fails; ``'skip'`` drops that file and keeps the others.
-    One file is parsed by one task; many files run in parallel.
+    ``source_file`` is the full path, so equal file names in two folders stay
+    apart.  One file is parsed by one task; many files run in parallel.
     """
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
     return raw.mapInPandas(_parse_files(on_error), CELLS_SCHEMA)

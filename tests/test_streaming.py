@@ -22,7 +22,7 @@ def test_x3_solved_windows_stream_equals_batch(spark, tmp_dir):
         "user_id long, status string, ts timestamp")
     ev.write.parquet(f"{tmp_dir}/events")
     stream = spark.readStream.schema(ev.schema).parquet(f"{tmp_dir}/events")
-    daily_s, weekly_s = X.solved_windows(stream)
+    daily_s, weekly_s = X.solved_windows(stream, watermark="2 days")
     for name, df in (("x3_daily", daily_s), ("x3_weekly", weekly_s)):
         q = (df.writeStream.outputMode("complete").format("memory").queryName(name)
              .option("checkpointLocation", f"{tmp_dir}/ckpt_{name}").trigger(availableNow=True).start())
