@@ -37,6 +37,7 @@ CUTS, STRETCH = 6, 24
 DIMS = 1 << 16
 BLOCK = 32
 ROUNDS = 60
+PART = 1_000_000  # bytes of text labelled at once
 
 
 def letters(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -364,7 +365,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         model = shared.value
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, most=PART):
                 n = b.num_rows
                 lang, score, words_in, shares = [UND] * n, [0.0] * n, [0] * n, [[] for _ in range(n)]
                 if model is not None:
