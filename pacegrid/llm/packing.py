@@ -121,7 +121,7 @@ def tokenised(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: in
     def run(batches):
         enc = encoder(vocabulary)
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, most=1_000_000):
                 flat, at = enc.batch(part.column("text"))
                 rows = []
                 for i, key, lo, hi in zip(part.column("doc_id").to_pylist(), part.column("row_key").to_pylist(),
