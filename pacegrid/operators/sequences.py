@@ -7,7 +7,7 @@ Scale notes.
   not windows, so a hot key is reduced on every mapper before the shuffle.
 * W2 needs the exact position of every row in its (user, day) group; for
   groups that may be huge, ``skew_safe_positions`` numbers rows inside
-  bounded id buckets and shifts them by counted offsets.
+  ranges between quantiles of the ids and shifts them by counted offsets.
 """
 
 from __future__ import annotations
@@ -56,19 +56,31 @@ def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column | str]
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
 
 
+def _slice_of(key: Column, bounds: list, first: int = 0) -> Column:
+    """How many of the ascending ``bounds`` are at most ``key`` (a balanced tree of comparisons)."""
+    if not bounds:
+        return F.lit(first)
+    m = len(bounds) // 2
+    return F.when(key < bounds[m], _slice_of(key, bounds[:m], first)).otherwise(
+        _slice_of(key, bounds[m + 1:], first + m + 1))
+
+
 def skew_safe_positions(df: DataFrame, group: Sequence[str], prefix: Sequence[str], key: str,
-                        name: str = "pos", bucket_width: int = 1 << 16) -> DataFrame:
+                        name: str = "pos", slices: int = 128) -> DataFrame:
     """Exact 0-based positions ordered by ``(*prefix, key)`` within ``group``
     without one task ever holding a whole group.
 
-    ``key`` is a unique integer (the row id).  Rows are cut into id buckets of
-    ``bucket_width``; a window numbers rows only inside one
-    (group, prefix, bucket) slice, and each slice is shifted by the sizes of
-    the slices before it, found from a partially aggregated count per slice.
-    All steps are deterministic, so a lost executor recomputes the same rows.
+    ``key`` is a unique integer (the row id, dense or not).  The quantiles of
+    all keys cut the rows into ``slices`` ranges, so a range holds about one
+    ``slices``-th of all rows and a group at most ``slices`` ranges, however
+    the ids lie.  A window numbers rows only inside one (group, prefix, range)
+    slice, and each slice is shifted by the sizes of the slices before it,
+    found from a partially aggregated count per slice.  The ``slices - 1``
+    bounds are literals of the plan (found once, when it is built), so a lost
+    executor recomputes the same rows.
     """
-    b = F.floor(F.col(key) / F.lit(bucket_width)).cast("bigint").alias("_b")
-    d = df.withColumn("_b", b)
+    quantiles = df.agg(F.percentile_approx(key, [i / slices for i in range(1, slices)])).first()[0]
+    d = df.withColumn("_b", _slice_of(F.col(key), sorted(set(quantiles or []))))
     slice_keys = [*group, *prefix, "_b"]
     w_local = Window.partitionBy(*slice_keys).orderBy(key)
     local = d.withColumn("_lpos", F.row_number().over(w_local) - 1)

@@ -93,23 +93,27 @@ STORED_TITLE = 120     # characters kept of a title
 DEDUP_KEY = 50         # characters of the stored title used as the duplicate key
 
 
-def feed_items(articles: DataFrame, kinds: int = 5) -> DataFrame:
-    """Assign each source to a feed run and kind: ``srcK`` is kind ``K % 5``
-    of run ``K // 5``.  Adds ``run``, ``kind``, ``pos`` (1-based item order
-    within the source) and keeps only the first 30 items of each source.
-    Items that carry ``run`` and ``kind`` themselves keep them, whatever the
-    name of their source; other names without a number are in no run."""
-    if {"run", "kind"} <= set(articles.columns):
-        own = Window.partitionBy("run", "kind", "source").orderBy("seq")
-        return articles.withColumn("pos", F.row_number().over(own)).filter(F.col("pos") <= max(SCAN_CAP.values()))
-    k = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
-    kinds_arr = F.array(*[F.lit(x) for x in FEED_KINDS])
-    w = Window.partitionBy("source").orderBy("seq")
-    return (articles.withColumn("_k", k).filter(F.col("_k").isNotNull())
-            .withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= max(SCAN_CAP.values()))
-            .withColumn("run", (F.col("_k") / kinds).cast("int"))
-            .withColumn("kind", F.element_at(kinds_arr, (F.col("_k") % kinds + 1).cast("int")))
-            .drop("_k"))
+def feed_items(articles: DataFrame, sources: int = 20, block: int = 600) -> DataFrame:
+    """Items of feed runs with their place in them, ready for ``merge_news``.
+
+    Source ``srcK`` (``K`` below ``sources``) is of kind ``K % 5``; the sources with equal ``K // 5``
+    make one run for every ``block`` consecutive ``seq``, so each item enters a run and the runs grow with the
+    feed.  Items that carry ``run`` and ``kind`` themselves keep them, whatever the name of their source;
+    other names without a number are in no run.  ``pos`` is the 1-based item order within the source
+    and run; the first 30 items of each are kept.  Relevance and topic come from the whole title before
+    any shuffle; only its stored characters travel on."""
+    if not {"run", "kind"} <= set(articles.columns):
+        k = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
+        kinds = F.array(*[F.lit(x) for x in FEED_KINDS])
+        n = len(FEED_KINDS)
+        articles = (articles.withColumn("_k", k).filter(F.col("_k").isNotNull())
+                    .withColumn("run", F.floor(F.col("seq") / block) * (sources // n) + F.floor(F.col("_k") / n))
+                    .withColumn("kind", F.element_at(kinds, F.col("_k") % n + 1)))
+    items = articles.select("run", "kind", "source", "seq", "url", "score", "tag_hint",
+                            is_relevant("title").alias("relevant"), topic_tag("title").alias("topic"),
+                            F.substring("title", 1, STORED_TITLE).alias("title"))
+    own = Window.partitionBy("run", "kind", "source").orderBy("seq")
+    return items.withColumn("pos", F.row_number().over(own)).filter(F.col("pos") <= max(SCAN_CAP.values()))
 
 
 def merge_news(items: DataFrame, limit: int | None = 9) -> DataFrame:
@@ -118,7 +122,7 @@ def merge_news(items: DataFrame, limit: int | None = 9) -> DataFrame:
     title, stable sort by score, top ``limit`` (``None``: the full ranked
     list, as the daily cache stores it).  A run with no item left gets the
     fallback list.  Output: ``run, rank, title, url, source, tag, score``."""
-    rel = is_relevant("title")
+    rel = F.col("relevant")
     title_ok = F.coalesce(F.col("title"), F.lit("")) != ""
     url_ok = F.coalesce(F.col("url"), F.lit("")) != ""
     kind = F.col("kind")
@@ -128,12 +132,12 @@ def merge_news(items: DataFrame, limit: int | None = 9) -> DataFrame:
             .when(kind == "tutorials", title_ok & url_ok & rel).otherwise(F.lit(False)))
     cap = F.element_at(F.create_map(*[x for k, v in SCAN_CAP.items() for x in (F.lit(k), F.lit(v))]), kind)
     tag = (F.when(kind == "tagged", F.when(F.coalesce(F.col("tag_hint"), F.lit("")) != "", F.upper("tag_hint"))
-                  .otherwise(topic_tag("title")))
+                  .otherwise(F.col("topic")))
            .when(kind == "ai_feed", "AI/ML").when(kind == "trending", "Open Source")
-           .otherwise(topic_tag("title")))
+           .otherwise(F.col("topic")))
     score = F.when(kind.isin("scored", "tagged"), F.col("score")).otherwise(F.lit(0)).cast("bigint")
     kept = (items.filter((F.col("pos") <= cap) & gate)
-            .select("run", "source", "kind", "pos", F.substring("title", 1, STORED_TITLE).alias("title"), "url",
+            .select("run", "source", "kind", "pos", "title", "url",
                     tag.alias("tag"), score.alias("score"),
                     F.array_position(F.array(*[F.lit(x) for x in FEED_KINDS]), kind).alias("kind_rank"),
                     F.floor((F.col("pos") - 1) / TAGGED_BLOCK).cast("int").alias("block")))
@@ -166,14 +170,20 @@ def merge_news(items: DataFrame, limit: int | None = 9) -> DataFrame:
     return with_fallback(top, items.select("run").distinct(), limit)
 
 
-def fallback_articles(spark) -> DataFrame:
-    rows = [(i + 1, t, u, s, tag, sc) for i, (t, u, s, tag, sc) in enumerate(RU.FALLBACK_ARTICLES)]
-    return spark.createDataFrame(rows, "rank bigint, title string, url string, source string, tag string, score bigint")
+def fallback_articles(limit: int | None) -> Column:
+    """The fixed fallback list (first ``limit``) as an array of article structs."""
+    names = ("title", "url", "source", "tag", "score")
+    return F.array(*[F.struct(F.lit(i).cast("bigint").alias("rank"),
+                              *[F.lit(v).cast("bigint" if n == "score" else "string").alias(n) for n, v in zip(names, row)])
+                     for i, row in enumerate(RU.FALLBACK_ARTICLES[:limit], start=1)])
 
 
 def with_fallback(top: DataFrame, runs: DataFrame, limit: int | None) -> DataFrame:
-    """Runs without any article get the fixed fallback list (first ``limit``)."""
-    empty = runs.join(top.select("run").distinct(), "run", "left_anti").withColumn("_one", F.lit(1))
-    fb = fallback_articles(top.sparkSession)
-    fb = (fb if limit is None else fb.filter(F.col("rank") <= limit)).withColumn("_one", F.lit(1))
-    return top.unionByName(empty.join(F.broadcast(fb), "_one", "inner").select(*top.columns))
+    """Runs without any article get the fixed fallback list (first ``limit``).
+
+    Every run brings the list along and drops it where it has articles (a window over one run's few rows),
+    so the merge itself is evaluated once."""
+    spare = runs.select("run", F.explode(fallback_articles(limit)).alias("_a")).select("run", "_a.*")
+    both = top.withColumn("_own", F.lit(True)).unionByName(spare.withColumn("_own", F.lit(False)))
+    return (both.withColumn("_any", F.max("_own").over(Window.partitionBy("run")))
+            .filter(F.col("_own") | ~F.col("_any")).drop("_own", "_any"))

@@ -675,7 +675,8 @@ def _news_sql(limit: int) -> str:
     return V(["articles"], f"""
 , it as (select *, cast(regexp_extract(source, '(\\d+)$', 1) as integer) k from articles
          where regexp_matches(source, '\\d+$')),
-it2 as (select *, row_number() over (partition by source order by seq) pos, k // 5 run,
+it2 as (select *, row_number() over (partition by source, seq // 600 order by seq) pos,
+          seq // 600 * 4 + k // 5 run,
           case k % 5 when 0 then 'scored' when 1 then 'tagged' when 2 then 'ai_feed' when 3 then 'trending'
                else 'tutorials' end kind, k % 5 + 1 kind_rank from it),
 g as (select *, {_REL} rel, {_TAG} ctag from it2

@@ -30,9 +30,35 @@ def write_partitions(df: DataFrame, path: str, partition_by: list[str], fmt: str
      .partitionBy(*partition_by).format(fmt).save(path))
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str], fmt: str = "parquet") -> None:
-    """Checkpoint ``df`` (which may read ``path``), then replace its partitions."""
-    write_partitions(materialise(df), path, partition_by, fmt)
+def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str], fmt: str = "parquet",
+                         touched: list | None = None) -> None:
+    """Checkpoint ``df`` (which may read ``path``), then replace its partitions.
+
+    ``touched``: values (or None) of the single partition column that the
+    change covers, ``stored_partitions`` if ``df`` is the whole table; those
+    ``df`` has no row for are emptied, so deleted rows do not stay behind.
+    """
+    df = materialise(df)
+    write_partitions(df, path, partition_by, fmt)
+    if not touched:
+        return
+    (column,) = partition_by
+    left = {r[0] for r in df.select(column).distinct().collect()}  # one value per partition
+    for value in touched:
+        if value not in left:
+            name = "__HIVE_DEFAULT_PARTITION__" if value is None else value
+            df.drop(column).limit(0).write.mode("overwrite").format(fmt).save(f"{path}/{column}={name}")
+
+
+def stored_partitions(spark: SparkSession, path: str, column: str, fmt: str = "parquet") -> list:
+    """Values of a partition column of a stored table (one per partition)."""
+    return [r[0] for r in spark.read.format(fmt).load(path).select(column).distinct().collect()]
+
+
+def in_partitions(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows of the given partitions; a filter that prunes the others' files from the scan."""
+    cond = F.col(column).isin([v for v in values if v is not None])
+    return df.filter(cond | F.col(column).isNull() if None in values else cond)
 
 
 def write_daily_cache(df: DataFrame, path: str, day, date_col: str = "cache_date") -> None:

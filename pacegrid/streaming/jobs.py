@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import changes as I
 from ..operators import text as TX
-from ..sources.sinks import materialise, write_partitions
+from ..sources.sinks import in_partitions, materialise, write_partitions
 
 EPOCH_MONDAY_OFFSET = "4 days"  # 1970-01-01 was a Thursday; +4 days is a Monday
 
@@ -93,32 +93,30 @@ class StatusEventSink:
         return f"{self.root}/{name}"
 
     def _touched(self, df: DataFrame, table: str) -> DataFrame:
-        return with_partition_column(df, table, self.granularity).select(
-            partition_column(table, self.granularity)).distinct()
+        """The part of the stored ``table`` in the partitions that rows of ``df`` (its date or partition
+        column) lie in.  Their names, one per day or month, go into the read's partition filter, so other
+        partitions are not read; problems without a date live in the null partition."""
+        col = partition_column(table, self.granularity)
+        rows = df if col in df.columns else with_partition_column(df, table, self.granularity)
+        values = [r[0] for r in rows.select(col).distinct().collect()]
+        return in_partitions(self.spark.read.parquet(self.path(table)), col, values)
 
     def __call__(self, events: DataFrame, batch_id: int) -> None:
         if events.isEmpty():
             return
-        s, g = self.spark, self.granularity
-        problems = s.read.parquet(self.path("problems"))
-        plan = s.read.parquet(self.path("daily_plan"))
-        log = s.read.parquet(self.path("daily_log"))
         touched_ids = events.select(F.col("problem_id").alias("id")).distinct()
-        new_p, new_plan, new_log = I.apply_status_events(problems, plan, log, self.user_settings, events)
-        # the partitions holding touched rows; all three outputs are
-        # checkpointed before any is written, since they read the same folders
-        p_parts = self._touched(problems.join(touched_ids, "id", "left_semi"), "problems")
-        plan_parts = self._touched(events.select("plan_date"), "daily_plan")
-        log_parts = self._touched(events.select(F.col("plan_date").alias("log_date")), "daily_log")
+        stored = self.spark.read.parquet(self.path("problems"))
+        problems = self._touched(stored.join(touched_ids, "id", "left_semi"), "problems")
+        plan = self._touched(events.select("plan_date"), "daily_plan")
+        log = self._touched(events.select(F.col("plan_date").alias("log_date")), "daily_log")
+        news = I.apply_status_events(problems, plan, log, self.user_settings, events)
+        # all three outputs are checkpointed before any is written, since they read the same folders
         outs = []
-        for name, df, parts in (("problems", new_p, p_parts), ("daily_plan", new_plan, plan_parts),
-                                ("daily_log", new_log, log_parts)):
-            col = partition_column(name, g)
-            if g == "month":  # recompute the month column from the (possibly new) rows
-                df = with_partition_column(df.drop(col), name, g)
-            # null-safe: problems without a date live in the null partition
-            parts = parts.select(F.col(col).alias("_touched_part"))
-            outs.append((name, col, materialise(df.join(parts, df[col].eqNullSafe(parts["_touched_part"]), "left_semi"))))
+        for name, df in zip(("problems", "daily_plan", "daily_log"), news):
+            col = partition_column(name, self.granularity)
+            if self.granularity == "month":  # recompute the month column from the (possibly new) rows
+                df = with_partition_column(df.drop(col), name, self.granularity)
+            outs.append((name, col, materialise(df)))
         for name, col, df in outs:
             write_partitions(df, self.path(name), [col])
 

@@ -60,7 +60,36 @@ def test_two_milestone_changes_give_one_row(spark):
 
 
 def test_feed_items_with_named_sources(spark):
-    a = spark.createDataFrame([(1, "Feed", "scored", 0), (2, "Feed", "scored", 0)],
-                              "seq long, source string, kind string, run int")
+    a = spark.createDataFrame([(1, "Feed", "scored", 0, "a", "u", 30, "x"), (2, "Feed", "scored", 0, None, None, None, None)],
+                              "seq long, source string, kind string, run int, title string, url string, score long, tag_hint string")
     assert sorted((r.seq, r.pos) for r in T.feed_items(a).collect()) == [(1, 1), (2, 2)]
     assert T.feed_items(a.drop("kind", "run")).count() == 0
+
+
+def test_every_block_of_items_has_its_runs(spark):
+    a = spark.range(1300).selectExpr("id as seq", "concat('src', id % 20) as source", "'python trick ' || id as title",
+                                     "'u' || id as url", "30L as score", "'x' as tag_hint")
+    items = T.feed_items(a)
+    assert {r.run for r in items.select("run").distinct().collect()} == set(range(12))
+    assert items.count() == 1300  # 30 or fewer of each source in a block of 600
+    assert {r.run for r in T.merge_news(items).filter("rank = 1").collect()} == set(range(12))
+
+
+def test_fallback_only_for_runs_without_articles(spark):
+    a = spark.createDataFrame([(1, "Feed", "ai_feed", 0, "a", "u", 0, None), (2, "Feed", "ai_feed", 1, "", "", 0, None)],
+                              "seq long, source string, kind string, run int, title string, url string, score long, tag_hint string")
+    got = T.merge_news(T.feed_items(a), limit=3).collect()
+    assert [(r.run, r.rank, r.title) for r in got if r.run == 0] == [(0, 1, "a")]
+    assert sorted(r["rank"] for r in got if r.run == 1) == [1, 2, 3]
+
+
+def test_emptied_partitions_do_not_stay_behind(spark, tmp_dir):
+    from pacegrid.sources import sinks
+
+    path = f"{tmp_dir}/plan"
+    t = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, None)], "id long, d string").selectExpr(
+        "id", "cast(d as date) as d")
+    t.write.partitionBy("d").parquet(path)
+    left = spark.read.parquet(path).filter("id = 1")
+    sinks.overwrite_partitions(left, path, ["d"], touched=sinks.stored_partitions(spark, path, "d"))
+    assert [r.id for r in spark.read.parquet(path).collect()] == [1]

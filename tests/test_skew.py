@@ -41,7 +41,7 @@ def test_plan_generation_splits_a_hot_group(spark):
     p = hot_problems(spark)
     hot_rows = p.filter((F.col("user_id") == 1) & (F.col("scheduled_date") == HOT_DAY)).count()
     assert hot_rows > 4000
-    plans = I.generate_plans(p, bucket_width=256)
+    plans = I.generate_plans(p)
     # exact: same positions as a plain window
     plain = W.positions(p.filter((F.col("status") == "Pending") & F.col("scheduled_date").isNotNull())
                         .select("user_id", F.col("scheduled_date").alias("plan_date"), F.col("id").alias("problem_id"),
@@ -66,3 +66,16 @@ def test_rollups_with_a_hot_user(spark):
     assert got[1].pending == sum(1 for r in rows if r.user_id == 1 and r.status == "Pending")
     top = R.top_skipped_topics(p, 3).filter(F.col("user_id") == 1).count()
     assert top <= 3
+
+
+def test_hashed_ids_do_not_make_one_slice_per_row(spark):
+    p = hot_problems(spark).withColumn("id", F.xxhash64("id"))
+    wanted = p.filter((F.col("status") == "Pending") & F.col("scheduled_date").isNotNull()).select(
+        "user_id", F.col("scheduled_date").alias("plan_date"), F.col("id").alias("problem_id"), W.difficulty_rank().alias("r"))
+    got = W.skew_safe_positions(wanted, ["user_id", "plan_date"], ["r"], "problem_id", name="order_index", slices=16)
+    plain = W.positions(wanted, ["user_id", "plan_date"], ["r", "problem_id"], name="order_index")
+    key = lambda d: sorted((r.user_id, r.problem_id, r.order_index)
+                           for r in d.select("user_id", "problem_id", "order_index").collect())
+    assert key(got) == key(plain)
+    hot = got.filter((F.col("user_id") == 1) & (F.col("plan_date") == HOT_DAY))
+    assert _max_rows_per_partition(hot) < hot.count() / 2
