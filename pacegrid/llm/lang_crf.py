@@ -51,34 +51,35 @@ def letters(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return codes[live], np.concatenate([[0], np.cumsum(live)])[offsets], plain
 
 
-def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(feature numbers of all words, offsets of the words in them)."""
+def feature_kinds(words: pa.Array):
+    """(feature numbers, their words in ascending order) kind by kind: whole word, n-grams, prefixes, suffixes."""
     n = len(words)
-    raw = pc.binary_join_element_wise(pa.array([b"\x02"] * n, pa.large_binary()), words.cast(pa.large_binary()),
-                                      pa.array([b"\x03"] * n, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+    mask = U64(DIMS - 1)
+    yield (mix64(hash_strings(words, seed=9)) & mask).astype(np.int64), np.arange(n)
+    raw = pc.binary_join_element_wise(pa.scalar(b"\x02", pa.large_binary()), words.cast(pa.large_binary()),
+                                      pa.scalar(b"\x03", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
     size = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).astype(U64) + U64(1)
+    data = np.frombuffer(raw.buffers()[2], np.uint8, int(size.sum())).astype(U64) + U64(1)
     start = np.concatenate([[0], np.cumsum(size)])
     word = np.repeat(np.arange(n), size)
     place = np.arange(len(data)) - start[:-1][word]
     rest = size[word] - place
-    found, owner = [mix64(hash_strings(words, seed=9))], [np.arange(n)]
     gram = np.zeros(len(data), U64)
     for k in range(1, 5):
         gram[:len(data) - k + 1] += data[k - 1:] << U64(9 * (k - 1))
         inside = rest >= k
         if k >= 2:
-            found.append(mix64(gram[inside] + U64(k << 40)))
-            owner.append(word[inside])
+            yield (mix64(gram[inside] + U64(k << 40)) & mask).astype(np.int64), word[inside]
         for tag, at in ((1, inside & (place == 1)), (2, inside & (rest == k + 1))):
             if k <= 3:
-                found.append(mix64(gram[at] + U64((k + 8 * tag) << 44)))
-                owner.append(word[at])
-        gram = gram.copy()
-    found, owner = np.concatenate(found), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    counts = np.bincount(owner, minlength=n)
-    return (found[order] % U64(DIMS)).astype(np.int64), np.concatenate([[0], np.cumsum(counts)])
+                yield (mix64(gram[at] + U64((k + 8 * tag) << 44)) & mask).astype(np.int64), word[at]
+
+
+def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(feature numbers of all words, offsets of the words in them)."""
+    found, owner = (np.concatenate(x) for x in zip(*feature_kinds(words)))
+    counts = np.bincount(owner, minlength=len(words))
+    return found[np.argsort(owner, kind="stable")], np.concatenate([[0], np.cumsum(counts)])
 
 
 class Model:
@@ -101,8 +102,14 @@ class Model:
         """Scores of the distinct words, L each."""
         if not len(words):
             return np.zeros((0, len(self.labels)))
-        feats, offsets = word_features(words)
-        return np.add.reduceat(self.weights[feats], offsets[:-1]) + self.lex_scale * self.lexicon(words)
+        out = self.lex_scale * self.lexicon(words)
+        by_label = np.ascontiguousarray(self.weights.T)
+        for feats, owner in feature_kinds(words):
+            if len(feats):
+                first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                for j, weights in enumerate(by_label):
+                    out[owner[first], j] += np.add.reduceat(weights[feats], first)
+        return out
 
 
 def _blocks(offsets: np.ndarray):
@@ -116,79 +123,89 @@ def _blocks(offsets: np.ndarray):
 
 
 def posteriors(scores: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, first_scores: np.ndarray) -> np.ndarray:
-    """Expected number of words per text and label, by exact forward-backward.  scores: one row per word."""
+    """Expected number of words per text and label, by exact forward-backward.  scores: one row per word.
+
+    Arrays hold labels first and blocks last, the longest blocks first: the blocks that still have a word k are
+    a prefix, and every step is one product of small matrices with a long one.
+    """
     L = scores.shape[1]
     out = np.zeros((len(offsets) - 1, L))
     first, size, text, nth = _blocks(offsets)
     if not len(first):
         return out
-    e = np.exp(scores - scores.max(1, keepdims=True))
+    order = np.argsort(-size, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first, size, text, nth = first[order], size[order], text[order], nth[order]
+    e = np.exp(np.ascontiguousarray(scores.T) - scores.max(1))
     t = np.exp(transitions - transitions.max())
-    start = np.exp(first_scores - first_scores.max())
-    at = np.minimum(first[:, None] + np.arange(BLOCK), len(e) - 1)
-    inside = np.arange(BLOCK) < size[:, None]
-    # matrices of the blocks: row i, column j = weight of leaving the block in j when entered from i
-    m = np.broadcast_to(np.eye(L), (len(first), L, L)).copy()
+    start = np.exp(first_scores - first_scores.max())[:, None]
+    live = np.searchsorted(-size, -np.arange(BLOCK))
+    words = [e.take(first[:live[k]] + k, axis=1) for k in range(BLOCK)]
+    fore, back = _block_states(e, t, start, first, size, text, place, len(out))
+    cur, a = fore, []
     for k in range(BLOCK):
-        live = np.flatnonzero(inside[:, k])
-        x = np.matmul(m[live].reshape(-1, L), t).reshape(-1, L, L) * e[at[live, k]][:, None, :]
-        m[live] = x / x.max((1, 2), keepdims=True)
-    # forward state before each block and backward state after it, texts side by side
-    blocks_of = np.bincount(text, minlength=len(out))
-    head = np.cumsum(blocks_of) - blocks_of
-    fore = np.ones((len(first), L))
-    back = np.ones((len(first), L))
-    have = np.flatnonzero(blocks_of)
-    order = have[np.argsort(-blocks_of[have], kind="stable")]
-    depth = blocks_of[order]
-    f = np.zeros((len(order), L))
-    for k in range(int(depth[0])):
-        live = int(np.searchsorted(-depth, -k - 1, side="right"))
-        b = head[order[:live]] + k
+        step = t.T @ cur[:, :live[k]]
         if k == 0:
             # the first word has no word before it: the start scores stand for its transition
-            f[:live] = _first_block(e, at[b], inside[b], t, start)
-        else:
-            fore[b] = f[:live]
-            x = np.einsum("ni,nij->nj", f[:live], m[b])
-            f[:live] = x / x.max(1, keepdims=True)
-    g = np.ones((len(order), L))
-    for k in range(int(depth[0]) - 1, -1, -1):
-        live = int(np.searchsorted(-depth, -k - 1, side="right"))
-        b = head[order[:live]] + k
-        back[b] = g[:live]
-        x = np.einsum("nij,nj->ni", m[b], g[:live])
-        g[:live] = x / x.max(1, keepdims=True)
-    # words
-    a = np.zeros((BLOCK, len(first), L))
-    opening = nth == 0
-    cur = fore.copy()
-    for k in range(BLOCK):
-        step = cur @ t
-        if k == 0:
-            step[opening] = start
-        x = step * e[at[:, k]]
-        cur = np.where(inside[:, k:k + 1], x / x.max(1, keepdims=True), cur)
-        a[k] = cur
-    cur = back.copy()
+            step = np.where(nth == 0, start, step)
+        cur = step * words[k]
+        if k % 4 == 3:
+            cur /= cur.max(0)
+        a.append(cur)
+    total = np.zeros((L, len(first)))
     for k in range(BLOCK - 1, -1, -1):
-        post = a[k] * cur
-        post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
-        live = inside[:, k]
-        for j in range(L):
-            out[:, j] += np.bincount(text[live], post[live, j], len(out))
-        x = (cur * e[at[:, k]]) @ t.T
-        cur = np.where(inside[:, k:k + 1], x / x.max(1, keepdims=True), cur)
+        n = live[k]
+        post = a[k] * back[:, :n]
+        total[:, :n] += post / np.maximum(post.sum(0), 1e-300)
+        x = t @ (back[:, :n] * words[k])
+        back[:, :n] = x / x.max(0) if k % 4 == 0 else x
+    for j in range(L):
+        out[:, j] = np.bincount(text, total[j], len(out))
     return out
 
 
-def _first_block(e, at, inside, t, start):
-    f = start * e[at[:, 0]]
-    f /= f.max(1, keepdims=True)
-    for k in range(1, at.shape[1]):
-        x = (f @ t) * e[at[:, k]]
-        f = np.where(inside[:, k:k + 1], x / x.max(1, keepdims=True), f)
-    return f
+def _block_states(e, t, start, first, size, text, place, n_texts):
+    """Forward state before each block and backward state after it (ones where a text begins and ends)."""
+    L = len(t)
+    fore, back = np.ones((L, len(first))), np.ones((L, len(first)))
+    per = np.bincount(text, minlength=n_texts)
+    chained = np.flatnonzero(per[text] > 1)
+    if not len(chained):
+        return fore, back
+    # matrices of the blocks: entry i, j = weight of leaving the block in j when entered from i
+    m = np.repeat(np.eye(L)[:, :, None], len(chained), axis=2)
+    live = np.searchsorted(-size[chained], -np.arange(BLOCK))
+    for k in range(BLOCK):
+        x = np.matmul(t.T, m[:, :, :live[k]]) * e.take(first[chained[:live[k]]] + k, axis=1)
+        m[:, :, :live[k]] = x / x.max((0, 1)) if k % 4 == 3 else x
+    m = np.ascontiguousarray((m / m.max((0, 1))).transpose(2, 0, 1))
+    row = np.zeros(len(first), np.int64)
+    row[chained] = np.arange(len(chained))
+    # texts side by side, those with the most blocks first
+    head = np.cumsum(per) - per
+    texts_in = np.flatnonzero(per > 1)
+    texts_in = texts_in[np.argsort(-per[texts_in], kind="stable")]
+    depth = per[texts_in]
+    at = place[head[texts_in]]
+    f = start * e.take(first[at], axis=1)
+    for k in range(1, BLOCK):  # the first of several blocks is full
+        f = (t.T @ f) * e.take(first[at] + k, axis=1)
+        f /= f.max(0)
+    f = np.ascontiguousarray(f.T)
+    g = np.ones((len(texts_in), L))
+    counts = np.searchsorted(-depth, -np.arange(depth[0]))
+    for k in range(1, int(depth[0])):
+        b = place[head[texts_in[:counts[k]]] + k]
+        fore[:, b] = f[:counts[k]].T
+        x = np.matmul(f[:counts[k], None, :], m[row[b]])[:, 0, :]
+        f[:counts[k]] = x / x.max(1, keepdims=True)
+    for k in range(int(depth[0]) - 1, -1, -1):
+        b = place[head[texts_in[:counts[k]]] + k]
+        back[:, b] = g[:counts[k]].T
+        x = np.matmul(m[row[b]], g[:counts[k], :, None])[:, :, 0]
+        g[:counts[k]] = x / x.max(1, keepdims=True)
+    return fore, back
 
 
 # ---- training on the bounded sample ----
