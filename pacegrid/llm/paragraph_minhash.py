@@ -1,10 +1,17 @@
 r"""Near-duplicate paragraphs by MinHash banding, verified and clustered.
 
-Units.  A *paragraph* is a line of at least ``MIN_WORDS`` words; its set holds its distinct 5-word shingles.
-Passages may also be pasted into the middle of a line, so lines are cut once more into *pieces* where a word's hash
-is the smallest of ``CUT`` consecutive words: cuts depend on the words around them alone, so a passage of
-50 words holds whole pieces wherever it stands.  Pieces of at least ``MIN_PIECE`` words are compared
-for equality (their one band is the digest of the whole piece).
+Units.  A *paragraph* is a line of at least ``MIN_WORDS`` words, or a block of consecutive shorter lines (without a
+blank one between) that has as many; its set holds its distinct 5-word shingles.  Pieces and passages run over the words of the
+whole document, for which a newline is white space like any other.  A document is cut into *pieces* at its ends and where a
+word's hash is the smallest of ``CUT`` consecutive words: cuts depend on the words around them alone.  Pieces of
+at least ``MIN_PIECE`` words are compared for equality (their one band is the digest of the whole piece).  A *passage* is a run of
+words whose windows of ``PASSAGE`` words all stand elsewhere too: every word of every repeated window is
+in one, wherever it stands and however it is wrapped.
+
+Passages.  Every window has a seed, its ``SEED``-word gram of the smallest hash.  1. Neighbouring windows share a seed, so
+seeds are few; those that stand in one place only drop out.  2. The windows of the others are compared by digest.
+3. Each window gets the smallest (doc_id, start) of its class; neighbours with the same shift to it are joined
+to the passage.
 
 Paragraphs.  1. Equal paragraphs form classes by digest.  2. Representatives get ``bands`` signatures of
 ``rows`` minima; ``tune`` takes the fewest hashes whose recall at the similarity reaches the target, preferring more
@@ -34,6 +41,8 @@ WORDS = 5
 MIN_WORDS = 20
 CUT = 20
 MIN_PIECE = 8
+PASSAGE = 50
+SEED = 20
 SIMILARITY = 0.8
 RECALL = 0.999
 _P = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -50,30 +59,43 @@ def tune(similarity: float = SIMILARITY, recall: float = RECALL, false_at: float
     return best
 
 
+def _least(x: np.ndarray, k: int) -> np.ndarray:
+    """Minimum of every k consecutive values."""
+    size = 1
+    while 2 * size <= k:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[:len(x) - (k - size)], x[k - size:]) if k > size else x
+
+
+def _placed(h: np.ndarray) -> np.ndarray:
+    """Keys that order by hash, the later place first; the place can be read off."""
+    return (h >> U64(32) << U64(32)) | (U64(0xFFFFFFFF) - np.arange(len(h), dtype=U64))
+
+
+def _place(key: np.ndarray) -> np.ndarray:
+    return (U64(0xFFFFFFFF) - (key & U64(0xFFFFFFFF))).astype(np.int64)
+
+
 class Units:
-    """Words of a batch of texts by line, with line numbers."""
+    """Words of a batch of texts, by line and by document."""
 
     def __init__(self, text: pa.Array):
-        self.lines, self.doc, self.line_no = [], [], []
+        lines, doc, first = [], [], []
         for i, t in enumerate(text.to_pylist()):
             own = (t or "").split("\n")
-            self.lines += own
-            self.doc += [i] * len(own)
-            self.line_no += range(len(own))
-        codes, self.offsets, words = split_words(pa.array(self.lines, pa.large_string()))
+            first.append(len(lines))
+            lines += own
+            doc += [i] * len(own)
+        codes, self.offsets, words = split_words(pa.array(lines, pa.large_string()))
         self.words = hash_strings(words, seed=6)[codes] if len(codes) else np.zeros(0, U64)
-        self.doc = np.array(self.doc, np.int64)
-        self.line_no = np.array(self.line_no, np.int64)
-        # words of the document before each line
-        n = np.diff(self.offsets)
-        head = np.concatenate([[0], np.cumsum(n)])[:-1]
-        first_line = np.searchsorted(self.doc, self.doc)
-        self.start = head - head[first_line] if len(head) else head
-
-    def digests(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit digests of word runs [lo, hi)."""
+        self.doc = np.array(doc, np.int64)
+        self.docs = self.offsets[np.array(first + [len(lines)], np.int64)]  # offsets of the documents
+
+    def digests(self, lo: np.ndarray, hi: np.ndarray, which: tuple[int, ...] = (0, 1)) -> list[np.ndarray]:
+        """64-bit digests (two of them) of word runs [lo, hi)."""
         out = []
-        for k in (0, 1):
+        for k in which:
             base = _P[2 * k]
             inv = U64(pow(int(base), -1, 2 ** 64))
             n = len(self.words) + 1
@@ -81,13 +103,13 @@ class Units:
             down = np.cumprod(np.concatenate([[U64(1)], np.full(n - 1, inv, U64)]))
             s = np.concatenate([[U64(0)], np.cumsum(mix64(self.words + U64(k)) * up[:-1])])
             out.append(mix64((s[hi] - s[lo]) * down[lo] + (hi - lo).astype(U64)))
-        return out[0], out[1]
+        return out
 
-    def shingles(self, lines: np.ndarray) -> list[np.ndarray]:
-        """Sorted distinct shingle hashes of the given lines."""
+    def shingles(self, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+        """Sorted distinct shingle hashes of the word runs [lo, hi)."""
         out = []
-        for i in lines:
-            w = self.words[self.offsets[i]:self.offsets[i + 1]]
+        for x, y in zip(lo, hi):
+            w = self.words[x:y]
             n = len(w) - WORDS + 1
             h = np.zeros(max(n, 0), U64)
             for k in range(WORDS):
@@ -95,27 +117,54 @@ class Units:
             out.append(np.unique(mix64(h)))
         return out
 
-    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, first word, end word) of the pieces of lines longer than CUT words."""
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, first word, end word) of the long lines and of the blocks of short ones."""
         size = np.diff(self.offsets)
-        long = np.flatnonzero(size > CUT)
-        if not len(long):
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        n = len(self.words)
-        key = (mix64(self.words + U64(77)) >> U64(32) << U64(32)) | (U64(0xFFFFFFFF) - np.arange(n, dtype=U64))
-        least = np.lib.stride_tricks.sliding_window_view(key, CUT).min(1)
-        line = np.repeat(long, size[long] - CUT + 1)
-        at = np.concatenate([np.arange(self.offsets[i], self.offsets[i + 1] - CUT + 1) for i in long])
-        cut = (U64(0xFFFFFFFF) - (least[at] & U64(0xFFFFFFFF))).astype(np.int64)
-        new = np.ones(len(cut), bool)
-        new[1:] = (cut[1:] != cut[:-1]) | (line[1:] != line[:-1])
-        cut, line = cut[new], line[new]
-        same = line[1:] == line[:-1]
-        return line[:-1][same], cut[:-1][same], cut[1:][same]
-
+        at = np.flatnonzero(size)
+        new = np.ones(len(at), bool)
+        new[1:] = ((at[1:] != at[:-1] + 1) | (self.doc[at[1:]] != self.doc[at[:-1]])
+                   | (size[at[1:]] >= MIN_WORDS) | (size[at[:-1]] >= MIN_WORDS))
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(at))[:len(head)] - 1
+        lo, hi = self.offsets[at[head]], self.offsets[at[tail] + 1]
+        keep = hi - lo >= MIN_WORDS
+        return self.doc[at[head]][keep], lo[keep], hi[keep]
+
+    def _windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(document, first word) of every window of k words inside a document."""
+        n = np.maximum(np.diff(self.docs) - k + 1, 0)
+        doc = np.repeat(np.arange(len(n)), n)
+        return doc, np.arange(len(doc)) + (self.docs[:-1] - (np.cumsum(n) - n))[doc]
 
-UNITS = ("doc_id long, paragraph long, start long, n_words long, digest long, digest2 long, bands array<long>, "
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, first word, end word) of the pieces."""
+        doc, at = self._windows(CUT)
+        ends = np.arange(len(self.docs) - 1)
+        cut = _place(_least(_placed(mix64(self.words + U64(77))), CUT)[at]) if len(at) else at
+        new = np.ones(len(cut), bool)
+        new[1:] = (cut[1:] != cut[:-1]) | (doc[1:] != doc[:-1])
+        doc = np.concatenate([doc[new], ends, ends])
+        cut = np.concatenate([cut[new], self.docs[:-1], self.docs[1:]])
+        order = np.lexsort((cut, doc))
+        doc, cut = doc[order], cut[order]
+        same = doc[1:] == doc[:-1]
+        return doc[:-1][same], cut[:-1][same], cut[1:][same]
+
+    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, first window, number of windows, hash) of every seed: consecutive windows share it."""
+        doc, at = self._windows(PASSAGE)
+        if not len(at):
+            return doc, at, at, np.zeros(0, U64)
+        gram = np.arange(len(self.words) - SEED + 1)
+        hashes = self.digests(gram, gram + SEED, (0,))[0]
+        place = _place(_least(_placed(hashes), PASSAGE - SEED + 1)[at])
+        new = np.ones(len(at), bool)
+        new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+        head = np.flatnonzero(new)
+        return doc[head], at[head], np.diff(np.append(head, len(at))), hashes[place[head]]
+
+
+UNITS = ("doc_id long, start long, n_words long, digest long, digest2 long, bands array<long>, "
          "n_shingles long, sketch binary")
 
 
@@ -139,16 +188,15 @@ def paragraph_units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             for b in slices(batch):
                 u = Units(b.column("text"))
                 ids = b.column("doc_id").to_numpy()
-                size = np.diff(u.offsets)
-                lines = np.flatnonzero(size >= MIN_WORDS)
-                if not len(lines):
+                doc, lo, hi = u.paragraphs()
+                if not len(lo):
                     continue
-                one, two = u.digests(u.offsets[lines], u.offsets[lines + 1])
-                sets = u.shingles(lines)
+                one, two = u.digests(lo, hi)
+                sets = u.shingles(lo, hi)
                 sig = _minhash(sets, bands, rows)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * bands, pa.int32()), pa.array(sig.view(np.int64).ravel()))
-                yield pa.record_batch([pa.array(ids[u.doc[lines]]), pa.array(u.line_no[lines]), pa.array(u.start[lines]), pa.array(size[lines]),
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lo) + 1) * bands, pa.int32()), pa.array(sig.view(np.int64).ravel()))
+                yield pa.record_batch([pa.array(ids[doc]), pa.array(lo - u.docs[doc]), pa.array(hi - lo),
                                        pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat,
                                        pa.array(np.diff(ends)), pa.array(sketches(np.concatenate(sets), ends), pa.binary())],
                                       names=[x.split()[0] for x in UNITS.split(", ")])
@@ -165,13 +213,13 @@ def piece_units(docs: DataFrame) -> DataFrame:
             for b in slices(batch):
                 u = Units(b.column("text"))
                 ids = b.column("doc_id").to_numpy()
-                line, lo, hi = u.pieces()
+                doc, lo, hi = u.pieces()
                 keep = hi - lo >= MIN_PIECE
-                line, lo, hi = line[keep], lo[keep], hi[keep]
+                doc, lo, hi = doc[keep], lo[keep], hi[keep]
                 if not len(lo):
                     continue
                 one, two = u.digests(lo, hi)
-                yield pa.record_batch([pa.array(ids[u.doc[line]]), pa.array(u.start[line] + lo - u.offsets[line]), pa.array(hi - lo),
+                yield pa.record_batch([pa.array(ids[doc]), pa.array(lo - u.docs[doc]), pa.array(hi - lo),
                                        pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=[x.split()[0] for x in PIECES.split(", ")])
 
     return texts(docs).filter("doc_id is not null").mapInArrow(run, PIECES)
@@ -180,19 +228,19 @@ def piece_units(docs: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) of unit numbers that are near duplicates."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
-    asked = reps.join(ids, "unit").groupBy("doc_id").agg(F.collect_list(F.struct("unit", "paragraph")).alias("p"))
+    asked = reps.join(ids, "unit").groupBy("doc_id").agg(F.collect_list(F.struct("unit", "start", "n_words")).alias("p"))
 
     def cut(batches):
         for batch in batches:
             for b in slices(batch):
                 u = Units(b.column("text"))
                 units, sets = [], []
-                first = np.searchsorted(u.doc, np.arange(b.num_rows))
                 for d, p in enumerate(b.column("p").to_pylist()):
-                    own = np.array([first[d] + x["paragraph"] for x in p])
-                    ok = own < len(u.doc)
+                    lo = u.docs[d] + np.array([x["start"] for x in p])
+                    hi = lo + np.array([x["n_words"] for x in p])
+                    ok = hi <= u.docs[d + 1]
                     units += [x["unit"] for x, k in zip(p, ok) if k]
-                    sets += [s.tobytes() for s in u.shingles(own[ok])]
+                    sets += [s.tobytes() for s in u.shingles(lo[ok], hi[ok])]
                 yield pa.record_batch([pa.array(units, pa.int64()), pa.array(sets, pa.binary())], names=["unit", "s"])
 
     cutouts = stored(texts(docs).join(asked, "doc_id").select("text", "p").mapInArrow(cut, "unit long, s binary")
@@ -223,7 +271,7 @@ def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     info = rep_units.select(F.col("unit").alias("doc_id"), "n_shingles", "sketch")
     pairs = buckets.select(F.col("pivot").alias("a"), F.col("unit").alias("b")).filter("a < b").distinct()
     pairs = stored(plausible(info, pairs), "pairs")
-    links = stored(_verified(docs, rep_units.select("unit", "doc_id", "paragraph"), pairs), "links1")
+    links = stored(_verified(docs, rep_units.select("unit", "doc_id", "start", "n_words"), pairs), "links1")
     comps = stored(connected_components(links), "components1")
     # buckets that still hold several components
     named = buckets.join(comps.select(F.col("id").alias("unit"), F.col("component_id").alias("c")), "unit", "left")
@@ -237,7 +285,7 @@ def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     crowd = stored(left.filter(F.col("n") > FEW).select("head", F.col("unit").alias("doc_id")).distinct(), "crowd")
     more = plausible(info, more).unionByName(_in_blocks(info, crowd, comps)).distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
-    links = links.unionByName(_verified(docs, rep_units.select("unit", "doc_id", "paragraph"), more))
+    links = links.unionByName(_verified(docs, rep_units.select("unit", "doc_id", "start", "n_words"), more))
     comps = connected_components(stored(links, "links2"))
     # classes of all paragraphs
     group = (reps.join(comps.select(F.col("id").alias("unit"), F.col("component_id").alias("c")), "unit", "left")
@@ -258,13 +306,92 @@ def piece_classes(docs: DataFrame) -> DataFrame:
                        ((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start"))).alias("removed"))
 
 
+SEEDS = "doc_id long, start long, seed long"
+RUNS = "doc_id long, start long, seed long, digests array<long>"
+PASSAGES = "doc_id long, start long, n_words long, keep_doc_id long, keep_start long, removed boolean"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def seed_units(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for b in slices(batch):
+                u = Units(b.column("text"))
+                doc, first, _, h = u.seeds()
+                yield pa.record_batch([pa.array(b.column("doc_id").to_numpy()[doc]), pa.array(first - u.docs[doc]), pa.array(h.view(np.int64))],
+                                      names=_names(SEEDS))
+
+    return texts(docs).filter("doc_id is not null").mapInArrow(run, SEEDS)
+
+
+def passage_classes(docs: DataFrame) -> DataFrame:
+    """Passages in two places or more: doc_id, start, n_words, keep_doc_id, keep_start."""
+    seeds = stored(seed_units(docs), "seeds")
+    place = F.struct("doc_id", "start")
+    often = seeds.groupBy("seed").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi").select("seed")
+    asked = seeds.join(often, "seed", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("asked"))
+
+    def windows(batches):
+        for batch in batches:
+            for b in slices(batch):
+                u = Units(b.column("text"))
+                doc, first, n, h = u.seeds()
+                wanted = b.column("asked")
+                ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
+                keep = np.concatenate([np.isin(h[x:y], np.array(wanted[d].as_py(), np.int64).view(U64))
+                                       for d, (x, y) in enumerate(zip(ends[:-1], ends[1:]))])
+                doc, first, n, h = doc[keep], first[keep], n[keep], h[keep]
+                if not len(doc):
+                    continue
+                at = np.concatenate([[0], np.cumsum(n)])
+                lo = np.arange(at[-1]) + np.repeat(first - at[:-1], n)
+                digest = u.digests(lo, lo + PASSAGE, (1,))[0].view(np.int64)
+                yield pa.record_batch([pa.array(b.column("doc_id").to_numpy()[doc]), pa.array(first - u.docs[doc]), pa.array(h.view(np.int64)),
+                                       pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(digest))], names=_names(RUNS))
+
+    runs = texts(docs).join(asked, "doc_id").mapInArrow(windows, RUNS)
+    # a seed's windows are compared where the seed lies: its runs are moved whole
+    rows = runs.repartition("seed").select("doc_id", "start", "seed", F.posexplode("digests").alias("k", "digest"))
+    here = F.struct("doc_id", (F.col("start") + F.col("k")).alias("start"))
+    w = Window.partitionBy("seed", "digest")
+    rows = rows.withColumn("keep", F.min(here).over(w)).withColumn("last", F.max(here).over(w)).filter("keep != last")
+    shifts = (rows.groupBy("seed", "doc_id", "start", F.col("keep.doc_id").alias("keep_doc_id"),
+                           (F.col("keep.start") - F.col("start") - F.col("k")).alias("shift"))
+              .agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask")))  # a seed has at most PASSAGE - SEED + 1 windows in a run
+    parts = shifts.groupBy("doc_id", "keep_doc_id", "shift").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))
+
+    def join(batches):
+        for b in batches:
+            lists = b.column("starts")
+            own = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            masks = b.column("masks").flatten().to_numpy()
+            row, k = np.nonzero((masks[:, None] >> np.arange(PASSAGE - SEED + 1)) & 1)
+            own, start = own[row], lists.flatten().to_numpy()[row] + k
+            order = np.lexsort((start, own))
+            own, start = own[order], start[order]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (start[1:] > start[:-1] + 1)
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(own))[:len(head)] - 1
+            own, start, end = own[head], start[head], start[tail] + PASSAGE
+            doc, keep, shift = (b.column(c).to_numpy()[own] for c in ("doc_id", "keep_doc_id", "shift"))
+            cols = [doc, start, end - start, keep, start + shift, (doc != keep) | (shift != 0)]
+            yield pa.record_batch([pa.array(c) for c in cols], names=_names(PASSAGES))
+
+    return parts.mapInArrow(join, PASSAGES)
+
+
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """All repeated units.
 
-    doc_id, unit ('paragraph' or 'piece'), start and n_words (in words of the document), keep_doc_id and keep_start (the
+    doc_id, unit ('paragraph', 'piece' or 'passage'), start and n_words (in words of the document), keep_doc_id and keep_start (the
     unit of the class that stays), removed.
     """
     cols = ["doc_id", "unit", "start", "n_words", "keep_doc_id", "keep_start", "removed"]
     one = paragraph_classes(docs).withColumn("unit", F.lit("paragraph"))
     two = piece_classes(docs).withColumn("unit", F.lit("piece"))
-    return one.select(cols).unionByName(two.select(cols))
+    three = passage_classes(docs).withColumn("unit", F.lit("passage"))
+    return one.select(cols).unionByName(two.select(cols)).unionByName(three.select(cols))

@@ -257,6 +257,83 @@ def test_paragraphs_and_pieces(spark):
     assert paragraph_minhash.repeated_paragraphs(docs(spark, [])).count() == 0
 
 
+def brute_passages(texts, size):
+    """Maximal runs of windows with the same shift to the first place of their words."""
+    first, last = {}, {}
+    places = [(i, k, tuple(w[k:k + size])) for i, w in sorted(texts.items()) for k in range(len(w) - size + 1)]
+    for i, k, g in places:
+        first.setdefault(g, (i, k))
+        last[g] = (i, k)
+    seen = collections.defaultdict(set)
+    for i, k, g in places:
+        if first[g] != last[g]:
+            seen[i, first[g][0], first[g][1] - k].add(k)
+    out = set()
+    for (i, j, shift), own in seen.items():
+        for k in own:
+            if k - 1 not in own:
+                end = k
+                while end in own:
+                    end += 1
+                out.add((i, k, end - k + size - 1, j, k + shift, (i, 0) != (j, shift)))
+    return out
+
+
+def test_passages_across_lines_against_brute_force(spark):
+    rnd = random.Random(12)
+    vocabulary = [f"q{k}" for k in range(3000)]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+
+    def wrapped(w):
+        out = []
+        for x in w:
+            out += [x, rnd.choice([" ", " ", " ", " ", "\n", "\n\n"])]
+        return "".join(out)
+
+    page, passages, rows, want = text(200), [text(n) for n in (49, 50, 51, 55, 60, 80, 140)], {}, {}
+    for i in range(120):
+        w = text(rnd.randint(0, 60))
+        for _ in range(rnd.randint(0, 2)):
+            k = rnd.randrange(len(passages))
+            lo = rnd.choice([0, 0, 5])
+            at = len(w)
+            w += passages[k][lo:]
+            if len(passages[k]) - lo >= 50:
+                want.setdefault(k, []).append((i, at, len(passages[k]) - lo))
+            w += text(rnd.randint(0, 30))
+        rows[i] = w
+    rows |= {200: page, 201: page, 202: ["one"] * 130 + ["two"] + ["one"] * 60, 203: ["x", "y"] * 45, 204: text(49), 300: text(9)}
+    rows[205], rows[301] = rows[204], rows[300]
+    d = docs(spark, [(i, wrapped(w)) for i, w in rows.items()] + [(400, None), (401, " \n")])
+    got = paragraph_minhash.repeated_paragraphs(d).collect()
+    found = {(r["doc_id"], r["start"], r["n_words"], r["keep_doc_id"], r["keep_start"], r["removed"]) for r in got if r["unit"] == "passage"}
+    assert found == brute_passages(rows, 50)
+    covered = collections.defaultdict(set)
+    for i, start, n, *_ in found:
+        covered[i].update(range(start, start + n))
+    assert all(covered[i] >= set(range(at, at + n)) for own in want.values() if len(own) > 1 for i, at, n in own if n == max(x[2] for x in own) and
+               sum(x[2] == n for x in own) > 1)
+    assert {r["doc_id"] for r in got if r["unit"] == "piece"} >= {200, 201, 204, 205, 300, 301}
+    for r in got:  # whatever the unit, equal words
+        if r["unit"] != "paragraph":
+            n = r["n_words"]
+            assert rows[r["doc_id"]][r["start"]:r["start"] + n] == rows[r["keep_doc_id"]][r["keep_start"]:r["keep_start"] + n]
+
+
+def test_paragraphs_of_short_lines(spark):
+    rnd = random.Random(13)
+    text = lambda n: [f"r{rnd.randrange(4000)}" for _ in range(n)]
+    wrap = lambda w, n: "\n".join(" ".join(w[k:k + n]) for k in range(0, len(w), n))
+    page = text(90)
+    other = list(page)
+    other[40] = "changed"
+    long = text(30)
+    rows = [(1, wrap(page, 9)), (2, " ".join(long) + "\n" + wrap(other, 13) + "\n\n" + wrap(text(40), 7)), (3, wrap(text(60), 11))]
+    got = {(r["doc_id"], r["start"], r["n_words"], r["keep_doc_id"], r["keep_start"], r["removed"])
+           for r in paragraph_minhash.repeated_paragraphs(docs(spark, rows)).collect() if r["unit"] == "paragraph"}
+    assert got == {(1, 0, 90, 1, 0, False), (2, 30, 90, 1, 0, True)}
+
+
 def test_tuned_bands():
     bands, rows = paragraph_minhash.tune()
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.999
