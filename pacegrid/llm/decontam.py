@@ -12,7 +12,11 @@ count; its hash ignores the others, so a hit survives substitutions there.
 4. Around each hit the diagonal is compared token by token.  An overlap is the longest
    run of at least ``min_tokens`` tokens of which at least ``similarity`` are equal, or the whole item where it is shorter.
 
-Items shorter than a mask (5 tokens at least) are found by the dense hash of the whole item and must
+The masks have weight 6.  Every way to change a fifth of the tokens (rounded down) of 10 to 25 leaves one of
+them untouched somewhere inside (a test enumerates them all), and a longer run within the share holds one of 13 to 25
+tokens that is: of two halves, one has no larger share.
+
+Items of fewer than 10 tokens (5 at least) are found by the dense hash of the whole item and must
 be equal; shorter ones are no evidence and are never matched.  A document's text is used whole.  Null or
 blank texts match nothing; rows with a null id are compared too and give rows with a null id; rows that share
 an id give the best overlap of them; empty tables give an empty result.
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, hash_strings, mix64, slices, split_words, stored, texts
 
-MASKS = ("1111110000", "1101001011", "1010110110", "1100101101")
+MASKS = ("111111", "1111011", "1101111", "110010111", "101100111", "110101011")
+WHOLE = 10          # items with fewer tokens are found whole
 MIN_TOKENS = 13
 SIMILARITY = 0.8
 SHORTEST = 5
@@ -96,8 +101,9 @@ def item_rows(benchmark: DataFrame, id_col: str = "item_id") -> DataFrame:
 
 def _masks_of(n: int, masks: tuple[str, ...]) -> list[str]:
     """Masks that apply to an item of n tokens: the spaced ones, or its whole dense window."""
-    own = [m for m in masks if len(m) <= n]
-    return own if own else (["1" * n] if n >= SHORTEST else [])
+    if n >= WHOLE:
+        return [m for m in masks if len(m) <= n]
+    return ["1" * n] if n >= SHORTEST else []
 
 
 def seed_rows(items: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
@@ -138,8 +144,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     items = stored(item_rows(benchmark), "items")
     seeds = stored(seed_rows(items, masks), "seeds")
     short = sorted(r["n"] for r in items.select((F.length("item_tokens") / 8).cast("int").alias("n")).distinct()
-                   .filter(F.col("n").between(SHORTEST, min(map(len, masks)) - 1)).collect())  # a few lengths
-    used = (*masks, *("1" * n for n in short))
+                   .filter(F.col("n").between(SHORTEST, WHOLE - 1)).collect())  # a few lengths
+    used = tuple(dict.fromkeys((*masks, *("1" * n for n in short))))
     flags = spark.sparkContext.broadcast(_bitmap(seeds, bits))
 
     def find(batches):
@@ -186,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
                 lo, hi = max(0, -g), min(len(t), len(d) - g)
                 if hi <= lo:
                     continue
-                whole = len(t) < min(map(len, masks))
+                whole = len(t) < WHOLE
                 got = overlap(d[lo + g:hi + g] == t[lo:hi], min(min_tokens, len(t)), 1.0 if whole else similarity)
                 if got:
                     out.append((r["doc_id"], r["item_id"], r["start"] + lo + g + got[0], lo + got[0], got[1], got[2], len(t)))

@@ -217,6 +217,43 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontam.contamination(docs(spark, rows), b.limit(0)).count() == 0
 
 
+def test_masks_hit_every_allowed_pattern():
+    for n in range(10, 26):
+        changed = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5)])
+        hit = np.zeros(len(changed), bool)
+        for m in decontam.MASKS:
+            bits = sum(1 << i for i, b in enumerate(m) if b == "1")
+            for k in range(n - len(m) + 1):
+                hit |= changed & (bits << k) == 0
+        assert hit.all(), n
+
+
+def test_decontamination_at_exactly_the_share(spark):
+    """Every placement of the allowed substitutions on whole items, and a sample of them inside longer ones."""
+    rnd = random.Random(14)
+    sizes = [7, 10, 11, 12, 13, 15, 20, 40, 60]
+    items = [[f"i{k}_{j}" for j in range(n)] for k, n in enumerate(sizes)]
+    rows, want = [], set()
+    for k, n in enumerate(sizes):
+        run = min(n, rnd.choice([13, 15]) if n > 20 else n)
+        for most in (run // 5, run // 5 + 1):
+            every = list(itertools.combinations(range(run), most))
+            for c in every if len(every) <= 500 else rnd.sample(every, 300):
+                at = rnd.randint(0, n - run)
+                own = items[k][at:at + run]
+                for j in c:
+                    own[j] = "changed"
+                i = len(rows)
+                rows.append((i, " ".join(["before"] * rnd.randint(0, 3) + own + ["after"] * rnd.randint(0, 3))))
+                # by brute force: the whole item, or a run of 13 tokens or more, with 80 % equal (items under 10 equal)
+                same = [x != "changed" for x in own]
+                least, share = (n, 10) if n < 10 else (min(13, n), 8)
+                if any(10 * sum(same[x:y]) >= share * (y - x) for x in range(run) for y in range(x + least, run + 1)):
+                    want.add((i, k))
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contamination(docs(spark, rows), b).collect()} == want
+
+
 def test_decontamination_query_finds_copies(spark):
     items = table(spark, "benchmark")
     want = {(i, k) for i, r in table(spark).items() for k, b in items.items() if b["text"] in (r["text"] or "")}
