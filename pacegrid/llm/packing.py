@@ -19,6 +19,7 @@ occur; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -71,8 +72,9 @@ class Encoder:
         known = self.words
         words = [w.lower() if w.isascii() else w for w in words]  # lower-casing ASCII cannot change its composition
         new = {w for w in words if w not in known}
-        # a letter word with one comma or full stop is the word's ids and the mark's ids
-        marked = [w for w in new if len(w) > 1 and w[-1] in ",." and w[:-1].isalpha()]
+        # a letter word with one comma or full stop is the word's ids and the mark's ids; composing and lower-casing turn
+        # some letters into a letter and a sign, which would join the mark
+        marked = [w for w in new if len(w) > 1 and w[-1] in ",." and unicodedata.normalize("NFC", w[:-1]).lower().isalpha()]
         plain = (new - set(marked)) | {w[:-1] for w in marked if w[:-1] not in known} | {x for x in ",." if x not in known}
         self._learn(list(plain))
         for w in marked:

@@ -425,6 +425,17 @@ def test_packing_is_whole_and_tight(spark, window):
     assert packing.pack(docs(spark, []), vocabulary(), window).count() == 0
 
 
+def test_marked_words_equal_whole_texts():
+    """Every letter before a comma or full stop; some letters are no letters alone once normalised."""
+    enc = packing.Encoder(vocabulary())
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    texts = [f"{w}{m}" for w in ["HANG\u0130", "ab\u0958", *letters] for m in ",."]
+    whole = [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    flat, at = enc.batch(pa.array(texts))
+    wrong = [t for t, ids, lo, hi in zip(texts, whole, at[:-1], at[1:]) if flat[lo:hi].tolist() != ids]
+    assert not wrong
+
+
 def test_packing_repeated_ids(spark):
     out = packing.pack(docs(spark, [(1, "a b c"), (1, "a b c"), (None, "d e")]), vocabulary(), 8).collect()
     assert sum(r["length"] for r in out) == 4 + 4 + 3
