@@ -16,8 +16,8 @@ to the passage.
 Paragraphs.  1. Equal paragraphs form classes by digest.  2. Representatives get ``bands`` signatures of
 ``rows`` minima; ``tune`` takes the fewest hashes whose recall at the similarity reaches the target, preferring more
 rows per band while recall allows.  3. Each bucket links its members to its smallest (linear); pairs are
-verified by exact Jaccard similarity of the shingles, or by the edit distance of the words where the
-sets are small and one changed word weighs too much.  4. Components.  5. Buckets that still hold several components
+verified by exact Jaccard similarity of the shingles, whatever their number: one changed inner word unlinks
+paragraphs of fewer than 49 words.  4. Components.  5. Buckets that still hold several components
 compare their members across components, so no link inside a bucket is lost.
 
 Of every class the unit with the smallest (doc_id, start) stays; the others are removed.
