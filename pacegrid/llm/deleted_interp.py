@@ -125,7 +125,7 @@ def _add_part(table: pa.Table) -> pa.Table:
         part = own.column("part")[0].as_py()
         for j, (block, teach) in enumerate(zip(own.column("block").to_pylist(), teaches)):
             at = where[ends[j]:ends[j + 1]]
-            rows.append((part, block, kind, _planes(total[at], "<u4"), _planes(left[at], "<u4") if teach else None,
+            rows.append((part, block, kind, _planes(total[at], "<u8"), _planes(left[at], "<u8") if teach else None,
                          *(sizes if j == 0 else (0, 0, 0, 0))))
     types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()] + [pa.int64()] * 4
     return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows), types)],
@@ -139,7 +139,7 @@ class Known:
         order = np.lexsort((answers.column("part").to_numpy(), answers.column("kind").to_numpy()))
         kinds = answers.column("kind").to_numpy()[order]
         raw = answers.column(column).to_pylist()
-        got = {k: np.concatenate([_from_planes(raw[i], "<u4") for i in order[kinds == k]]).astype(np.int64) for k in (1, 2)}
+        got = {k: np.concatenate([_from_planes(raw[i], "<u8") for i in order[kinds == k]]).astype(np.int64) for k in (1, 2)}
         words = np.unique(np.append(e.word, BEGIN))
         _, pairs = np.unique(e.pair, return_inverse=True)
         self.pair = got[2][pairs]

@@ -484,6 +484,22 @@ def test_score_is_the_mixture(spark):
     assert like(w) >= like(np.tile([0.2, 0.4, 0.4], (64, 1))) - 1e-6 or like(w) > like(np.full((64, 3), 1 / 3))
 
 
+def test_totals_beyond_four_bytes():
+    """Blocks' counts fit four bytes, their totals need not."""
+    planes = deleted_interp._planes
+    keys, counts = np.array([5, 9], np.uint64), np.array([3_000_000_000, 7])
+    rows = [(0, b, 1, b == 0, planes(keys, "<u8"), planes(counts, "<u4")) for b in range(2)]
+    got = deleted_interp._add_part(pa.table([pa.array(list(c)) for c in zip(*rows)], names=["part", "block", "kind", "teaches", "keys", "counts"]))
+    event = type("E", (), {"word": keys, "before": keys, "pair": keys})
+    words = np.sort(np.append(keys, deleted_interp.BEGIN))
+    pad = pa.table({"part": [0, 0], "block": [0, 0], "kind": [1, 2], "totals": [planes(np.zeros(1), "<u8"), planes(np.zeros(2), "<u8")]})
+    own = got.filter(pa.compute.equal(got.column("block"), 0)).select(["part", "block", "kind", "totals"])
+    assert list(words[:2]) == [5, 9]  # the padding, of part 1, follows
+    pad = pad.set_column(0, "part", pa.array([1, 0]))
+    known = deleted_interp.Known(event, pa.concat_tables([own, pad.cast(own.schema)]), "totals")
+    assert known.word.tolist() == [6_000_000_000, 14] and got.column("tokens_left").to_pylist()[0] == 3_000_000_007
+
+
 def test_score_edges(spark):
     d = docs(spark, [(i, None if i % 5 == 0 else "a b c a b") for i in range(40)] + [(None, "z z"), (3, "a b")])
     got = deleted_interp.score_texts(d).collect()
