@@ -34,7 +34,7 @@ SCALE = 9               # p counts in units of 10**-9
 PRIOR = 5               # added to every count
 HELD = 2_000_000        # entries of the stripes that a partition holds before it merges, and spills if half remain
 HELD_TERMS = 500_000    # terms of a partition before it spills
-BUCKET = 400_000        # entries of merged stripes in one bucket
+BUCKET = 25_000         # entries of merged stripes in one bucket, or the square of the number of sources if that is more
 BLOCK = 512             # sources whose pairs one task works on
 STRIPES = "lang string, term string, df long, sources array<string>, counts array<long>"
 
@@ -225,7 +225,7 @@ def source_divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP
                     .fillna(0, ["total", "terms", "lang_total"]), "groups")
     n_entries = merged.agg(F.sum(F.size("stripe")).alias("n")).first()["n"] or 0
     widest = groups.groupBy("lang").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    buckets, blocks = max(1, math.ceil(n_entries / bucket)), max(1, math.ceil(widest / block))
+    buckets, blocks = max(1, math.ceil(n_entries / max(bucket, widest ** 2))), max(1, math.ceil(widest / block))
     dealt = (merged.select("lang", "term", "stripe", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
     asked = (groups.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))

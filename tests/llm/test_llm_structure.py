@@ -290,7 +290,7 @@ def test_divergences_query_against_brute_force(spark):
     assert got == brute_divergences(rows, 30, 50)
 
 
-@pytest.mark.parametrize("limits", [{}, {"held": 20, "bucket": 15, "block": 2}, {"held_terms": 3, "bucket": 40, "block": 1}])
+@pytest.mark.parametrize("limits", [{}, {"held": 20, "bucket": 1, "block": 2}, {"held_terms": 3, "bucket": 40, "block": 1}])
 def test_divergences_with_spills_buckets_and_blocks(spark, limits):
     rng = random.Random(2)
     vocabulary = ["a", "B", "é", "Éa", "zz", "the", "THE", "ff", "x9y", "naïve", "w_w", "日本", "q'r"]
