@@ -211,9 +211,12 @@ def divided(mask: int, parts: int = DISTANCE + 1) -> list[int]:
 
 def _under(entries: DataFrame, masks: list[int], parts: int) -> DataFrame:
     """Each entry under the finer nodes of its node's mask: (fp, mask, bits).  ``masks`` has 4**level members."""
-    finer = entries.sparkSession.createDataFrame([(_signed(m), _signed(x)) for m in masks for x in divided(m, parts)],
-                                                 "mask long, finer long")
-    rows = entries.join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask"))
+    if len(masks) == 1:
+        rows = entries.select("fp", F.explode(F.array(*(F.lit(_signed(x)) for x in divided(masks[0], parts)))).alias("mask"))
+    else:
+        finer = entries.sparkSession.createDataFrame([(_signed(m), _signed(x)) for m in masks for x in divided(m, parts)],
+                                                     "mask long, finer long")
+        rows = entries.join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask"))
     rows = rows.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
     return rows.distinct() if len(masks) > 1 else rows  # finer masks can be reached from several nodes
 
