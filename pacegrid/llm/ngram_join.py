@@ -170,7 +170,7 @@ def may_link(n: int, x: bytes, m: int, y: bytes) -> bool:
 def set_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for b in slices(batch, most=8_000_000):
+            for b in slices(batch, most=1_000_000):
                 h, offsets = shingle_sets(b.column("text"))
                 n = [np.zeros(len(offsets) - 1, np.int64) for _ in range(2)]
                 for owner, family, *_ in segment_table(h, offsets, per_segment):
@@ -197,7 +197,7 @@ def packed_signatures(docs: DataFrame, parts: int, per_segment: float = PER_SEGM
 
     def run(batches):
         for batch in batches:
-            for b in slices(batch, most=8_000_000):
+            for b in slices(batch, most=2_000_000):
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False)
                 h, offsets = shingle_sets(b.column("text"))
                 table = segment_table(h, offsets, per_segment)
@@ -208,10 +208,10 @@ def packed_signatures(docs: DataFrame, parts: int, per_segment: float = PER_SEGM
                 order = np.argsort(sig, kind="stable")
                 sig, row = sig[order], row[order]
                 part = ((sig >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-                cuts = np.searchsorted(part, np.arange(parts + 1))
-                live = [k for k in range(parts) if cuts[k + 1] > cuts[k]]
+                live, cuts = np.unique(part, return_index=True)
+                cuts = np.append(cuts, len(part))
                 sigs, rows, own = [], [], []
-                for k in live:
+                for k in range(len(live)):
                     r = row[cuts[k]:cuts[k + 1]]
                     d, local = np.unique(r >> 1, return_inverse=True)
                     sigs.append(_planes(sig[cuts[k]:cuts[k + 1]]))
@@ -250,7 +250,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for b in slices(batch, most=8_000_000):
+            for b in slices(batch, most=1_000_000):
                 h, offsets = shingle_sets(b.column("text"))
                 rows = [h[lo:hi].tobytes() for lo, hi in zip(offsets[:-1], offsets[1:])]
                 yield pa.record_batch([b.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "shingles"])
