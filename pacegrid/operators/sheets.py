@@ -1,17 +1,16 @@
 """Messy spreadsheets of differing layouts -> one clean task table.
 
-Input is the long *cells* table
-``(source_file, sheet, row_no, col_no, header, value)``: one row per data
-cell, ``header`` the text of its column's header cell.  Because every sheet
-is just rows of that one schema, any number of files and sheets of any
-layout are normalised by one plan.
-
-Plan shape.  Per-sheet decisions (header mapping N1, layout N2, category N7)
-are one aggregate over the *distinct headers* of each sheet, which is tiny
-next to the cells; it is joined back to the cells on (source_file, sheet).
-Row assembly is one window over (source_file, sheet, row_no), whose
-partitions hold the cells of one row, so no group grows with the data; all
-four layouts are assembled in that same pass.
+Input are the *rows* of any number of sheets, ``(source_file, sheet, row_no, headers, values)``:
+``values`` are the row's texts by column, ``headers`` the texts of the sheet's header row.  Because
+every sheet is just rows of that one schema, files and sheets of any layout are normalised by one plan.
+
+Plan shape.  All decisions of a sheet (header mapping N1, layout N2, category N7) are expressions over its
+header array, and all tasks of a row (one, or in a day grid one per filled cell) are an array built from its own
+values, so the whole normalisation is a projection over the scan: no join, no shuffle, no window, and a sheet of any
+size is split over tasks like any other input.
+
+Tables in the long form ``(source_file, sheet, row_no, col_no, header, value)``, one row per cell, are taken
+too; ``rows_of_cells`` puts their rows together first.
 """
 
 from __future__ import annotations
@@ -19,15 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.window import Window
-
 from ..functions import rules as RU
 
 SHEET_KEY = ["source_file", "sheet"]
 ROW_KEY = ["source_file", "sheet", "row_no"]
-# The same key with the number first: the row window sorts on it, and a long
-# first gives the sorter a cheap prefix comparison.
-ROW_GROUP = ["row_no", "source_file", "sheet"]
 FIELDS = [f for f, _ in RU.HEADER_ALIASES]
 TASK_COLUMNS = ["source_file", "sheet", "row_no", "col_no", "name", "category", "topic", "difficulty",
                 "platform", "problem_link", "resource_link", "scheduled_date", "status"]
@@ -102,58 +96,72 @@ def day_grid_category(h_low: Column, whole_word: bool = False) -> Column:
     return F.coalesce(by_header, RU.sheet_category(h_low, whole_word), F.lit(RU.DEFAULT_CATEGORY))
 
 
+# --- rows --------------------------------------------------------------------
+
+def rows_of_cells(cells: DataFrame) -> DataFrame:
+    """Rows of a long table of cells; a row without a cell for a column of its sheet has NULL there."""
+    width = F.max("col_no").alias("_w")
+    entries = F.map_from_entries(F.collect_set(F.struct("col_no", "header")))
+    sheets = (cells.groupBy(*SHEET_KEY).agg(width, entries.alias("_m"))
+              .select(*SHEET_KEY, F.transform(F.sequence(F.lit(1), "_w"), lambda k: F.col("_m")[k]).alias("headers")))
+    values = F.map_from_entries(F.collect_list(F.struct("col_no", "value")))
+    rows = cells.groupBy(*ROW_KEY).agg(values.alias("_v")).join(sheets, SHEET_KEY)
+    return rows.select(*ROW_KEY, "headers", F.transform("headers", lambda _, k: F.col("_v")[k + 1]).alias("values"))
+
+
+def _rows(table: DataFrame) -> DataFrame:
+    return table if "values" in table.columns else rows_of_cells(table)
+
+
 # --- per-sheet decisions ---------------------------------------------------
 
-def sheet_headers(cells: DataFrame) -> DataFrame:
-    """Distinct (sheet, col_no, header) with trimmed and folded header text."""
-    return (cells.select(*SHEET_KEY, "col_no", "header").distinct()
-            .withColumn("h", F.trim(F.coalesce("header", F.lit(""))))
-            .withColumn("h_low", F.lower("h")))
+def sheet_headers(table: DataFrame) -> DataFrame:
+    """One row per sheet that has a row: (source_file, sheet, headers)."""
+    return _rows(table).select(*SHEET_KEY, "headers").distinct()
+
 
+def _found(position: Column) -> Column:
+    return F.when(position > 0, position)
 
-def _alias_rank(field_aliases: list[str], h_low: Column) -> Column:
-    """Position of the folded header in one field's alias list, NULL if absent."""
-    m = F.create_map(*[x for i, a in enumerate(field_aliases) for x in (F.lit(a), F.lit(i))])
-    return F.try_element_at(m, h_low)
+
+def _first_in(words: list[str]) -> Column:
+    """First column, in sheet order, whose folded header is one of ``words``."""
+    return _found(F.array_position(F.transform("_hl", lambda h: h.isin(*words)), True)).cast("int")
 
 
 def sheet_decisions(headers: DataFrame, whole_word: bool = False) -> DataFrame:
-    """N1 + N2 + N7 in one aggregate over the distinct headers: per sheet the
-    mapped column of every field (``map_<field>``), the topic-list and
-    day-grid columns, the layout and the sheet category.
+    """N1 + N2 + N7 from the header array alone: adds the mapped column of every field (``map_<field>``), the
+    topic-list and day-grid columns, the layout and the sheet category; ``_h`` and ``_hl`` are the trimmed and
+    the folded headers.
 
     Field mapping: the first alias in list order that a header equals wins;
-    among headers equal after folding the last column wins (``min_by`` on
-    ``(alias rank, -col_no)``).  Topic-list columns: first in sheet order.
+    among headers equal after folding the last column wins.  Topic-list columns: first in sheet order.
     """
-    aggs = []
-    for field, aliases in RU.HEADER_ALIASES:
-        r = _alias_rank(aliases, F.col("h_low"))
-        aggs.append(F.min_by(F.col("col_no"), F.when(r.isNotNull(), F.struct(r, -F.col("col_no"))))
-                    .alias(f"map_{field}"))
-    first = lambda cond: F.min(F.when(cond, F.col("col_no")))
-    hl = F.col("h_low")
-    hc = header_category(hl, whole_word)
-    aggs += [first(hl.isin(*RU.TOPIC_LIST_TOPIC_HEADERS)).alias("topic_col"),
-             first(hl.isin(*RU.TOPIC_LIST_LINK_HEADERS)).alias("link_col"),
-             first(hl.isin(*RU.TOPIC_LIST_PRIORITY_HEADERS)).alias("priority_col"),
-             F.min_by(F.col("h"), F.when((hl == "day") | hl.startswith("day "), F.col("col_no"))).alias("day_header"),
-             F.min_by(hc, F.when(hc.isNotNull(), F.col("col_no"))).alias("_hcat")]
-    d = headers.groupBy(*SHEET_KEY).agg(*aggs)
+    d = (headers.withColumn("_h", F.transform("headers", lambda h: F.trim(F.coalesce(h, F.lit("")))))
+         .withColumn("_hl", F.transform("_h", F.lower)).withColumn("_back", F.reverse("_hl")))
+
+    def last_of(alias: str) -> Column:
+        at = F.array_position("_back", alias)
+        return F.when(at > 0, (F.size("_hl") - at + 1).cast("int"))
+
+    day = F.filter("_h", lambda h: (F.lower(h) == "day") | F.lower(h).startswith("day "))
+    hcat = F.filter(F.transform("_hl", lambda h: header_category(h, whole_word)), lambda c: c.isNotNull())
+    d = d.select("*", *[F.coalesce(*[last_of(a) for a in aliases]).alias(f"map_{field}") for field, aliases in RU.HEADER_ALIASES],
+                 _first_in(RU.TOPIC_LIST_TOPIC_HEADERS).alias("topic_col"), _first_in(RU.TOPIC_LIST_LINK_HEADERS).alias("link_col"),
+                 _first_in(RU.TOPIC_LIST_PRIORITY_HEADERS).alias("priority_col"), F.get(day, F.lit(0)).alias("day_header"),
+                 F.coalesce(RU.sheet_category(F.col("sheet"), whole_word), F.get(hcat, F.lit(0)),
+                            F.lit(RU.DEFAULT_CATEGORY)).alias("category"))
     layout = (F.when(F.col("map_name").isNotNull(), "A").when(F.col("topic_col").isNotNull(), "B")
               .when(F.col("day_header").isNotNull(), "C").otherwise("D"))
-    category = F.coalesce(RU.sheet_category(F.col("sheet"), whole_word), F.col("_hcat"),
-                          F.lit(RU.DEFAULT_CATEGORY))
-    return d.withColumn("layout", layout).withColumn("category", category).drop("_hcat")
+    return d.withColumn("layout", layout).drop("_back")
 
 
 def header_map(headers: DataFrame) -> DataFrame:
     """One row per (sheet, mapped field) with its column and header."""
     d = sheet_decisions(headers)
-    stack = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"map_{f}").alias("col_no"))
-                                for f in FIELDS])).alias("m")
-    m = d.select(*SHEET_KEY, stack).select(*SHEET_KEY, "m.*").filter(F.col("col_no").isNotNull())
-    return m.join(headers.select(*SHEET_KEY, "col_no", F.col("h").alias("header")), [*SHEET_KEY, "col_no"], "inner")
+    stack = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"map_{f}").alias("col_no")) for f in FIELDS]))
+    m = d.select(*SHEET_KEY, "_h", stack).filter(F.col("col_no").isNotNull())
+    return m.select(*SHEET_KEY, "col_no", "field", F.get("_h", F.col("col_no") - 1).alias("header"))
 
 
 def sheet_layouts(headers: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
@@ -163,44 +171,29 @@ def sheet_layouts(headers: DataFrame, mapping: DataFrame | None = None) -> DataF
     return d.select(*SHEET_KEY, "layout", "category", "topic_col", "link_col", "priority_col", "day_header")
 
 
-# --- row assembly: all layouts in one pass ----------------------------------
+# --- all layouts in one projection -------------------------------------------
 
-def normalise(cells: DataFrame, use_category_column: bool = False, whole_word: bool = False) -> DataFrame:
+def normalise(table: DataFrame, use_category_column: bool = False, whole_word: bool = False) -> DataFrame:
     """N3-N6 + N13: every sheet's rows as one task table, status Pending.
     ``use_category_column`` (Q12) and ``whole_word`` (Q16) switch the kept
     quirks off.
 
-    Plan: distinct headers -> one per-sheet aggregate -> joined to the cells
-    (AQE measures it and picks the join) -> hash-partitioned by
-    (source_file, sheet, row_no) -> one window whose partitions hold one
-    row's cells and gather each row's fields for every layout at once.
-    """
-    d = sheet_decisions(sheet_headers(cells), whole_word)
-    # The window must be partitioned by the whole row key: a partitioning by
-    # sheet alone would satisfy it too and put a whole sheet in one task.
-    c = (cells.join(d, SHEET_KEY, "inner").repartition(*ROW_GROUP)
-         .withColumn("h", F.trim(F.coalesce("header", F.lit("")))))
-    w = Window.partitionBy(*ROW_GROUP)
+    A, B and D sheets give one task per row, day grids (C) one per filled cell beside a filled day."""
+    c = sheet_decisions(_rows(table).select(*ROW_KEY, "headers", "values"), whole_word)
     lay = F.col("layout")
 
-    def field_value(col_name: str) -> Column:
-        return F.max(F.when(F.col("col_no") == F.col(col_name), F.col("value"))).over(w)
+    def at(col_no) -> Column:
+        return F.get("values", (F.col(col_no) if isinstance(col_no, str) else col_no) - 1)
 
-    fields = {f: field_value(f"map_{f}") for f in FIELDS}
-    blank_cell = is_blank(F.col("value"))
+    cells = F.transform("_h", lambda h, k: F.struct((k + 1).alias("col_no"), h.alias("h"), F.get("values", k).alias("v")))
+    filled = F.filter(cells, lambda x: ~is_blank(x["v"]))
     c = c.select(
-        *ROW_KEY, "col_no", "layout", "category", "h", "value", "day_header",
-        *[v.alias(f"f_{f}") for f, v in fields.items()],
-        field_value("topic_col").alias("b_topic"), field_value("link_col").alias("b_link"),
-        field_value("priority_col").alias("b_prio"),
-        F.min_by(F.col("value"), F.when(F.col("h") == F.col("day_header"), F.col("col_no"))).over(w).alias("c_day"),
-        F.array_sort(F.collect_list(F.when((lay == "D") & ~blank_cell,
-                                           F.struct("col_no", F.trim("value").alias("v")))).over(w)).alias("d_vals"),
-        F.min("col_no").over(w).alias("_first_col"))
-
-    # One projection and one filter over the single window pass: A, B and D
-    # sheets give one task per row (taken at the row's first cell), day-grid
-    # (C) sheets one task per non-blank, non-day cell of a row with a day.
+        *ROW_KEY, "layout", "category", *[at(f"map_{f}").alias(f"f_{f}") for f in FIELDS],
+        at("topic_col").alias("b_topic"), at("link_col").alias("b_link"), at("priority_col").alias("b_prio"),
+        F.when(lay == "C", at(_found(F.array_position("_h", F.col("day_header"))))).alias("c_day"),
+        F.when(lay == "C", F.filter(filled, lambda x: x["h"] != F.col("day_header"))).alias("c_cells"),
+        F.when(lay == "D", F.transform(filled, lambda x: F.trim(x["v"]))).alias("d_vals"))
+
     a_name = F.trim(F.coalesce("f_name", F.lit("")))
     a_plink = repair_link(clean(F.col("f_problem_link")))
     a_rlink = repair_link(clean(F.col("f_resource_link")))
@@ -210,40 +203,35 @@ def normalise(cells: DataFrame, use_category_column: bool = False, whole_word: b
         a_category = F.when(clean(F.col("f_category")) != "", clean(F.col("f_category"))).otherwise(a_category)
     b_name = F.trim(F.coalesce("b_topic", F.lit("")))
     b_link = repair_link(clean(F.col("b_link")))
-    vals = F.transform("d_vals", lambda x: x["v"])
-    d_link = F.coalesce(F.try_element_at(F.filter(vals, lambda v: v.startswith("http")), F.lit(1)), F.lit(""))
+    d_link = F.coalesce(F.get(F.filter("d_vals", lambda v: v.startswith("http")), F.lit(0)), F.lit(""))
     none_date = F.lit(None).cast("date")
 
-    def pick(a, b, dd, cc):
-        return F.when(lay == "A", a).when(lay == "B", b).when(lay == "D", dd).otherwise(cc)
-
-    keep = (F.when(lay == "C", (F.col("h") != F.col("day_header")) & ~blank_cell & ~is_blank(F.col("c_day")))
-            .otherwise((F.col("col_no") == F.col("_first_col"))
-                       & F.when(lay == "A", ~is_blank(a_name)).when(lay == "B", ~is_blank(b_name))
-                       .otherwise(F.size("d_vals") > 0)))
-    out = c.filter(keep).select(
-        *ROW_KEY, F.when(lay == "C", F.col("col_no").cast("int")).alias("col_no"),
-        pick(a_name, b_name, F.try_element_at(vals, F.lit(1)), F.trim("value")).alias("name"),
-        pick(a_category, F.col("category"), F.col("category"),
-             day_grid_category(F.lower("h"), whole_word)).alias("category"),
-        pick(clean(F.col("f_topic")), b_name, F.coalesce(F.try_element_at(vals, F.lit(2)), F.lit("")),
-             F.col("h")).alias("topic"),
-        pick(difficulty_named(clean(F.col("f_difficulty"))),
-             difficulty_topic_list(F.trim(F.coalesce("b_prio", F.lit("")))), F.lit("Medium"),
-             F.lit("Medium")).alias("difficulty"),
-        pick(F.when(a_platform != "", a_platform).otherwise(platform_of(a_plink)), platform_of(b_link),
-             platform_of(d_link), F.lit(RU.DEFAULT_PLATFORM)).alias("platform"),
-        pick(a_plink, b_link, d_link, F.lit("")).alias("problem_link"),
-        pick(a_rlink, b_link, d_link, F.lit("")).alias("resource_link"),
-        pick(F.when(is_blank(F.col("f_date")), none_date).otherwise(parse_date(F.col("f_date"))),
-             none_date, none_date, none_date).alias("scheduled_date"))
-    return out.withColumn("status", F.lit("Pending")).select(*TASK_COLUMNS)
-
-
-def upload_summary(cells: DataFrame, tasks: DataFrame) -> DataFrame:
+    def task(name, category, topic, difficulty, platform, problem_link, resource_link, date=none_date, col_no=F.lit(None).cast("int")):
+        text = (name, category, topic, difficulty, platform, problem_link, resource_link)
+        names = ("name", "category", "topic", "difficulty", "platform", "problem_link", "resource_link")
+        return F.struct(col_no.cast("int").alias("col_no"), *[v.cast("string").alias(n) for n, v in zip(names, text)],
+                        date.alias("scheduled_date"))
+
+    one = (F.when(lay == "A", F.when(~is_blank(a_name), F.array(task(
+               a_name, a_category, clean(F.col("f_topic")), difficulty_named(clean(F.col("f_difficulty"))),
+               F.when(a_platform != "", a_platform).otherwise(platform_of(a_plink)), a_plink, a_rlink,
+               F.when(is_blank(F.col("f_date")), none_date).otherwise(parse_date(F.col("f_date")))))))
+           .when(lay == "B", F.when(~is_blank(b_name), F.array(task(
+               b_name, F.col("category"), b_name, difficulty_topic_list(F.trim(F.coalesce("b_prio", F.lit("")))),
+               platform_of(b_link), b_link, b_link))))
+           .when(lay == "D", F.when(F.size("d_vals") > 0, F.array(task(
+               F.get("d_vals", F.lit(0)), F.col("category"), F.coalesce(F.get("d_vals", F.lit(1)), F.lit("")), F.lit("Medium"),
+               platform_of(d_link), d_link, d_link))))
+           .otherwise(F.when(~is_blank(F.col("c_day")), F.transform("c_cells", lambda x: task(
+               F.trim(x["v"]), day_grid_category(F.lower(x["h"]), whole_word), x["h"], F.lit("Medium"),
+               F.lit(RU.DEFAULT_PLATFORM), F.lit(""), F.lit(""), col_no=x["col_no"])))))
+    return (c.select(*ROW_KEY, F.inline(one)).withColumn("status", F.lit("Pending")).select(*TASK_COLUMNS))
+
+
+def upload_summary(table: DataFrame, tasks: DataFrame) -> DataFrame:
     """Per file, the sheet list ``file::sheet`` (sorted, file without its folder) and the task count."""
     name = F.regexp_replace("source_file", "^.*/", "")
-    sheets = (cells.select(*SHEET_KEY).distinct().groupBy("source_file")
+    sheets = (table.select(*SHEET_KEY).distinct().groupBy("source_file")
               .agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("::", name, "sheet"))), ",")
                    .alias("sheets")))
     counts = tasks.groupBy("source_file").agg(F.count(F.lit(1)).alias("tasks"))

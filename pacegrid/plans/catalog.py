@@ -411,23 +411,23 @@ from ..operators import sheets as N  # noqa: E402
 
 @query("n1_header_map")
 def _n1(c: Ctx) -> DataFrame:
-    return N.header_map(N.sheet_headers(c.sheet_cells))
+    return N.header_map(N.sheet_headers(c.sheet_rows))
 
 
 @query("n2_sheet_layouts")
 def _n2(c: Ctx) -> DataFrame:
-    return N.sheet_layouts(N.sheet_headers(c.sheet_cells))
+    return N.sheet_layouts(N.sheet_headers(c.sheet_rows))
 
 
 @query("n3_normalise_sheets")
 def _n3(c: Ctx) -> DataFrame:
-    return N.normalise(c.sheet_cells)
+    return N.normalise(c.sheet_rows)
 
 
 @query("n13_upload_summary")
 def _n13(c: Ctx) -> DataFrame:
-    cells = c.sheet_cells
-    return N.upload_summary(cells, N.normalise(cells))
+    rows = c.sheet_rows
+    return N.upload_summary(rows, N.normalise(rows))
 
 
 @query("n8_link_platforms")

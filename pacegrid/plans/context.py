@@ -38,6 +38,6 @@ class Ctx:
         self.t.register_views()
         for name in ("users", "problems", "daily_log", "daily_plan", "projects", "milestones", "algorithms",
                      "settings", "articles", "imports", "prompts", "tasks", "status_events", "activity",
-                     "feedback", "sheet_cells"):
+                     "feedback", "sheet_rows", "sheet_cells"):
             getattr(self, name).createOrReplaceTempView(name)
         self.user_settings.createOrReplaceTempView("user_settings")

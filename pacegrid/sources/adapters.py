@@ -191,15 +191,13 @@ def activity(t: Tables) -> DataFrame:
                  F.max("ts").alias("ts")))
 
 
-def _cells(df: DataFrame, source_file: str, sheet: str, row_no: str,
+def _sheet(df: DataFrame, source_file: str, sheet: str, row_no: str,
            columns: list[tuple[str, Column]]) -> DataFrame:
-    """One row per (row, column) of a sheet built from a table."""
+    """The rows of a sheet built from a table: its headers beside each row's texts."""
     return df.select(
-        F.lit(source_file).alias("source_file"), F.lit(sheet).alias("sheet"),
-        F.col(row_no).cast("bigint").alias("row_no"),
-        F.explode(F.array(*[F.struct(F.lit(i + 1).alias("col_no"), F.lit(h).alias("header"), v.alias("value"))
-                            for i, (h, v) in enumerate(columns)])).alias("c")
-    ).select("source_file", "sheet", "row_no", "c.col_no", "c.header", "c.value")
+        F.lit(source_file).alias("source_file"), F.lit(sheet).alias("sheet"), F.col(row_no).cast("bigint").alias("row_no"),
+        F.array(*[F.lit(h) for h, _ in columns]).alias("headers"),
+        F.array(*[v.cast("string") for _, v in columns]).alias("values"))
 
 
 def _topics_columns() -> list[tuple[str, Column]]:
@@ -233,14 +231,14 @@ def wide_sheets(t: Tables) -> dict[str, DataFrame]:
             "Week Plan": t("orders").select(*[v.alias(h) for h, v in _grid_columns()])}
 
 
-def sheet_cells(t: Tables) -> DataFrame:
+def sheet_rows(t: Tables) -> DataFrame:
     """Four sheets, one per layout, built from part, nation and orders, with
     the traps of FIXTURES.md: blank/'nan'/'NONE' cells, padded and mixed-case
     headers, two headers equal after folding, links without a scheme, dates
     in several formats and an unparseable one, a sheet named 'hr round'."""
     p, n, o = t("part"), t("nation"), t("orders")
     due = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int"))
-    named = _cells(p, "bank.xlsx", "DSA Sheet", "p_partkey", [
+    named = _sheet(p, "bank.xlsx", "DSA Sheet", "p_partkey", [
         ("Problem", F.when(F.col("p_size") % 10 == 0, "nan").when(F.col("p_size") % 10 == 5, " NONE ")
          .otherwise(F.col("p_name"))),
         ("Topic", F.col("p_type")),
@@ -256,9 +254,9 @@ def sheet_cells(t: Tables) -> DataFrame:
          .otherwise(F.concat(F.lit("Day "), (F.col("p_partkey") % 30).cast("string")))),
         ("topic", F.col("p_brand")),
     ])
-    topics = _cells(n, "bank.xlsx", "Topics", "n_nationkey", _topics_columns())
-    grid = _cells(o, "plan.csv", "Week Plan", "o_orderkey", _grid_columns())
-    unknown = _cells(n, "misc.csv", "hr round", "n_nationkey", [
+    topics = _sheet(n, "bank.xlsx", "Topics", "n_nationkey", _topics_columns())
+    grid = _sheet(o, "plan.csv", "Week Plan", "o_orderkey", _grid_columns())
+    unknown = _sheet(n, "misc.csv", "hr round", "n_nationkey", [
         ("c1", F.col("n_name")),
         ("c2", F.when(F.col("n_regionkey") == 0, "nan")
          .otherwise(F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")))),
@@ -266,3 +264,11 @@ def sheet_cells(t: Tables) -> DataFrame:
                       F.concat(F.lit("http://x.y/"), F.col("n_nationkey").cast("string"))).otherwise("")),
     ])
     return named.unionByName(topics).unionByName(grid).unionByName(unknown)
+
+
+def sheet_cells(t: Tables) -> DataFrame:
+    """The same sheets in the long form: one row per cell."""
+    cell = F.posexplode(F.arrays_zip("headers", "values")).alias("_k", "_c")
+    return sheet_rows(t).select("source_file", "sheet", "row_no", cell).select(
+        "source_file", "sheet", "row_no", (F.col("_k") + 1).alias("col_no"),
+        F.col("_c.headers").alias("header"), F.col("_c.values").alias("value"))

@@ -1,17 +1,18 @@
 """File sources and JSON columns.
 
-* S2 sheets: each CSV file is one sheet; files are read by ``binaryFile`` and
-  parsed per file inside ``mapInPandas`` into the long cells schema, so row
-  and column numbers come from the file itself (Spark has no row order).
-  ``.xlsx`` workbooks are read the same way when openpyxl is installed.
+* S2 sheets: each CSV file is one sheet.  Files are read as lines by many tasks, whatever their size; a
+  line's place comes from its block (``_metadata.file_block_start``) and its order there, and fields are cut by
+  one regular expression, so no Python runs.  A file in which a quoted field spans lines is put together first (one task a file).  ``.xlsx``
+  workbooks are parsed per file in ``mapInPandas`` when openpyxl is installed.  Sheets that cannot be
+  read are listed in a report.
 * S3 task lists and S4 feeds are JSON/XML read with explicit schemas (type
-  inference turned a title "T1" into a timestamp).
+  inference turned a title "T1" into a timestamp), in an order that does not depend on how
+  Spark packs files into tasks.
 * S5/S6/S8 are column functions (``from_json``/``to_json``/``regexp_extract``).
 """
 
 from __future__ import annotations
 
-import csv
 import io
 import os
 from collections.abc import Iterator
@@ -20,12 +21,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-CELLS_SCHEMA = T.StructType([
+# A row of a sheet: its texts by column, beside the texts of the header row.
+ROWS_SCHEMA = T.StructType([
     T.StructField("source_file", T.StringType()), T.StructField("sheet", T.StringType()),
-    T.StructField("row_no", T.LongType()), T.StructField("col_no", T.IntegerType()),
-    T.StructField("header", T.StringType()), T.StructField("value", T.StringType()),
+    T.StructField("row_no", T.LongType()), T.StructField("headers", T.ArrayType(T.StringType())),
+    T.StructField("values", T.ArrayType(T.StringType())),
 ])
+REPORT_COLUMNS = ["source_file", "sheet", "error"]
 
 try:  # optional: real Excel workbooks
     import openpyxl  # noqa: F401
@@ -33,56 +37,151 @@ try:  # optional: real Excel workbooks
 except Exception:  # pragma: no cover - not installed here
     HAVE_OPENPYXL = False
 
+# --- S2: CSV sheets ---------------------------------------------------------
 
-def _table_cells(source_file: str, sheet: str, rows: list[list]) -> list[tuple]:
-    """Cells of one sheet given as rows (row 0 = headers).  Headers are
-    ``str().strip()``ed; a sheet without data rows gives no cells."""
-    if not rows:
-        return []
-    header = ["" if h is None else str(h).strip() for h in rows[0]]
-    out = []
-    for r_i, rec in enumerate(rows[1:], start=1):
-        for c_i, h in enumerate(header, start=1):
-            v = rec[c_i - 1] if c_i - 1 < len(rec) else None
-            out.append((source_file, sheet, r_i, c_i, h, None if v is None else str(v)))
-    return out
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+_FIELD = rf'{_QUOTED}[^,]*+|[^,]*+'
+#: A line whose last field opens a quote that the line does not close.
+_OPEN = rf'\A(?:,(?:{_QUOTED}[^,]*+|(?!")[^,]*+))*+,"[^"]*+(?:""[^"]*+)*+\z'
+_FIELD_IN_TEXT = rf'(?:{_QUOTED}[^,\n]*+|[^,\n]*+)'
+_RECORD = rf'\n({_FIELD_IN_TEXT}(?:,{_FIELD_IN_TEXT})*+)'
 
 
-def _parse_files(on_error: str):
+def _unquoted(x: Column) -> Column:
+    bare = F.regexp_replace(x, r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"(.*)\z', "$1$2")
+    return F.when(x.startswith('"'), F.replace(bare, F.lit('""'), F.lit('"'))).otherwise(x)
+
+
+def csv_fields(record: str | Column) -> Column:
+    """The fields of one CSV record as an array: quotes count at the start of a field only, ``""`` is a quote."""
+    c = F.col(record) if isinstance(record, str) else record
+    raw = F.regexp_extract_all(F.concat(F.lit(","), c), F.lit(f",({_FIELD})"), F.lit(1))
+    return F.transform(raw, _unquoted)
+
+
+def _stripped(texts: Column) -> Column:
+    return F.transform(texts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+
+def _file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, block, mid, line): lines of all files; (block, mid) orders the lines of a file."""
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return spark.read.text(path).select(
+        decoded.alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("mid"), F.col("value").alias("line"))
+
+
+def _sheet_name(source_file: str | Column = "source_file") -> Column:
+    return F.regexp_replace(F.regexp_extract(source_file, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def csv_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """One row per CSV file: (source_file, sheet, headers, spans, error); ``spans``: a quoted field runs over lines."""
+    lines = _file_lines(spark, path)
+    line = F.concat(F.lit(","), F.col("line"))
+    facts = lines.groupBy("source_file").agg(
+        F.min_by("line", F.struct("block", "mid")).alias("first"),
+        F.max(F.when(F.col("line").contains('"'), line.rlike(_OPEN)).otherwise(F.lit(False))).alias("spans"),
+        F.max(~F.is_valid_utf8("line")).alias("broken"))
+    first = F.regexp_replace("first", "^\ufeff", "")
+    return facts.select("source_file", _sheet_name().alias("sheet"),
+                        _stripped(csv_fields(first)).alias("headers"), "spans",
+                        F.when(F.col("broken"), F.lit("not UTF-8 text")).alias("error"))
+
+
+def csv_rows(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
+    """Rows of every CSV file under ``path`` beside their headers (``ROWS_SCHEMA``).
+
+    ``row_no`` is the byte offset of the line's block in the file plus its place in the block: unique in the sheet and in
+    file order; in a file of one block it is the line's number, the header's being 0.  A window numbers the lines
+    of one block (``spark.sql.files.maxPartitionBytes`` at most), so no task holds a whole file.
+    """
+    own = Window.partitionBy("source_file", "block").orderBy("mid")
+    sheets = csv_sheets(spark, path).drop("sheet")
+    numbered = _file_lines(spark, path).withColumn("place", F.row_number().over(own) - 1)
+    if on_error == "fail":
+        name = F.concat(F.lit("Failed to read "), "source_file", F.lit(": "), "error")
+        sheets = sheets.filter(F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(name).cast("boolean")))
+    else:
+        sheets = sheets.filter(F.col("error").isNull())
+    both = numbered.join(sheets.drop("error"), "source_file")
+    single = both.filter(~F.col("spans")).select(
+        "source_file", (F.col("block") + F.col("place")).alias("row_no"), "headers", F.col("line").alias("record"))
+    # files whose records run over lines: the text again, cut at the line ends outside quotes
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "mid", "line"))), lambda x: x["line"]), "\n")
+    spanning = (both.filter("spans").groupBy("source_file").agg(text.alias("text"))
+                .select("source_file", F.regexp_extract_all(F.concat(F.lit("\n"), "text"), F.lit(_RECORD), F.lit(1)).alias("records"))
+                .select("source_file", _stripped(csv_fields(F.regexp_replace(F.get("records", F.lit(0)), "^\ufeff", ""))).alias("headers"), F.posexplode("records").alias("row_no", "record"))
+                .withColumn("row_no", F.col("row_no").cast("long")))
+    rows = single.unionByName(spanning.select(single.columns)).filter("row_no > 0")
+    return rows.select("source_file", _sheet_name().alias("sheet"), "row_no", "headers", csv_fields("record").alias("values"))
+
+
+# --- S2: workbooks ----------------------------------------------------------
+
+WORKBOOKS = "*.xls[xm]"
+_BOOK_SCHEMA = T.StructType([*ROWS_SCHEMA.fields, T.StructField("error", T.StringType())])
+
+
+def _text(v) -> str | None:
+    return None if v is None else str(v)
+
+
+def _book_rows(on_error: str):
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.name for f in _BOOK_SCHEMA.fields]
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                rows: list[tuple] = []
-                name = os.path.basename(path)
-                stem, ext = os.path.splitext(name)
-                if ext.lower() in (".xlsx", ".xlsm") and not HAVE_OPENPYXL:
-                    raise ImportError(f"{name}: reading workbooks needs openpyxl on the executors")
+                if not HAVE_OPENPYXL:
+                    raise ImportError(f"{os.path.basename(path)}: reading workbooks needs openpyxl on the executors")
+                import openpyxl as ox
                 try:
-                    if ext.lower() in (".xlsx", ".xlsm"):
-                        import openpyxl as ox
-                        wb = ox.load_workbook(io.BytesIO(content), read_only=True, data_only=True)
-                        for ws in wb.worksheets:
-                            rows.extend(_table_cells(path, ws.title, [list(r) for r in ws.iter_rows(values_only=True)]))
-                    else:
-                        text = bytes(content).decode("utf-8-sig")
-                        rows.extend(_table_cells(path, stem, list(csv.reader(io.StringIO(text)))))
+                    book = ox.load_workbook(io.BytesIO(content), read_only=True, data_only=True)
                 except Exception as e:  # noqa: BLE001
                     if on_error == "fail":
-                        raise ValueError(f"Failed to read {name}: {e}") from e
-                yield pd.DataFrame(rows, columns=[f.name for f in CELLS_SCHEMA.fields])
+                        raise ValueError(f"Failed to read {os.path.basename(path)}: {e}") from e
+                    yield pd.DataFrame([(path, None, None, None, None, str(e))], columns=names)
+                    continue
+                for ws in book.worksheets:  # a sheet that cannot be read is reported, the others go on
+                    try:
+                        records = [[_text(v) for v in r] for r in ws.iter_rows(values_only=True)]
+                    except Exception as e:  # noqa: BLE001
+                        yield pd.DataFrame([(path, ws.title, None, None, None, str(e))], columns=names)
+                        continue
+                    headers = [(h or "").strip() for h in records[0]] if records else []
+                    yield pd.DataFrame([(path, ws.title, None, headers, None, None)] + [
+                        (path, ws.title, k, headers, r, None) for k, r in enumerate(records[1:], start=1)], columns=names)
     return parse
 
 
+def _books(spark: SparkSession, path: str, on_error: str) -> DataFrame:
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    return raw.mapInPandas(_book_rows(on_error), _BOOK_SCHEMA)
+
+
+def _is_workbook(path: str) -> bool:
+    return path.lower().endswith((".xlsx", ".xlsm"))
+
+
 def read_sheets(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
-    """Every sheet of every file under ``path`` (glob allowed) as cells.
+    """The rows of every sheet of every file under ``path`` (glob allowed), as ``ROWS_SCHEMA``.
 
+    A path that ends in ``.xlsx``/``.xlsm`` names workbooks, any other one CSV files.
     ``on_error='fail'`` fails the job on an unreadable file, as an upload of a
-    corrupt file fails; ``'skip'`` drops that file and keeps the others.
-    ``source_file`` is the full path, so equal file names in two folders stay
-    apart.  One file is parsed by one task; many files run in parallel.
+    corrupt file fails; ``'skip'`` drops that file and keeps the others (``sheet_report`` lists it).  A bad sheet
+    of a readable workbook is skipped in either case, as an upload skips it.
+    ``source_file`` is the full path, so equal file names in two folders stay apart.
     """
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInPandas(_parse_files(on_error), CELLS_SCHEMA)
+    if _is_workbook(path):
+        return _books(spark, path, on_error).filter("error is null and row_no is not null").drop("error")
+    return csv_rows(spark, path, on_error)
+
+
+def sheet_report(spark: SparkSession, path: str) -> DataFrame:
+    """Every sheet found, with its error or NULL: (source_file, sheet, error).  An unreadable workbook has a NULL sheet."""
+    if _is_workbook(path):
+        return _books(spark, path, "skip").filter("row_no is null").select(REPORT_COLUMNS)
+    return csv_sheets(spark, path).select(REPORT_COLUMNS)
 
 
 TASK_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in (

@@ -97,6 +97,67 @@ def test_corrupt_file_policy(spark, sheet_dir, tmp_path):
         S.read_sheets(spark, f"{tmp_path}/*.csv").collect()
     ok = S.read_sheets(spark, f"{tmp_path}/*.csv", on_error="skip").collect()
     assert {r.source_file.rsplit("/", 1)[1] for r in ok} == {"good.csv"}
+    report = {(r.sheet, r.error) for r in S.sheet_report(spark, f"{tmp_path}/*.csv").collect()}
+    assert report == {("good", None), ("bad", "not UTF-8 text")}
+
+
+CSV_TRAPS = [
+    ["Name", 'Topic "x"', " Link "], ["plain", "a,b", 'say ""hi""'], ["", "", ""], ['5" disk', 'mid"quote', "end"],
+    ["short"], ["one", "two", "three", "four"], ["line one\nline, two\n\nline four", 'q"\n"q', "z"], ["ünï", "日本", "x\ty"],
+    ['"', '""', '","'], [",", ",,", "\n"], ["last", "", "no newline"]]
+
+
+def _written(rows, path, **how):
+    import csv
+    import io
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n", **how).writerows(rows)
+    path.write_bytes(out.getvalue().rstrip("\n").encode())
+    return list(csv.reader(io.StringIO(out.getvalue())))
+
+
+@pytest.mark.parametrize("bom", [b"", b"\xef\xbb\xbf"])
+@pytest.mark.parametrize("spanning", [False, True])
+def test_csv_records_as_the_csv_module_reads_them(spark, tmp_path, spanning, bom):
+    import csv
+    rows = [r for r in CSV_TRAPS if spanning or not any("\n" in x for x in r)]
+    want = _written(rows, tmp_path / "Trap 50%+x.csv", quoting=csv.QUOTE_MINIMAL)
+    (tmp_path / "Trap 50%+x.csv").write_bytes(bom + (tmp_path / "Trap 50%+x.csv").read_bytes())
+    got = S.read_sheets(spark, str(tmp_path)).orderBy("row_no").collect()
+    assert [r["values"] for r in got] == [r or [""] for r in want[1:]]
+    assert {tuple(r.headers) for r in got} == {tuple(x.strip() for x in want[0])}
+    assert {r.sheet for r in got} == {"Trap 50%+x"} and [r.row_no for r in got] == list(range(1, len(got) + 1))
+    assert [r.error for r in S.sheet_report(spark, str(tmp_path)).collect()] == [None]
+
+
+def test_a_large_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    want = _written([["Name", "Topic"]] + [[f"task {k}", f'topic "{k}", {k % 7}'] for k in range(4000)], tmp_path / "big.csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = S.read_sheets(spark, str(tmp_path / "big.csv"))
+        assert S._file_lines(spark, str(tmp_path / "big.csv")).select("block").distinct().count() > 10
+        got = rows.orderBy("row_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["values"] for r in got] == want[1:]
+    assert len({r.row_no for r in got}) == len(got)
+    plan = rows._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+
+
+def test_normalisation_is_a_projection(spark, sheet_dir):
+    """No shuffle, join or window between the rows and the tasks."""
+    rows = spark.createDataFrame([("f", "s", 1, ["Name"], ["x"])], S.ROWS_SCHEMA)
+    plan = N.normalise(rows)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Join", "Window", "Aggregate"))
+
+
+def test_cells_and_rows_give_the_same_tasks(spark, sheet_dir):
+    rows = S.read_sheets(spark, f"{sheet_dir}/*/*.csv")
+    cells = rows.select("source_file", "sheet", "row_no", F.posexplode(F.arrays_zip("headers", "values")).alias("k", "c")).select(
+        "source_file", "sheet", "row_no", (F.col("k") + 1).alias("col_no"), F.col("c.headers").alias("header"), F.col("c.values").alias("value"))
+    assert sorted(map(str, N.normalise(cells).collect())) == sorted(map(str, N.normalise(rows).collect()))
 
 
 def test_task_lists_json(spark, tmp_path):
