@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date
 from .filters import TASK_DEFAULTS, fill_defaults
-from .sequences import difficulty_rank, skew_safe_positions
+from .sequences import SLICE_ROWS, difficulty_rank, skew_safe_positions
 
 TASK_FIELDS = ["name", "category", "topic", "difficulty", "platform", "problem_link", "resource_link",
                "scheduled_date"]
@@ -164,7 +164,7 @@ def delete_one(problems: DataFrame, plan: DataFrame, ids: DataFrame):
             plan.join(k.withColumnRenamed("id", "problem_id"), ["problem_id", "user_id"], "left_anti"))
 
 
-def generate_plans(problems: DataFrame, dates: DataFrame | None = None, slices: int = 128) -> DataFrame:
+def generate_plans(problems: DataFrame, dates: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """I8: plan rows of every (user, day): the Pending problems scheduled that
     day, Easy first then Medium then the rest, by id; index from 0.
 
@@ -178,7 +178,7 @@ def generate_plans(problems: DataFrame, dates: DataFrame | None = None, slices:
     if dates is not None:
         p = p.join(dates.select("user_id", "plan_date").distinct(), ["user_id", "plan_date"], "left_semi")
     pos = skew_safe_positions(p, ["user_id", "plan_date"], ["_rank"], "problem_id", name="order_index",
-                              slices=slices)
+                              slice_rows=slice_rows)
     return pos.select("user_id", "plan_date", "problem_id", "order_index", F.lit("Pending").alias("status"))
 
 

@@ -7,7 +7,7 @@ Scale notes.
   not windows, so a hot key is reduced on every mapper before the shuffle.
 * W2 needs the exact position of every row in its (user, day) group; for
   groups that may be huge, ``skew_safe_positions`` numbers rows inside
-  ranges between quantiles of the ids and shifts them by counted offsets.
+  slices cut at sampled ids and shifts them by counted offsets.
 """
 
 from __future__ import annotations
@@ -56,41 +56,64 @@ def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column | str]
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
 
 
-def _slice_of(key: Column, bounds: list, first: int = 0) -> Column:
-    """How many of the ascending ``bounds`` are at most ``key`` (a balanced tree of comparisons)."""
-    if not bounds:
-        return F.lit(first)
-    m = len(bounds) // 2
-    return F.when(key < bounds[m], _slice_of(key, bounds[:m], first)).otherwise(
-        _slice_of(key, bounds[m + 1:], first + m + 1))
+SLICE_ROWS = 1_000_000   # a group of more rows is numbered in slices of about so many
+SAMPLES = 64             # sampled keys per slice
+FAN = 32                 # bounds passed over at a time when a key's slice is looked up
+
+
+def _slice_of(bounds: Column, key: Column) -> Column:
+    """How many of the ascending ``bounds`` are at most ``key``, found in two steps."""
+    strides = F.size(F.filter(F.filter(bounds, lambda _, i: (i + 1) % FAN == 0), lambda b: b <= key))
+    return strides * FAN + F.size(F.filter(F.slice(bounds, strides * FAN + 1, F.lit(FAN - 1)), lambda b: b <= key))
 
 
 def skew_safe_positions(df: DataFrame, group: Sequence[str], prefix: Sequence[str], key: str,
-                        name: str = "pos", slices: int = 128) -> DataFrame:
+                        name: str = "pos", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Exact 0-based positions ordered by ``(*prefix, key)`` within ``group``
-    without one task ever holding a whole group.
-
-    ``key`` is a unique integer (the row id, dense or not).  The quantiles of
-    all keys cut the rows into ``slices`` ranges, so a range holds about one
-    ``slices``-th of all rows and a group at most ``slices`` ranges, however
-    the ids lie.  A window numbers rows only inside one (group, prefix, range)
-    slice, and each slice is shifted by the sizes of the slices before it,
-    found from a partially aggregated count per slice.  The ``slices - 1``
-    bounds are literals of the plan (found once, when it is built), so a lost
-    executor recomputes the same rows.
+    without one task ever holding a huge group.
+
+    ``key`` is a unique integer (the row id, dense or not).  Groups of up to ``slice_rows`` rows are numbered by a
+    plain window.  A larger group is cut at keys of a sample of it (every key whose hash falls on one residue, so
+    a lost executor recomputes the same cuts) into slices of about ``slice_rows`` rows, as many as its
+    size asks for; the same window numbers rows inside one (group, prefix, slice), and each slice is shifted by the
+    counted sizes of the slices before it.  Only large groups are in the broadcast tables: at most one row
+    for every ``slice_rows`` rows, with ``SAMPLES`` keys a slice before they are thinned.  Nothing runs
+    while the plan is built, and without a large group only the count per group is added to the window.
     """
-    quantiles = df.agg(F.percentile_approx(key, [i / slices for i in range(1, slices)])).first()[0]
-    d = df.withColumn("_b", _slice_of(F.col(key), sorted(set(quantiles or []))))
-    slice_keys = [*group, *prefix, "_b"]
-    w_local = Window.partitionBy(*slice_keys).orderBy(key)
-    local = d.withColumn("_lpos", F.row_number().over(w_local) - 1)
-    sizes = d.groupBy(*slice_keys).agg(F.count(F.lit(1)).alias("_n"))
-    w_off = (Window.partitionBy(*group).orderBy(*prefix, "_b")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).drop("_n")
-    return (local.join(offsets, slice_keys, "inner")
-            .withColumn(name, (F.col("_off") + F.col("_lpos")).cast("int"))
-            .drop("_b", "_lpos", "_off"))
+    group, prefix = list(group), list(prefix)
+    rate = max(1, slice_rows // SAMPLES)
+    large = (df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > slice_rows)
+             .select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]))
+
+    def same(other: DataFrame) -> Column:
+        cond = F.lit(True)
+        for i, g in enumerate(group):
+            cond = cond & df[g].eqNullSafe(other[f"_g{i}"])
+        return cond
+
+    ids = [f"_g{i}" for i in range(len(group))]
+    sample = (df.filter(F.pmod(F.xxhash64(key), F.lit(rate)) == 0).join(F.broadcast(large), same(large))
+              .groupBy(*ids).agg(F.array_sort(F.collect_list(key)).alias("_keys")))
+    cuts = sample.select(*ids, F.filter("_keys", lambda _, i: (i + 1) % SAMPLES == 0).alias("_cuts"))
+    d = df.join(F.broadcast(cuts), same(cuts), "left").drop(*ids)
+    hot = F.col("_cuts").isNotNull()
+    d = (d.withColumn("_b", F.when(hot, _slice_of(F.col("_cuts"), F.col(key))).otherwise(F.lit(0)))
+         .withColumns({f"_p{i}": F.when(hot, F.col(p)) for i, p in enumerate(prefix)})
+         .withColumn("_hot", hot).drop("_cuts"))
+    own = [f"_p{i}" for i in range(len(prefix))]
+    local = F.row_number().over(Window.partitionBy(*group, *own, "_b").orderBy(*prefix, key)) - 1
+    before = Window.partitionBy(*group).orderBy(*own, "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (d.filter("_hot").groupBy(*group, *own, "_b").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    names = {c: f"_o{i}" for i, c in enumerate([*group, *own, "_b"])}
+    offsets = offsets.select(*[F.col(c).alias(n) for c, n in names.items()], "_off")
+    numbered = d.withColumn("_pos", local)
+    cond = F.col("_hot")
+    for c, n in names.items():
+        cond = cond & F.col(c).eqNullSafe(F.col(n))
+    return (numbered.join(F.broadcast(offsets), cond, "left")
+            .withColumn(name, (F.col("_pos") + F.coalesce("_off", F.lit(0))).cast("int"))
+            .select(*df.columns, name))
 
 
 def daily_series(users: DataFrame, log: DataFrame, user_settings: DataFrame, as_of,

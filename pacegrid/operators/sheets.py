@@ -5,9 +5,10 @@ Input are the *rows* of any number of sheets, ``(source_file, sheet, row_no, hea
 every sheet is just rows of that one schema, files and sheets of any layout are normalised by one plan.
 
 Plan shape.  All decisions of a sheet (header mapping N1, layout N2, category N7) are expressions over its
-header array, and all tasks of a row (one, or in a day grid one per filled cell) are an array built from its own
-values, so the whole normalisation is a projection over the scan: no join, no shuffle, no window, and a sheet of any
-size is split over tasks like any other input.
+header array, evaluated once per sheet on the distinct headers, and joined to the rows (AQE measures the
+sheets and picks the join; a crowded sheet is split by its skew handling).  All tasks of a row (one, or in a
+day grid one per filled cell) are an array built from its own values: cells are neither exploded nor put together, and no
+window or aggregate holds a row's cells or a sheet's rows.
 
 Tables in the long form ``(source_file, sheet, row_no, col_no, header, value)``, one row per cell, are taken
 too; ``rows_of_cells`` puts their rows together first.
@@ -15,6 +16,8 @@ too; ``rows_of_cells`` puts their rows together first.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +61,24 @@ def platform_of(link: Column) -> Column:
     return RU.first_label(F.coalesce(link, F.lit("")), RU.PLATFORM_RULES, RU.DEFAULT_PLATFORM)
 
 
+def _shape(fmt: str) -> str:
+    """A regular expression that every text of a date format matches."""
+    out = ""
+    for token, _ in re.findall(r"('[^']*'|M{3,}|([A-Za-z])\2*|.)", fmt):
+        if token[0] == "'":
+            out += re.escape(token[1:-1])
+        elif token.startswith("MMM"):
+            out += r"[\p{L}.]+"
+        else:
+            out += r"[+-]?\d+" if token.isalpha() else re.escape(token)
+    return rf"\A{out}\z"
+
+
 def parse_date(v: Column) -> Column:
-    """First format of ``DATE_FORMATS`` that parses, else NULL."""
+    """First format of ``DATE_FORMATS`` that parses, else NULL.  A text is only parsed by formats whose
+    shape it has: a parse that fails costs an exception."""
     t = F.trim(v)
-    return F.coalesce(*[F.try_to_date(t, f) for f in DATE_FORMATS])
+    return F.coalesce(*[F.when(t.rlike(_shape(f)), F.try_to_date(t, f)) for f in DATE_FORMATS])
 
 
 def difficulty_named(v: Column) -> Column:
@@ -179,19 +196,24 @@ def normalise(table: DataFrame, use_category_column: bool = False, whole_word: b
     quirks off.
 
     A, B and D sheets give one task per row, day grids (C) one per filled cell beside a filled day."""
-    c = sheet_decisions(_rows(table).select(*ROW_KEY, "headers", "values"), whole_word)
+    rows = _rows(table).select(*ROW_KEY, "headers", "values")
+    d = sheet_decisions(sheet_headers(rows), whole_word)
+    d = d.withColumn("_cats", F.when(F.col("layout") == "C", F.transform("_hl", lambda h: day_grid_category(h, whole_word))))
+    d = d.drop("headers", "_hl").withColumnsRenamed({k: f"_{k}" for k in SHEET_KEY})
+    same = [rows[k].eqNullSafe(d[f"_{k}"]) for k in SHEET_KEY]
+    c = rows.drop("headers").join(d, same[0] & same[1]).drop(*[f"_{k}" for k in SHEET_KEY])
     lay = F.col("layout")
 
     def at(col_no) -> Column:
         return F.get("values", (F.col(col_no) if isinstance(col_no, str) else col_no) - 1)
 
-    cells = F.transform("_h", lambda h, k: F.struct((k + 1).alias("col_no"), h.alias("h"), F.get("values", k).alias("v")))
-    filled = F.filter(cells, lambda x: ~is_blank(x["v"]))
+    filled = F.filter(F.transform(F.slice("values", F.lit(1), F.size("_h")), lambda v, k: F.struct(k.alias("k"), v.alias("v"))),
+                      lambda x: ~is_blank(x["v"]))
     c = c.select(
-        *ROW_KEY, "layout", "category", *[at(f"map_{f}").alias(f"f_{f}") for f in FIELDS],
+        *ROW_KEY, "layout", "category", "_h", "_cats", *[at(f"map_{f}").alias(f"f_{f}") for f in FIELDS],
         at("topic_col").alias("b_topic"), at("link_col").alias("b_link"), at("priority_col").alias("b_prio"),
         F.when(lay == "C", at(_found(F.array_position("_h", F.col("day_header"))))).alias("c_day"),
-        F.when(lay == "C", F.filter(filled, lambda x: x["h"] != F.col("day_header"))).alias("c_cells"),
+        F.when(lay == "C", F.filter(filled, lambda x: F.get("_h", x["k"]) != F.col("day_header"))).alias("c_cells"),
         F.when(lay == "D", F.transform(filled, lambda x: F.trim(x["v"]))).alias("d_vals"))
 
     a_name = F.trim(F.coalesce("f_name", F.lit("")))
@@ -223,8 +245,8 @@ def normalise(table: DataFrame, use_category_column: bool = False, whole_word: b
                F.get("d_vals", F.lit(0)), F.col("category"), F.coalesce(F.get("d_vals", F.lit(1)), F.lit("")), F.lit("Medium"),
                platform_of(d_link), d_link, d_link))))
            .otherwise(F.when(~is_blank(F.col("c_day")), F.transform("c_cells", lambda x: task(
-               F.trim(x["v"]), day_grid_category(F.lower(x["h"]), whole_word), x["h"], F.lit("Medium"),
-               F.lit(RU.DEFAULT_PLATFORM), F.lit(""), F.lit(""), col_no=x["col_no"])))))
+               F.trim(x["v"]), F.get("_cats", x["k"]), F.get("_h", x["k"]), F.lit("Medium"),
+               F.lit(RU.DEFAULT_PLATFORM), F.lit(""), F.lit(""), col_no=x["k"] + 1)))))
     return (c.select(*ROW_KEY, F.inline(one)).withColumn("status", F.lit("Pending")).select(*TASK_COLUMNS))
 
 

@@ -305,22 +305,21 @@ _FIELDS = "user_id, name, category, topic, difficulty, platform, problem_link, r
 SQL["i2_import_replace"] = V(["tasks", "problems", "imports"], f"""
 {_T},
 importers as (select distinct user_id from t where name <> ''),
-removed as (select p.id from problems p
-            where p.user_id in (select user_id from importers)
-              and not exists (select 1 from imports i where i.protected and i.user_id = p.user_id
-                              and i.batch_id = p.import_batch))
-select {_FIELDS}, import_batch, 'kept' origin from problems where id not in (select id from removed)
+prot as (select distinct user_id, batch_id from imports where protected)
+select p.* exclude (id, _keep), 'kept' origin from (
+  select p.id, {", ".join("p." + f.strip() for f in _FIELDS.split(","))}, p.import_batch, n.user_id is null or r.user_id is not null _keep
+  from problems p left join importers n on n.user_id = p.user_id
+  left join prot r on r.user_id = p.user_id and r.batch_id = p.import_batch) p where _keep
 union all
 select {_FIELDS}, '{_BATCH}', 'inserted' from t where name <> ''""")
 
 SQL["i2_plan_left"] = V(["tasks", "problems", "imports", "daily_plan"], f"""
 {_T},
 importers as (select distinct user_id from t where name <> ''),
-removed as (select p.id from problems p
-            where p.user_id in (select user_id from importers)
-              and not exists (select 1 from imports i where i.protected and i.user_id = p.user_id
-                              and i.batch_id = p.import_batch))
-select * from daily_plan where problem_id not in (select id from removed)""")
+prot as (select distinct user_id, batch_id from imports where protected),
+removed as (select p.id from problems p join importers n on n.user_id = p.user_id
+            left join prot r on r.user_id = p.user_id and r.batch_id = p.import_batch where r.user_id is null)
+select d.* from daily_plan d left join removed r on r.id = d.problem_id where r.id is null""")
 
 SQL["i3_ledger_rows"] = V(["tasks", "problems"], f"""
 {_T}

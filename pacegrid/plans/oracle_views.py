@@ -19,7 +19,7 @@ select o.o_orderkey id, o.o_custkey user_id, concat('item ', cast(o.o_orderkey a
   cast(o.o_orderdate as date) scheduled_date,
   concat('batch_', cast(p.p_partkey as varchar)) import_batch,
   'Custom' platform, '' problem_link, '' resource_link
-from orders o join part p on o.o_orderkey % (select count(*) from part) = p.p_partkey""",
+from (select orders.*, o_orderkey % n part_no from orders, (select count(*) n from part)) o join part p on o.part_no = p.p_partkey""",
     "daily_log": """
 select user_id, cast(ts as date) log_date,
   count_if(event_type='purchase')::bigint problems_solved,
@@ -58,7 +58,7 @@ from conversations where role = 'assistant'""",
 select min(o.o_orderkey) id, o.o_custkey user_id, concat(p.p_name, '.csv') filename,
   concat('batch_', cast(p.p_partkey as varchar)) batch_id, p.p_size%2=0 protected,
   count(*)::bigint total_imported, min(cast(o.o_orderdate as date)) import_date
-from orders o join part p on o.o_orderkey % (select count(*) from part) = p.p_partkey
+from (select orders.*, o_orderkey % n part_no from orders, (select count(*) n from part)) o join part p on o.part_no = p.p_partkey
 group by o.o_custkey, p.p_partkey, p.p_name, p.p_size""",
     "prompts": """
 select conv_id, turn, concat(text, case conv_id%5 when 0 then ' my progress today'

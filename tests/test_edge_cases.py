@@ -111,7 +111,7 @@ def test_skew_safe_positions_equal_window_positions_on_a_hot_group(spark):
     rows += [(2, D(2024, 1, 1), 100000 + i, "Hard") for i in range(5)]
     df = spark.createDataFrame(rows, "user_id long, d date, id long, difficulty string").withColumn(
         "r", W.difficulty_rank())
-    a = W.skew_safe_positions(df, ["user_id", "d"], ["r"], "id", name="pos", slices=16)
+    a = W.skew_safe_positions(df, ["user_id", "d"], ["r"], "id", name="pos", slice_rows=100)
     b = W.positions(df, ["user_id", "d"], [F.col("r"), F.col("id")], name="pos")
     key = lambda d: sorted((r.user_id, r.id, r.pos) for r in d.collect())  # noqa
     assert key(a) == key(b)

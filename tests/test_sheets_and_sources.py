@@ -146,11 +146,11 @@ def test_a_large_csv_file_is_read_by_many_tasks(spark, tmp_path):
     assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
 
 
-def test_normalisation_is_a_projection(spark, sheet_dir):
-    """No shuffle, join or window between the rows and the tasks."""
+def test_normalisation_neither_explodes_nor_gathers_cells(spark):
     rows = spark.createDataFrame([("f", "s", 1, ["Name"], ["x"])], S.ROWS_SCHEMA)
     plan = N.normalise(rows)._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in plan for x in ("Exchange", "Join", "Window", "Aggregate"))
+    assert "Window" not in plan and "collect" not in plan
+    assert plan.count("Generate") == 1      # the tasks of a row
 
 
 def test_cells_and_rows_give_the_same_tasks(spark, sheet_dir):

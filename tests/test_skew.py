@@ -32,7 +32,7 @@ def _max_rows_per_partition(df):
     spark.conf.set(key, "false")
     try:
         return max(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p"))
-                   .agg(F.count(F.lit(1)).alias("n")).collect())
+                   .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("all_columns")).collect())
     finally:
         spark.conf.set(key, old)
 
@@ -41,7 +41,7 @@ def test_plan_generation_splits_a_hot_group(spark):
     p = hot_problems(spark)
     hot_rows = p.filter((F.col("user_id") == 1) & (F.col("scheduled_date") == HOT_DAY)).count()
     assert hot_rows > 4000
-    plans = I.generate_plans(p)
+    plans = I.generate_plans(p, slice_rows=500)
     # exact: same positions as a plain window
     plain = W.positions(p.filter((F.col("status") == "Pending") & F.col("scheduled_date").isNotNull())
                         .select("user_id", F.col("scheduled_date").alias("plan_date"), F.col("id").alias("problem_id"),
@@ -56,6 +56,17 @@ def test_plan_generation_splits_a_hot_group(spark):
     assert _max_rows_per_partition(plain.filter(F.col("user_id") == 1)) >= hot_rows
 
 
+def test_positions_of_any_number_of_slices(spark):
+    """More slices than are passed over at a time, sparse and negative ids, a null group."""
+    df = (spark.range(6000).select(F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.lit(1)).alias("g"),
+                                   (F.col("id") * F.col("id") * F.when(F.col("id") % 2 == 0, 1).otherwise(-3)).alias("k"),
+                                   (F.col("id") % 2).alias("r")))
+    got = W.skew_safe_positions(df, ["g"], ["r"], "k", slice_rows=70)
+    plain = W.positions(df, ["g"], ["r", "k"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert _max_rows_per_partition(got.filter("g = 1")) < 3000
+
+
 def test_rollups_with_a_hot_user(spark):
     p = hot_problems(spark)
     users = Ctx(spark, SF).users
@@ -72,7 +83,7 @@ def test_hashed_ids_do_not_make_one_slice_per_row(spark):
     p = hot_problems(spark).withColumn("id", F.xxhash64("id"))
     wanted = p.filter((F.col("status") == "Pending") & F.col("scheduled_date").isNotNull()).select(
         "user_id", F.col("scheduled_date").alias("plan_date"), F.col("id").alias("problem_id"), W.difficulty_rank().alias("r"))
-    got = W.skew_safe_positions(wanted, ["user_id", "plan_date"], ["r"], "problem_id", name="order_index", slices=16)
+    got = W.skew_safe_positions(wanted, ["user_id", "plan_date"], ["r"], "problem_id", name="order_index", slice_rows=500)
     plain = W.positions(wanted, ["user_id", "plan_date"], ["r", "problem_id"], name="order_index")
     key = lambda d: sorted((r.user_id, r.problem_id, r.order_index)
                            for r in d.select("user_id", "problem_id", "order_index").collect())
