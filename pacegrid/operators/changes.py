@@ -12,7 +12,7 @@ map-side partial step, so a hot key is reduced before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date
@@ -36,25 +36,39 @@ def import_add(problems: DataFrame, tasks: DataFrame, batch_id: str) -> DataFram
     """The rows an ``add`` import inserts.
 
     A task is skipped when its (user, trimmed name, topic) is already stored
-    or occurs earlier (smaller ``seq``) in the same batch; ``seq`` orders the
-    tasks of one user and need not be unique across users.
-    Returns the inserted rows with a ``dup`` flag dropped; see ``import_flags``.
+    or occurs earlier (smaller ``seq``) in the same batch; ``seq`` (a number or a struct) orders the
+    tasks of one user and need not be unique: of tasks that share key and ``seq`` one is imported, the
+    least of their other columns.  One aggregate keeps a row per key on every mapper, so a task repeated any
+    number of times meets no task as such.
     """
-    flags = import_flags(problems, tasks)
-    return (flags.filter(F.col("outcome") == "imported").drop("outcome")
+    first = _first_tasks(_prepare_tasks(tasks).filter(F.col("name") != ""), problems)
+    return (first.select(*TASK_KEY, "_first.*").select(*_prepare_tasks(tasks).columns)
             .withColumn("import_batch", F.lit(batch_id)))
 
 
+TASK_KEY = ["user_id", "name", "topic"]
+
+
+def _rest(tasks: DataFrame) -> Column:
+    return F.struct("seq", *[c for c in tasks.columns if c not in (*TASK_KEY, "seq", "_copies")])
+
+
+def _first_tasks(tasks: DataFrame, problems: DataFrame) -> DataFrame:
+    """(user_id, name, topic, _first): the first task of each key that is not stored."""
+    return (tasks.filter(F.col("user_id").isNotNull()).groupBy(*TASK_KEY).agg(F.min(_rest(tasks)).alias("_first"))
+            .join(problems.select(*TASK_KEY), TASK_KEY, "left_anti"))
+
+
 def import_flags(problems: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Every task with its outcome: ``blank``, ``duplicate`` or ``imported``."""
-    key = ["user_id", "name", "topic"]
+    """Every task with its outcome: ``blank``, ``duplicate`` or ``imported``.  Equal rows are counted first, so of them
+    at most one is imported."""
     t = _prepare_tasks(tasks)
-    # the smallest seq of each new key, from a map-side partial aggregate of the key columns alone
-    first = (t.filter(F.col("name") != "").groupBy(*key).agg(F.min("seq").alias("_first"))
-             .join(problems.select(*key), key, "left_anti"))
-    outcome = (F.when(F.col("name") == "", "blank")
-               .when(F.col("seq") == F.col("_first"), "imported").otherwise("duplicate"))
-    return t.join(first, key, "left").withColumn("outcome", outcome).drop("_first")
+    rows = t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    first = _first_tasks(rows.filter(F.col("name") != ""), problems)
+    wins = F.col("_first").isNotNull() & _rest(rows).eqNullSafe(F.col("_first"))
+    outcome = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_copies")), lambda k: F.when(F.col("name") == "", "blank")
+                          .when(wins & (k == 1), "imported").otherwise("duplicate"))
+    return rows.join(first, TASK_KEY, "left").select(*t.columns, F.explode(outcome).alias("outcome"))
 
 
 def import_totals(flags: DataFrame) -> DataFrame:

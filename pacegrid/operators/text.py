@@ -93,23 +93,29 @@ STORED_TITLE = 120     # characters kept of a title
 DEDUP_KEY = 50         # characters of the stored title used as the duplicate key
 
 
-def feed_items(articles: DataFrame, sources: int = 20, block: int = 600) -> DataFrame:
+def feed_runs(articles: DataFrame, block: int = 600) -> DataFrame:
+    """``articles`` with ``run`` and ``kind`` (see ``feed_items``); given ones stay."""
+    if {"run", "kind"} <= set(articles.columns):
+        return articles
+    n = len(FEED_KINDS)
+    k = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
+    kinds = F.array(*[F.lit(x) for x in FEED_KINDS])
+    return (articles.withColumn("_k", k).filter(F.col("_k").isNotNull())
+            .withColumn("run", F.concat_ws(".", F.floor(F.col("seq") / block).cast("string"), F.floor(F.col("_k") / n).cast("string")))
+            .withColumn("kind", F.element_at(kinds, F.col("_k") % n + 1)).drop("_k"))
+
+
+def feed_items(articles: DataFrame, block: int = 600) -> DataFrame:
     """Items of feed runs with their place in them, ready for ``merge_news``.
 
-    Source ``srcK`` (``K`` below ``sources``) is of kind ``K % 5``; the sources with equal ``K // 5``
+    Source ``srcK`` is of kind ``K % 5``; the sources with equal ``K // 5``
     make one run for every ``block`` consecutive ``seq``, so each item enters a run and the runs grow with the
-    feed.  Items that carry ``run`` and ``kind`` themselves keep them, whatever the name of their source;
+    feed; the run's key names both numbers (``"block.sources"``), so any number of sources stay apart.  Items that carry ``run`` and ``kind`` themselves keep them, whatever the name of their source;
     other names without a number are in no run.  ``pos`` is the 1-based item order within the source
     and run; the first 30 items of each are kept.  Relevance and topic come from the whole title before
-    any shuffle; only its stored characters travel on."""
-    if not {"run", "kind"} <= set(articles.columns):
-        k = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
-        kinds = F.array(*[F.lit(x) for x in FEED_KINDS])
-        n = len(FEED_KINDS)
-        articles = (articles.withColumn("_k", k).filter(F.col("_k").isNotNull())
-                    .withColumn("run", F.floor(F.col("seq") / block) * (sources // n) + F.floor(F.col("_k") / n))
-                    .withColumn("kind", F.element_at(kinds, F.col("_k") % n + 1)))
-    items = articles.select("run", "kind", "source", "seq", "url", "score", "tag_hint",
+    any shuffle; only its stored characters travel on.  ``tag_no``, the place of the queried tag, is kept if given."""
+    articles = feed_runs(articles, block)
+    items = articles.select("run", "kind", "source", "seq", "url", "score", "tag_hint", *[c for c in articles.columns if c == "tag_no"],
                             is_relevant("title").alias("relevant"), topic_tag("title").alias("topic"),
                             F.substring("title", 1, STORED_TITLE).alias("title"))
     own = Window.partitionBy("run", "kind", "source").orderBy("seq")
@@ -136,11 +142,14 @@ def merge_news(items: DataFrame, limit: int | None = 9) -> DataFrame:
            .when(kind == "ai_feed", "AI/ML").when(kind == "trending", "Open Source")
            .otherwise(F.col("topic")))
     score = F.when(kind.isin("scored", "tagged"), F.col("score")).otherwise(F.lit(0)).cast("bigint")
+    block = F.floor((F.col("pos") - 1) / TAGGED_BLOCK).cast("int")
+    if "tag_no" in items.columns:  # the reader knows which tag was queried; else blocks are full
+        block = F.coalesce("tag_no", block)
     kept = (items.filter((F.col("pos") <= cap) & gate)
             .select("run", "source", "kind", "pos", "title", "url",
                     tag.alias("tag"), score.alias("score"),
                     F.array_position(F.array(*[F.lit(x) for x in FEED_KINDS]), kind).alias("kind_rank"),
-                    F.floor((F.col("pos") - 1) / TAGGED_BLOCK).cast("int").alias("block")))
+                    block.alias("block")))
     # From here every step is a window partitioned by ``run`` (at most ~70
     # rows per run), so one shuffle on ``run`` serves them all.
     by_run = Window.partitionBy("run")

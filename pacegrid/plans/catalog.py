@@ -668,18 +668,30 @@ def _s3(c: Ctx) -> DataFrame:
     """Import requests written as JSON lines and read back by the S3 reader.
     A request holds one user's tasks of one block of ``TASKS_PER_REQUEST``
     sequence numbers (in ``seq`` order), so no request grows with the data."""
+    back = SF.read_task_lists(c.spark, _landed_requests(c))
+    return back.select("user_id", "mode", "filename", F.col("pos").cast("bigint").alias("pos"), "name", "topic",
+                       "category", "scheduled_date")
+
+
+def _landed_requests(c: Ctx) -> str:
     t = c.tasks.withColumn("block", F.floor(F.col("seq") / TASKS_PER_REQUEST))
     req = (t.groupBy("user_id", "block")
            .agg(F.array_sort(F.collect_list(F.struct("seq", "name", "topic", "category"))).alias("_t"))
-           .select("user_id", F.lit("add").alias("mode"), F.concat(F.lit("tasks_"), F.col("block").cast("string"),
-                                                                   F.lit(".xlsx")).alias("filename"),
+           .select("user_id", "block", F.lit("add").alias("mode"), F.concat(F.lit("tasks_"), F.col("block").cast("string"),
+                                                                            F.lit(".xlsx")).alias("filename"),
                    F.transform("_t", lambda x: F.struct(x["name"].alias("name"), x["topic"].alias("topic"),
                                                         x["category"].alias("category"))).alias("tasks")))
     path = _scratch(c, "s3")
-    req.write.json(path)
-    back = SF.read_task_lists(c.spark, path)
-    return back.select("user_id", "mode", "filename", F.col("pos").cast("bigint").alias("pos"), "name", "topic",
-                       "category", "scheduled_date")
+    req.repartitionByRange("block", "user_id").sortWithinPartitions("block", "user_id").drop("block").write.json(path)
+    return path
+
+
+@query("s3_to_i1")
+def _s3i1(c: Ctx) -> DataFrame:
+    """The requests read back and imported: first wins in the order of files, lines and tasks."""
+    tasks = SF.read_task_lists(c.spark, _landed_requests(c), order="path")
+    new = I.import_add(c.problems, tasks.drop("mode", "filename", "pos"), BATCH_ID)
+    return new.drop("seq")
 
 
 @query("s9_daily_cache")
@@ -689,7 +701,7 @@ def _s9(c: Ctx) -> DataFrame:
     cuts to the caller's limit there (Q14 fixed: the cache is not cut)."""
     full = T.merge_news(T.feed_items(c.articles), limit=None)
     path = _scratch(c, "s9")
-    SK.write_daily_cache(full.filter(F.col("run") == 0), path, "2024-01-19")
+    SK.write_daily_cache(full.filter(F.col("run") == "0.0"), path, "2024-01-19")
     SK.write_daily_cache(full, path, "2024-01-20")
     return SK.read_daily_cache(c.spark, path, "2024-01-20").filter(F.col("rank") <= 9)
 
@@ -756,6 +768,25 @@ def _s4(c: Ctx) -> DataFrame:
     return SF.read_json_feed(c.spark, base, "feed", multi_line=False).drop("seq")
 
 
+@query("s4_to_t3")
+def _s4t3(c: Ctx) -> DataFrame:
+    """Feed items of all runs landed as JSON lines in feed order, read back with their run, kind and order, and merged."""
+    base = _scratch(c, "s4t3")
+    (T.feed_runs(c.articles).repartitionByRange("seq").sortWithinPartitions("seq")
+     .select("run", "kind", "source", "url", "title", "score", F.array("tag_hint").alias("tag_list")).write.json(base))
+    return T.merge_news(T.feed_items(SF.read_feeds(c.spark, base).drop("tag_no")), limit=9)
+
+
+@query("s4_rss")
+def _s4rss(c: Ctx) -> DataFrame:
+    """Items written as RSS elements and read back by the RSS reader."""
+    base = _scratch(c, "rss")
+    text = F.trim(F.regexp_replace(F.substring("title", 1, 120), r"\s+", " "))
+    (c.articles.select(text.alias("title"), F.col("url").alias("link")).write.format("xml")
+     .option("rootTag", "channel").option("rowTag", "item").save(base))
+    return SF.read_rss(c.spark, base, "rss").drop("seq")
+
+
 # One line per key for ``python -m pacegrid list`` (where the function has no docstring).
 DESCRIPTIONS = {
     "a1_status_rollup": "A1 total/solved/attempted/pending/skipped per user",

@@ -297,6 +297,11 @@ SQL["i1_import_add"] = V(["tasks", "problems"], f"""
 {_T}
 select *, '{_BATCH}' import_batch from ok""")
 
+# the same tasks as JSON requests, read back in their order and imported
+SQL["s3_to_i1"] = V(["tasks", "problems"], f"""
+{_T}
+select * exclude (seq), '{_BATCH}' import_batch from ok""")
+
 SQL["a11_import_totals"] = V(["tasks", "problems"], f"""
 {_T}
 select * from tot""")
@@ -675,7 +680,7 @@ def _news_sql(limit: int) -> str:
 , it as (select *, cast(regexp_extract(source, '(\\d+)$', 1) as integer) k from articles
          where regexp_matches(source, '\\d+$')),
 it2 as (select *, row_number() over (partition by source, seq // 600 order by seq) pos,
-          seq // 600 * 4 + k // 5 run,
+          cast(seq // 600 as varchar) || '.' || cast(k // 5 as varchar) run,
           case k % 5 when 0 then 'scored' when 1 then 'tagged' when 2 then 'ai_feed' when 3 then 'trending'
                else 'tutorials' end kind, k % 5 + 1 kind_rank from it),
 g as (select *, {_REL} rel, {_TAG} ctag from it2
@@ -714,6 +719,10 @@ from (select distinct run from it2 where run not in (select run from top)) r, fb
 
 
 SQL["t3_news_digest"] = _news_sql(9)
+SQL["s4_to_t3"] = _news_sql(9)  # the same items, landed as JSON and read back
+SQL["s4_rss"] = V(["articles"], """
+select url, trim(regexp_replace(substring(title, 1, 120), '\\s+', ' ', 'g')) title, 'rss' source, 0::bigint score, null::varchar tag_hint
+from articles""")
 
 _PERS = _any("lower(message)", _RU.PERSONAL_SIGNALS)
 _RES = _any("lower(message)", _RU.RESOURCE_KEYWORDS)

@@ -193,40 +193,84 @@ IMPORT_SCHEMA = T.StructType([
 ])
 
 
-def read_task_lists(spark: SparkSession, path: str) -> DataFrame:
-    """S3: import requests (one JSON object per line) -> one row per task
-    with its position in the request as ``seq`` (first-wins order)."""
-    req = spark.read.schema(IMPORT_SCHEMA).json(path).withColumn("_file", F.col("_metadata.file_path"))
-    return (req.select("user_id", F.coalesce("mode", F.lit("add")).alias("mode"),
-                       F.coalesce("filename", F.lit("import")).alias("filename"), "_file",
-                       F.posexplode("tasks").alias("pos", "t"))
-            .select("user_id", "mode", "filename", "_file", "pos", "t.*")
+def _placed(df: DataFrame, order: str = "time") -> DataFrame:
+    """Adds ``seq``, the source order of each row of a file scan: a comparable struct of the file's time, its path, the
+    block in the file and the row's place in the block.  ``order='path'`` leaves the time out.
+
+    A window numbers the rows of one block (``spark.sql.files.maxPartitionBytes`` at most), so the order is the same
+    however files are packed into tasks and whatever is recomputed.
+    """
+    own = Window.partitionBy("_path", "_block").orderBy("_mid")
+    time = [F.col("_time").alias("time")] if order == "time" else []
+    seq = F.struct(*time, F.col("_path").alias("path"), F.col("_block").alias("block"), F.row_number().over(own).alias("row"))
+    return (df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                      F.col("_metadata.file_modification_time").alias("_time"), F.monotonically_increasing_id().alias("_mid"))
+            .withColumn("seq", seq).drop("_path", "_block", "_time", "_mid"))
+
+
+def read_import_requests(spark: SparkSession, path: str, order: str = "time") -> DataFrame:
+    """S3: import requests (one JSON object per line): user_id, mode, filename, filenames, tasks and their order ``seq``."""
+    req = _placed(spark.read.schema(IMPORT_SCHEMA).json(path), order)
+    name = F.coalesce("filename", F.lit("import"))
+    return req.select("user_id", F.coalesce("mode", F.lit("add")).alias("mode"), name.alias("filename"),
+                      F.when(F.size("filenames") > 0, F.col("filenames")).otherwise(F.array(name)).alias("filenames"), "tasks", "seq")
+
+
+def request_tasks(requests: DataFrame) -> DataFrame:
+    """S3: one row per task of the requests; ``seq`` orders all tasks of a user over any number of requests,
+    ``pos`` those of one request."""
+    t = requests.select("user_id", "mode", "filename", F.col("seq").alias("_at"), F.posexplode("tasks").alias("pos", "t"))
+    return (t.select("user_id", "mode", "filename", "pos", F.struct(F.col("_at").alias("request"), "pos").alias("seq"), "t.*")
             .withColumn("scheduled_date", F.try_to_date(F.col("scheduled_date"), "yyyy-MM-dd")))
 
 
+def request_files(requests: DataFrame) -> DataFrame:
+    """S3 for the ledger (I3): one (user_id, filename) row per file that a request names, or its own name."""
+    return requests.select("user_id", F.explode("filenames").alias("filename"), "seq")
+
+
+def read_task_lists(spark: SparkSession, path: str, order: str = "time") -> DataFrame:
+    """S3: the tasks of all import requests under ``path`` in first-wins order (``seq``)."""
+    return request_tasks(read_import_requests(spark, path, order))
+
+
 ITEM_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("title", T.StringType()),
     T.StructField("url", T.StringType()), T.StructField("score", T.LongType()),
     T.StructField("tag_list", T.ArrayType(T.StringType())),
     T.StructField("public_reactions_count", T.LongType()),
 ])
+# What the download knows of an item: its run, kind and source, and the queried tag's place. Fields of the
+# item, or folders ``run=.../kind=.../source=.../tag_no=...`` of the landed files.
+FEED_SCHEMA = T.StructType([*ITEM_SCHEMA.fields, T.StructField("run", T.StringType()), T.StructField("kind", T.StringType()),
+                            T.StructField("source", T.StringType()), T.StructField("tag_no", T.IntegerType())])
 RSS_SCHEMA = T.StructType([T.StructField("title", T.StringType()), T.StructField("link", T.StringType())])
 
 
-def read_json_feed(spark: SparkSession, path: str, source: str, multi_line: bool = True) -> DataFrame:
-    """Landed JSON feed items -> ``articles`` rows in file order.
+def _item_columns() -> list[Column]:
+    return [F.col("url"), F.col("title"), F.coalesce("score", "public_reactions_count", F.lit(0)).alias("score"),
+            F.try_element_at("tag_list", F.lit(1)).alias("tag_hint")]
+
+
+def read_json_feed(spark: SparkSession, path: str, source: str, multi_line: bool = True, order: str = "path") -> DataFrame:
+    """Landed JSON feed items of one source -> ``articles`` rows, ``seq`` in feed order.
     ``multi_line``: each file is one JSON array (an API response); otherwise
-    one item per line."""
-    df = spark.read.schema(ITEM_SCHEMA).option("multiLine", str(multi_line).lower()).json(path)
-    return df.select(F.monotonically_increasing_id().alias("seq"), F.lit(source).alias("source"), "url", "title",
-                     F.coalesce("score", "public_reactions_count", F.lit(0)).alias("score"),
-                     F.try_element_at("tag_list", F.lit(1)).alias("tag_hint"))
+    one item per line.  What cannot be parsed is dropped, the rest of the source stays."""
+    df = _placed(spark.read.schema(ITEM_SCHEMA).option("multiLine", str(multi_line).lower()).json(path), order)
+    return df.filter(F.coalesce("title", "url").isNotNull()).select("seq", F.lit(source).alias("source"), *_item_columns())
+
+
+def read_feeds(spark: SparkSession, path: str, order: str = "path") -> DataFrame:
+    """Landed items of all sources and runs, one per line -> ``articles`` rows with run, kind, source and the queried tag's place
+    (``tag_no``, from 0), ``seq`` in feed order, ready for ``feed_items``.  Lines that cannot be parsed are dropped."""
+    df = _placed(spark.read.schema(FEED_SCHEMA).json(path), order)
+    return df.filter(F.coalesce("title", "url").isNotNull()).select("seq", "run", "kind", "source", "tag_no", *_item_columns())
 
 
-def read_rss(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """RSS ``<item>`` elements with an explicit schema."""
-    df = spark.read.format("xml").option("rowTag", "item").schema(RSS_SCHEMA).load(path)
-    return df.select(F.monotonically_increasing_id().alias("seq"), F.lit(source).alias("source"),
+def read_rss(spark: SparkSession, path: str, source: str, order: str = "path") -> DataFrame:
+    """RSS ``<item>`` elements with an explicit schema, ``seq`` in feed order."""
+    df = _placed(spark.read.format("xml").option("rowTag", "item").schema(RSS_SCHEMA).load(path), order)
+    return df.select("seq", F.lit(source).alias("source"),
                      F.col("link").alias("url"), "title", F.lit(0).cast("long").alias("score"),
                      F.lit(None).cast("string").alias("tag_hint"))
 

@@ -70,9 +70,56 @@ def test_every_block_of_items_has_its_runs(spark):
     a = spark.range(1300).selectExpr("id as seq", "concat('src', id % 20) as source", "'python trick ' || id as title",
                                      "'u' || id as url", "30L as score", "'x' as tag_hint")
     items = T.feed_items(a)
-    assert {r.run for r in items.select("run").distinct().collect()} == set(range(12))
+    runs = {f"{b}.{k}" for b in range(3) for k in range(4)}
+    assert {r.run for r in items.select("run").distinct().collect()} == runs
     assert items.count() == 1300  # 30 or fewer of each source in a block of 600
-    assert {r.run for r in T.merge_news(items).filter("rank = 1").collect()} == set(range(12))
+    assert {r.run for r in T.merge_news(items).filter("rank = 1").collect()} == runs
+
+
+def test_runs_of_any_number_of_sources_stay_apart(spark):
+    a = spark.createDataFrame([(600, "src0", "t", "u", 30, "x"), (1, "src20", "t", "u", 30, "x"), (1, "src25", "t", "u", 30, "x"),
+                               (601, "src5", "t", "u", 30, "x")],
+                              "seq long, source string, title string, url string, score long, tag_hint string")
+    assert {r.run for r in T.feed_items(a).collect()} == {"1.0", "0.4", "0.5", "1.1"}
+
+
+def test_queried_tags_make_the_blocks(spark):
+    """Tags that returned fewer than five items: the stop is checked after each tag, not after every fifth item."""
+    rows = [(k, "dev", "tagged", "r", no, f"python item {k}", f"u{k}", 0, "t") for k, no in enumerate([0] * 3 + [1] * 5 + [2] * 5 + [3] * 2 + [4] * 5)]
+    a = spark.createDataFrame(rows, "seq long, source string, kind string, run string, tag_no int, title string, url string, score long, tag_hint string")
+    got = {r.title for r in T.merge_news(T.feed_items(a), limit=None).collect()}
+    assert got == {f"python item {k}" for k in range(15)}        # 3 + 5 + 5 < 14, so the fourth tag runs; 15 stops the fifth
+
+
+def test_equal_tasks_with_one_seq_are_imported_once(spark):
+    problems = spark.createDataFrame([(9, "x", "t")], "user_id long, name string, topic string")
+    tasks = spark.createDataFrame([(1, 1, "x", "t", "A"), (1, 1, "x", "t", "A"), (1, 1, "x", "t", "B"), (1, 0, "y", "t", "A"),
+                                   (9, 1, "x", "t", "A"), (None, 1, "x", "t", "A"), (1, 5, " ", "t", "A")],
+                                  "user_id long, seq long, name string, topic string, category string")
+    flags = sorted((r.user_id or 0, r.name, r.category, r.outcome) for r in I.import_flags(problems, tasks).collect())
+    assert flags == [(0, "x", "A", "duplicate"), (1, "", "A", "blank"), (1, "x", "A", "duplicate"), (1, "x", "A", "imported"),
+                     (1, "x", "B", "duplicate"), (1, "y", "A", "imported"), (9, "x", "A", "duplicate")]
+    assert sorted((r.name, r.category) for r in I.import_add(problems, tasks, "b").collect()) == [("x", "A"), ("y", "A")]
+
+
+def test_requests_keep_their_order_over_files(spark, tmp_dir):
+    """Two requests of a user with the same task: the first file, line and place wins; files of the ledger."""
+    import json
+    for name, lines in (("a.json", [("old", ["a1.csv", "a2.csv"]), ("mid", None)]), ("b.json", [("new", [])])):
+        with open(f"{tmp_dir}/{name}", "w") as f:
+            for cat, files in lines:
+                f.write(json.dumps({"user_id": 7, "filename": f"{cat}.csv", "filenames": files,
+                                    "tasks": [{"name": "T", "topic": "t", "category": cat}, {"name": cat, "topic": "t"}]}) + "\n")
+    os.utime(f"{tmp_dir}/a.json", (2_000_000_000, 2_000_000_000))
+    os.utime(f"{tmp_dir}/b.json", (1_000_000_000, 1_000_000_000))
+    none = spark.createDataFrame([], "user_id long, name string, topic string")
+    for order, first in (("time", "new"), ("path", "old")):
+        tasks = SF.read_task_lists(spark, f"{tmp_dir}/*.json", order)
+        got = {r.name: r.category for r in I.import_add(none, tasks, "b").collect()}
+        assert got["T"] == first and set(got) == {"T", "old", "mid", "new"}
+        assert [r.name for r in tasks.orderBy("seq").collect()][:2] == ["T", first]
+    files = SF.request_files(SF.read_import_requests(spark, f"{tmp_dir}/*.json", "path"))
+    assert [r.filename for r in files.orderBy("seq", "filename").collect()] == ["a1.csv", "a2.csv", "mid.csv", "new.csv"]
 
 
 def test_fallback_only_for_runs_without_articles(spark):
