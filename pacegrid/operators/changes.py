@@ -49,6 +49,11 @@ def import_add(problems: DataFrame, tasks: DataFrame, batch_id: str) -> DataFram
 TASK_KEY = ["user_id", "name", "topic"]
 
 
+def task_keys(tasks: DataFrame) -> DataFrame:
+    """The keys (user, trimmed name, topic) under which tasks are looked up."""
+    return _prepare_tasks(tasks).filter(F.col("name") != "").select(*TASK_KEY).distinct()
+
+
 def _rest(tasks: DataFrame) -> Column:
     return F.struct("seq", *[c for c in tasks.columns if c not in (*TASK_KEY, "seq", "_copies")])
 

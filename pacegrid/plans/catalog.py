@@ -607,6 +607,7 @@ def _s8(c: Ctx) -> DataFrame:
 
 # --- X: streaming operators ---------------------------------------------------
 from ..streaming import jobs as X  # noqa: E402
+from ..streaming import stores as XS  # noqa: E402
 
 
 @query("x3_daily_solved")
@@ -710,18 +711,18 @@ def _s9(c: Ctx) -> DataFrame:
 def _x2(c: Ctx) -> DataFrame:
     """Import requests as a stream: tasks land as parquet files, a
     ``foreachBatch`` sink imports each micro-batch in ``add`` mode against the
-    stored problems (written under ``spark.checkpoint.dir``); returns the rows
+    stored keys of its buckets (written under ``spark.checkpoint.dir``); returns the rows
     the stream inserted."""
     spark = c.spark
     base = _scratch(c, "x2")
-    c.problems.write.parquet(f"{base}/problems")
+    XS.write_import_store(c.problems, f"{base}/store", buckets=8)
     c.tasks.write.parquet(f"{base}/tasks")
     schema = spark.read.parquet(f"{base}/tasks").schema
     q = (spark.readStream.schema(schema).parquet(f"{base}/tasks").writeStream
-         .foreachBatch(X.ImportSink(spark, f"{base}/problems"))
+         .foreachBatch(X.KeyedImportSink(spark, f"{base}/store", buckets=8))
          .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/problems").filter(F.col("import_batch").startswith("stream_"))
+    return spark.read.parquet(f"{base}/store/problems").filter(F.col("batch_no") >= 0).drop("batch_no")
 
 
 @query("x1_status_stream")
@@ -739,12 +740,40 @@ def _x1(c: Ctx) -> DataFrame:
          .parquet(f"{root}/{name}"))
     c.status_events.write.parquet(f"{base}/events")
     schema = spark.read.parquet(f"{base}/events").schema
+    X.StatusEventSink(spark, root, c.user_settings, "month", index_buckets=8).write_index(c.problems)
     q = X.start_status_stream(spark, f"{base}/events", schema, root, c.user_settings, f"{base}/state",
-                              granularity="month")
+                              granularity="month", index_buckets=8)
     q.awaitTermination()
     return spark.read.parquet(f"{root}/daily_log").drop("log_month")
 
 
+def _window_stream(c: Ctx, weekly: bool) -> DataFrame:
+    base = _scratch(c, "x3")
+    events = c.status_events.select("user_id", "status", F.col("ts").cast("timestamp").alias("ts"))
+    events.repartition(4).write.parquet(f"{base}/events")
+    X.start_window_stream(c.spark, f"{base}/events", events.schema, f"{base}/windows", f"{base}/state", weekly,
+                          files_per_batch=2).awaitTermination()
+    return c.spark.read.parquet(f"{base}/windows").drop("month")
+
+
+@query("x3_daily_stream")
+def _x3ds(c: Ctx) -> DataFrame:
+    """The daily counts kept by a stream of several micro-batches: stored windows, replaced as they change."""
+    return _window_stream(c, False)
+
+
+@query("x3_weekly_stream")
+def _x3ws(c: Ctx) -> DataFrame:
+    """The Monday-week counts kept by a stream of several micro-batches."""
+    return _window_stream(c, True)
+
+
+@query("i9_plan")
+def _i9plan(c: Ctx) -> DataFrame:
+    """I9 the plan after status events"""
+    return I.apply_status_events(c.problems, c.daily_plan, c.daily_log, c.user_settings, c.status_events)[1]
+
+
 @query("s2_sheet_files")
 def _s2(c: Ctx) -> DataFrame:
     """Two sheets written as CSV files (several part files each, every one

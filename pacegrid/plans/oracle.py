@@ -421,6 +421,10 @@ SQL["i9_problem_status"] = V(["problems", "daily_plan", "daily_log", "user_setti
 select p.id, p.user_id, coalesce(pp.status, p.status) status
 from problems p left join perprob pp on pp.problem_id = p.id""")
 
+SQL["i9_plan"] = V(["problems", "daily_plan", "daily_log", "user_settings", "status_events"], f"""
+{_EV}
+select * from newplan""")
+
 SQL["i10_activity_upsert"] = V(["daily_log", "activity", "user_settings"], """
 , a as (select a.user_id, a.log_date, a.problems_solved, 0::bigint problems_attempted, 0::bigint problems_skipped,
           coalesce(us.daily_goal, 10)::bigint problems_target, (a.problems_solved * 0.5)::double study_hours,
@@ -1002,3 +1006,7 @@ from tasks_out where sheet in ('Topics', 'Week Plan')""")
 
 SQL["s4_json_feed_files"] = V(["articles"], """
 select 'feed' source, url, title, score, tag_hint from articles""")
+
+# the same counts, kept by streams
+SQL["x3_daily_stream"] = SQL["x3_daily_solved"]
+SQL["x3_weekly_stream"] = SQL["x3_weekly_solved"]

@@ -4,14 +4,16 @@ Every job reuses the batch operators, so a stream and a batch over the same
 rows give the same tables (tested in ``tests/test_streaming.py``).
 
 * X1 status events keep plan, log and problems current through
-  ``foreachBatch``: only the (user, day) partitions an event touches are
+  ``foreachBatch``: only the partitions an event touches are
   recomputed and rewritten (dynamic partition overwrite); no watermark, so a
   late event for an old day is still applied, as the tracker does.  Replaying
-  a micro-batch gives the same result (last-wins is deterministic).
-* X2 import requests are deduplicated against the stored problems of every
-  earlier batch.
+  a micro-batch gives the same result (last-wins is deterministic).  A stored index by problem
+  id names the partitions of the touched problems, so neither the table nor all of its ids are read.
+* X2 import requests are deduplicated against the keys stored by every
+  earlier batch, in the buckets of their own keys alone; a batch tried again writes the same rows to the same place.
 * X3 daily and Monday-to-Sunday weekly solved counts; every event counts
-  however late.  A watermark is an option that bounds the state (append mode
+  however late.  ``WindowSink`` keeps a stored table of them current from the windows each batch changes.
+  A watermark is an option that bounds the state (append mode
   needs it) and drops events later than it.
 * X4 message routing is a stateless projection.
 """
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import changes as I
+from ..operators import sequences as W
 from ..operators import text as TX
 from ..sources.sinks import in_partitions, materialise, write_partitions
+from . import stores
 
 EPOCH_MONDAY_OFFSET = "4 days"  # 1970-01-01 was a Thursday; +4 days is a Monday
 
@@ -51,6 +55,44 @@ def solved_windows(events: DataFrame, watermark: str | None = None) -> tuple[Dat
     return flat(daily), flat(weekly)
 
 
+class WindowSink:
+    """X3 ``foreachBatch`` handler of an update-mode stream of windows: a changed window replaces its stored row.
+    The table at ``path`` is partitioned by the windows' month, and only months with a changed window are read and rewritten;
+    a batch tried again writes the same rows."""
+
+    KEY = ["user_id", "window_start", "window_end"]
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.path = path
+
+    def __call__(self, changed: DataFrame, batch_id: int) -> None:
+        if changed.isEmpty():
+            return
+        new = changed.withColumn("month", F.trunc("window_start", "month")).withColumn("version", F.lit(batch_id))
+        stored = stores.read_or_none(self.spark, self.path)
+        if stored is None:
+            out = new.drop("version")
+        else:
+            months = [r[0] for r in new.select("month").distinct().collect()]  # bounded by the calendar
+            old = in_partitions(stored, "month", months).withColumn("version", F.lit(None).cast("long"))
+            out = W.last_wins(old, new, [*self.KEY, "month"])
+        write_partitions(materialise(out), self.path, ["month"])
+
+
+def start_window_stream(spark: SparkSession, events_path: str, schema, path: str, checkpoint: str, weekly: bool = False,
+                        files_per_batch: int | None = None, available_now: bool = True) -> StreamingQuery:
+    """Read status events as they land and keep the stored counts per user and day (or Monday week) current.
+    The open windows are the query's state in ``checkpoint``; a restart goes on from there."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    windows = solved_windows(reader.parquet(events_path))[int(weekly)]
+    w = windows.writeStream.outputMode("update").foreachBatch(WindowSink(spark, path)).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
 def route_messages(messages: DataFrame) -> DataFrame:
     """T5/T6/T8 on each incoming message."""
     return messages.select("conv_id", "turn", TX.needs_personal_context("message").alias("personal"),
@@ -81,9 +123,12 @@ class StatusEventSink:
     """X1 ``foreachBatch`` handler over tables stored as parquet folders:
     ``problems``, ``daily_plan`` and ``daily_log``, partitioned by their date
     (``granularity='day'``) or its month (``'month'``); settings are read as
-    given.  Only partitions holding touched rows are recomputed and rewritten."""
+    given.  Only partitions holding touched rows are recomputed and rewritten.  ``index_buckets``: the number of buckets of
+    the index ``problems_index`` beside the tables (``write_index``); without it the ids of the whole table are read."""
 
-    def __init__(self, spark: SparkSession, root: str, user_settings: DataFrame, granularity: str = "day"):
+    def __init__(self, spark: SparkSession, root: str, user_settings: DataFrame, granularity: str = "day",
+                 index_buckets: int | None = None):
+        self.index_buckets = index_buckets
         self.spark = spark
         self.root = root.rstrip("/")
         self.user_settings = user_settings
@@ -101,12 +146,25 @@ class StatusEventSink:
         values = [r[0] for r in rows.select(col).distinct().collect()]
         return in_partitions(self.spark.read.parquet(self.path(table)), col, values)
 
+    def write_index(self, problems: DataFrame) -> None:
+        """Store where each of ``problems`` lies; call it when they are written."""
+        col = partition_column("problems", self.granularity)
+        rows = problems if col in problems.columns else with_partition_column(problems, "problems", self.granularity)
+        stores.write_problem_index(rows, self.path("problems_index"), col, self.index_buckets)
+
+    def _touched_problems(self, ids: DataFrame) -> DataFrame:
+        """The stored problems in the partitions of the touched ones, which the index names."""
+        stored = self.spark.read.parquet(self.path("problems"))
+        if self.index_buckets is None:
+            return self._touched(stored.join(ids, "id", "left_semi"), "problems")
+        values = stores.partitions_of(self.spark, self.path("problems_index"), ids, self.index_buckets)
+        return in_partitions(stored, partition_column("problems", self.granularity), values)
+
     def __call__(self, events: DataFrame, batch_id: int) -> None:
         if events.isEmpty():
             return
         touched_ids = events.select(F.col("problem_id").alias("id")).distinct()
-        stored = self.spark.read.parquet(self.path("problems"))
-        problems = self._touched(stored.join(touched_ids, "id", "left_semi"), "problems")
+        problems = self._touched_problems(touched_ids)
         plan = self._touched(events.select("plan_date"), "daily_plan")
         log = self._touched(events.select(F.col("plan_date").alias("log_date")), "daily_log")
         news = I.apply_status_events(problems, plan, log, self.user_settings, events)
@@ -122,10 +180,11 @@ class StatusEventSink:
 
 
 def start_status_stream(spark: SparkSession, events_path: str, schema, root: str, user_settings: DataFrame,
-                        checkpoint: str, available_now: bool = True, granularity: str = "day") -> StreamingQuery:
+                        checkpoint: str, available_now: bool = True, granularity: str = "day",
+                        index_buckets: int | None = None) -> StreamingQuery:
     """Read status events as they land and keep the tables current."""
     stream = spark.readStream.schema(schema).parquet(events_path)
-    w = stream.writeStream.foreachBatch(StatusEventSink(spark, root, user_settings, granularity)).option(
+    w = stream.writeStream.foreachBatch(StatusEventSink(spark, root, user_settings, granularity, index_buckets)).option(
         "checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
@@ -149,3 +208,28 @@ class ImportSink:
         out = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c)
                            for c in cols])
         materialise(out).write.mode("append").parquet(self.problems_path)
+
+
+class KeyedImportSink:
+    """X2 ``foreachBatch`` handler over an import store (``stores.write_import_store``): each batch of tasks is imported in
+    ``add`` mode against the stored keys of its own buckets.
+
+    The rows and the keys of a batch go to partitions named by its number, and a batch never sees its own
+    keys, so a batch that is tried again after a failure at any point replaces its rows by the same rows."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = stores.BUCKETS, batch_prefix: str = "stream"):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self.buckets = buckets
+        self.batch_prefix = batch_prefix
+
+    def __call__(self, tasks: DataFrame, batch_id: int) -> None:
+        if tasks.isEmpty():
+            return
+        stored = self.spark.read.parquet(f"{self.root}/problems").schema
+        keys = stores.import_keys(self.spark, self.root, I.task_keys(tasks), batch_id, self.buckets)
+        new = I.import_add(keys, tasks, f"{self.batch_prefix}_{batch_id}")
+        out = materialise(new.select(*[F.col(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                                       for f in stored.fields if f.name != "batch_no"]))
+        write_partitions(out.withColumn("batch_no", F.lit(batch_id)), f"{self.root}/problems", ["batch_no"])
+        stores.add_import_keys(out, self.root, batch_id, self.buckets)

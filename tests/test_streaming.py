@@ -128,3 +128,90 @@ def test_x3_late_events_beyond_watermark_are_dropped(spark, tmp_dir):
     assert (D(2024, 1, 1), 1) in got           # the late event did not change the closed day
     assert (D(2024, 1, 1), 2) not in got
     assert (D(2024, 1, 10), 1) in got
+
+
+def _scanned(df):
+    """Rows that the file scans of ``df`` read (adaptive execution off, so that the plan keeps its metrics)."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves()
+        return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size())
+                   if "FileScan" in leaves.apply(k).toString())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_x1_index_reads_follow_the_events(spark, tmp_dir):
+    n = 20_000
+    problems = spark.range(n).select("id", (F.col("id") % 7).alias("user_id"), F.lit("Pending").alias("status"),
+                                     F.when(F.col("id") % 10 != 0, F.expr("date_add(date'2024-01-01', cast(id % 300 as int))")).alias("scheduled_date"))
+    sink = X.StatusEventSink(spark, f"{tmp_dir}/t", None, "month", index_buckets=32)
+    X.with_partition_column(problems, "problems", "month").write.partitionBy("scheduled_month").parquet(f"{tmp_dir}/t/problems")
+    sink.write_index(problems)
+    ids = spark.createDataFrame([(3,), (10,), (10,), (n + 5,)], "id long")
+    got = sink._touched_problems(ids.distinct())
+    months = {D(2024, 1, 1), None}
+    assert {r.scheduled_month for r in got.select("scheduled_month").distinct().collect()} == months
+    assert _scanned(got) == got.count() < n / 4
+    index = X.stores.read_buckets(spark.read.schema("id long, part date, bucket int").parquet(f"{tmp_dir}/t/problems_index"), ids, ["id"], 32)
+    assert sorted(r.id for r in index.collect()) == [3, 10]
+    assert _scanned(index) < n / 32 * 3 * 1.5       # three buckets at most
+    many = spark.range(0, 5000, 4).toDF("id")
+    assert set(X.stores.partitions_of(spark, f"{tmp_dir}/t/problems_index", many, 32)) == {
+        r[0] for r in X.with_partition_column(problems.join(many, "id"), "problems", "month").select("scheduled_month").distinct().collect()}
+
+
+def test_x1_with_an_index_equals_batch(spark, tmp_dir):
+    problems, plan, log, us, events = _tables(spark)
+    problems = problems.unionByName(spark.createDataFrame([(4, 10, "d", "DSA", "t", "Easy", "Pending", None)], problems.schema))
+    events = events.unionByName(spark.createDataFrame([(10, 4, D(2024, 1, 20), "Solved", TS(2024, 1, 20, 9))], events.schema))
+    root = f"{tmp_dir}/tables"
+    for name, df in (("problems", problems), ("daily_plan", plan), ("daily_log", log)):
+        col = X.partition_column(name, "month")
+        X.with_partition_column(df, name, "month").write.partitionBy(col).parquet(f"{root}/{name}")
+    sink = X.StatusEventSink(spark, root, us, "month", index_buckets=4)
+    sink.write_index(problems)
+    for batch in (0, 0, 1):                     # tried again, and sent again
+        sink(events, batch)
+    bp, bplan, blog = I.apply_status_events(problems, plan, log, us, events)
+    for name, want in (("problems", bp.select("id", "status")), ("daily_plan", bplan), ("daily_log", blog)):
+        assert _rows(spark.read.parquet(f"{root}/{name}").select(want.columns)) == _rows(want)
+
+
+def test_x2_keyed_store_equals_batch_and_survives_a_second_try(spark, tmp_dir):
+    problems = spark.createDataFrame([(1, f"p{k}", "t", "") for k in range(3000)], "user_id long, name string, topic string, import_batch string")
+    tasks = spark.createDataFrame([(k, 1, f" p{2990 + k} ", "t") for k in range(20)] + [(50, 1, "p3001", "t"), (51, 2, "p1", "t"), (52, 2, "", "t")],
+                                  "seq long, user_id long, name string, topic string")
+    X.stores.write_import_store(problems, f"{tmp_dir}/s", 16)
+    sink = X.KeyedImportSink(spark, f"{tmp_dir}/s", 16)
+    parts = [tasks.filter("seq < 12"), tasks.filter("seq >= 9")]
+    for batch, part in ((0, parts[0]), (0, parts[0]), (1, parts[1])):
+        sink(part, batch)
+    # a try that broke off between the rows and the keys
+    X.stores.add_import_keys(problems.limit(0), f"{tmp_dir}/s", 1, 16)
+    sink(parts[1], 1)
+    got = spark.read.parquet(f"{tmp_dir}/s/problems").filter("batch_no >= 0")
+    assert _rows(got.select("user_id", "name")) == _rows(I.import_add(problems, tasks, "b").select("user_id", "name"))
+    few = X.stores.import_keys(spark, f"{tmp_dir}/s", I.task_keys(tasks.filter("seq = 1")), 9, 16)
+    assert _scanned(few) < 3000 / 16 * 1.5 + 5
+    assert sorted(r.name for r in few.filter("name = 'p2991'").collect()) == ["p2991"]
+
+
+def test_x3_stored_windows_equal_batch_after_a_restart(spark, tmp_dir):
+    schema = "user_id long, status string, ts timestamp"
+    rows = [(u, "Solved" if (u + k) % 3 else "Skipped", TS(2024, 1, 25) + dt.timedelta(hours=7 * k)) for u in (1, 2) for k in range(40)]
+    late = [(1, "Solved", TS(2024, 1, 25, 1)), (3, "Solved", TS(2024, 3, 1)), (2, "Solved", TS(2024, 2, 1, 3))]
+    for weekly in (False, True):
+        base = f"{tmp_dir}/w{int(weekly)}"
+        spark.createDataFrame(rows, schema).repartition(5).write.parquet(f"{base}/events")
+        start = lambda: X.start_window_stream(spark, f"{base}/events", spark.createDataFrame([], schema).schema, f"{base}/out",
+                                              f"{base}/state", weekly, files_per_batch=2).awaitTermination()
+        start()
+        spark.createDataFrame(late, schema).write.mode("append").parquet(f"{base}/events")   # after the query has ended
+        start()
+        want = X.solved_windows(spark.createDataFrame(rows + late, schema))[int(weekly)]
+        assert _rows(spark.read.parquet(f"{base}/out").select(want.columns)) == _rows(want)
