@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -65,6 +66,14 @@ def slices(batch: pa.RecordBatch, size: str = "text", most: int = 4_000_000):
             yield batch.slice(lo, hi - lo)
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the system; workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def split_words(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words between white space (\\x20 \\x09-\\x0D), A-Z lower-cased if ``lower``.
 

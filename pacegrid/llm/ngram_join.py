@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, hash_strings, mix64, slices, split_words, stored, texts
+from .common import hash_strings, mix64, release, slices, split_words, stored, texts, U64
 from .components import connected_components
 from .exact_dedup import heavy_hitters
 
@@ -179,6 +179,7 @@ def set_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> DataFrame:
                 yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n[0]), pa.array(n[1]),
                                        pa.array(sketches(h, offsets), pa.binary())],
                                       names=["doc_id", "n_shingles", "own_segments", "up_segments", "sketch"])
+            release()
 
     return texts(docs).mapInArrow(run, INFO)
 
@@ -219,12 +220,14 @@ def packed_signatures(docs: DataFrame, parts: int, per_segment: float = PER_SEGM
                     own.append(ids[d].astype("<i8").tobytes())
                 yield pa.record_batch([pa.array(live, pa.int32()), pa.array(sigs, pa.binary()), pa.array(rows, pa.binary()),
                                        pa.array(own, pa.binary())], names=["part", "sigs", "rows", "docs"])
+            release()
 
     return texts(docs).filter("doc_id is not null").mapInArrow(run, RUNS)
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """Members of the buckets of one part that have two documents or more, with the smallest."""
+    release()
     sig, doc, fam = [], [], []
     for s, r, d in zip(pdf["sigs"], pdf["rows"], pdf["docs"]):
         row = np.ascontiguousarray(np.frombuffer(r, np.uint8).reshape(4, -1).T).view("<u4").ravel()
@@ -254,6 +257,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 h, offsets = shingle_sets(b.column("text"))
                 rows = [h[lo:hi].tobytes() for lo, hi in zip(offsets[:-1], offsets[1:])]
                 yield pa.record_batch([b.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "shingles"])
+            release()
 
     return texts(docs).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
         run, "doc_id long, shingles binary")
@@ -269,6 +273,14 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 80 * (len(a) + len(b) - common)
 
 
+def _chunks(batches, rows: int = 512):
+    """Few rows of the batches at a time: each holds two sets or sketches, which become Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+        release()
+
+
 def plausible(info: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, ...) that sizes and sketches do not rule out."""
     one = info.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("_na"), F.col("sketch").alias("_sa"))
@@ -276,7 +288,7 @@ def plausible(info: DataFrame, pairs: DataFrame) -> DataFrame:
     names = pairs.columns
 
     def run(batches):
-        for b in batches:
+        for b in _chunks(batches):
             rows = zip(*(b.column(c).to_pylist() for c in ("_na", "_sa", "_nb", "_sb")))
             yield b.select(names).filter(pa.array([may_link(*r) for r in rows], pa.bool_()))
 
@@ -300,7 +312,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = pairs.join(two, "b").join(one, "a")
 
     def run(batches):
-        for b in batches:
+        for b in _chunks(batches):
             ok = [linked(np.frombuffer(x, U64), np.frombuffer(y, U64))
                   for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
