@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+import gc
 import uuid
 
 import numpy as np
@@ -74,6 +76,22 @@ def release() -> None:
         trim(0)
 
 
+def tidy(run):
+    """``run`` for ``mapInArrow``, with the worker's freed memory given back before and after it."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        gc.collect()
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            release()
+
+    return tidied
+
+
 def split_words(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words between white space (\\x20 \\x09-\\x0D), A-Z lower-cased if ``lower``.
 

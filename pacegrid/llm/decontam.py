@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hash_strings, mix64, slices, split_words, stored, texts
+from .common import U64, hash_strings, mix64, slices, split_words, stored, texts, tidy
 
 MASKS = ("111111", "1111011", "1101111", "110010111", "101100111", "110101011")
 WHOLE = 10          # items with fewer tokens are found whole
@@ -96,7 +96,7 @@ def item_rows(benchmark: DataFrame, id_col: str = "item_id") -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), pa.array([t[x:y].tobytes() for x, y in zip(o[:-1], o[1:])], pa.binary())],
                                   names=["item_id", "item_tokens"])
 
-    return texts(benchmark, id_col).mapInArrow(run, ITEMS)
+    return texts(benchmark, id_col).mapInArrow(tidy(run), ITEMS)
 
 
 def _masks_of(n: int, masks: tuple[str, ...]) -> list[str]:
@@ -121,7 +121,7 @@ def seed_rows(items: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
             yield pa.record_batch([pa.array(cat(hashes)), pa.array(ids, pa.int64()), pa.array(cat(at).astype(np.int32))],
                                   names=["hash", "item_id", "item_pos"])
 
-    return items.mapInArrow(run, SEEDS)
+    return items.mapInArrow(tidy(run), SEEDS)
 
 
 def _bitmap(seeds: DataFrame, bits: int) -> bytes:

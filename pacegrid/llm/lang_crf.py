@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, crc_fold, hash_strings, mix64, slices, split_words, texts
+from .common import U64, crc_fold, hash_strings, mix64, slices, split_words, texts, tidy
 
 UND = "und"
 PER_LANG = 400
@@ -239,7 +239,7 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG, cuts: int = CUTS, stretch:
                         parts.append(" ".join(part))
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(parts, pa.string())], names=["lang", "part"])
 
-    rows = d.filter(dice < take).select("text", "lang").mapInArrow(run, "lang string, part string").collect()
+    rows = d.filter(dice < take).select("text", "lang").mapInArrow(tidy(run), "lang string, part string").collect()
     return sorted((r["lang"], r["part"]) for r in rows)
 
 
@@ -400,7 +400,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                                        pa.array(words_in, pa.int64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))],
                                       names=["doc_id", "lang_pred", "score", "n_words", "shares"])
 
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(tidy(run), schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:

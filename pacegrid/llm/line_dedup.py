@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix64, stored, texts
+from .common import SPACE, mix64, stored, texts, tidy
 
 SLOTS = 4
 LOAD = 0.84
@@ -202,7 +202,7 @@ def line_refs(docs: DataFrame, min_chars: int = 20) -> DataFrame:
                 ids.extend([i] * len(own))
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc_id"])
 
-    return texts(docs).mapInArrow(run, REFS)
+    return texts(docs).mapInArrow(tidy(run), REFS)
 
 
 @dataclass
@@ -292,7 +292,7 @@ class LineIndex:
                 yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.int64()),
                                        pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
 
-        return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string")
+        return rows.mapInArrow(tidy(run), "doc_id long, n_lines long, n_dropped long, text string")
 
 
 def _counted(refs: DataFrame) -> DataFrame:
@@ -345,4 +345,4 @@ def line_dedup_stage(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) ->
                 cols[at] = pa.array(fresh, cols[at].type)
             yield pa.record_batch(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(tidy(run), docs.schema)

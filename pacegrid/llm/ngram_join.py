@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_strings, mix64, release, slices, split_words, stored, texts, U64
+from .common import hash_strings, mix64, release, slices, split_words, stored, texts, U64, tidy
 from .components import connected_components
 from .exact_dedup import heavy_hitters
 
@@ -181,7 +181,7 @@ def set_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> DataFrame:
                                       names=["doc_id", "n_shingles", "own_segments", "up_segments", "sketch"])
             release()
 
-    return texts(docs).mapInArrow(run, INFO)
+    return texts(docs).mapInArrow(tidy(run), INFO)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -222,7 +222,7 @@ def packed_signatures(docs: DataFrame, parts: int, per_segment: float = PER_SEGM
                                        pa.array(own, pa.binary())], names=["part", "sigs", "rows", "docs"])
             release()
 
-    return texts(docs).filter("doc_id is not null").mapInArrow(run, RUNS)
+    return texts(docs).filter("doc_id is not null").mapInArrow(tidy(run), RUNS)
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -260,7 +260,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             release()
 
     return texts(docs).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
-        run, "doc_id long, shingles binary")
+        tidy(run), "doc_id long, shingles binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -292,7 +292,7 @@ def plausible(info: DataFrame, pairs: DataFrame) -> DataFrame:
             rows = zip(*(b.column(c).to_pylist() for c in ("_na", "_sa", "_nb", "_sb")))
             yield b.select(names).filter(pa.array([may_link(*r) for r in rows], pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select(*names, "_na", "_sa", "_nb", "_sb").mapInArrow(run, pairs.schema)
+    return pairs.join(one, "a").join(two, "b").select(*names, "_na", "_sa", "_nb", "_sb").mapInArrow(tidy(run), pairs.schema)
 
 
 def _different(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                   for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 # ---- step 3: sets without enough free buckets ----
@@ -345,7 +345,7 @@ def _neighbour_rows(unfinished: DataFrame, per_segment: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, most=500_000):
                 h, offsets = shingle_sets(b.column("text"))
                 n_sets = len(offsets) - 1
                 ids = b.column("doc_id").to_numpy()
@@ -383,8 +383,9 @@ def _neighbour_rows(unfinished: DataFrame, per_segment: float) -> DataFrame:
                 if keys:
                     yield pa.record_batch([pa.concat_arrays(keys), pa.array(ids[np.concatenate(sets)]), pa.array(np.concatenate(probes))],
                                           names=["key", "doc_id", "probe"])
+            release()
 
-    return unfinished.mapInArrow(run, PROBES)
+    return unfinished.mapInArrow(tidy(run), PROBES)
 
 
 def _component(rows: DataFrame, comps: DataFrame, col: str = "doc_id") -> DataFrame:
@@ -412,7 +413,7 @@ def _block_pairs(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())],
                                       names=["a", "b"])
 
-        out = out.unionByName(texts(docs).filter("doc_id is not null").mapInArrow(run, "a long, b long"))
+        out = out.unionByName(texts(docs).filter("doc_id is not null").mapInArrow(tidy(run), "a long, b long"))
     return out
 
 
@@ -470,7 +471,7 @@ def _in_blocks(info: DataFrame, crowd: DataFrame, comps: DataFrame) -> DataFrame
                 got = _close(r.column("one")[0].as_py(), r.column("two")[0].as_py())
                 yield pa.record_batch([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
 
-    return rows.select("one", "two").mapInArrow(run, "a long, b long")
+    return rows.select("one", "two").mapInArrow(tidy(run), "a long, b long")
 
 
 def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[DataFrame, DataFrame]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, split_words, stored, texts
+from .common import slices, split_words, stored, texts, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -136,7 +136,7 @@ def tokenised(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: in
                 types = [pa.int64()] * 6 + [pa.list_(pa.int64())]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=TOKENISED_NAMES)
 
-    return _keyed(docs).mapInArrow(run, TOKENISED)
+    return _keyed(docs).mapInArrow(tidy(run), TOKENISED)
 
 
 # ---- the plan, from the histogram alone ----
@@ -324,4 +324,4 @@ def _cut_pieces(docs: DataFrame, cut: DataFrame, vocabulary: str, window: int, e
             cols = list(zip(*out)) if out else [[]] * 7
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(tidy(run), PIECES)
