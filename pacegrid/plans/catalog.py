@@ -234,6 +234,7 @@ def _l6(c: Ctx) -> DataFrame:
 # --- I: table changes -----------------------------------------------------
 from ..operators import changes as I  # noqa: E402
 
+CATEGORY = "economy"
 BATCH_ID = "tasks.xlsx_20240120000000"
 
 
@@ -316,6 +317,34 @@ def _i6(c: Ctx) -> DataFrame:
     return _count_by_user(c.users, problems_left=p, plan_left=pl, log_left=lg, imports_left=imp)
 
 
+@query("i5_delete_category")
+def _i5c(c: Ctx) -> DataFrame:
+    """I5 rows left after deleting one category, whatever its case (with plan cascade)"""
+    p, pl, _ = I.delete_problems(c.problems, c.daily_plan, c.imports, category=CATEGORY.upper())
+    return _count_by_user(c.users, problems_left=p, plan_left=pl)
+
+
+@query("i7_problems_left")
+def _i7p(c: Ctx) -> DataFrame:
+    """I7 problems left after deleting problems"""
+    ids = c.problems.filter((F.col("status") == "Skipped") & (F.col("difficulty") == "Hard"))
+    p, _ = I.delete_one(c.problems, c.daily_plan, ids)
+    return p.select("id", "user_id", "name", "status")
+
+
+@query("i8_refresh_plans")
+def _i8r(c: Ctx) -> DataFrame:
+    """I8 the plan after every generated (user, day) has replaced the stored one"""
+    return I.refresh_plans(c.daily_plan, I.generate_plans(c.problems))
+
+
+@query("a2_named_categories")
+def _a2n(c: Ctx) -> DataFrame:
+    """A2 total and solved per (user, category) without blank categories, as the listing shows them"""
+    blanked = c.problems.withColumn("category", F.when(F.col("id") % 5 == 0, F.lit("")).otherwise(F.col("category")))
+    return R.category_breakdown(blanked, drop_empty=True)
+
+
 @query("i7_delete_one")
 def _i7(c: Ctx) -> DataFrame:
     ids = c.problems.filter((F.col("status") == "Skipped") & (F.col("difficulty") == "Hard"))

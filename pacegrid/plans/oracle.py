@@ -1010,3 +1010,26 @@ select 'feed' source, url, title, score, tag_hint from articles""")
 # the same counts, kept by streams
 SQL["x3_daily_stream"] = SQL["x3_daily_solved"]
 SQL["x3_weekly_stream"] = SQL["x3_weekly_solved"]
+
+SQL["i5_delete_category"] = V(["users", "problems", "daily_plan"], """
+, gone as (select id from problems where lower(category) = 'economy'),
+p as (select user_id, count(*) n from problems where id not in (select id from gone) group by user_id),
+pl as (select user_id, count(*) n from daily_plan where problem_id not in (select id from gone) group by user_id)
+select u.id user_id, coalesce(p.n, 0) problems_left, coalesce(pl.n, 0) plan_left
+from users u left join p on p.user_id = u.id left join pl on pl.user_id = u.id""")
+
+SQL["i7_problems_left"] = V(["problems"], """
+select id, user_id, name, status from problems where not (status = 'Skipped' and difficulty = 'Hard')""")
+
+SQL["i8_refresh_plans"] = V(["problems", "daily_plan"], f"""
+, fresh as (select user_id, scheduled_date plan_date, id problem_id,
+              (row_number() over (partition by user_id, scheduled_date order by {_RANK}, id) - 1) order_index, 'Pending' status
+            from problems where status = 'Pending' and scheduled_date is not null),
+days as (select distinct user_id, plan_date from fresh)
+select dp.user_id, dp.plan_date, dp.problem_id, dp.order_index, dp.status
+from daily_plan dp left join days d on d.user_id = dp.user_id and d.plan_date = dp.plan_date where d.user_id is null
+union all select * from fresh""")
+
+SQL["a2_named_categories"] = V(["problems"], """
+select user_id, category, count(*)::bigint total, sum(case when status = 'Solved' then 1 else 0 end)::bigint solved
+from problems where id % 5 <> 0 and category <> '' group by user_id, category""")
