@@ -222,59 +222,71 @@ def apply_status_events(problems: DataFrame, plan: DataFrame, log: DataFrame, us
                         events: DataFrame):
     """Status events ``(user_id, problem_id, plan_date, status, ts)``.
 
-    * problems: the latest event per problem sets its status;
+    * problems: the latest event of the owner per problem sets its status;
     * plan: the latest event per (problem, day) sets the matching plan rows;
     * log: each touched (user, day) gets ``problems_solved`` = solved plan
       rows of that day and ``problems_target`` = goal; other fields of an
       existing row are kept (Q4 fixed), a new row gets zeros.
+
+    An event without a day sets the problem alone; events on another user's problem are ignored.
     Returns ``(problems, plan, log)``.
     """
-    owned = events.join(problems.select(F.col("id").alias("problem_id"), "user_id"),
-                        ["problem_id", "user_id"], "left_semi")
-    per_problem = latest(owned.select("problem_id", "status", "ts"), ["problem_id"]).select(
-        F.col("problem_id").alias("id"), F.col("status").alias("_new"))
-    new_problems = (problems.join(per_problem, "id", "left")
-                    .withColumn("status", F.coalesce("_new", "status")).drop("_new"))
-    per_day = latest(owned.select("user_id", "problem_id", "plan_date", "status", "ts"),
-                     ["user_id", "problem_id", "plan_date"]).select(
-        "user_id", "problem_id", "plan_date", F.col("status").alias("_new"))
-    new_plan = (plan.join(per_day, ["user_id", "problem_id", "plan_date"], "left")
-                .withColumn("status", F.coalesce("_new", "status")).drop("_new"))
-    touched = owned.select("user_id", F.col("plan_date").alias("log_date")).distinct()
-    # recount only the touched days (AQE broadcasts the touched set when small)
-    solved = (new_plan.filter(F.col("status") == "Solved")
-              .join(touched.withColumnRenamed("log_date", "plan_date"), ["user_id", "plan_date"], "left_semi")
-              .groupBy("user_id", F.col("plan_date").alias("log_date"))
-              .agg(F.count(F.lit(1)).alias("problems_solved")))
-    counts = (touched.join(solved, ["user_id", "log_date"], "left")
-              .join(user_settings.select("user_id", F.col("daily_goal").alias("problems_target")),
-                    "user_id", "left")
-              .select("user_id", "log_date",
-                      F.coalesce("problems_solved", F.lit(0)).cast("bigint").alias("problems_solved"),
-                      F.coalesce("problems_target", F.lit(10)).cast("bigint").alias("problems_target")))
-    new_log = upsert_log_counts(log, counts)
-    return new_problems, new_plan, new_log
+    own = ["user_id", "problem_id"]
+    last = latest(events.select(*own, "status", "ts"), own).select(
+        "user_id", F.col("problem_id").alias("id"), F.col("status").alias("_new"))
+    new_problems = _with_status(problems, last, ["user_id", "id"])
+    owned = (events.filter(F.col("plan_date").isNotNull())
+             .join(problems.select("user_id", F.col("id").alias("problem_id")), own, "left_semi"))
+    day = [*own, "plan_date"]
+    per_day = latest(owned.select(*day, "status", "ts"), day).select(*day, F.col("status").alias("_new"))
+    return new_problems, _with_status(plan, per_day, day), _recounted_log(plan, log, user_settings, owned)
 
 
-# Optional columns of the log with the value of an entry that does not give them.
-ACTIVITY_NOTES = {"study_hours": 0.0, "mood": "", "notes": ""}
+def _with_status(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """``table`` with the status ``_new`` of the matching change."""
+    return table.join(changes, key, "left").select(
+        *[F.coalesce("_new", "status").alias("status") if c == "status" else F.col(c) for c in table.columns])
 
 
-def upsert_log_counts(log: DataFrame, counts: DataFrame) -> DataFrame:
-    """Set ``problems_solved``/``problems_target`` of the given (user, day)
-    rows, keeping the other fields; absent rows are added with zeros."""
-    c = counts.select("user_id", "log_date", F.col("problems_solved").alias("_s"),
-                      F.col("problems_target").alias("_t"))
-    j = log.join(c, ["user_id", "log_date"], "full_outer")
-    out = j.select(
+def _recounted_log(plan: DataFrame, log: DataFrame, user_settings: DataFrame, owned: DataFrame) -> DataFrame:
+    """The log after the owned events, by two reductions over tagged rows instead of a chain of joins.
+
+    Plan rows and events meet per (user, problem, day): their number, the solved ones and the last event say how
+    many of them are solved now.  These counts and the log rows meet per (user, day).  Both reductions start on the mappers.
+    """
+    day = ["user_id", "problem_id", "plan_date"]
+    event = F.struct("ts", "status")
+    marks = (plan.filter(F.col("plan_date").isNotNull())
+             .select(*day, F.lit(1).alias("rows"), (F.col("status") == "Solved").cast("int").alias("was"),
+                     F.lit(None).cast(owned.select(event.alias("e")).schema["e"].dataType).alias("event"))
+             .unionByName(owned.select(*day, F.lit(0).alias("rows"), F.lit(0).alias("was"), event.alias("event"))))
+    now = marks.groupBy(*day).agg(F.sum("rows").alias("rows"), F.sum("was").alias("was"), F.max("event").alias("event"))
+    status = F.col("event")["status"]
+    counts = now.select(
+        "user_id", F.col("plan_date").alias("log_date"), F.col("event").isNotNull().alias("touched"),
+        F.when(status.isNull(), F.col("was")).when(status == "Solved", F.col("rows")).otherwise(F.lit(0)).alias("solved"))
+    stored = F.struct(*[c for c in log.columns if c not in ("user_id", "log_date")])
+    tagged = (counts.withColumn("row", F.lit(None).cast(log.select(stored.alias("r")).schema["r"].dataType))
+              .unionByName(log.select("user_id", "log_date", F.lit(False).alias("touched"),
+                                      F.lit(0).cast("bigint").alias("solved"), stored.alias("row"))))
+    days = (tagged.groupBy("user_id", "log_date")
+            .agg(F.max("touched").alias("touched"), F.coalesce(F.sum("solved"), F.lit(0)).alias("solved"), F.max("row").alias("row"))
+            .filter(F.col("touched") | F.col("row").isNotNull()))
+    goals = user_settings.select("user_id", F.col("daily_goal").alias("goal"))
+    r = F.col("row")
+    return days.join(goals, "user_id", "left").select(
         "user_id", "log_date",
-        F.coalesce("_s", "problems_solved").cast("bigint").alias("problems_solved"),
-        F.coalesce("problems_attempted", F.lit(0)).cast("bigint").alias("problems_attempted"),
-        F.coalesce("problems_skipped", F.lit(0)).cast("bigint").alias("problems_skipped"),
-        F.coalesce("_t", "problems_target").cast("bigint").alias("problems_target"),
-        *[F.coalesce(F.col(c), F.lit(d)).cast(log.schema[c].dataType).alias(c)
+        F.when(F.col("touched"), F.col("solved")).otherwise(r["problems_solved"]).cast("bigint").alias("problems_solved"),
+        F.coalesce(r["problems_attempted"], F.lit(0)).cast("bigint").alias("problems_attempted"),
+        F.coalesce(r["problems_skipped"], F.lit(0)).cast("bigint").alias("problems_skipped"),
+        F.when(F.col("touched"), F.coalesce("goal", F.lit(10))).otherwise(r["problems_target"]).cast("bigint")
+        .alias("problems_target"),
+        *[F.coalesce(r[c], F.lit(d)).cast(log.schema[c].dataType).alias(c)
           for c, d in ACTIVITY_NOTES.items() if c in log.columns])
-    return out
+
+
+# Optional columns of the log with the value of an entry that does not give them.
+ACTIVITY_NOTES = {"study_hours": 0.0, "mood": "", "notes": ""}
 
 
 def upsert_activity(log: DataFrame, activity: DataFrame, user_settings: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .sequences import difficulty_rank
+from .sequences import difficulty_rank, skew_safe_positions
 
 
 def like_pattern(term: str) -> Column:
@@ -131,11 +132,27 @@ def add_missing_columns(df: DataFrame, columns: Mapping[str, tuple[str, object]]
     return out
 
 
+def read_migrated(spark: SparkSession, path: str, columns: Mapping[str, tuple[str, object]],
+                  schema: str | StructType | None = None) -> DataFrame:
+    """F8 on stored files: Parquet files of old and new schemas under ``path`` as one table.
+
+    Columns that only the newer files have are NULL in the older ones and take the defaults of ``columns``, as do
+    columns that no file has yet.  ``schema`` (the newest) spares the merge of all files' footers.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
+    return add_missing_columns(reader.parquet(path), columns)
+
+
 def claim_orphans(df: DataFrame, user_id: int, col: str = "user_id") -> DataFrame:
     """rows without an owner get the given user."""
     return df.withColumn(col, F.coalesce(F.col(col), F.lit(user_id).cast(df.schema[col].dataType)))
 
 
+def claim_all(tables: Mapping[str, DataFrame], user_id: int, col: str = "user_id") -> dict[str, DataFrame]:
+    """F9 over every table of the first signup: their rows without an owner get the given user."""
+    return {name: claim_orphans(df, user_id, col) for name, df in tables.items()}
+
+
 # --- L: order, limits, top-k ----------------------------------------------
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
@@ -156,6 +173,17 @@ def recent_imports(imports: DataFrame, n: int = 50) -> DataFrame:
     return top_per_group(imports, ["user_id"], [F.desc("id")], n)
 
 
+def newest_projects(projects: DataFrame) -> DataFrame:
+    """L2: each user's projects newest-first, all of them: position 0 is the largest id."""
+    newest = projects.withColumn("_newest", -F.col("id"))
+    return skew_safe_positions(newest, ["user_id"], [], "_newest", name="position").drop("_newest")
+
+
+def milestone_positions(milestones: DataFrame) -> DataFrame:
+    """L3: position of each milestone in its project by ``order_index, id``, so equal indexes keep the order they were added in."""
+    return skew_safe_positions(milestones, ["project_id"], ["order_index"], "id", name="position")
+
+
 def milestone_order(milestones: DataFrame) -> DataFrame:
     """L3: position of each milestone in its project by order_index (equal
     indexes share a position).

@@ -231,6 +231,56 @@ def _l6(c: Ctx) -> DataFrame:
                     Fl.head_words("text", 12).alias("topic"))
 
 
+@query("l2_newest_projects")
+def _l2p(c: Ctx) -> DataFrame:
+    """L2 every project of a user, newest first"""
+    return Fl.newest_projects(c.projects)
+
+
+@query("l3_milestones_by_id")
+def _l3i(c: Ctx) -> DataFrame:
+    """L3 milestones by order_index, id; several share an index"""
+    m = (c.milestones.groupBy("project_id", "order_index").agg(F.min("deadline").alias("deadline"), F.max("status").alias("status"))
+         .withColumn("id", F.col("project_id") * 10 + F.col("order_index")))  # the table repeats line numbers
+    return Fl.milestone_positions(m.withColumn("order_index", F.col("order_index") % 3))
+
+
+@query("f8_migrate")
+def _f8(c: Ctx) -> DataFrame:
+    """F8 files of an old and a new schema in one folder, read with the defaults of the columns the old ones lack"""
+    path = _scratch(c, "f8")
+    p = c.problems
+    p.filter(F.col("id") % 2 == 0).select("id", "user_id", "name").write.parquet(path)
+    (p.filter(F.col("id") % 2 == 1).select("id", "user_id", "name", "status",
+                                           F.when(F.col("id") % 3 != 0, F.col("import_batch")).alias("import_batch"))
+     .write.mode("append").parquet(path))
+    return Fl.read_migrated(c.spark, path, {"status": ("string", "Pending"), "import_batch": ("string", ""),
+                                            "revision": ("bigint", 1)})
+
+
+@query("f9_claim_orphans")
+def _f9(c: Ctx) -> DataFrame:
+    """F9 rows without an owner in every table with one go to the first user: rows per table and owner"""
+    tables = {"problems": c.problems, "daily_plan": c.daily_plan, "daily_log": c.daily_log, "projects": c.projects,
+              "settings": c.settings, "feedback": c.feedback, "imports": c.imports, "activity": c.activity}
+    owner = F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("user_id")
+    counts = [df.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("tab"), "user_id", "rows")
+              for name, df in Fl.claim_all({n: df.select(owner) for n, df in tables.items()}, 1).items()]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query("w5_last_wins")
+def _w5(c: Ctx) -> DataFrame:
+    """W5 stored settings and a stream of versioned changes: the highest version per key, else the stored value"""
+    ch = c.t("events").filter(F.col("event_type") != "view").select(
+        "user_id", F.when(F.col("event_type") == "error", "name").otherwise("daily_goal").alias("key"),
+        (F.col("event_id") % 20).cast("string").alias("value"), F.col("event_id").alias("version"))
+    return W.last_wins(c.settings, ch, ["user_id", "key"])
+
+
 # --- I: table changes -----------------------------------------------------
 from ..operators import changes as I  # noqa: E402
 
@@ -601,6 +651,12 @@ def _t12n(c: Ctx) -> DataFrame:
     return RP.news_report(T.merge_news(T.feed_items(c.articles), limit=6), 6)
 
 
+@query("t8_answers")
+def _t8a(c: Ctx) -> DataFrame:
+    """T8 the rule-based answer of each message: the report of its route, the default text where none fits"""
+    return RP.rule_answers(c.prompts, _t10t(c), _t12t(c), _t11t(c), _t12n(c).filter(F.col("run") == "0.0"))
+
+
 @query("t13_prompts")
 def _t13(c: Ctx) -> DataFrame:
     return RP.assemble_prompts(c.prompts, _context(c))
@@ -630,8 +686,19 @@ def _s6(c: Ctx) -> DataFrame:
 
 @query("s8_rows_json")
 def _s8(c: Ctx) -> DataFrame:
-    u = c.users
-    return u.select("id", F.to_json(F.struct("id", "username")).alias("json"))
+    return SF.rows_as_json(c.users, keep=["id"])
+
+
+@query("s6_stored_blocks")
+def _s6b(c: Ctx) -> DataFrame:
+    """S6 on answers that hold a block: flat, nested (cut at its first closing brace, so unreadable), broken, over lines."""
+    kind = F.col("conv_id") % 4
+    block = (F.when(kind == 0, F.format_string(' {"youtube": "y%s", "article": "a", "practice": "p"} {"youtube": "z"}', "turn"))
+             .when(kind == 1, ' {"youtube": {"id": 1}, "article": "a"}').when(kind == 2, ' {"youtube": "x", article}')
+             .otherwise('\n{\n"youtube": "y",\n"practice": null}\n'))
+    r = SF.first_json_block(F.concat("text", block))
+    return (c.t("conversations").filter(F.col("role") == "assistant")
+            .select("conv_id", "turn", *[r[f].alias(f) for f in ("youtube", "article", "practice")]))
 
 
 # --- X: streaming operators ---------------------------------------------------
@@ -736,6 +803,27 @@ def _s9(c: Ctx) -> DataFrame:
     return SK.read_daily_cache(c.spark, path, "2024-01-20").filter(F.col("rank") <= 9)
 
 
+@query("s9_cache_reuse")
+def _s9r(c: Ctx) -> DataFrame:
+    """S9 as one operator: a second call of the day reuses the cache, the next day rebuilds it, a forced call replaces it."""
+    base = _scratch(c, "s9r")
+    T.merge_news(T.feed_items(c.articles), limit=None).select("run", "rank", "url").write.parquet(f"{base}/ranked")
+    ranked = c.spark.read.parquet(f"{base}/ranked")
+
+    def top(n: int):
+        return lambda: ranked.filter(F.col("rank") <= n)
+
+    def calls(name: str, *steps) -> DataFrame:
+        for day, n, force in steps:
+            got = SK.daily_cache(c.spark, f"{base}/{name}", day, top(n), force)
+        return got.withColumn("step", F.lit(name))
+
+    a, b = "2024-01-19", "2024-01-20"
+    return (calls("reused", (a, 2, False), (a, 5, False)).unionByName(calls("next_day", (a, 2, False), (b, 3, False)))
+            .unionByName(calls("forced", (a, 2, False), (a, 4, True)))
+            .unionByName(calls("empty", (a, 2, False), (a, 0, True), (a, 1, False))))
+
+
 @query("x2_import_stream")
 def _x2(c: Ctx) -> DataFrame:
     """Import requests as a stream: tasks land as parquet files, a

@@ -1033,3 +1033,56 @@ union all select * from fresh""")
 SQL["a2_named_categories"] = V(["problems"], """
 select user_id, category, count(*)::bigint total, sum(case when status = 'Solved' then 1 else 0 end)::bigint solved
 from problems where id % 5 <> 0 and category <> '' group by user_id, category""")
+
+# --- files of two schemas, orphans, versions, orders, stored blocks, answers, the cache as one operator ---
+from .reports import DEFAULT_ANSWER as _DEFAULT_ANSWER  # noqa: E402
+
+SQL["l2_newest_projects"] = V(["projects"], """
+select *, (row_number() over (partition by user_id order by id desc) - 1)::integer position from projects""")
+
+SQL["l3_milestones_by_id"] = V(["milestones"], """
+select *, (row_number() over (partition by project_id order by order_index, id) - 1)::integer position
+from (select project_id, order_index % 3 order_index, deadline, status, project_id * 10 + order_index id
+      from (select project_id, order_index, min(deadline) deadline, max(status) status from milestones group by all))""")
+
+SQL["f8_migrate"] = V(["problems"], """
+select id, user_id, name, case when id % 2 = 1 then status else 'Pending' end status,
+  case when id % 2 = 1 and id % 3 <> 0 then import_batch else '' end import_batch, 1::bigint revision from problems""")
+
+_OWNED = ("problems", "daily_plan", "daily_log", "projects", "settings", "feedback", "imports", "activity")
+SQL["f9_claim_orphans"] = V(list(_OWNED), " union all ".join(
+    f"select '{t}' tab, case when user_id % 3 <> 0 then user_id else 1 end user_id, count(*) \"rows\" from {t} group by all"
+    for t in _OWNED))
+
+SQL["w5_last_wins"] = V(["settings"], """
+, ch as (select user_id, case event_type when 'error' then 'name' else 'daily_goal' end key,
+           cast(event_id % 20 as varchar) value, event_id from events where event_type <> 'view'),
+won as (select * exclude (rn) from (
+          select *, row_number() over (partition by user_id, key order by event_id desc) rn from ch) where rn = 1)
+select coalesce(w.user_id, s.user_id) user_id, coalesce(w.key, s.key) key, coalesce(w.value, s.value) value
+from settings s full outer join won w on w.user_id = s.user_id and w.key = s.key""")
+
+SQL["s6_stored_blocks"] = """
+select conv_id, turn, case when json_valid(b) then json_extract_string(b, '$.youtube') end youtube,
+  case when json_valid(b) then json_extract_string(b, '$.article') end article,
+  case when json_valid(b) then json_extract_string(b, '$.practice') end practice
+from (select conv_id, turn, nullif(regexp_extract(concat(text, case conv_id % 4
+        when 0 then concat(' {"youtube": "y', turn, '", "article": "a", "practice": "p"} {"youtube": "z"}')
+        when 1 then ' {"youtube": {"id": 1}, "article": "a"}' when 2 then ' {"youtube": "x", article}'
+        else concat(chr(10), '{', chr(10), '"youtube": "y",', chr(10), '"practice": null}', chr(10)) end),
+        '(?s)(\\{.*?\\})', 1), '') b
+      from conversations where role = 'assistant')"""
+
+SQL["t8_answers"] = V(["prompts"], f"""
+, reports as (select user_id, 'daily' intent, report from ({SQL["t10_daily_text"]})
+  union all select user_id, 'weekly', report from ({SQL["t12_weekly_text"]})
+  union all select user_id, 'suggest', report from ({SQL["t11_text"]})),
+m as (select conv_id, turn, {_ROUTE} intent from prompts)
+select m.conv_id, m.turn, m.intent, coalesce(r.report, n.report, {_q(_DEFAULT_ANSWER)}) answer
+from m left join reports r on r.user_id = m.conv_id and r.intent = m.intent
+left join (select 'news' intent, report from ({SQL["t12_news_report"]}) where run = '0.0') n on n.intent = m.intent""")
+
+SQL["s9_cache_reuse"] = f"""
+with kept as (values ('reused', '2024-01-19', 2), ('next_day', '2024-01-20', 3), ('forced', '2024-01-19', 4), ('empty', '2024-01-19', 1))
+select d.run, d.rank, d.url, cast(k.col1 as date) cache_date, k.col0 step
+from ({_news_sql(9)}) d join kept k on d.rank <= k.col2"""

@@ -159,6 +159,11 @@ RECOMMENDED = (NL + "### Recommended Resources" + NL
                + NL + "- **System Design:** [ByteByteGo](https://www.youtube.com/@ByteByteGo)" + NL)
 
 
+DEFAULT_ANSWER = ("### Trainer Directive" + NL + "Keep working consistently. Focus on your weakest areas first." + NL
+                  + "- **Priority**: DSA → Aptitude → Core CS (SQL/OOPs/CN)." + NL + "- **Practice daily on**: "
+                  + RESOURCE_LINE + NL)
+
+
 def _join(*parts) -> Column:
     """Texts and columns (``Column``) in one string."""
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -218,6 +223,22 @@ def news_report(digest: DataFrame, n: int = 6) -> DataFrame:
         F.lit(NL)).alias("report"))
 
 
+def rule_answers(messages: DataFrame, daily: DataFrame, weekly: DataFrame, suggestion: DataFrame,
+                 news: DataFrame) -> DataFrame:
+    """The answer of each message (conv_id, turn, message) by its route: the user's daily, weekly or suggestion
+    report (user_id, report), the ``report`` of the one row of ``news``, else the default text.  The user of a
+    conversation is its ``conv_id``; a user without a report gets the default text too.
+    """
+    reports = None
+    for intent, r in (("daily", daily), ("weekly", weekly), ("suggest", suggestion)):
+        rows = r.select("user_id", F.lit(intent).alias("intent"), "report")
+        reports = rows if reports is None else reports.unionByName(rows)
+    m = messages.select("conv_id", "turn", F.col("conv_id").alias("user_id"), T.route("message").alias("intent"))
+    latest_news = news.select(F.lit("news").alias("intent"), F.col("report").alias("news"))
+    return (m.join(reports, ["user_id", "intent"], "left").join(latest_news, "intent", "left")
+            .select("conv_id", "turn", "intent", F.coalesce("report", "news", F.lit(DEFAULT_ANSWER)).alias("answer")))
+
+
 SEPARATOR = NL + NL + "---" + NL + "**USER QUERY:**" + NL
 RESOURCE_HEADER = NL + NL + "[ONLINE RESOURCES — include these links in your answer]:" + NL
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import io
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -307,6 +307,6 @@ def first_json_block(col: str | Column) -> Column:
     return F.from_json(F.when(block != "", block), RESOURCE_JSON, {"mode": "PERMISSIVE"})
 
 
-def rows_as_json(df: DataFrame) -> DataFrame:
-    """Each row as one JSON object text."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+def rows_as_json(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Each row as one JSON object text, after the columns of ``keep``."""
+    return df.select(*keep, F.to_json(F.struct(*df.columns)).alias("json"))

@@ -9,6 +9,8 @@ new rows are first checkpointed into the shared ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,9 +64,21 @@ def in_partitions(df: DataFrame, column: str, values: list) -> DataFrame:
 
 
 def write_daily_cache(df: DataFrame, path: str, day, date_col: str = "cache_date") -> None:
-    """Store today's rows as the only cached day (other days expire)."""
-    out = df.withColumn(date_col, F.lit(day).cast("date"))
-    (materialise(out).write.mode("overwrite").partitionBy(date_col).parquet(path))
+    """Store today's rows as the only cached day (other days expire).
+
+    The day's folder is replaced when the write is committed, so a failed rebuild leaves the old cache in place;
+    the folders of other days, and today's where ``df`` has no row, go only after that.
+    """
+    today = str(day)
+    out = materialise(df.withColumn(date_col, F.lit(today).cast("date")))
+    write_partitions(out, path, [date_col])
+    left = set() if out.isEmpty() else {today}
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    for entry in fs.listStatus(hadoop):
+        name = entry.getPath().getName()
+        if name.startswith(f"{date_col}=") and name.split("=", 1)[1] not in left:
+            fs.delete(entry.getPath(), True)
 
 
 def read_daily_cache(spark: SparkSession, path: str, day, date_col: str = "cache_date") -> DataFrame | None:
@@ -73,8 +87,25 @@ def read_daily_cache(spark: SparkSession, path: str, day, date_col: str = "cache
     try:
         df = spark.read.parquet(path)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise  # an unreadable cache is not a missing one
         return None
-    today = df.filter(F.col(date_col) == F.lit(day).cast("date"))
+    today = df.filter(F.col(date_col) == F.lit(str(day)).cast("date"))
     return today if today.limit(1).count() > 0 else None
+
+
+def daily_cache(spark: SparkSession, path: str, day, build: Callable[[], DataFrame], force: bool = False,
+                date_col: str = "cache_date") -> DataFrame:
+    """S9 as one operator: today's cached rows if there are any, else ``build()`` stored as the only day.
+
+    ``force`` skips the cache, as a forced refresh clears it first.  ``build`` is not called when the cache
+    is used.  A rebuild without rows leaves an empty cache, so the next call builds again.
+    """
+    if not force:
+        cached = read_daily_cache(spark, path, day, date_col)
+        if cached is not None:
+            return cached
+    rows = build()
+    write_daily_cache(rows, path, day, date_col)
+    fresh = read_daily_cache(spark, path, day, date_col)
+    return rows.limit(0).withColumn(date_col, F.lit(str(day)).cast("date")) if fresh is None else fresh
