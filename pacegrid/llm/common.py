@@ -42,6 +42,17 @@ def same_id(a: DataFrame, b: DataFrame, col: str = "doc_id"):
     return a[col].eqNullSafe(b[col])
 
 
+def free_names(taken, *names: str) -> list[str]:
+    """``names`` with as many underscores in front as it takes not to clash with the columns ``taken`` (in any case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (wrap-around arithmetic on uint64)."""
     x = x.astype(U64, copy=True)

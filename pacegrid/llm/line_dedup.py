@@ -7,7 +7,7 @@ State of a ``LineIndex`` (tables of DataFrames, all sharded by the key's hash):
   found in a third of all documents is reduced on every mapper first;
 * ``filters`` (shard, n_buckets, n_items, slots): one cuckoo filter per shard with the fingerprints of
   the shard's keys (4 slots a bucket, 16 bits a slot).  The number of shards follows the number of
-  references, so one filter stays small.
+  references, so one filter stays small: an index that outgrows its shards is given more.
 
 ``insert`` asks the filters first: keys that a filter has certainly not seen become new count rows
 without reading the old counts; only the others are joined with the exact counts.  ``delete`` takes
@@ -26,7 +26,7 @@ one document, which keeps a line only if no other document has it.  Empty tables
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -34,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix64, stored, texts, tidy
+from .common import SPACE, free_names, mix64, stored, texts, tidy
 
 SLOTS = 4
 LOAD = 0.84
 KEYS_PER_SHARD = 200_000
+BLOCKS = 2          # insertions of ``indexed``
 MAX_KICKS = 200
 
 REFS = "key binary, doc_id long"
@@ -231,7 +232,19 @@ class LineIndex:
             known = self.refs.select(F.col("doc_id").alias("_known")).distinct()
             refs = refs.join(known, refs["doc_id"].eqNullSafe(known["_known"]), "left_anti")
         refs = stored(refs, "refs")
-        shards = max(8, -(-refs.count() // KEYS_PER_SHARD)) if first else self.shards
+        held = refs.count() + (0 if first else self.refs.count())
+        shards = max(8, -(-held // KEYS_PER_SHARD))
+        if not first and shards > self.shards:
+            return self._resharded(max(shards, 2 * self.shards))._add(refs)
+        return self._add(refs, shards)
+
+    def _resharded(self, shards: int) -> "LineIndex":
+        """The same index with its filters rebuilt from the exact counts in more shards."""
+        filters = self.counts.withColumn("shard", self._shard(shards)).groupBy("shard").applyInPandas(_rebuilt, FILTERS)
+        return replace(self, filters=stored(filters, "filters"), shards=shards)
+
+    def _add(self, refs: DataFrame, shards: int = 0) -> "LineIndex":
+        first, shards = self.shards == 0, self.shards or shards
         delta = _counted(refs).withColumn("shard", self._shard(shards))
         if first:
             delta = stored(delta, "delta")
@@ -305,9 +318,22 @@ def _merged(counts: DataFrame) -> DataFrame:
     return counts.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("keep_id").alias("keep_id"))
 
 
+def indexed(docs: DataFrame, min_chars: int = 20, blocks: int = BLOCKS) -> LineIndex:
+    """Index of all documents, inserted in ``blocks`` of them (split by id, so rows that share an id stay together).
+
+    From the second block on the filters decide which keys meet the exact counts of the blocks before.
+    """
+    index = LineIndex.empty(docs.sparkSession, min_chars)
+    d = texts(docs)
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
+    for k in range(blocks):
+        index = index.insert(d.filter(block == k))
+    return index
+
+
 def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """Index all documents, then rewrite them: doc_id, n_lines, n_dropped, text."""
-    return LineIndex.empty(docs.sparkSession, min_chars).insert(docs).apply(docs, min_docs)
+    return indexed(docs, min_chars).apply(docs, min_docs)
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
@@ -320,16 +346,17 @@ def line_dedup_stage(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) ->
 
     A document that loses every line is dropped; one that was empty before stays.
     """
-    index = LineIndex.empty(docs.sparkSession, min_chars).insert(docs)
-    lost = index.dropped_keys(min_docs).select(F.col("doc_id").alias("_lost_id"), F.col("keys").alias("_lost_keys"))
-    rows = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["_lost_id"]), "left").drop("_lost_id")
+    index = indexed(docs, min_chars)
     names = docs.columns
+    lost_id, lost_keys = free_names(names, "lost_id", "lost_keys")
+    lost = index.dropped_keys(min_docs).select(F.col("doc_id").alias(lost_id), F.col("keys").alias(lost_keys))
+    rows = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost[lost_id]), "left").drop(lost_id)
 
     def run(batches):
         for b in batches:
             text = b.column("text").to_pylist()
             out, keep = [], []
-            for t, keys in zip(text, b.column("_lost_keys").to_pylist()):
+            for t, keys in zip(text, b.column(lost_keys).to_pylist()):
                 if keys and t:
                     drop, lines = set(keys), t.split("\n")
                     stay = [x for x in lines if line_key(x, min_chars) not in drop]

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import duckdb
 import numpy as np
@@ -139,3 +140,39 @@ def test_escape_round_trip(spark):
         assert r["formatted"].count("</s>") == 1 and r["formatted"].count("[INST]") == 1
     report = {r["conv_id"]: r for r in chat.chat_report(out).collect()}
     assert {i: r["loss_sha256"] for i, r in report.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(hard)}
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 5])
+def test_line_dedup_in_blocks_against_brute_force(spark, blocks, monkeypatch):
+    """The filters decide which keys meet the old counts; a small shard size makes the index grow shards on the way."""
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 10)
+    rnd = random.Random(blocks)
+    pool = [f"a line that is long enough, number {k}" for k in range(60)]
+    rows = [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.7 else f"a line of document {i} alone, {k}"
+                          for k in range(rnd.randint(0, 8)))) for i in range(80)]
+    index = line_dedup.indexed(docs(spark, rows), blocks=blocks)
+    holders = collections.defaultdict(set)
+    for i, text in rows:
+        for line in text.split("\n"):
+            if len(line) >= 20:
+                holders[line].add(i)
+    assert {bytes(r["key"]): (r["n_docs"], r["keep_id"]) for r in index.counts.collect()} == {
+        line_dedup.line_key(x, 20): (len(d), max(d)) for x, d in holders.items()}
+    assert index.shards >= (len(holders) // 10 if blocks > 1 else 8)
+    drop = {i: sum(len(holders[x]) >= 3 and max(holders[x]) != i for x in text.split("\n") if len(x) >= 20) for i, text in rows}
+    assert {r["doc_id"]: r["n_dropped"] for r in index.apply(docs(spark, rows)).collect()} == drop
+    shard = {bytes(r["key"]): r["s"] for r in index.counts.select("key", index._shard(index.shards).alias("s")).collect()}
+    filters = {r["shard"]: r for r in index.filters.collect()}
+    for key, s in shard.items():
+        assert line_dedup.Cuckoo.load(filters[s]["n_buckets"], bytes(filters[s]["slots"])).contains([key])[0]
+
+
+def test_line_dedup_stage_with_clashing_names(spark):
+    d = docs(spark, [(i, "the same line in three documents\nown") for i in range(3)])
+    for name in ("lost_id", "lost_keys", "_lost_id", "_Lost_Keys"):
+        d = d.withColumn(name, F.lit(name))
+    out = line_dedup.line_dedup_stage(d)
+    assert out.columns == d.columns
+    assert sorted((r["doc_id"], r["text"], r["_lost_id"], r["lost_keys"]) for r in out.collect()) == [
+        (0, "own", "_lost_id", "lost_keys"), (1, "own", "_lost_id", "lost_keys"),
+        (2, "the same line in three documents\nown", "_lost_id", "lost_keys")]
