@@ -7,7 +7,8 @@ count; its hash ignores the others, so a hit survives substitutions there.
 1. Every window of every benchmark item is hashed under every mask (a seed).  A bitmap of fixed
    size over the seeds' hashes is broadcast: a filter without false negatives, whose size does not grow.
 2. Every window of every document is hashed; windows that pass the bitmap are kept with the tokens
-   around them (one row per cluster of such windows, not per window).
+   around them, as many as the longest item has on either side, so an item that lies across a hit is there
+   whole (one row per cluster of such windows, not per window).
 3. Training hashes join benchmark hashes; a hit gives (cluster, item, diagonal).
 4. Around each hit the diagonal is compared token by token.  An overlap is the longest
    run of at least ``min_tokens`` tokens of which at least ``similarity`` are equal, or the whole item where it is shorter.
@@ -38,7 +39,6 @@ MIN_TOKENS = 13
 SIMILARITY = 0.8
 SHORTEST = 5
 BITS = 1 << 25      # of the broadcast bitmap (4 MB)
-MARGIN = 64         # tokens kept on either side of a cluster
 GAP = 32            # hits further apart than this begin a new cluster
 
 
@@ -135,7 +135,7 @@ def _bitmap(seeds: DataFrame, bits: int) -> bytes:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_tokens: int = MIN_TOKENS,
-                  similarity: float = SIMILARITY, bits: int = BITS, margin: int = MARGIN) -> DataFrame:
+                  similarity: float = SIMILARITY, bits: int = BITS) -> DataFrame:
     """One row per (document, item) with an overlap: doc_id, item_id, doc_start, item_start, n_tokens, n_equal, item_tokens.
 
     Positions count tokens.
@@ -145,6 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     seeds = stored(seed_rows(items, masks), "seeds")
     short = sorted(r["n"] for r in items.select((F.length("item_tokens") / 8).cast("int").alias("n")).distinct()
                    .filter(F.col("n").between(SHORTEST, WHOLE - 1)).collect())  # a few lengths
+    longest = items.select(F.max(F.length("item_tokens") / 8).cast("int")).first()[0] or 0  # an item lies within this of any hit
     used = tuple(dict.fromkeys((*masks, *("1" * n for n in short))))
     flags = spark.sparkContext.broadcast(_bitmap(seeds, bits))
 
@@ -170,8 +171,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
                 rows = []
                 for lo, hi in zip(first, np.append(first[1:], len(at))):
                     d = doc[lo]
-                    x = max(offsets[d], at[lo] - margin)
-                    y = min(offsets[d + 1], at[hi - 1] + margin + 64)
+                    x = max(offsets[d], at[lo] - longest)
+                    y = min(offsets[d + 1], at[hi - 1] + longest)
                     rows.append((ids[d], int(x - offsets[d]), t[x:y].tobytes(), hashes[lo:hi].view(np.int64), (at[lo:hi] - x).astype(np.int32)))
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]

@@ -217,6 +217,17 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontam.contamination(docs(spark, rows), b.limit(0)).count() == 0
 
 
+def test_long_items_are_verified_whole(spark):
+    """520 of 600 tokens equal, the 80 changed ones in a row: the run is the whole item, beyond any fixed margin."""
+    item = [f"i{k}" for k in range(600)]
+    copy = item[:260] + [f"n{k}" for k in range(80)] + item[340:]
+    b = spark.createDataFrame([(7, " ".join(item)), (8, "short item of five tokens")], "item_id long, text string")
+    rows = [(1, " ".join(["x"] * 30 + copy + ["y"] * 30)), (2, " ".join(item[100:113])), (3, "short item of five tokens")]
+    got = {(r["doc_id"], r["item_id"]): (r["doc_start"], r["item_start"], r["n_tokens"], r["n_equal"])
+           for r in decontam.contamination(docs(spark, rows), b).collect()}
+    assert got == {(1, 7): (30, 0, 600, 520), (2, 7): (0, 100, 13, 13), (3, 8): (0, 0, 5, 5)}
+
+
 def test_masks_hit_every_allowed_pattern():
     for n in range(10, 26):
         changed = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5)])
