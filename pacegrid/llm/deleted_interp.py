@@ -92,11 +92,10 @@ def _count_block(parts: int):
                 order = np.argsort(distinct)
                 distinct, count = distinct[order], count[order]
             part = ((distinct >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            for p in range(parts):
-                if cuts[p + 1] > cuts[p]:
-                    s = slice(cuts[p], cuts[p + 1])
-                    rows.append((p, block, kind, teaches, _planes(distinct[s], "<u8"), _planes(count[s], "<u4")))
+            first = np.flatnonzero(np.diff(part, prepend=-1))  # the parts present, not all
+            for lo, hi in zip(first, np.append(first[1:], len(part))):
+                s = slice(lo, hi)
+                rows.append((int(part[lo]), block, kind, teaches, _planes(distinct[s], "<u8"), _planes(count[s], "<u4")))
         types = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows), types)],
                         names=["part", "block", "kind", "teaches", "keys", "counts"])
