@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +38,42 @@ BUCKET_ROWS = 50_000  # tails numbered in one group
 TOKENISED = "doc_id long, row_key long, doc_tokens long, tail_start long, tail long, tail_crc long, full_crc array<long>"
 
 
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())  # ASCII punctuation
+_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+
+
+def _pieces(words: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pieces of words, and for each word the codes of its stem and of the marks after it (-1: none).
+
+    ASCII words are lower-cased.  Marks are cut off where an ASCII letter or digit stands before them.
+    """
+    words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+    words = words.take(pa.array(np.arange(len(words)))).cast(pa.large_string())
+    stems = pc.ascii_rtrim(words, characters=_MARKS)
+    kept = pc.binary_length(stems).to_numpy()
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[:len(words) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and ends[-1] else np.zeros(1, np.uint8)
+    more = np.diff(ends) - kept
+    cut = (kept > 0) & (more > 0) & _ALNUM[data[ends[:-1] + np.maximum(kept - 1, 0)]] if len(words) else np.zeros(0, bool)
+    more = more[cut]
+    to = np.concatenate([[0], np.cumsum(more)])
+    at = np.arange(to[-1]) + np.repeat((ends[:-1] + kept)[cut] - to[:-1], more)
+    marks = pa.LargeStringArray.from_buffers(len(more), pa.py_buffer(to.astype(np.int64)), pa.py_buffer(data[at].tobytes()))
+    both = pa.concat_arrays([pc.if_else(pa.array(cut), stems, words), marks]).dictionary_encode()
+    code = both.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    second = np.full(len(words), -1, np.int64)
+    second[cut] = code[len(words):]
+    return both.dictionary.to_numpy(zero_copy_only=False).tolist(), code[:len(words)], second
+
+
 class Encoder:
     """Ids of whole texts, from the ids of their distinct words.
 
     Cutting at ASCII white space is safe: the vocabulary's own splitting never joins text across white
-    space, and neither composition nor lower-casing reaches across it.  Special tokens' strings in a
-    text are ordinary text.
+    space, and neither composition nor lower-casing reaches across it.  Cutting before the marks that end a
+    word is safe too: a letter or digit and a mark after it are never in one piece of the vocabulary's
+    splitting.  Special tokens' strings in a text are ordinary text.
     """
 
     LIMIT = 1_000_000  # words remembered by one worker
@@ -50,47 +81,61 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok = self.plain = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        probe = " ".join(chr(c) + "a" + chr(c) for c in range(33, 127) if not chr(c).isupper())
+        if self.tok.normalizer is not None and self.tok.normalizer.normalize_str(probe) == probe:
+            self.plain = Tokenizer.from_file(path)  # lower-case ASCII needs no normalising
+            self.plain.encode_special_tokens = True
+            self.plain.normalizer = None
         self.words: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], tok) -> None:
         """Encode words joined by blanks, and deal the ids out by their place in the joined text."""
         for lo in range(0, len(words), 1000):
             part = words[lo:lo + 1000]
-            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            e = tok.encode(" ".join(part), add_special_tokens=False)
             ends = np.cumsum([len(w) + 1 for w in part])
-            ids = np.array(e.ids, "<u2")
+            ids = np.array(e.ids, "<u2").tobytes()
             at = np.searchsorted(ends, np.array([x for x, _ in e.offsets], np.int64), side="right")
-            cuts = np.searchsorted(at, np.arange(len(part) + 1))
-            for w, x, y in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()):
-                self.words[w] = ids[x:y].tobytes()
+            cuts = (2 * np.searchsorted(at, np.arange(len(part) + 1))).tolist()
+            self.words.update(zip(part, [ids[x:y] for x, y in zip(cuts, cuts[1:])]))
 
     def _ids(self, words: list[str]) -> list[bytes]:
         if len(self.words) > self.LIMIT:
             self.words.clear()
         known = self.words
-        words = [w.lower() if w.isascii() else w for w in words]  # lower-casing ASCII cannot change its composition
-        new = {w for w in words if w not in known}
+        own = list(map(known.get, words))
+        new = [w for w, x in zip(words, own) if x is None]
+        if not new:
+            return own
+        other = [w for w in new if not w.isascii()]
         # a letter word with one comma or full stop is the word's ids and the mark's ids; composing and lower-casing turn
         # some letters into a letter and a sign, which would join the mark
-        marked = [w for w in new if len(w) > 1 and w[-1] in ",." and unicodedata.normalize("NFC", w[:-1]).lower().isalpha()]
-        plain = (new - set(marked)) | {w[:-1] for w in marked if w[:-1] not in known} | {x for x in ",." if x not in known}
-        self._learn(list(plain))
+        marked = [w for w in other if w[-1] in ",." and unicodedata.normalize("NFC", w[:-1]).lower().isalpha()]
+        whole = set(other).difference(marked).union(w[:-1] for w in marked if w[:-1] not in known)
+        plain = [w for w in new if w.isascii()] + [x for x in ",." if x not in known]
+        self._learn(plain, self.plain)
+        self._learn(list(whole), self.tok)
         for w in marked:
             known[w] = known[w[:-1]] + known[w[-1]]
-        return [known[w] for w in words]
+        return [known[w] if x is None else x for w, x in zip(words, own)]
 
     def batch(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of the texts in them)."""
         codes, offsets, words = split_words(text, lower=False)
-        own = self._ids(words.to_pylist())
+        pieces, stem, mark = _pieces(words)
+        own = self._ids(pieces)
         size = np.array([len(x) // 2 for x in own], np.int64) if own else np.zeros(0, np.int64)
         first = np.concatenate([[0], np.cumsum(size)])
         flat = np.frombuffer(b"".join(own), "<u2")
-        n = size[codes]
+        both = np.stack([stem[codes], mark[codes]], 1).ravel()
+        there = both >= 0
+        offsets = np.concatenate([[0], np.cumsum(there)])[2 * offsets]
+        both = both[there]
+        n = size[both]
         ends = np.concatenate([[0], np.cumsum(n)])
-        take = np.arange(ends[-1]) + np.repeat(first[codes] - ends[:-1], n)
+        take = np.arange(ends[-1]) + np.repeat(first[both] - ends[:-1], n)
         return flat[take].astype(np.uint32), ends[offsets]
 
 
