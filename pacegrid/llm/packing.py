@@ -55,7 +55,8 @@ def _pieces(words: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     ends = np.frombuffer(offsets, np.int64)[:len(words) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None and ends[-1] else np.zeros(1, np.uint8)
     more = np.diff(ends) - kept
-    cut = (kept > 0) & (more > 0) & _ALNUM[data[ends[:-1] + np.maximum(kept - 1, 0)]] if len(words) else np.zeros(0, bool)
+    last = np.minimum(ends[:-1] + np.maximum(kept - 1, 0), len(data) - 1)  # the blank word may stand at the end
+    cut = (kept > 0) & (more > 0) & _ALNUM[data[last]]
     more = more[cut]
     to = np.concatenate([[0], np.cumsum(more)])
     at = np.arange(to[-1]) + np.repeat((ends[:-1] + kept)[cut] - to[:-1], more)

@@ -600,3 +600,18 @@ def test_pipeline_stages(spark):
     run = corpus_pipeline.run(spark, SF).collect()
     assert {(r["doc_id"], r["start"], r["length"]) for r in run} >= {(r["doc_id"], 0, 2048) for r in run if r["length"] == 2048 and r["start"] == 0}
     assert len({r["doc_id"] for r in run}) == len(keep["decontamination"])
+
+
+def test_packing_ids_of_random_texts_equal_whole_encoding():
+    """Words, marks, signs that compose and special strings in any order: ids of texts are those of encoding them whole."""
+    draw = random.Random(17)
+    parts = list("abXYz\u00e9\u0301\u0307\u0338\u00c9\u0130\u0131\u00df '',.!=<>&$|19\u00bd\u4e2d\ud55c\u3131\n\t\x0bsStTmMdD") + [
+        "'s", "'LL", "<|startoftext|>", "<|endoftext|>", "H\u0331", "\u00e9,", "x.,", "\x00", "\x1c"]
+    made = ["".join(draw.choice(parts) for _ in range(draw.randrange(50))) for _ in range(4000)]
+    made += ["", ",", "...", "word,", "don't.", "a" * 5000]
+    enc = packing.Encoder(vocabulary())
+    for lo in range(0, len(made), 97):
+        some = made[lo:lo + 97]
+        flat, at = enc.batch(pa.array(some))
+        for k, text in enumerate(some):
+            assert flat[at[k]:at[k + 1]].tolist() == enc.tok.encode(text, add_special_tokens=False).ids, repr(text)
