@@ -29,12 +29,34 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/pacegrid-llm-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to a table in the shared checkpoint folder and read it back (cuts the lineage)."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/pacegrid-llm-{uuid.uuid4().hex}/{name}"
+    return _written(df, f"{_folder(df.sparkSession)}/{name}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored tables of one computation, deleted together once its result is stored itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, _folder(spark), 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return _written(df, f"{self.folder}/{self.n}-{name}")
+
+    def drop(self) -> None:
+        """Only after everything that reads these tables is written."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def same_id(a: DataFrame, b: DataFrame, col: str = "doc_id"):

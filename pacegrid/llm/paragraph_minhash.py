@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, hash_strings, mix64, slices, split_words, stored, texts
+from .common import U64, Scratch, hash_strings, mix64, slices, split_words, stored, texts
 from .components import connected_components
 from .ngram_join import FEW, _in_blocks, linked, plausible, sketches
 
@@ -169,15 +169,19 @@ UNITS = ("doc_id long, start long, n_words long, digest long, digest2 long, band
 
 
 def _minhash(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """Signatures of the bands; the hash functions are x -> ax + b on the (mixed) shingle hashes."""
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     start = np.cumsum(size) - size
     out = np.zeros((len(sets), bands), U64)
+    drawn = mix64(np.arange(1, 2 * bands * rows + 1, dtype=U64) * _P[1])
+    moved = np.empty_like(flat)
     for b in range(bands):
         h = np.full(len(sets), b + 1, U64)
         for r in range(rows):
-            low = np.minimum.reduceat(mix64(flat ^ (U64(b * 64 + r + 1) * _P[1])), start)
-            h = mix64(h * _P[0] + low)
+            a, c = drawn[2 * (b * rows + r)] | U64(1), drawn[2 * (b * rows + r) + 1]
+            np.add(np.multiply(flat, a, out=moved), c, out=moved)
+            h = mix64(h * _P[0] + np.minimum.reduceat(moved, start))
         out[:, b] = h
     return out
 
@@ -225,7 +229,7 @@ def piece_units(docs: DataFrame) -> DataFrame:
     return texts(docs).filter("doc_id is not null").mapInArrow(run, PIECES)
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of unit numbers that are near duplicates."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
     asked = reps.join(ids, "unit").groupBy("doc_id").agg(F.collect_list(F.struct("unit", "start", "n_words")).alias("p"))
@@ -243,8 +247,8 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
                     sets += [s.tobytes() for s in u.shingles(lo[ok], hi[ok])]
                 yield pa.record_batch([pa.array(units, pa.int64()), pa.array(sets, pa.binary())], names=["unit", "s"])
 
-    cutouts = stored(texts(docs).join(asked, "doc_id").select("text", "p").mapInArrow(cut, "unit long, s binary")
-                     .dropDuplicates(["unit"]), "cutouts")
+    cutouts = scratch.stored(texts(docs).join(asked, "doc_id").select("text", "p").mapInArrow(cut, "unit long, s binary")
+                             .dropDuplicates(["unit"]), "cutouts")
     one = cutouts.select(F.col("unit").alias("a"), F.col("s").alias("sa"))
     two = cutouts.select(F.col("unit").alias("b"), F.col("s").alias("sb"))
 
@@ -259,38 +263,40 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
 def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Paragraphs in classes of two or more: doc_id, start, n_words, keep_doc_id, keep_start."""
     bands, rows = tune(similarity, recall)
-    units = stored(paragraph_units(docs, bands, rows).withColumn("unit", F.monotonically_increasing_id()), "paragraphs")
+    scratch = Scratch(docs.sparkSession)
+    units = scratch.stored(paragraph_units(docs, bands, rows).withColumn("unit", F.monotonically_increasing_id()), "paragraphs")
     place = F.struct("doc_id", "start", "unit")
     classes = units.groupBy("digest", "digest2").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("n"))
-    reps = stored(classes.select("digest", "digest2", "n", F.col("rep.unit").alias("unit")), "classes")
+    reps = scratch.stored(classes.select("digest", "digest2", "n", F.col("rep.unit").alias("unit")), "classes")
     rep_units = units.join(reps.select("unit"), "unit", "left_semi")
     buckets = rep_units.select("unit", F.explode("bands").alias("sig"))
     w = Window.partitionBy("sig")
-    buckets = stored(buckets.withColumn("pivot", F.min("unit").over(w)).withColumn("top", F.max("unit").over(w))
-                     .filter("pivot < top").select("sig", "unit", "pivot"), "buckets")
+    buckets = scratch.stored(buckets.withColumn("pivot", F.min("unit").over(w)).withColumn("top", F.max("unit").over(w))
+                             .filter("pivot < top").select("sig", "unit", "pivot"), "buckets")
     info = rep_units.select(F.col("unit").alias("doc_id"), "n_shingles", "sketch")
     pairs = buckets.select(F.col("pivot").alias("a"), F.col("unit").alias("b")).filter("a < b").distinct()
-    pairs = stored(plausible(info, pairs), "pairs")
-    links = stored(_verified(docs, rep_units.select("unit", "doc_id", "start", "n_words"), pairs), "links1")
-    comps = stored(connected_components(links), "components1")
+    pairs = scratch.stored(plausible(info, pairs), "pairs")
+    links = scratch.stored(_verified(docs, rep_units.select("unit", "doc_id", "start", "n_words"), pairs, scratch), "links1")
+    comps = scratch.stored(connected_components(links), "components1")
     # buckets that still hold several components
     named = buckets.join(comps.select(F.col("id").alias("unit"), F.col("component_id").alias("c")), "unit", "left")
     named = named.withColumn("c", F.coalesce("c", "unit")).select("sig", "unit", "c")
     mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"),
                                      F.min("unit").alias("head"))
-    left = stored(named.join(mixed.filter("lo < hi").select("sig", "n", "head"), "sig"), "mixed")
+    left = scratch.stored(named.join(mixed.filter("lo < hi").select("sig", "n", "head"), "sig"), "mixed")
     few = left.filter(F.col("n") <= FEW)
     other = few.select("sig", F.col("unit").alias("unit2"), F.col("c").alias("c2"))
     more = few.join(other, "sig").filter("c != c2 and unit < unit2").select(F.col("unit").alias("a"), F.col("unit2").alias("b")).distinct()
-    crowd = stored(left.filter(F.col("n") > FEW).select("head", F.col("unit").alias("doc_id")).distinct(), "crowd")
+    crowd = scratch.stored(left.filter(F.col("n") > FEW).select("head", F.col("unit").alias("doc_id")).distinct(), "crowd")
     more = plausible(info, more).unionByName(_in_blocks(info, crowd, comps)).distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
-    links = links.unionByName(_verified(docs, rep_units.select("unit", "doc_id", "start", "n_words"), more))
-    comps = connected_components(stored(links, "links2"))
+    more = scratch.stored(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
+    links = links.unionByName(_verified(docs, rep_units.select("unit", "doc_id", "start", "n_words"), more, scratch))
+    comps = connected_components(scratch.stored(links, "links2"))
     # classes of all paragraphs
     group = (reps.join(comps.select(F.col("id").alias("unit"), F.col("component_id").alias("c")), "unit", "left")
              .filter("n > 1 or c is not null").select("digest", "digest2", F.coalesce("c", "unit").alias("class")))
     members = stored(units.drop("bands", "sketch").join(group, ["digest", "digest2"]), "members")
+    scratch.drop()
     keep = members.groupBy("class").agg(F.min(F.struct("doc_id", "start", "unit")).alias("k"))
     return members.join(keep, "class").select(
         "doc_id", "start", "n_words", F.col("k.doc_id").alias("keep_doc_id"), F.col("k.start").alias("keep_start"),
