@@ -615,3 +615,20 @@ def test_packing_ids_of_random_texts_equal_whole_encoding():
         flat, at = enc.batch(pa.array(some))
         for k, text in enumerate(some):
             assert flat[at[k]:at[k + 1]].tolist() == enc.tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_scratch_tables_are_deleted_and_others_stay(spark):
+    """Dropping a scratch folder deletes its tables alone; a result stored before is still read."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from pacegrid.llm.common import Scratch, stored
+
+    scratch, other = Scratch(spark), Scratch(spark)
+    table = scratch.stored(spark.range(10), "numbers")
+    assert other.stored(spark.range(3), "numbers").count() == 3
+    result = stored(table.selectExpr("sum(id) as s"), "sum")
+    scratch.drop()
+    assert not Path(urlparse(scratch.folder).path).exists() and Path(urlparse(other.folder).path).exists()
+    assert result.collect()[0]["s"] == 45
+    scratch.drop()  # nothing left: no error
