@@ -1,7 +1,10 @@
 """A stream over some rows gives what the batch operators give."""
 
 import datetime as dt
+import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from pacegrid.operators import changes as I
@@ -48,6 +51,20 @@ def test_x4_routing_stream_equals_batch(spark, tmp_dir):
         1: "news", 2: "weekly", 3: "default", 4: "default"}
 
 
+def test_x4_query_reads_a_file_and_a_folder_of_files(spark, tmp_dir):
+    from pacegrid.plans.catalog import QUERIES
+    rows = spark.createDataFrame([(0, 0, "user", "hello"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (4, 0, "user", "any news?")],
+                                 "conv_id long, turn int, role string, text string")
+    rows.repartition(3).write.parquet(f"{tmp_dir}/folder/conversations.parquet")
+    os.makedirs(f"{tmp_dir}/file")
+    pq.write_table(pa.Table.from_pandas(rows.toPandas()), f"{tmp_dir}/file/conversations.parquet")
+    rows.filter("false").write.parquet(f"{tmp_dir}/empty/conversations.parquet")
+    for name in ("folder", "file"):
+        got = {(r.conv_id, r.turn): r.intent for r in QUERIES["x4_stream_routing"](spark, f"{tmp_dir}/{name}").collect()}
+        assert got == {(0, 0): "daily", (1, 0): "news", (4, 0): "news"}
+    assert QUERIES["x4_stream_routing"](spark, f"{tmp_dir}/empty").collect() == []
+
+
 def _tables(spark):
     problems = spark.createDataFrame(
         [(1, 10, "a", "DSA", "t", "Easy", "Pending", D(2024, 1, 20)),
