@@ -31,11 +31,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, crc_fold, hash_strings, mix64, split_words, stored, texts
+from .common import U64, crc_fold, hash_strings, mix64, split_words, stored, texts, tidy_group
 
-BLOCK_BYTES = 12_000_000   # text of one block
+BLOCK_BYTES = 8_000_000    # text of one block
 PART_TOKENS = 6_000_000    # text behind one part of the hash range, in bytes
 HELD_OUT_FOLD = 3          # training documents with this remainder teach the weights
+SLICE_TOKENS = 200_000     # tokens of a block that are looked up and scored at a time
 OCTAVE = 4                 # bins per factor of two in the histogram
 END, BEGIN = U64(0x5E2D58D8B3BCDF1A), U64(0x1F83D9ABFB41BD6B)
 
@@ -70,18 +71,27 @@ class Events:
         before[at[:-1]] = BEGIN
         self.offsets, self.word, self.before = at, w, before
         self.pair = mix64(before * U64(0x9E3779B97F4A7C15) + w)
-        self.doc = np.repeat(np.arange(len(n)), n + 1)
 
+    def slices(self):
+        """(first text, text after the last) of runs of texts with about SLICE_TOKENS tokens (one text at least)."""
+        part = self.offsets[:-1] // SLICE_TOKENS
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        return [x for x in zip(edges, edges[1:]) if x[1] > x[0]]
 
-def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, where = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(where, weight, len(distinct)).astype(np.int64)
+
+def _counted(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each is among the chosen."""
+    distinct = np.unique(keys)
+    count = np.zeros(len(distinct), np.int64)
+    k, n = np.unique(keys[chosen], return_counts=True)
+    count[np.searchsorted(distinct, k)] = n
+    return distinct, count
 
 
 def _count_block(parts: int):
     def run(table: pa.Table) -> pa.Table:
         e = Events(table.column("text"))
-        train = table.column("train").to_numpy().astype(np.float64)[e.doc]
+        train = np.repeat(table.column("train").to_numpy(), np.diff(e.offsets))
         block, teaches = table.column("block")[0].as_py(), table.column("teaches")[0].as_py()
         rows = []
         for kind, keys in ((1, e.word), (2, e.pair)):
@@ -139,21 +149,24 @@ class Known:
         kinds = answers.column("kind").to_numpy()[order]
         raw = answers.column(column).to_pylist()
         got = {k: np.concatenate([_from_planes(raw[i], "<u8") for i in order[kinds == k]]).astype(np.int64) for k in (1, 2)}
+        self.pair = got[2][np.searchsorted(np.unique(e.pair), e.pair)]
         words = np.unique(np.append(e.word, BEGIN))
-        _, pairs = np.unique(e.pair, return_inverse=True)
-        self.pair = got[2][pairs]
         self.word = got[1][np.searchsorted(words, e.word)]
         self.context = got[1][np.searchsorted(words, e.before)]
 
+    def totals(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals of pair, word and context of the tokens lo to hi."""
+        return self.pair[lo:hi], self.word[lo:hi], self.context[lo:hi]
+
 
 def _bucket(context: np.ndarray) -> np.ndarray:
     """0 for a context never seen, else 1 + the power of two of its count."""
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
-def _parts_of(k: Known, n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    p2 = np.where(k.context > 0, k.pair / np.maximum(k.context, 1), 0.0)
-    return p2, k.word / max(n, 1), (k.word + 1.0) / (n + v + 1.0)
+def _parts_of(pair: np.ndarray, word: np.ndarray, context: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    p2 = np.where(context > 0, pair / np.maximum(context, 1), 0.0)
+    return p2, word / max(n, 1), (word + 1.0) / (n + v + 1.0)
 
 
 def learn_weights(bucket: np.ndarray, p: np.ndarray, count: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -174,6 +187,7 @@ def _bin(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-300)) * OCTAVE).astype(np.int64), -1)
 
 
+BINS = 1 << 13  # more than a bin of any estimate: 1e-300 has less than a thousand octaves
 HISTOGRAM = "bucket int, b2 int, b1 int, b0 int, n long"
 
 
@@ -183,10 +197,19 @@ def _histogram(n: int, v: int):
             return pa.table({c: pa.array([], t) for c, t in zip(("bucket", "b2", "b1", "b0", "n"), [pa.int32()] * 4 + [pa.int64()])})
         e = Events(docs.column("text"))
         k = Known(e, answers, "deleted")
-        bins = np.stack([_bucket(k.context), *(_bin(p) for p in _parts_of(k, n, v))], 1)
-        rows, count = np.unique(bins, axis=0, return_counts=True)
-        return pa.table([pa.array(rows[:, j].astype(np.int32)) for j in range(4)] + [pa.array(count.astype(np.int64))],
-                        names=["bucket", "b2", "b1", "b0", "n"])
+        codes, counts = [], []
+        for i, j in e.slices():
+            pair, word, context = k.totals(e.offsets[i], e.offsets[j])
+            code = _bucket(context)
+            for p in _parts_of(pair, word, context, n, v):
+                code = code * BINS + _bin(p) + 1
+            own = np.unique(code, return_counts=True)
+            codes.append(own[0])
+            counts.append(own[1])
+        rows, at = np.unique(np.concatenate(codes), return_inverse=True)
+        count = np.bincount(at, np.concatenate(counts), len(rows)).astype(np.int64)
+        columns = [rows // BINS ** 3, *(rows // BINS ** j % BINS - 1 for j in (2, 1, 0))]
+        return pa.table([pa.array(c.astype(np.int32)) for c in columns] + [pa.array(count)], names=["bucket", "b2", "b1", "b0", "n"])
 
     return run
 
@@ -198,13 +221,18 @@ def _score(n: int, v: int, weights: np.ndarray):
             return pa.table({c: pa.array([], t) for c, t in zip(names, [pa.int64(), pa.bool_()] + [pa.int64()] * 3 + [pa.float64()] * 2)})
         e = Events(docs.column("text"))
         k = Known(e, answers, "totals")
-        p2, p1, p0 = _parts_of(k, n, v)
-        lam = weights[_bucket(k.context)]
-        p = lam[:, 0] * p2 + lam[:, 1] * p1 + lam[:, 2] * p0
-        add = lambda x: np.add.reduceat(x, e.offsets[:-1])  # noqa: E731  every text has its end
+        sums = []
+        for i, j in e.slices():
+            lo, hi = e.offsets[i], e.offsets[j]
+            pair, word, context = k.totals(lo, hi)
+            p2, p1, p0 = _parts_of(pair, word, context, n, v)
+            lam = weights[_bucket(context)]
+            p = lam[:, 0] * p2 + lam[:, 1] * p1 + lam[:, 2] * p0
+            add = lambda x, at=e.offsets[i:j] - lo: np.add.reduceat(x, at)  # noqa: E731  every text has its end
+            sums.append((add((word > 0).astype(np.int64)), add(np.log10(p0)), add(np.log10(p))))
+        known, base, score = (pa.array(np.concatenate(x)) for x in zip(*sums))
         return pa.table([docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(np.diff(e.offsets)),
-                         pa.array(add((k.word > 0).astype(np.int64))), pa.array(np.full(len(e.offsets) - 1, n)),
-                         pa.array(add(np.log10(p0))), pa.array(add(np.log10(p)))], names=names)
+                         known, pa.array(np.full(len(e.offsets) - 1, n)), base, score], names=names)
 
     return run
 
@@ -222,15 +250,15 @@ def score_texts(docs: DataFrame, fold: int = 7, test_fold: int = 2, teach_fold:
     d = (d.withColumn("held_out", r == test_fold).withColumn("train", r != test_fold).withColumn("teaches", teaches)
          .withColumn("block", F.when(teaches, F.pmod(spread, F.lit(teach_blocks)))
                      .otherwise(F.pmod(spread, F.lit(blocks)) + teach_blocks).cast("int")))
-    runs = d.groupBy("block").applyInArrow(_count_block(parts), RUNS)
-    answers = stored(runs.groupBy("part").applyInArrow(_add_part, ANSWERS), "answers")
+    runs = d.groupBy("block").applyInArrow(tidy_group(_count_block(parts)), RUNS)
+    answers = stored(runs.groupBy("part").applyInArrow(tidy_group(_add_part), ANSWERS), "answers")
     s = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens", "types_left", "tokens_left")]).first()
 
     own = answers.select("block", "part", "kind", "totals", "deleted")
     taught = d.filter("teaches").groupBy("block").cogroup(own.filter(F.col("block") < teach_blocks).groupBy("block"))
-    bins = (taught.applyInArrow(_histogram(s["tokens_left"], s["types_left"]), HISTOGRAM)
+    bins = (taught.applyInArrow(tidy_group(_histogram(s["tokens_left"], s["types_left"]), 2), HISTOGRAM)
             .groupBy("bucket", "b2", "b1", "b0").agg(F.sum("n").alias("n"))).toPandas()
     p = np.stack([np.where(bins[c] < 0, 0.0, 2.0 ** (-bins[c].to_numpy() / OCTAVE)) for c in ("b2", "b1", "b0")], 1)
     weights = learn_weights(bins["bucket"].to_numpy(), p, bins["n"].to_numpy().astype(float))
     return (d.groupBy("block").cogroup(own.groupBy("block"))
-            .applyInArrow(_score(s["tokens"], s["types"], weights), SCORES))
+            .applyInArrow(tidy_group(_score(s["tokens"], s["types"], weights), 2), SCORES))

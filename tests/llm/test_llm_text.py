@@ -511,6 +511,35 @@ def test_totals_beyond_four_bytes():
     assert known.word.tolist() == [6_000_000_000, 14] and got.column("tokens_left").to_pylist()[0] == 3_000_000_007
 
 
+def test_a_block_needs_little_more_memory_than_its_tokens():
+    """Peak of counting, scoring and learning in bytes a token (scoring and learning: 121 and 124 when they held all of a block at once)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    text = [" ".join(map(str, rng.integers(0, 30_000, 500))) for _ in range(2000)]
+    n = len(text)
+    yes = pa.array(np.ones(n, bool))
+    rows = pa.table([pa.array(np.arange(n)), pa.array(text), yes, yes, yes, pa.array(np.zeros(n, np.int32))],
+                    names=["doc_id", "text", "held_out", "train", "teaches", "block"])
+    tokens = 501 * n
+
+    def peak(run, *args):
+        tracemalloc.start()
+        try:
+            return run(*args), tracemalloc.get_traced_memory()[1] / tokens
+        finally:
+            tracemalloc.stop()
+
+    runs, count = peak(deleted_interp._count_block(4), rows)
+    parts = [runs.filter(pa.compute.equal(runs.column("part"), k)) for k in range(4)]
+    answers = pa.concat_tables([deleted_interp._add_part(p) for p in parts])
+    scored, score = peak(deleted_interp._score(tokens, 30_001, np.full((64, 3), 1 / 3)), rows, answers)
+    bins, learn = peak(deleted_interp._histogram(tokens, 30_001), rows, answers)
+    assert sum(scored.column("n_tokens").to_pylist()) == tokens == sum(bins.column("n").to_pylist())
+    assert scored.column("n_known").to_pylist() == scored.column("n_tokens").to_pylist()
+    assert count < 100 and score < 100 and learn < 100
+
+
 def test_score_edges(spark):
     d = docs(spark, [(i, None if i % 5 == 0 else "a b c a b") for i in range(40)] + [(None, "z z"), (3, "a b")])
     got = deleted_interp.score_texts(d).collect()
