@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_strings, mix64, release, slices, split_words, stored, texts, U64, tidy
+from .common import Scratch, U64, collect_garbage, hash_strings, mix64, release, slices, split_words, stored, texts, tidy
 from .components import connected_components
 from .exact_dedup import heavy_hitters
 
@@ -303,10 +303,10 @@ def _different(pairs: DataFrame, comps: DataFrame) -> DataFrame:
             .filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).drop("_ca", "_cb"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets link; drop ``scratch`` once they are stored."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sets = stored(sets_of(docs, ids), "sets")
+    sets = scratch.stored(sets_of(docs, ids), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     rows = pairs.join(two, "b").join(one, "a")
@@ -417,13 +417,23 @@ def _block_pairs(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return out
 
 
+def _with_verified(docs: DataFrame, links: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """links and the verified pairs, stored; the sets they were compared by and their shuffles go."""
+    scratch = Scratch(docs.sparkSession)
+    out = stored(links.unionByName(verified(docs, pairs, scratch)), name)
+    scratch.drop()
+    collect_garbage(docs.sparkSession)
+    return out
+
+
 def _in_waves(docs: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
     """links plus the verified ones of pairs (a, b, n) that join components: of each b first the pair with the largest n."""
     order = Window.partitionBy("b").orderBy(F.desc("n"), "a")
     pairs = stored(pairs.withColumn("nth", F.row_number().over(order)).select("a", "b", "nth"), "pairs")
-    first = stored(links.unionByName(verified(docs, pairs.filter("nth = 1").select("a", "b"))), "links_first")
+    collect_garbage(docs.sparkSession)
+    first = _with_verified(docs, links, pairs.filter("nth = 1").select("a", "b"), "links_first")
     rest = stored(_different(pairs.filter("nth > 1").select("a", "b"), connected_components(first)), "pairs_rest")
-    return stored(first.unionByName(verified(docs, rest)), "links_rest")
+    return _with_verified(docs, first, rest, "links_rest")
 
 
 def _close(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
@@ -488,6 +498,7 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
     size = all_docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(32, -(-size // PART_BYTES))
     shared = stored(packed_signatures(base, parts, per_segment).groupBy("part").applyInPandas(_shared, SHARED), "shared")
+    collect_garbage(docs.sparkSession)
     pairs = (shared.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).filter("a < b")
              .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
     ids = info.filter("doc_id is not null")

@@ -661,3 +661,18 @@ def test_scratch_tables_are_deleted_and_others_stay(spark):
     assert not Path(urlparse(scratch.folder).path).exists() and Path(urlparse(other.folder).path).exists()
     assert result.collect()[0]["s"] == 45
     scratch.drop()  # nothing left: no error
+
+
+def test_ngram_join_leaves_no_sets_behind(spark):
+    """The shingle sets that pairs are verified by are deleted once the links are stored."""
+    from pathlib import Path
+
+    from pacegrid.session import checkpoint_dir
+
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    left = lambda: set(folder.glob("pacegrid-llm-*/*sets"))
+    before = left()
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:59] + [f"x{i}"])) for i in range(6)] + [(9, "a b c d e f g")]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs(spark, rows)).collect()}
+    assert got == {**dict.fromkeys(range(6), 0), 9: 9} and left() == before
