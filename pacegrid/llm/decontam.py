@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hash_strings, mix64, slices, split_words, stored, texts, tidy
+from .common import U64, hash_strings, mix64, release, slices, split_words, stored, texts, tidy
 
 MASKS = ("111111", "1111011", "1101111", "110010111", "101100111", "110101011")
 WHOLE = 10          # items with fewer tokens are found whole
@@ -39,6 +39,7 @@ MIN_TOKENS = 13
 SIMILARITY = 0.8
 SHORTEST = 5
 BITS = 1 << 25      # of the broadcast bitmap (4 MB)
+SLICE_BYTES = 500_000  # of text hashed at a time
 GAP = 32            # hits further apart than this begin a new cluster
 
 
@@ -134,6 +135,39 @@ def _bitmap(seeds: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
+def find_clusters(batches, bitmap: np.ndarray, used: tuple[str, ...], longest: int):
+    """Clusters of windows that pass the bitmap, from SLICE_BYTES of text at a time."""
+    bits = 64 * len(bitmap)
+    for batch in batches:
+        for b in slices(batch, most=SLICE_BYTES):
+            t, offsets = tokens(b.column("text"))
+            at, hashes = [], []
+            for m in used:
+                pos, h = seed_hashes(t, offsets, m)
+                hit = (bitmap[((h >> U64(6)) % U64(bits // 64)).astype(np.int64)] >> (h & U64(63))) & U64(1) == 1
+                at.append(pos[hit])
+                hashes.append(h[hit])
+            at, hashes = np.concatenate(at), np.concatenate(hashes)
+            order = np.argsort(at, kind="stable")
+            at, hashes = at[order], hashes[order]
+            doc = np.searchsorted(offsets, at, side="right") - 1
+            ids = b.column("doc_id").to_pylist()
+            new = np.ones(len(at), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > GAP)
+            first = np.flatnonzero(new)
+            rows = []
+            for lo, hi in zip(first, np.append(first[1:], len(at))):
+                d = doc[lo]
+                x = max(offsets[d], at[lo] - longest)
+                y = min(offsets[d + 1], at[hi - 1] + longest)
+                rows.append((ids[d], int(x - offsets[d]), t[x:y].tobytes(), hashes[lo:hi].view(np.int64), (at[lo:hi] - x).astype(np.int32)))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, types)],
+                                  names=["doc_id", "start", "tokens", "hashes", "at"])
+        release()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_tokens: int = MIN_TOKENS,
                   similarity: float = SIMILARITY, bits: int = BITS) -> DataFrame:
     """One row per (document, item) with an overlap: doc_id, item_id, doc_start, item_start, n_tokens, n_equal, item_tokens.
@@ -150,36 +184,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     flags = spark.sparkContext.broadcast(_bitmap(seeds, bits))
 
     def find(batches):
-        bitmap = np.frombuffer(flags.value, U64)
-        for batch in batches:
-            for b in slices(batch):
-                t, offsets = tokens(b.column("text"))
-                at, hashes = [], []
-                for m in used:
-                    pos, h = seed_hashes(t, offsets, m)
-                    hit = (bitmap[((h >> U64(6)) % U64(bits // 64)).astype(np.int64)] >> (h & U64(63))) & U64(1) == 1
-                    at.append(pos[hit])
-                    hashes.append(h[hit])
-                at, hashes = np.concatenate(at), np.concatenate(hashes)
-                order = np.argsort(at, kind="stable")
-                at, hashes = at[order], hashes[order]
-                doc = np.searchsorted(offsets, at, side="right") - 1
-                ids = b.column("doc_id").to_pylist()
-                new = np.ones(len(at), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > GAP)
-                first = np.flatnonzero(new)
-                rows = []
-                for lo, hi in zip(first, np.append(first[1:], len(at))):
-                    d = doc[lo]
-                    x = max(offsets[d], at[lo] - longest)
-                    y = min(offsets[d + 1], at[hi - 1] + longest)
-                    rows.append((ids[d], int(x - offsets[d]), t[x:y].tobytes(), hashes[lo:hi].view(np.int64), (at[lo:hi] - x).astype(np.int32)))
-                cols = list(zip(*rows)) if rows else [[]] * 5
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, types)],
-                                      names=["doc_id", "start", "tokens", "hashes", "at"])
-
-    clusters = stored(texts(docs).mapInArrow(find, CLUSTERS).withColumn("cluster", F.monotonically_increasing_id()), "clusters")
+        return find_clusters(batches, np.frombuffer(flags.value, U64), used, longest)
+
+    clusters = stored(texts(docs).mapInArrow(tidy(find), CLUSTERS).withColumn("cluster", F.monotonically_increasing_id()), "clusters")
     hits = clusters.select("cluster", F.explode(F.arrays_zip("hashes", "at")).alias("z")).select(
         "cluster", F.col("z.hashes").alias("hash"), F.col("z.at").alias("at"))
     candidates = (hits.join(seeds, "hash").select("cluster", "item_id", (F.col("at") - F.col("item_pos")).alias("diagonal")).distinct())

@@ -676,3 +676,22 @@ def test_ngram_join_leaves_no_sets_behind(spark):
     rows = [(i, " ".join(words[:59] + [f"x{i}"])) for i in range(6)] + [(9, "a b c d e f g")]
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs(spark, rows)).collect()}
     assert got == {**dict.fromkeys(range(6), 0), 9: 9} and left() == before
+
+
+def test_decontamination_hashes_a_slice_at_a_time():
+    """Memory follows the slice and not the batch; the clusters are those of the whole batch."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    text = [" ".join(map(str, rng.integers(0, 10_000, 400))) for _ in range(2000)]
+    batch = pa.record_batch([pa.array(np.arange(len(text))), pa.array(text)], names=["doc_id", "text"])
+    bitmap = np.zeros(1 << 12, np.uint64)
+    bitmap[::64] = 1
+    tracemalloc.start()
+    got = [b for b in decontam.find_clusters([batch], bitmap, decontam.MASKS, 20)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(map(len, text))
+    assert len(got) >= size // decontam.SLICE_BYTES > 4 and peak < 4 * size
+    one = [b for k in range(len(text)) for b in decontam.find_clusters([batch.slice(k, 1)], bitmap, decontam.MASKS, 20)]
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches(one)) and pa.Table.from_batches(got).num_rows > 100
