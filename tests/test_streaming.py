@@ -1,10 +1,12 @@
 """A stream over some rows gives what the batch operators give."""
 
 import datetime as dt
+import glob
 import os
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from pacegrid.operators import changes as I
@@ -232,3 +234,34 @@ def test_x3_stored_windows_equal_batch_after_a_restart(spark, tmp_dir):
         start()
         want = X.solved_windows(spark.createDataFrame(rows + late, schema))[int(weekly)]
         assert _rows(spark.read.parquet(f"{base}/out").select(want.columns)) == _rows(want)
+
+
+def test_x1_writes_no_second_copy_of_its_tables(spark, tmp_dir):
+    """A batch that fails between two tables and is tried again leaves the batch result, and nothing but the tables and the
+    index is left: no checkpoint of the touched partitions (its size grew with the tables) and no scratch table."""
+    problems, plan, log, us, events = _tables(spark)
+    # a day of the log that has two rows, one without an event, an event without a status, and an event without a day
+    log = log.unionByName(log)
+    events = events.unionByName(spark.createDataFrame(
+        [(10, 2, D(2024, 1, 20), None, TS(2024, 1, 20, 23)), (10, 1, None, "Skipped", TS(2024, 1, 22, 9))], events.schema))
+    root = f"{tmp_dir}/tables"
+    for name, df in (("problems", problems), ("daily_plan", plan), ("daily_log", log)):
+        col = X.partition_column(name, "month")
+        X.with_partition_column(df, name, "month").write.partitionBy(col).parquet(f"{root}/{name}")
+    shared = spark.conf.get("spark.checkpoint.dir")
+
+    def scratch():
+        return {p for p in glob.glob(f"{shared}/**/*", recursive=True) if os.path.isfile(p)}
+
+    before = scratch()
+    sink = X.StatusEventSink(spark, root, us, "month", index_buckets=4)
+    sink.write_index(problems)
+    sink._write, write = lambda df, table: write(df, table) if table == "daily_plan" else 1 / 0, sink._write
+    with pytest.raises(ZeroDivisionError):      # the plan is written, the log is not
+        sink(events, 0)
+    sink._write = write
+    sink(events, 0)
+    assert not scratch() - before
+    bp, bplan, blog = I.apply_status_events(problems, plan, log, us, events)
+    for name, want in (("problems", bp.select("id", "status")), ("daily_plan", bplan), ("daily_log", blog)):
+        assert _rows(spark.read.parquet(f"{root}/{name}").select(want.columns)) == _rows(want)
