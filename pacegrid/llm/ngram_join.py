@@ -75,8 +75,11 @@ def shingle_sets(text: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nda
             extra.append(np.bitwise_xor.reduce(own * np.array(_P[:len(own)])) + U64(len(own)))
         h = np.concatenate([h, mix64(np.array(extra, U64) ^ U64(0xA5A5A5A5A5A5A5A5))])
         owner = np.concatenate([owner, short])
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
+        order = np.argsort(owner, kind="stable")
+        h, owner = h[order], owner[order]
+    ends = np.cumsum(np.bincount(owner, minlength=len(n_words))).tolist()
+    for lo, hi in zip([0, *ends], ends):  # text by text: far cheaper than one sort by (text, hash)
+        h[lo:hi].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(n_words)))]).astype(np.int64)
@@ -116,16 +119,16 @@ def segment_table(h: np.ndarray, offsets: np.ndarray, per_segment: float = PER_S
             b = band + 1
         if not len(chosen):
             continue
-        owner = np.repeat(chosen, size[chosen])
-        at = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in chosen])
+        own = size[chosen]
+        owner = np.repeat(chosen, own)
+        at = np.arange(len(owner)) + np.repeat(offsets[chosen] - (np.cumsum(own) - own), own)
         tok = h[at]
         ob = b[owner]
         seg = ((tok >> U64(32)) * segments_in(ob, per_segment).astype(U64) >> U64(32)).astype(np.int64)
         single = ob == 0
         if single.any():
             seg[single] = at[single] - offsets[owner[single]]  # its own segment
-        order = np.lexsort((seg, owner))
-        owner, seg, tok, ob = owner[order], seg[order], tok[order], ob[order]
+        # a set's shingles are sorted, and its segments are ranges of them: equal segments lie together
         new = np.ones(len(tok), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (seg[1:] != seg[:-1])
         first = np.flatnonzero(new)
@@ -510,6 +513,7 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.filter("lo < hi").select("sig", "n")
     mixed = stored(rows.join(mixed, "sig").select("sig", "doc_id", "family", "n"), "mixed")
+    collect_garbage(docs.sparkSession)
     count = mixed.groupBy("doc_id", "family").agg(F.count(F.lit(1)).alias("m"))
     free = F.when(F.col("family") == 0, F.col("own_segments")).otherwise(F.col("up_segments")) - F.col("m")
     unfinished = (count.join(info.filter("doc_id is not null"), "doc_id")
@@ -527,6 +531,7 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
     left = (base.join(unfinished, "doc_id", "left_semi").join(own, "doc_id", "left")
             .select("doc_id", "text", F.coalesce("mixed", F.expr("array()").cast(own.schema["mixed"].dataType)).alias("mixed")))
     asked = stored(_component(_neighbour_rows(left, per_segment), comps), "asked")
+    collect_garbage(docs.sparkSession)
     own = asked.filter("key is not null")
     keys = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head"), F.min("comp").alias("lo"),
                                   F.max("comp").alias("hi"), F.max("probe").alias("asks"))
@@ -540,8 +545,9 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
     more = more.unionByName(_in_blocks(ids, stored(crowd, "crowd"), comps)).distinct()
     links = _in_waves(base, links, more.withColumn("n", F.lit(1)))
     # step 4
-    lacking = asked.filter("key is null").select("doc_id").distinct()
-    links = stored(links.unionByName(_block_pairs(base, lacking)), "links2")
+    lacking = stored(asked.filter("key is null").select("doc_id").distinct(), "lacking")
+    if not lacking.isEmpty():  # stored, so its size is known and the texts are not shuffled for a few ids
+        links = stored(links.unionByName(_block_pairs(base, lacking)), "links2")
     return stored(connected_components(links), "components2"), info
 
 

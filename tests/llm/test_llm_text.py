@@ -695,3 +695,19 @@ def test_decontamination_hashes_a_slice_at_a_time():
     assert len(got) >= size // decontam.SLICE_BYTES > 4 and peak < 4 * size
     one = [b for k in range(len(text)) for b in decontam.find_clusters([batch.slice(k, 1)], bitmap, decontam.MASKS, 20)]
     assert pa.Table.from_batches(got).equals(pa.Table.from_batches(one)) and pa.Table.from_batches(got).num_rows > 100
+
+
+def test_step_four_reads_the_texts_only_for_sets_that_need_it(spark, monkeypatch):
+    """Without a set that lacks units no document is read again (all texts were shuffled to find none)."""
+    reached, asked = [], []
+    near, blocks = ngram_join._neighbour_rows, ngram_join._block_pairs
+    monkeypatch.setattr(ngram_join, "_neighbour_rows", lambda *a: reached.append(1) or near(*a))
+    monkeypatch.setattr(ngram_join, "_block_pairs", lambda d, ids: asked.append(ids.count()) or blocks(d, ids))
+    rnd = random.Random(5)
+    shared = [f"s{k}" for k in range(200)]
+    rows = [(i, " ".join(shared[:120 + i] + [f"{rnd.random()}" for _ in range(40)])) for i in range(30)]
+    comps, info = ngram_join.links_and_sizes(docs(spark, rows))
+    comp = {r["id"]: r["component_id"] for r in comps.collect()}
+    size = {r["doc_id"]: r["n_shingles"] for r in info.collect()}
+    assert {i: (size[i], comp.get(i, i)) for i in size} == brute_components(rows)
+    assert reached and asked == []
