@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,16 +82,13 @@ class Units:
     """Words of a batch of texts, by line and by document."""
 
     def __init__(self, text: pa.Array):
-        lines, doc, first = [], [], []
-        for i, t in enumerate(text.to_pylist()):
-            own = (t or "").split("\n")
-            first.append(len(lines))
-            lines += own
-            doc += [i] * len(own)
-        codes, self.offsets, words = split_words(pa.array(lines, pa.large_string()))
+        text = text.take(pa.array(np.arange(len(text))))  # own buffers, see split_words
+        lists = pc.split_pattern(pc.fill_null(text.cast(pa.large_string()), ""), "\n")
+        first = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes, self.offsets, words = split_words(lists.values)
         self.words = hash_strings(words, seed=6)[codes] if len(codes) else np.zeros(0, U64)
-        self.doc = np.array(doc, np.int64)
-        self.docs = self.offsets[np.array(first + [len(lines)], np.int64)]  # offsets of the documents
+        self.doc = np.repeat(np.arange(len(text)), np.diff(first))
+        self.docs = self.offsets[first]  # offsets of the documents
 
     def digests(self, lo: np.ndarray, hi: np.ndarray, which: tuple[int, ...] = (0, 1)) -> list[np.ndarray]:
         """64-bit digests (two of them) of word runs [lo, hi)."""
@@ -107,15 +105,22 @@ class Units:
 
     def shingles(self, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
         """Sorted distinct shingle hashes of the word runs [lo, hi)."""
-        out = []
-        for x, y in zip(lo, hi):
-            w = self.words[x:y]
-            n = len(w) - WORDS + 1
-            h = np.zeros(max(n, 0), U64)
-            for k in range(WORDS):
-                h += w[k:k + max(n, 0)] * _P[k]
-            out.append(np.unique(mix64(h)))
-        return out
+        if not len(lo):
+            return []
+        n = max(len(self.words) - WORDS + 1, 0)
+        h = np.zeros(n, U64)
+        for k in range(WORDS):
+            h += self.words[k:k + n] * _P[k]
+        h = mix64(h)        # of all places once
+        size = np.maximum(hi - lo - WORDS + 1, 0)
+        owner = np.repeat(np.arange(len(lo)), size)
+        h = h[np.arange(len(owner)) + np.repeat(lo - (np.cumsum(size) - size), size)]
+        ends = np.cumsum(size).tolist()
+        for x, y in zip([0, *ends], ends):
+            h[x:y].sort()
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        return np.split(h[new], np.cumsum(np.bincount(owner[new], minlength=len(lo)))[:-1])
 
     def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, first word, end word) of the long lines and of the blocks of short ones."""

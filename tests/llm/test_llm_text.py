@@ -711,3 +711,21 @@ def test_step_four_reads_the_texts_only_for_sets_that_need_it(spark, monkeypatch
     size = {r["doc_id"]: r["n_shingles"] for r in info.collect()}
     assert {i: (size[i], comp.get(i, i)) for i in size} == brute_components(rows)
     assert reached and asked == []
+
+
+def test_shingles_of_all_paragraphs_are_hashed_at_once(monkeypatch):
+    """One call per batch and not per paragraph, with the sets of one paragraph at a time."""
+    calls = []
+    mix = paragraph_minhash.mix64
+    rnd = random.Random(3)
+    lines = [" ".join(str(rnd.randint(0, 9)) for _ in range(rnd.randint(20, 60))) for _ in range(120)]
+    u = paragraph_minhash.Units(pa.array(["\n".join(lines[:70]), None, "", "\n\n", "\n".join(lines[70:]) + "\n"]))
+    doc, lo, hi = u.paragraphs()
+    assert doc.tolist() == [0] * 70 + [4] * 50
+    monkeypatch.setattr(paragraph_minhash, "mix64", lambda x: calls.append(len(x)) or mix(x))
+    sets = u.shingles(lo, hi)
+    assert len(calls) == 1
+    for line, a, b, s in zip(lines, lo, hi, sets):
+        w = line.split()
+        assert b - a == len(w) and len(s) == len({tuple(w[k:k + 5]) for k in range(len(w) - 4)})
+        assert (s[1:] > s[:-1]).all() and np.array_equal(u.shingles(np.array([a]), np.array([b]))[0], s)
