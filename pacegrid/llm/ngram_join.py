@@ -35,12 +35,11 @@ component.  Rows that share an id are one node with several sets.  Empty table:
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, U64, collect_garbage, hash_strings, mix64, release, slices, split_words, stored, texts, tidy
+from .common import Scratch, U64, collect_garbage, hash_strings, mix64, release, slices, split_words, stored, texts, tidy, tidy_group
 from .components import connected_components
 from .exact_dedup import heavy_hitters
 
@@ -143,7 +142,7 @@ def segment_table(h: np.ndarray, offsets: np.ndarray, per_segment: float = PER_S
 
 INFO = "doc_id long, n_shingles long, own_segments long, up_segments long, sketch binary"
 RUNS = "part int, sigs binary, rows binary, docs binary"
-SHARED = "sig long, doc_id long, family int, pivot long"
+SHARED = "class long, doc_id long, family int, sig long"
 
 
 def sketches(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -228,27 +227,36 @@ def packed_signatures(docs: DataFrame, parts: int, per_segment: float = PER_SEGM
     return texts(docs).filter("doc_id is not null").mapInArrow(tidy(run), RUNS)
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Members of the buckets of one part that have two documents or more, with the smallest."""
-    release()
+def _shared(runs: pa.Table) -> pa.Table:
+    """Buckets of one part that have two documents or more, by class: buckets with the same members are one class.
+
+    One row per class and member; ``sig`` is null but for a row of the smallest member for each bucket.  The class is a
+    hash of the members: should two ever share one, their members count as one bucket, which loses no link.
+    """
     sig, doc, fam = [], [], []
-    for s, r, d in zip(pdf["sigs"], pdf["rows"], pdf["docs"]):
+    for s, r, d in zip(*(runs.column(c).to_pylist() for c in ("sigs", "rows", "docs"))):
         row = np.ascontiguousarray(np.frombuffer(r, np.uint8).reshape(4, -1).T).view("<u4").ravel()
         sig.append(_from_planes(s))
         doc.append(np.frombuffer(d, "<i8")[row >> 1])
         fam.append((row & 1).astype(np.int32))
     sig, doc, fam = np.concatenate(sig), np.concatenate(doc), np.concatenate(fam)
-    order = np.lexsort((doc, sig))
+    order = np.lexsort((fam, doc, sig))
     sig, doc, fam = sig[order], doc[order], fam[order]
     new = np.ones(len(sig), bool)
     new[1:] = sig[1:] != sig[:-1]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(sig)) - 1
-    many = doc[first] != doc[last]
-    group = np.cumsum(new) - 1
-    keep = many[group]
-    return pd.DataFrame({"sig": sig[keep].view(np.int64), "doc_id": doc[keep], "family": fam[keep],
-                         "pivot": doc[first][group][keep]})
+    many = doc[first] != doc[np.append(first[1:], len(sig)) - 1]
+    keep = many[np.cumsum(new) - 1]
+    sig, doc, fam, new = sig[keep], doc[keep], fam[keep], new[keep]
+    first = np.flatnonzero(new)
+    members = mix64(doc.astype(U64) * U64(2) + fam.astype(U64) + U64(0x3C6EF372))
+    of = mix64(np.add.reduceat(members, first)) if len(first) else np.zeros(0, U64)
+    once = np.zeros(len(first), bool)  # the members of a class are named once in a part
+    once[np.unique(of, return_index=True)[1]] = True
+    bucket = np.cumsum(new) - 1
+    rows = once[bucket] | new
+    return pa.table({"class": pa.array(of[bucket][rows].view(np.int64)), "doc_id": pa.array(doc[rows]), "family": pa.array(fam[rows]),
+                     "sig": pa.array(sig[rows].view(np.int64), mask=~new[rows])})
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -325,7 +333,7 @@ def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
 
 # ---- step 3: sets without enough free buckets ----
 
-PROBES = "key long, doc_id long, probe boolean"
+PROBES = "key long, doc_id long, comp long, probe boolean"
 
 
 def _place_key(sig: np.ndarray, owner: np.ndarray, family: np.ndarray) -> np.ndarray:
@@ -342,7 +350,7 @@ def _first_of(owner: np.ndarray, rows: np.ndarray, most: np.ndarray) -> np.ndarr
 def _neighbour_rows(unfinished: DataFrame, per_segment: float) -> DataFrame:
     """Index and probe rows of the unfinished sets.
 
-    Input: doc_id, text, mixed array<(family, sig, n)>: the buckets with several components.
+    Input: doc_id, comp, text, mixed array<(family, n, sigs)>: the buckets with several components.
     A row without a key names a set whose segments cannot supply the units it needs.
     """
 
@@ -351,12 +359,14 @@ def _neighbour_rows(unfinished: DataFrame, per_segment: float) -> DataFrame:
             for b in slices(batch, most=500_000):
                 h, offsets = shingle_sets(b.column("text"))
                 n_sets = len(offsets) - 1
-                ids = b.column("doc_id").to_numpy()
+                ids, comp = b.column("doc_id").to_numpy(), b.column("comp").to_numpy()
                 need = allowed(np.diff(offsets)) + 1
                 per = b.column("mixed").value_lengths().to_numpy()
                 m = b.column("mixed").flatten()
-                m_sig, m_n = m.field("sig").to_numpy().view(U64), m.field("n").to_numpy()
-                m_key = _place_key(m_sig, np.repeat(np.arange(n_sets), per), m.field("family").to_numpy())
+                m_of, m_family, m_n, m_sigs = np.repeat(np.arange(n_sets), per), *m.flatten()
+                per = m_sigs.value_lengths().to_numpy()
+                m_n = np.repeat(m_n.to_numpy(), per)
+                m_key = _place_key(m_sigs.flatten().to_numpy().view(U64), np.repeat(m_of, per), np.repeat(m_family.to_numpy(), per))
                 order = np.argsort(m_key)
                 m_key, m_n = np.append(m_key[order], U64(0)), np.append(m_n[order], 0)
                 keys, sets, probes = [], [], []
@@ -384,8 +394,9 @@ def _neighbour_rows(unfinished: DataFrame, per_segment: float) -> DataFrame:
                     sets += [owner, owner[of][large], short]
                     probes += [probe, up[of][large], np.ones(len(short), bool)]
                 if keys:
-                    yield pa.record_batch([pa.concat_arrays(keys), pa.array(ids[np.concatenate(sets)]), pa.array(np.concatenate(probes))],
-                                          names=["key", "doc_id", "probe"])
+                    of = np.concatenate(sets)
+                    yield pa.record_batch([pa.concat_arrays(keys), pa.array(ids[of]), pa.array(comp[of]), pa.array(np.concatenate(probes))],
+                                          names=["key", "doc_id", "comp", "probe"])
             release()
 
     return unfinished.mapInArrow(tidy(run), PROBES)
@@ -500,21 +511,25 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
 
     size = all_docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(32, -(-size // PART_BYTES))
-    shared = stored(packed_signatures(base, parts, per_segment).groupBy("part").applyInPandas(_shared, SHARED), "shared")
+    shared = stored(packed_signatures(base, parts, per_segment).groupBy("part").applyInArrow(tidy_group(_shared), SHARED), "shared")
     collect_garbage(docs.sparkSession)
-    pairs = (shared.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).filter("a < b")
-             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    # buckets with the same members are handled once, as a class: far fewer rows than buckets and members
+    members = stored(shared.groupBy("class", "doc_id", "family").agg(F.count("sig").alias("sigs")), "members")
+    pivots = members.groupBy("class").agg(F.min("doc_id").alias("a"), F.sum("sigs").alias("n"))
+    pairs = (members.select("class", F.col("doc_id").alias("b")).join(pivots, "class").filter("a < b")
+             .groupBy("a", "b").agg(F.sum("n").alias("n")))
     ids = info.filter("doc_id is not null")
     links = _in_waves(base, copies, plausible(ids, pairs))
     comps = stored(connected_components(links), "components1")
 
     # step 2: buckets with several components, and the sets they leave without K + 1 free ones
-    rows = _component(shared.select("sig", "doc_id", "family"), comps)
-    mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.filter("lo < hi").select("sig", "n")
-    mixed = stored(rows.join(mixed, "sig").select("sig", "doc_id", "family", "n"), "mixed")
+    rows = _component(members, comps)
+    mixed = rows.groupBy("class").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"),
+                                      F.sum("sigs").alias("buckets"))
+    mixed = mixed.filter("lo < hi").select("class", "n", "buckets")
+    mixed = stored(members.join(mixed, "class").select("class", "doc_id", "family", "n", "buckets"), "mixed")
     collect_garbage(docs.sparkSession)
-    count = mixed.groupBy("doc_id", "family").agg(F.count(F.lit(1)).alias("m"))
+    count = mixed.groupBy("doc_id", "family").agg(F.sum("buckets").alias("m"))
     free = F.when(F.col("family") == 0, F.col("own_segments")).otherwise(F.col("up_segments")) - F.col("m")
     unfinished = (count.join(info.filter("doc_id is not null"), "doc_id")
                   .filter(free < F.floor(F.col("n_shingles") / 4) + 1).select("doc_id").distinct())
@@ -526,22 +541,24 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
         return comps, info
 
     # step 3
-    own = mixed.join(unfinished, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.collect_list(F.struct("family", "sig", "n")).alias("mixed"))
+    sigs = shared.filter("sig is not null").groupBy("class").agg(F.collect_list("sig").alias("sigs"))
+    own = mixed.join(unfinished, "doc_id", "left_semi").join(sigs, "class").groupBy("doc_id").agg(
+        F.collect_list(F.struct("family", "n", "sigs")).alias("mixed"))
     left = (base.join(unfinished, "doc_id", "left_semi").join(own, "doc_id", "left")
             .select("doc_id", "text", F.coalesce("mixed", F.expr("array()").cast(own.schema["mixed"].dataType)).alias("mixed")))
-    asked = stored(_component(_neighbour_rows(left, per_segment), comps), "asked")
+    asked = stored(_neighbour_rows(_component(left, comps), per_segment), "asked")
     collect_garbage(docs.sparkSession)
     own = asked.filter("key is not null")
     keys = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head"), F.min("comp").alias("lo"),
                                   F.max("comp").alias("hi"), F.max("probe").alias("asks"))
-    keys = stored(keys.filter("lo < hi and asks").select("key", "n", "head"), "keys")
-    few = own.join(keys.filter(F.col("n") <= FEW).select("key"), "key")
+    met = stored(own.join(keys.filter("lo < hi and asks").select("key", "n", "head"), "key"), "met")
+    collect_garbage(docs.sparkSession)
+    few = met.filter(F.col("n") <= FEW)
     probe = few.filter("probe").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("cx"))
     index = few.select("key", F.col("doc_id").alias("y"), F.col("comp").alias("cy"))
     more = probe.join(index, "key").filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = plausible(ids, more)
-    crowd = own.join(keys.filter(F.col("n") > FEW).select("key", "head"), "key").select("head", "doc_id").distinct()
+    crowd = met.filter(F.col("n") > FEW).select("head", "doc_id").distinct()
     more = more.unionByName(_in_blocks(ids, stored(crowd, "crowd"), comps)).distinct()
     links = _in_waves(base, links, more.withColumn("n", F.lit(1)))
     # step 4

@@ -678,6 +678,25 @@ def test_ngram_join_leaves_no_sets_behind(spark):
     assert got == {**dict.fromkeys(range(6), 0), 9: 9} and left() == before
 
 
+def test_buckets_with_the_same_members_are_one_class(spark):
+    """Buckets are handled as classes, not as one row per bucket and member: these rows went through four shuffles."""
+    from pathlib import Path
+
+    from pacegrid.session import checkpoint_dir
+
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    stored = lambda: set(folder.glob("pacegrid-llm-*/shared"))
+    before = stored()
+    text = " ".join(f"b{k}" for k in range(900))
+    rows = [(i, text) for i in range(6)] + [(9, text[:2000])]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"])
+            for r in ngram_join.ngram_components(docs(spark, rows)).collect()} == brute_components(rows)
+    (folder,) = stored() - before
+    shared = spark.read.parquet(str(folder))
+    buckets, rows = shared.select("sig").filter("sig is not null").distinct().count(), shared.count()
+    assert buckets > 400 and rows < 3 * buckets  # 6 rows a bucket before
+
+
 def test_decontamination_hashes_a_slice_at_a_time():
     """Memory follows the slice and not the batch; the clusters are those of the whole batch."""
     import tracemalloc
