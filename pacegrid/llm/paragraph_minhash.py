@@ -34,9 +34,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, hash_strings, mix64, slices, split_words, stored, texts
+from .common import U64, Scratch, hash_strings, mix64, slices, split_words, stored, texts, tidy_group
 from .components import connected_components
-from .ngram_join import FEW, _in_blocks, linked, plausible, sketches
+from .ngram_join import FEW, _from_planes, _in_blocks, _planes, linked, plausible, sketches
 
 WORDS = 5
 MIN_WORDS = 20
@@ -169,6 +169,10 @@ class Units:
         return doc[head], at[head], np.diff(np.append(head, len(at))), hashes[place[head]]
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 UNITS = ("doc_id long, start long, n_words long, digest long, digest2 long, bands array<long>, "
          "n_shingles long, sketch binary")
 
@@ -208,15 +212,17 @@ def paragraph_units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 yield pa.record_batch([pa.array(ids[doc]), pa.array(lo - u.docs[doc]), pa.array(hi - lo),
                                        pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat,
                                        pa.array(np.diff(ends)), pa.array(sketches(np.concatenate(sets), ends), pa.binary())],
-                                      names=[x.split()[0] for x in UNITS.split(", ")])
+                                      names=_names(UNITS))
 
     return texts(docs).filter("doc_id is not null").mapInArrow(run, UNITS)
 
 
-PIECES = "doc_id long, start long, n_words long, digest long, digest2 long"
+PIECES = "part int, digest binary, digest2 binary, doc_id binary, start binary, n_words binary"
+
 
+def piece_units(docs: DataFrame, parts: int) -> DataFrame:
+    """Sorted runs of pieces: per slice of a task and part of the digests, the columns of its pieces."""
 
-def piece_units(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for b in slices(batch):
@@ -228,8 +234,12 @@ def piece_units(docs: DataFrame) -> DataFrame:
                 if not len(lo):
                     continue
                 one, two = u.digests(lo, hi)
-                yield pa.record_batch([pa.array(ids[doc]), pa.array(lo - u.docs[doc]), pa.array(hi - lo),
-                                       pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=[x.split()[0] for x in PIECES.split(", ")])
+                order = np.argsort(one)
+                cols = [x[order] for x in (one, two, ids[doc], lo - u.docs[doc], hi - lo)]
+                live, cuts = np.unique((cols[0] >> U64(32)) * U64(parts) >> U64(32), return_index=True)
+                ends = [*cuts[1:], len(order)]
+                yield pa.record_batch([pa.array(live.astype(np.int32)), *(pa.array([_planes(c[x:y]) for x, y in zip(cuts, ends)], pa.binary())
+                                                                          for c in cols)], names=_names(PIECES))
 
     return texts(docs).filter("doc_id is not null").mapInArrow(run, PIECES)
 
@@ -308,13 +318,27 @@ def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: f
         (F.col("unit") != F.col("k.unit")).alias("removed"))
 
 
+def _equal_pieces(runs: pa.Table) -> pa.Table:
+    """Pieces of one part that stand in two places or more, with the smallest place."""
+    one, two, doc, start, n = (np.concatenate([_from_planes(x) for x in runs.column(c).to_pylist()]) for c in _names(PIECES)[1:])
+    doc, start, n = doc.view(np.int64), start.view(np.int64), n.view(np.int64)
+    order = np.lexsort((start, doc, two, one))
+    one, two, doc, start, n = (x[order] for x in (one, two, doc, start, n))
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(one)) - 1
+    group = np.cumsum(new) - 1
+    keep = ((doc[first] != doc[last]) | (start[first] != start[last]))[group]
+    head = first[group][keep]
+    doc, start, n, keep_doc, keep_start = doc[keep], start[keep], n[keep], doc[head], start[head]
+    return pa.table([pa.array(x) for x in (doc, start, n, keep_doc, keep_start, (doc != keep_doc) | (start != keep_start))], names=_names(PASSAGES))
+
+
 def piece_classes(docs: DataFrame) -> DataFrame:
     """Equal pieces in two places or more: doc_id, start, n_words, keep_doc_id, keep_start."""
-    w = Window.partitionBy("digest", "digest2")
-    rows = (piece_units(docs).withColumn("keep", F.min(F.struct("doc_id", "start")).over(w))
-            .withColumn("last", F.max(F.struct("doc_id", "start")).over(w)).filter("keep != last"))
-    return rows.select("doc_id", "start", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"),
-                       ((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start"))).alias("removed"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return piece_units(docs, parts).groupBy("part").applyInArrow(tidy_group(_equal_pieces), PASSAGES)
 
 
 SEEDS = "doc_id long, start long, seed long"
@@ -322,10 +346,6 @@ RUNS = "doc_id long, start long, seed long, digests array<long>"
 PASSAGES = "doc_id long, start long, n_words long, keep_doc_id long, keep_start long, removed boolean"
 
 
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
-
-
 def seed_units(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:

@@ -748,3 +748,23 @@ def test_shingles_of_all_paragraphs_are_hashed_at_once(monkeypatch):
         w = line.split()
         assert b - a == len(w) and len(s) == len({tuple(w[k:k + 5]) for k in range(len(w) - 4)})
         assert (s[1:] > s[:-1]).all() and np.array_equal(u.shingles(np.array([a]), np.array([b]))[0], s)
+
+
+def test_equal_pieces_against_a_count(spark):
+    """Packed runs of pieces give the classes that a plain count of the pieces gives, also for rows that share an id."""
+    rnd = random.Random(12)
+    chunks = [" ".join(f"{rnd.random()}" for _ in range(60)) for _ in range(12)]
+    rows = [(i % 25 - 3, " ".join(rnd.choice(chunks) + f" {i} " + rnd.choice(chunks) for _ in range(3))) for i in range(30)]
+    places = {}
+    for i, text in rows:
+        u = paragraph_minhash.Units(pa.array([text]))
+        words = text.split()
+        for _, lo, hi in zip(*u.pieces()):
+            if hi - lo >= paragraph_minhash.MIN_PIECE:
+                places.setdefault(tuple(words[lo:hi]), []).append((i, int(lo), int(hi - lo)))
+    want = sorted((i, s, n, *min(own)[:2], (i, s) != min(own)[:2]) for own in places.values() if len({x[:2] for x in own}) > 1 for i, s, n in own)
+    d = docs(spark, rows + [(None, rows[0][1]), (50, None)])
+    got = paragraph_minhash.piece_classes(d)
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 50
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # nor a row of the JVM for each piece
+    assert paragraph_minhash.piece_classes(docs(spark, [])).count() == 0
