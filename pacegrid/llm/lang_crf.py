@@ -23,13 +23,15 @@ Null text, or text without a letter: ``und`` with score 0.  Without any labelled
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, crc_fold, hash_strings, mix64, slices, split_words, texts, tidy
+from .common import U64, crc_fold, hash_strings, mix64, release, slices, split_words, texts, tidy
 
 UND = "und"
 PER_LANG = 400
@@ -256,6 +258,15 @@ def _lexicon(parts: list[tuple[str, list[str]]], labels: list[str]) -> tuple[np.
     return keys[order], odds[order]
 
 
+def _summed(weights: np.ndarray, feats: np.ndarray, offsets: np.ndarray, most: int = 4096) -> np.ndarray:
+    """Sum of the weights of each word's features, ``most`` words at a time."""
+    out = np.empty((len(offsets) - 1, weights.shape[1]))
+    for lo in range(0, len(out), most):
+        cut = offsets[lo:lo + most + 1]
+        out[lo:lo + most] = np.add.reduceat(weights[feats[cut[0]:cut[-1]]], cut[:-1] - cut[0])
+    return out
+
+
 def fit(stretches: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 11) -> Model:
     """Maximum likelihood with a small penalty, by Adam on all sequences at once."""
     labels = sorted({x for x, _ in stretches})
@@ -299,7 +310,7 @@ def fit(stretches: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 11)
     gold_at = gold[at]
     for step in range(1, rounds + 1):
         w, scale, t, first = params
-        E = (np.add.reduceat(w[feats], offsets[:-1]) + scale[0] * lex)[codes]
+        E = (_summed(w, feats, offsets) + scale[0] * lex)[codes]
         e = np.exp(E - E.max(1, keepdims=True))
         tt, ff = np.exp(t), np.exp(first)
         fw = np.zeros((T, len(seqs), L))
@@ -329,8 +340,7 @@ def fit(stretches: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 11)
             x = m @ tt.T
             bw = np.where(live[:, None], x / x.sum(1, keepdims=True), bw)
         grad_u = np.stack([np.bincount(codes, grad_E[:, j], len(d.dictionary)) for j in range(L)], 1)
-        by_feat = np.repeat(grad_u, per, axis=0)
-        grad_w = np.stack([np.bincount(feats, by_feat[:, j], DIMS) for j in range(L)], 1)
+        grad_w = np.stack([np.bincount(feats, np.repeat(grad_u[:, j], per), DIMS) for j in range(L)], 1)
         grads = [grad_w / n * 10 + 1e-5 * w, np.array([(grad_u * lex).sum()]) / n, grad_t / n + 1e-4 * t, grad_first / len(seqs) + 1e-3 * first]
         for p, g, a, b in zip(params, grads, mom, var):
             a += 0.1 * (g - a)
@@ -342,7 +352,11 @@ def fit(stretches: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 11)
 def train(docs: DataFrame, per_lang: int = PER_LANG, cuts: int = CUTS, stretch: int = STRETCH) -> Model | None:
     """A model of the labelled rows of ``docs`` (columns doc_id, text, lang); None without any."""
     got = sample(docs, per_lang, cuts, stretch)
-    return fit(got) if got else None
+    model = fit(got) if got else None
+    del got
+    gc.collect()
+    release()  # the driver's memory of the fit
+    return model
 
 
 # ---- prediction ----

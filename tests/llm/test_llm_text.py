@@ -188,6 +188,39 @@ def test_connected_components(spark):
     assert got == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_take_few_tasks_for_few_links(spark):
+    """The driver keeps an account of every task: few links must not become a task a shuffle partition at every step."""
+    names = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    edges = [(10 * i + j, 10 * i + j + 1) for i in range(20) for j in range(5)] + [(1000, 1000 + j) for j in range(1, 50)]
+    group = "components-tasks"
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r["id"]: r["component_id"] for r in components.connected_components(
+            spark.createDataFrame(edges, "a long, b long").coalesce(1)).coalesce(1).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {x: 1000 if x >= 1000 else x // 10 * 10 for e in edges for x in e}
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    infos = [x for x in map(tracker.getStageInfo, stages) if x is not None]
+    tasks = sum(x.numCompletedTasks for x in infos)
+    assert infos and tasks < 2000  # 4326 when every step had a task a partition
+
+
+def test_words_are_summed_in_blocks_of_words():
+    words = pa.array(["a", "beta", "gamma", "delta", "of", "the"], pa.large_string())
+    feats, offsets = lang_crf.word_features(words)
+    weights = np.random.default_rng(5).normal(size=(lang_crf.DIMS, 3))
+    want = np.add.reduceat(weights[feats], offsets[:-1])
+    for most in (1, 4, 6, 100):
+        assert np.array_equal(lang_crf._summed(weights, feats, offsets, most), want)
+
+
 # ---- decontamination ----
 
 def test_decontamination_tolerates_substitutions(spark):
