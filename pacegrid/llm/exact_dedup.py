@@ -30,17 +30,22 @@ def digests(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", F.unhex(F.sha2(F.col("text"), 256)).alias("digest"))
 
 
-def heavy_hitters(docs: DataFrame, k: int = WINNERS, tracked: int = TRACKED, heavy: int = HEAVY) -> DataFrame:
-    """Verified frequent digests: (digest, keep_id, group_size), at most ``k`` rows."""
+def heavy_texts(docs: DataFrame, k: int = WINNERS, tracked: int = TRACKED, heavy: int = HEAVY) -> DataFrame:
+    """Verified frequent digests: (digest, keep_id, group_size, h), at most ``k`` rows; h is the texts' xxhash64."""
     short = texts(docs).select(F.xxhash64("text").alias("h"))
     top = (short.agg(F.expr(f"approx_top_k(h, {k}, {tracked})").alias("top"))
            .select(F.explode("top").alias("t")).select(F.col("t.item").alias("h"))).limit(k)
     named = texts(docs).withColumn("h", F.xxhash64("text")).join(F.broadcast(top), "h", "left_semi")
-    return (digests(named).groupBy("digest")
-            .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return (named.select("doc_id", F.unhex(F.sha2(F.col("text"), 256)).alias("digest"), "h").groupBy("digest")
+            .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min("h").alias("h"))
             .filter(F.col("group_size") >= heavy).orderBy(F.desc("group_size"), "digest").limit(k))
 
 
+def heavy_hitters(docs: DataFrame, k: int = WINNERS, tracked: int = TRACKED, heavy: int = HEAVY) -> DataFrame:
+    """Verified frequent digests: (digest, keep_id, group_size), at most ``k`` rows."""
+    return heavy_texts(docs, k, tracked, heavy).drop("h")
+
+
 def exact_groups(docs: DataFrame, k: int = WINNERS, tracked: int = TRACKED, heavy: int = HEAVY) -> DataFrame:
     """One row per document: doc_id, digest, keep_id (largest id of the equal texts), group_size."""
     rows = digests(docs)

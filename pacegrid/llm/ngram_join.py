@@ -34,21 +34,30 @@ component.  Rows that share an id are one node with several sets.  Empty table:
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import Scratch, U64, collect_garbage, hash_strings, mix64, release, slices, split_words, stored, texts, tidy, tidy_group
 from .components import connected_components
-from .exact_dedup import heavy_hitters
+from .exact_dedup import heavy_texts
 
 WORDS = 5
 SMALL = 16                 # below this size every shingle is a segment
 PER_SEGMENT = 2            # shingles per segment at the top of a band
-PART_BYTES = 4_000_000     # text behind one part of the hash range
+PART_SIGNATURES = 450_000  # signatures of one part of the hash range
+TOGETHER = 1_000_000       # signatures that are sorted and cut into parts at once
 BLOCK = 256                # sets in one block of steps 3 and 4
+STEP = 1.26                # sizes of linked sets are at most one step apart (a factor of 1.25)
 FEW = 16                   # members up to which the pairs of a bucket of step 3 are formed one by one
+MANY = 16_384              # ids above which texts are picked by a Bloom filter, not shuffled to meet the ids
+BITS_PER_ID, HASHES = 16, 3
 _P = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -99,15 +108,13 @@ def allowed(size):
     return size // 4
 
 
-def segment_table(h: np.ndarray, offsets: np.ndarray, per_segment: float = PER_SEGMENT):
-    """Every non-empty segment of every set: (set, family, band, segment, signature, size) arrays, and its tokens.
+def _segments(h: np.ndarray, offsets: np.ndarray, per_segment: float):
+    """Every non-empty segment of every set, by family: (family, tokens, set, band and segment of each token, first token of each segment).
 
     family 0 is the set's own band, 1 the band above (only where a linked set may be there).
-    Returns (set, family, signature, first, size, token order): tokens[first:first + size] are the segment's.
     """
     size = np.diff(offsets)
     band = band_of(size)
-    out = []
     for family in (0, 1):
         if family == 0:
             chosen = np.flatnonzero(size > 0)
@@ -130,7 +137,24 @@ def segment_table(h: np.ndarray, offsets: np.ndarray, per_segment: float = PER_S
         # a set's shingles are sorted, and its segments are ranges of them: equal segments lie together
         new = np.ones(len(tok), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (seg[1:] != seg[:-1])
-        first = np.flatnonzero(new)
+        yield family, tok, owner, ob, seg, np.flatnonzero(new)
+
+
+def segment_counts(h: np.ndarray, offsets: np.ndarray, per_segment: float = PER_SEGMENT) -> list[np.ndarray]:
+    """For each family the number of segments of every set that are not empty."""
+    n = [np.zeros(len(offsets) - 1, np.int64) for _ in range(2)]
+    for family, _, owner, _, _, first in _segments(h, offsets, per_segment):
+        n[family] += np.bincount(owner[first], minlength=len(offsets) - 1)
+    return n
+
+
+def segment_table(h: np.ndarray, offsets: np.ndarray, per_segment: float = PER_SEGMENT):
+    """Every non-empty segment of every set: (set, family, signature, size, tokens, first, place) arrays by family.
+
+    tokens[first:first + size] are the segment's.
+    """
+    out = []
+    for family, tok, owner, ob, seg, first in _segments(h, offsets, per_segment):
         content = np.add.reduceat(mix64(tok + U64(0x51ED27)), first) if len(first) else np.zeros(0, U64)
         place = np.where(ob[first] == 0, 0, seg[first]).astype(U64) * U64(64) + ob[first].astype(U64)
         out.append((owner[first], np.full(len(first), family), mix64(content + mix64(place)),
@@ -140,7 +164,7 @@ def segment_table(h: np.ndarray, offsets: np.ndarray, per_segment: float = PER_S
 
 # ---- passes over the documents ----
 
-INFO = "doc_id long, n_shingles long, own_segments long, up_segments long, sketch binary"
+INFO = "doc_id long, n_shingles long, own_segments long, up_segments long, sketch binary, digest long"
 RUNS = "part int, sigs binary, rows binary, docs binary"
 SHARED = "class long, doc_id long, family int, sig long"
 
@@ -157,6 +181,12 @@ def sketches(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [packed[a:b] for a, b in zip(cut, cut[1:])]
 
 
+def set_digests(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit digest of each set."""
+    ends, data = (offsets * 8).tolist(), h.view(np.uint8).data
+    return np.frombuffer(b"".join(hashlib.sha256(data[lo:hi]).digest()[:8] for lo, hi in zip(ends, ends[1:])), np.int64)
+
+
 def may_link(n: int, x: bytes, m: int, y: bytes) -> bool:
     """False only if the sets cannot link: sizes too far apart, or more differences than links allow."""
     if not n or not m or 5 * min(n, m) < 4 * max(n, m):
@@ -174,13 +204,10 @@ def set_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> DataFrame:
         for batch in batches:
             for b in slices(batch, most=1_000_000):
                 h, offsets = shingle_sets(b.column("text"))
-                n = [np.zeros(len(offsets) - 1, np.int64) for _ in range(2)]
-                for owner, family, *_ in segment_table(h, offsets, per_segment):
-                    if len(owner):
-                        n[family[0]] += np.bincount(owner, minlength=len(offsets) - 1)
+                n = segment_counts(h, offsets, per_segment)
                 yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n[0]), pa.array(n[1]),
-                                       pa.array(sketches(h, offsets), pa.binary())],
-                                      names=["doc_id", "n_shingles", "own_segments", "up_segments", "sketch"])
+                                       pa.array(sketches(h, offsets), pa.binary()), pa.array(set_digests(h, offsets))],
+                                      names=["doc_id", "n_shingles", "own_segments", "up_segments", "sketch", "digest"])
             release()
 
     return texts(docs).mapInArrow(tidy(run), INFO)
@@ -195,34 +222,53 @@ def _from_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def _cut(held: list[tuple], parts: int):
+    """Record batches of RUNS: the signatures of several slices (signature, 2 * text + family, id of each text) in one sort."""
+    ids = np.concatenate([i for _, _, i in held])
+    start = np.cumsum([0, *(len(i) for _, _, i in held)])
+    sig = np.concatenate([s for s, _, _ in held])
+    row = np.concatenate([r + 2 * k for (_, r, _), k in zip(held, start.tolist())]).astype(np.uint32)
+    held.clear()
+    order = np.argsort(sig, kind="stable")
+    sig, row = sig[order], row[order]
+    del order
+    part = ((sig >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
+    live, cuts = np.unique(part, return_index=True)
+    cuts = np.append(cuts, len(part)).tolist()
+    del part
+    for some in range(0, len(live), 64):
+        sigs, rows, own = [], [], []
+        for lo, hi in zip(cuts[some:some + 64], cuts[some + 1:some + 65]):
+            r = row[lo:hi]
+            d, local = np.unique(r >> 1, return_inverse=True)
+            sigs.append(_planes(sig[lo:hi]))
+            rows.append((local * 2 + (r & 1)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+            own.append(ids[d].astype("<i8").tobytes())
+        yield pa.record_batch([pa.array(live[some:some + 64], pa.int32()), pa.array(sigs, pa.binary()), pa.array(rows, pa.binary()),
+                               pa.array(own, pa.binary())], names=["part", "sigs", "rows", "docs"])
+
+
 def packed_signatures(docs: DataFrame, parts: int, per_segment: float = PER_SEGMENT) -> DataFrame:
-    """Sorted runs of signatures: per task slice and part, signatures and (document, family) of each."""
+    """Sorted runs of signatures: per TOGETHER signatures of a task and part, signatures and (document, family) of each."""
 
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             for b in slices(batch, most=2_000_000):
-                ids = b.column("doc_id").to_numpy(zero_copy_only=False)
                 h, offsets = shingle_sets(b.column("text"))
                 table = segment_table(h, offsets, per_segment)
                 if not table:
                     continue
-                sig = np.concatenate([t[2] for t in table])
-                row = np.concatenate([t[0] * 2 + t[1] for t in table])
-                order = np.argsort(sig, kind="stable")
-                sig, row = sig[order], row[order]
-                part = ((sig >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-                live, cuts = np.unique(part, return_index=True)
-                cuts = np.append(cuts, len(part))
-                sigs, rows, own = [], [], []
-                for k in range(len(live)):
-                    r = row[cuts[k]:cuts[k + 1]]
-                    d, local = np.unique(r >> 1, return_inverse=True)
-                    sigs.append(_planes(sig[cuts[k]:cuts[k + 1]]))
-                    rows.append((local * 2 + (r & 1)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-                    own.append(ids[d].astype("<i8").tobytes())
-                yield pa.record_batch([pa.array(live, pa.int32()), pa.array(sigs, pa.binary()), pa.array(rows, pa.binary()),
-                                       pa.array(own, pa.binary())], names=["part", "sigs", "rows", "docs"])
+                held.append((np.concatenate([t[2] for t in table]), np.concatenate([t[0] * 2 + t[1] for t in table]).astype(np.uint32),
+                             b.column("doc_id").to_numpy(zero_copy_only=False).copy()))
+                n += len(held[-1][0])
+                del h, offsets, table
+                if n >= TOGETHER:
+                    yield from _cut(held, parts)
+                    n = 0
             release()
+        if held:
+            yield from _cut(held, parts)
 
     return texts(docs).filter("doc_id is not null").mapInArrow(tidy(run), RUNS)
 
@@ -240,14 +286,16 @@ def _shared(runs: pa.Table) -> pa.Table:
         doc.append(np.frombuffer(d, "<i8")[row >> 1])
         fam.append((row & 1).astype(np.int32))
     sig, doc, fam = np.concatenate(sig), np.concatenate(doc), np.concatenate(fam)
-    order = np.lexsort((fam, doc, sig))
+    order = np.argsort(sig, kind="stable")  # merges the sorted runs
     sig, doc, fam = sig[order], doc[order], fam[order]
     new = np.ones(len(sig), bool)
     new[1:] = sig[1:] != sig[:-1]
     first = np.flatnonzero(new)
-    many = doc[first] != doc[np.append(first[1:], len(sig)) - 1]
+    many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
     keep = many[np.cumsum(new) - 1]
     sig, doc, fam, new = sig[keep], doc[keep], fam[keep], new[keep]
+    order = np.lexsort((fam, doc, np.cumsum(new)))
+    doc, fam = doc[order], fam[order]
     first = np.flatnonzero(new)
     members = mix64(doc.astype(U64) * U64(2) + fam.astype(U64) + U64(0x3C6EF372))
     of = mix64(np.add.reduceat(members, first)) if len(first) else np.zeros(0, U64)
@@ -259,8 +307,30 @@ def _shared(runs: pa.Table) -> pa.Table:
                      "sig": pa.array(sig[rows].view(np.int64), mask=~new[rows])})
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles binary) of the documents named in ``ids`` (column doc_id)."""
+def _bloom(ids: DataFrame, words: int) -> DataFrame:
+    """One row: a Bloom filter of the ids (column doc_id) as an array of 64-bit words."""
+    at = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(words * 64)) for k in range(HASHES)))).alias("at"))
+    found = at.select(F.expr("shiftright(at, 6)").alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bits"))
+    none = ids.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    rows = found.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return rows.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all")).select(F.col("all.bits").alias("_words"))
+
+
+def _of(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows (doc_id, text) of the ids (column doc_id, about ``n``), where there are many with a few others among them.
+
+    No text is shuffled for it: few ids are broadcast, of many ids a Bloom filter is.
+    """
+    if n <= MANY:
+        return rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    words = 1 << min(20, max(10, (n * BITS_PER_ID // 64).bit_length()))
+    places = (f"pmod(xxhash64(doc_id, {k}), {words * 64})" for k in range(HASHES))
+    held = [f"shiftright(get(_words, cast(shiftright({x}, 6) as int)), cast({x} & 63 as int)) & 1 = 1" for x in places]
+    return rows.join(F.broadcast(stored(_bloom(ids, words), "bloom")), F.expr(" and ".join(held)), "left_semi")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """(doc_id, shingles binary) of the texts."""
 
     def run(batches):
         for batch in batches:
@@ -270,8 +340,12 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.record_batch([b.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "shingles"])
             release()
 
-    return texts(docs).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
-        tidy(run), "doc_id long, shingles binary")
+    return rows.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles binary")
+
+
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles binary) of the documents named in ``ids`` (column doc_id)."""
+    return _sets(texts(docs).join(ids.select("doc_id").distinct(), "doc_id", "left_semi"))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -293,17 +367,19 @@ def _chunks(batches, rows: int = 512):
 
 
 def plausible(info: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) that sizes and sketches do not rule out."""
-    one = info.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("_na"), F.col("sketch").alias("_sa"))
-    two = info.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("_nb"), F.col("sketch").alias("_sb"))
+    """The pairs (a, b, ...) that sizes and sketches do not rule out; ``same`` tells pairs of equal sets if ``info`` has digests."""
+    digest = F.col("digest") if "digest" in info.columns else F.lit(None).cast("long")
+    one = info.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("_na"), F.col("sketch").alias("_sa"), digest.alias("_da"))
+    two = info.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("_nb"), F.col("sketch").alias("_sb"), digest.alias("_db"))
     names = pairs.columns
 
     def run(batches):
         for b in _chunks(batches):
             rows = zip(*(b.column(c).to_pylist() for c in ("_na", "_sa", "_nb", "_sb")))
-            yield b.select(names).filter(pa.array([may_link(*r) for r in rows], pa.bool_()))
+            yield b.select([*names, "same"]).filter(pa.array([may_link(*r) for r in rows], pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select(*names, "_na", "_sa", "_nb", "_sb").mapInArrow(tidy(run), pairs.schema)
+    rows = pairs.join(one, "a").join(two, "b").select(*names, "_na", "_sa", "_nb", "_sb", F.coalesce(F.expr("_na = _nb and _da = _db"), F.lit(False)).alias("same"))
+    return rows.mapInArrow(tidy(run), StructType([*pairs.schema.fields, StructField("same", BooleanType())]))
 
 
 def _different(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -317,7 +393,7 @@ def _different(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets link; drop ``scratch`` once they are stored."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sets = scratch.stored(sets_of(docs, ids), "sets")
+    sets = scratch.stored(_sets(_of(texts(docs), ids, 2 * pairs.count())), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     rows = pairs.join(two, "b").join(one, "a")
@@ -441,76 +517,113 @@ def _with_verified(docs: DataFrame, links: DataFrame, pairs: DataFrame, name: st
 
 
 def _in_waves(docs: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
-    """links plus the verified ones of pairs (a, b, n) that join components: of each b first the pair with the largest n."""
+    """links plus the verified ones of pairs (a, b, n, same) that join components: of each b first the pair with the largest n.
+
+    Pairs of equal sets (``same``) link as they are.
+    """
     order = Window.partitionBy("b").orderBy(F.desc("n"), "a")
-    pairs = stored(pairs.withColumn("nth", F.row_number().over(order)).select("a", "b", "nth"), "pairs")
+    pairs = stored(pairs.withColumn("nth", F.row_number().over(order)).select("a", "b", "nth", "same"), "pairs")
     collect_garbage(docs.sparkSession)
+    links, pairs = links.unionByName(pairs.filter("same").select("a", "b")), pairs.filter("not same")
     first = _with_verified(docs, links, pairs.filter("nth = 1").select("a", "b"), "links_first")
     rest = stored(_different(pairs.filter("nth > 1").select("a", "b"), connected_components(first)), "pairs_rest")
     return _with_verified(docs, first, rest, "links_rest")
 
 
-def _close(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
-    """Pairs of two blocks, of different components, that sizes and sketches do not rule out."""
+def _by_width(sets: pa.StructArray) -> list[tuple]:
+    """(ids, components, sizes, sketches as rows of 64-bit words) of the sets of a block, for each width of the sketches."""
+    ids, comp, n = (sets.field(c).to_numpy() for c in ("doc_id", "comp", "n_shingles"))
+    sketch = sets.field("sketch")
+    width = pc.binary_length(sketch).to_numpy()
     out = []
-    by = []
-    for block in (a, b):
-        widths = {}
-        for x in block:
-            widths.setdefault(len(x["sketch"]), []).append(x)
-        by.append({w: ([x["doc_id"] for x in own], np.array([x["comp"] for x in own]), np.array([x["n_shingles"] for x in own]),
-                       np.frombuffer(b"".join(x["sketch"] for x in own), np.uint8).reshape(len(own), w)) for w, own in widths.items()})
-    for w, (i, ci, n, s) in by[0].items():
-        for v, (j, cj, m, t) in by[1].items():
-            s2, t2 = s, t
-            while s2.shape[1] > t2.shape[1]:
-                s2 = s2[:, :s2.shape[1] // 2] ^ s2[:, s2.shape[1] // 2:]
-            while t2.shape[1] > s2.shape[1]:
-                t2 = t2[:, :t2.shape[1] // 2] ^ t2[:, t2.shape[1] // 2:]
-            size = n[:, None] + m
-            apart = np.stack([np.bitwise_count(row ^ t2).sum(1, dtype=np.int64) for row in s2])
-            ok = (apart * 9 <= size) & (5 * np.minimum(n[:, None], m) >= 4 * np.maximum(n[:, None], m)) & (ci[:, None] != cj)
-            out += [(min(i[x], j[y]), max(i[x], j[y])) for x, y in zip(*np.nonzero(ok))]
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        rows = np.frombuffer(b"".join(sketch.take(pa.array(at)).to_pylist()), U64).reshape(len(at), w // 8)
+        out.append((ids[at], comp[at], n[at], rows))
     return out
 
 
+def _folded(s: np.ndarray, words: int) -> np.ndarray:
+    while s.shape[1] > words:
+        s = s[:, :s.shape[1] // 2] ^ s[:, s.shape[1] // 2:]
+    return s
+
+
+def _close(one: pa.StructArray, two: pa.StructArray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two blocks, or in one, of different components, that sizes and sketches do not rule out."""
+    a = _by_width(one)
+    b = a if two is None else _by_width(two)
+    found = [(np.zeros(0, np.int64),) * 2]
+    for x, (i, ci, n, s) in enumerate(a):
+        for j, cj, m, t in b[x:] if two is None else b:
+            if 5 * n.max() < 4 * m.min() or 5 * m.max() < 4 * n.min():
+                continue
+            words = min(s.shape[1], t.shape[1])
+            s2, t2 = _folded(s, words), _folded(t, words)
+            some = max(1, 100_000 // (len(t2) * words))
+            for k in range(0, len(s2), some):
+                own = n[k:k + some, None]
+                ok = (5 * np.minimum(own, m) >= 4 * np.maximum(own, m)) & (ci[k:k + some, None] != cj)
+                if not ok.any():
+                    continue
+                apart = np.bitwise_count(s2[k:k + some, None, :] ^ t2).sum(2, dtype=np.int32)
+                u, v = np.nonzero(ok & (apart * 9 <= own + m))
+                found.append((np.minimum(i[k + u], j[v]), np.maximum(i[k + u], j[v])))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _in_blocks(info: DataFrame, crowd: DataFrame, comps: DataFrame) -> DataFrame:
-    """Plausible pairs among sets that share a busy bucket: groups are cut into blocks of about BLOCK sets, and the sketches
-    of two blocks are compared at once, so a pair becomes a row only if it may link."""
-    groups = connected_components(crowd.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))).select(
-        F.col("id").alias("doc_id"), F.col("component_id").alias("g"))
-    sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    placed = _component(groups.join(sizes, "g").join(info.select("doc_id", "n_shingles", "sketch"), "doc_id"), comps)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    block = stored(placed.groupBy("g", "block").agg(F.collect_list(F.struct("doc_id", "comp", "n_shingles", "sketch")).alias("sets"),
-                                                    F.first("blocks").alias("blocks")), "blocks")
-    cells = block.select("g", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    rows = (cells.join(block.select("g", F.col("block").alias("i"), F.col("sets").alias("one")), ["g", "i"])
-            .join(block.select("g", F.col("block").alias("j"), F.col("sets").alias("two")), ["g", "j"]))
+    """Plausible pairs among sets that share a busy bucket: the sketches of two blocks of sets are compared at once, so a pair
+    becomes a row only if it may link.
+
+    A group is all members of the busy buckets with one smallest member, the head (crowd: head, doc_id); every bucket lies
+    in one group.  Groups are not joined where they overlap: with more documents that would make most of them one.  A group
+    of more than BLOCK sets is cut by size, and each step of sizes by hash into blocks, which meet those of the same and the next step.
+    """
+    step = F.floor(F.log("n_shingles") / F.lit(math.log(STEP))).cast("long")
+    light = crowd.join(info.filter("n_shingles > 0").select("doc_id", "n_shingles"), "doc_id").select("head", "doc_id", step.alias("step")).distinct()
+    total = F.sum("n").over(Window.partitionBy("head"))
+    cut = (light.groupBy("head", "step").agg(F.count(F.lit(1)).alias("n")).withColumn("total", total)
+           .select("head", "step", F.when(F.col("total") > BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(0).cast("long").alias("blocks")))
+    place = light.join(cut, ["head", "step"]).select("head", "doc_id", "step", F.when(F.col("blocks") > 0, F.col("step")).otherwise(-1).alias("at"),
+                                                     F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).otherwise(0).alias("block"))
+    sets = info.select("doc_id", "n_shingles", "sketch", step.alias("step"))
+    placed = _component(place.join(sets, ["doc_id", "step"]), comps)
+    block = stored(placed.groupBy("head", "at", "block").agg(F.collect_list(F.struct("doc_id", "comp", "n_shingles", "sketch")).alias("sets")), "blocks")
+    names = block.select("head", "at", "block").filter("at >= 0")
+    other = names.select("head", F.col("at").alias("at2"), F.col("block").alias("block2"))
+    cells = names.join(other, "head").filter("(at = at2 and block < block2) or at + 1 = at2")
+    one = block.withColumnRenamed("sets", "one")
+    two = block.select("head", F.col("at").alias("at2"), F.col("block").alias("block2"), F.col("sets").alias("two"))
+    rows = cells.join(one, ["head", "at", "block"]).join(two, ["head", "at2", "block2"]).select("one", "two")
+    rows = rows.unionByName(one.select("one", F.lit(None).cast(one.schema["one"].dataType).alias("two")))
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                r = batch.slice(k, 1)
-                got = _close(r.column("one")[0].as_py(), r.column("two")[0].as_py())
-                yield pa.record_batch([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
+                x, y = batch.column("one")[k], batch.column("two")[k]
+                a, b = _close(x.values, y.values if y.is_valid else None)
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return rows.select("one", "two").mapInArrow(tidy(run), "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[DataFrame, DataFrame]:
     """(components (id, component_id) of linked documents, info rows of all documents)."""
     all_docs = texts(docs)
     info = stored(set_sizes(docs, per_segment), "sizes")
-    winners = F.broadcast(stored(heavy_hitters(docs), "winners").select("digest", "keep_id"))
-    marked = all_docs.withColumn("digest", F.unhex(F.sha2("text", 256))).join(winners, "digest", "left")
+    winners = stored(heavy_texts(docs), "winners")
+    hot = F.broadcast(winners.select("h", F.lit(True).alias("hot")).distinct())  # only their texts are digested
+    marked = all_docs.withColumn("h", F.xxhash64("text")).join(hot, "h", "left").withColumn("digest", F.when(F.col("hot"), F.unhex(F.sha2("text", 256))))
+    marked = marked.join(F.broadcast(winners.select("digest", "keep_id")), "digest", "left")
     copy = F.col("keep_id").isNotNull() & (F.col("doc_id") != F.col("keep_id"))
-    blank = F.length(F.regexp_replace("text", r"[ \t\n\x0B\f\r]", "")) == 0
-    copies = marked.filter(copy & ~blank).select(F.col("doc_id").alias("a"), F.col("keep_id").alias("b"))
+    worded = F.when(F.col("hot"), F.length(F.regexp_replace("text", r"[ \t\n\x0B\f\r]", "")) > 0)  # not evaluated for other texts
+    copies = marked.filter(copy & worded).select(F.col("doc_id").alias("a"), F.col("keep_id").alias("b"))
     base = marked.filter(F.coalesce(~copy, F.lit(True)) & F.col("doc_id").isNotNull()).select("doc_id", "text")
 
-    size = all_docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(32, -(-size // PART_BYTES))
+    named = all_docs.filter("doc_id is not null")
+    size = info.agg(F.sum(F.col("own_segments") + F.col("up_segments"))).first()[0] or 0
+    parts = max(32, -(-size // PART_SIGNATURES))
     shared = stored(packed_signatures(base, parts, per_segment).groupBy("part").applyInArrow(tidy_group(_shared), SHARED), "shared")
     collect_garbage(docs.sparkSession)
     # buckets with the same members are handled once, as a class: far fewer rows than buckets and members
@@ -519,7 +632,7 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
     pairs = (members.select("class", F.col("doc_id").alias("b")).join(pivots, "class").filter("a < b")
              .groupBy("a", "b").agg(F.sum("n").alias("n")))
     ids = info.filter("doc_id is not null")
-    links = _in_waves(base, copies, plausible(ids, pairs))
+    links = _in_waves(named, copies, plausible(ids, pairs))
     comps = stored(connected_components(links), "components1")
 
     # step 2: buckets with several components, and the sets they leave without K + 1 free ones
@@ -544,7 +657,7 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
     sigs = shared.filter("sig is not null").groupBy("class").agg(F.collect_list("sig").alias("sigs"))
     own = mixed.join(unfinished, "doc_id", "left_semi").join(sigs, "class").groupBy("doc_id").agg(
         F.collect_list(F.struct("family", "n", "sigs")).alias("mixed"))
-    left = (base.join(unfinished, "doc_id", "left_semi").join(own, "doc_id", "left")
+    left = (_of(named, unfinished, unfinished.count()).join(unfinished, "doc_id", "left_semi").join(own, "doc_id", "left")
             .select("doc_id", "text", F.coalesce("mixed", F.expr("array()").cast(own.schema["mixed"].dataType)).alias("mixed")))
     asked = stored(_neighbour_rows(_component(left, comps), per_segment), "asked")
     collect_garbage(docs.sparkSession)
@@ -557,10 +670,10 @@ def links_and_sizes(docs: DataFrame, per_segment: float = PER_SEGMENT) -> tuple[
     probe = few.filter("probe").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("cx"))
     index = few.select("key", F.col("doc_id").alias("y"), F.col("comp").alias("cy"))
     more = probe.join(index, "key").filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = plausible(ids, more)
+    more = plausible(ids, more).select("a", "b")
     crowd = met.filter(F.col("n") > FEW).select("head", "doc_id").distinct()
     more = more.unionByName(_in_blocks(ids, stored(crowd, "crowd"), comps)).distinct()
-    links = _in_waves(base, links, more.withColumn("n", F.lit(1)))
+    links = _in_waves(named, links, more.select("a", "b", F.lit(1).alias("n"), F.lit(False).alias("same")))
     # step 4
     lacking = stored(asked.filter("key is null").select("doc_id").distinct(), "lacking")
     if not lacking.isEmpty():  # stored, so its size is known and the texts are not shuffled for a few ids

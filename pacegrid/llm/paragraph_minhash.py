@@ -290,7 +290,7 @@ def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: f
                              .filter("pivot < top").select("sig", "unit", "pivot"), "buckets")
     info = rep_units.select(F.col("unit").alias("doc_id"), "n_shingles", "sketch")
     pairs = buckets.select(F.col("pivot").alias("a"), F.col("unit").alias("b")).filter("a < b").distinct()
-    pairs = scratch.stored(plausible(info, pairs), "pairs")
+    pairs = scratch.stored(plausible(info, pairs).select("a", "b"), "pairs")
     links = scratch.stored(_verified(docs, rep_units.select("unit", "doc_id", "start", "n_words"), pairs, scratch), "links1")
     comps = scratch.stored(connected_components(links), "components1")
     # buckets that still hold several components
@@ -303,7 +303,7 @@ def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     other = few.select("sig", F.col("unit").alias("unit2"), F.col("c").alias("c2"))
     more = few.join(other, "sig").filter("c != c2 and unit < unit2").select(F.col("unit").alias("a"), F.col("unit2").alias("b")).distinct()
     crowd = scratch.stored(left.filter(F.col("n") > FEW).select("head", F.col("unit").alias("doc_id")).distinct(), "crowd")
-    more = plausible(info, more).unionByName(_in_blocks(info, crowd, comps)).distinct()
+    more = plausible(info, more).select("a", "b").unionByName(_in_blocks(info, crowd, comps)).distinct()
     more = scratch.stored(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
     links = links.unionByName(_verified(docs, rep_units.select("unit", "doc_id", "start", "n_words"), more, scratch))
     comps = connected_components(scratch.stored(links, "links2"))

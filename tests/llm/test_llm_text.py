@@ -730,6 +730,91 @@ def test_buckets_with_the_same_members_are_one_class(spark):
     assert buckets > 400 and rows < 3 * buckets  # 6 rows a bucket before
 
 
+@pytest.mark.parametrize("seed,block", [(4, 8), (5, 256)])
+def test_components_with_small_blocks_and_filtered_texts(spark, monkeypatch, seed, block):
+    for name, value in (("FEW", 1), ("BLOCK", block), ("MANY", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = hard_rows(seed, 240)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"])
+            for r in ngram_join.ngram_components(docs(spark, rows)).collect()} == brute_components(rows)
+
+
+@pytest.mark.parametrize("block", [8, 256])
+def test_groups_that_overlap_are_not_one(spark, monkeypatch, block):
+    """A chain of groups was one group, in which all sets were compared: with more documents most groups were in it."""
+    from pathlib import Path
+
+    from pacegrid.session import checkpoint_dir
+
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    sets = []
+    for k in range(40):  # groups of 31, the last of one is the first of the next; most sets have a near copy
+        for i in range(30):
+            base = rng.integers(0, 2 ** 63, rng.integers(5, 200), dtype=np.uint64) if i % 3 == 0 else base
+            sets.append(np.unique(np.concatenate([base[i % 3:], rng.integers(0, 2 ** 63, i % 2, dtype=np.uint64)])))
+    info = [(i, len(x), ngram_join.sketches(x, np.array([0, len(x)]))[0]) for i, x in enumerate(sets)]
+    crowd = [(30 * k, i) for k in range(40) for i in range(30 * k, min(30 * k + 31, len(sets)))]
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    stored = lambda: set(folder.glob("pacegrid-llm-*/blocks"))
+    before = stored()
+    got = ngram_join._in_blocks(spark.createDataFrame(info, "doc_id long, n_shingles long, sketch binary"),
+                                spark.createDataFrame(crowd, "head long, doc_id long"), spark.createDataFrame([(1, 0)], "id long, component_id long"))
+    want = {(a, b) for k in range(40) for a, b in itertools.combinations(range(30 * k, min(30 * k + 31, len(sets))), 2)
+            if (a, b) != (0, 1) and ngram_join.may_link(*info[a][1:], *info[b][1:])}
+    assert {(r["a"], r["b"]) for r in got.collect()} == want and len(want) > 500
+    (folder,) = stored() - before
+    held = [len(r["sets"]) for r in spark.read.parquet(str(folder)).select("sets").collect()]
+    assert sum(held) == len(crowd) and sum(n * n for n in held) <= 40 * 31 * 31
+
+
+def test_texts_of_many_ids_are_not_shuffled(spark):
+    """Texts went through a shuffle as soon as the ids were too many to be broadcast."""
+    rows = spark.range(60_000).selectExpr("id as doc_id", "'x' as text")
+    ids = spark.range(0, 60_000, 3).selectExpr("id as doc_id")
+    with_filter = ngram_join._of(rows, ids, 20_000)
+    assert 20_000 > ngram_join.MANY
+    plan = with_filter._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    got = {r["doc_id"] for r in with_filter.collect()}
+    assert got >= set(range(0, 60_000, 3)) and len(got) < 21_000
+    exact = ngram_join._of(rows, ids.filter("doc_id < 900"), 300)
+    assert {r["doc_id"] for r in exact.collect()} == set(range(0, 900, 3))
+
+
+def test_equal_sets_link_without_their_shingles(spark, monkeypatch):
+    """Exact copies link by their digests; every copy's shingles were stored and joined twice."""
+    seen, verified = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda d, pairs, scratch: seen.append(pairs.count()) or verified(d, pairs, scratch))
+    one, two = (" ".join(f"{w}{k}" for k in range(80)) for w in "xy")
+    rows = [(i, one) for i in range(12)] + [(i, two.upper() if i % 2 else two) for i in range(20, 30)] + [(40, one + " end"), (41, "z")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs(spark, rows)).collect()}
+    assert got == brute_components(rows) and sum(seen) == 1
+
+
+def test_signatures_of_slices_are_cut_together():
+    """The buckets are the same however many slices are cut into parts at once; rows no longer grow with slices times parts."""
+    rng = np.random.default_rng(8)
+    held = [(rng.integers(0, 60, 90).astype(np.uint64) << np.uint64(58), rng.integers(0, 40, 90).astype(np.uint32), np.arange(20 * k, 20 * k + 20))
+            for k in range(5)]
+    apart = pa.Table.from_batches([b for x in held for b in ngram_join._cut([x], 4)])
+    together = pa.Table.from_batches(list(ngram_join._cut(list(held), 4)))
+    assert apart.num_rows == 20 and together.num_rows == 4
+    for part in range(4):
+        one, other = (ngram_join._shared(t.filter(pa.compute.equal(t["part"], part))) for t in (apart, together))
+        assert one.equals(other) and one.num_rows > 50
+
+
+def test_segments_are_counted_without_their_contents():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2 ** 63, n, dtype=np.uint64)) for n in (0, 1, 15, 16, 30, 31, 500, 0)]
+    h, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    want = [[sum(int((owner == i).sum()) for owner, f, *_ in ngram_join.segment_table(h, offsets) if f[0] == family) for i in range(len(sets))]
+            for family in (0, 1)]
+    assert [n.tolist() for n in ngram_join.segment_counts(h, offsets)] == want
+    assert len(set(ngram_join.set_digests(h, offsets).tolist())) == 7  # the empty sets are equal
+
+
 def test_decontamination_hashes_a_slice_at_a_time():
     """Memory follows the slice and not the batch; the clusters are those of the whole batch."""
     import tracemalloc
